@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.discriminators import discriminator
 from ..functions.idl_types import parse_type, spark_type, type_label
+from ..functions.schema_text import field as schema_field
 from ..functions.names import TABLE_PREFIX, column_name, table_name
 
 # Upper bound on the entries of one program held on the driver and broadcast.
@@ -187,24 +188,16 @@ class Entry:
     def table_schema(self) -> T.StructType:
         """Fixed columns, one column per named field, decode issues and the ingest time."""
         before, after = FIXED_COLUMNS[self.kind]
-        schema = T.StructType([_ddl_field(c) for c in before])
+        schema = T.StructType([schema_field(c) for c in before])
         for f in self.fields:
             if f.column is not None:
                 schema.add(f.column, spark_type(f.tree))
         schema.add("decode_issues", T.ArrayType(T.StringType()))
         for c in after:
-            schema.add(_ddl_field(c))
+            schema.add(schema_field(c))
         return schema
 
 
-_SQL_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "timestamp": T.TimestampType()}
-
-
-def _ddl_field(text: str) -> T.StructField:
-    name, kind = text.split()
-    return T.StructField(name, _SQL_TYPES[kind])
-
-
 @dataclass(frozen=True)
 class Program:
     """The registry rows of one program, on the driver."""
