@@ -36,6 +36,11 @@ QUARANTINE_SCHEMA = schema(
 PARTITIONS = schema("writer string, batch_id bigint, slot_bucket bigint")
 
 
+def latest_state(rows: DataFrame) -> DataFrame:
+    """(key, value): the value of each key that was written last."""
+    return rows.groupBy("key").agg(F.max_by("value", F.struct("updated_at", "batch_id")).alias("value"))
+
+
 class IndexStore:
     """Reads and writes the tables of one index below ``root``."""
 
@@ -54,8 +59,7 @@ class IndexStore:
     def state(self) -> dict[str, str]:
         """Current value of every key: the one written last. A handful of keys per table."""
         rows = self.state_rows().where(~F.col("key").startswith(COMMIT_KEY))
-        latest = rows.groupBy("key").agg(F.max_by("value", F.struct("updated_at", "batch_id")).alias("value"))
-        return {r["key"]: r["value"] for r in latest.collect()}
+        return {r["key"]: r["value"] for r in latest_state(rows).collect()}
 
     def committed(self) -> dict[str, int]:
         """Last committed batch id per writer."""
