@@ -20,7 +20,6 @@ _DIGIT_OF = np.full(256, 255, dtype=np.uint8)
 _DIGIT_OF[_CHARS] = np.arange(58, dtype=np.uint8)
 _GROUP = 5  # base58 digits per limb: 58**5 < 2**30, so limb products fit in 64 bits
 _GROUP_BASE = np.uint64(58**_GROUP)
-_POWERS = (58 ** np.arange(_GROUP - 1, -1, -1)).astype(np.uint64)
 
 
 def ragged(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -45,12 +44,24 @@ def _leading(flags: np.ndarray) -> np.ndarray:
     return np.where(flags.all(axis=1), flags.shape[1], (~flags).argmax(axis=1))
 
 
+def _join_leading(count: np.ndarray, filler: np.uint8, cells: np.ndarray, skipped: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Per row: ``count`` fillers, then its cells after the ``skipped`` leading ones."""
+    pad = int(count.max(initial=0))
+    matrix = np.concatenate([np.full((len(cells), pad), filler), cells], axis=1)
+    column = np.arange(matrix.shape[1])
+    first = (pad + skipped)[:, None]
+    keep = column >= first
+    if pad:
+        keep |= (column < pad) & (column >= (pad - count)[:, None])
+    return from_rows(matrix, keep, kind)
+
+
 def encode_matrix(raw: np.ndarray) -> pa.Array:
     """Base58 text of an (n, width) byte matrix; width is a multiple of four."""
     n, width = raw.shape
     words = np.ascontiguousarray(raw).view(">u4").astype(np.uint64)
     limbs = np.zeros((-(-width * 1366 // 1000 // _GROUP) + 1, n), dtype=np.uint64)
-    for word in words.T:
+    for word in np.ascontiguousarray(words.T):
         carry = word
         for limb in limbs[::-1]:
             total = (limb << np.uint64(32)) + carry
@@ -63,30 +74,25 @@ def encode_matrix(raw: np.ndarray) -> pa.Array:
         digits[:, :, place] = (rest - upper * np.uint32(58)).T
         rest = upper
     digits = digits.reshape(n, len(limbs) * _GROUP)
-    chars = np.concatenate([np.full((n, width), _CHARS[0]), _CHARS[digits]], axis=1)
-    ones = _leading(raw == 0)[:, None]
-    skipped = _leading(digits == 0)[:, None]
-    column = np.arange(chars.shape[1])
-    return from_rows(chars, np.where(column < width, column >= width - ones, column - width >= skipped), pa.string())
+    return _join_leading(_leading(raw == 0), _CHARS[0], _CHARS[digits], _leading(digits == 0), pa.string())
 
 
 def _decode_matrix(digits: np.ndarray, ones: np.ndarray) -> pa.Array:
     """Bytes of an (n, 5k) digit matrix that was left-padded with zero digits."""
     n, columns = digits.shape
     limbs = np.zeros((-(-columns * 733 // 1000 // 4) + 1, n), dtype=np.uint64)
-    groups = (digits.reshape(n, -1, _GROUP).astype(np.uint64) * _POWERS).sum(axis=2)
-    for group in groups.T:
+    by_place = np.ascontiguousarray(digits.T).astype(np.uint32).reshape(-1, _GROUP, n)
+    groups = by_place[:, 0]
+    for place in range(1, _GROUP):
+        groups = groups * np.uint32(58) + by_place[:, place]
+    for group in groups.astype(np.uint64):
         carry = group
         for limb in limbs[::-1]:
             total = limb * _GROUP_BASE + carry
             limb[:] = total & np.uint64(0xFFFFFFFF)
             carry = total >> np.uint64(32)
     raw = np.ascontiguousarray(limbs.T.astype(">u4")).view(np.uint8).reshape(n, 4 * len(limbs))
-    pad = columns
-    matrix = np.concatenate([np.zeros((n, pad), np.uint8), raw], axis=1)
-    column = np.arange(matrix.shape[1])
-    skipped = _leading(raw == 0)[:, None]
-    return from_rows(matrix, np.where(column < pad, column >= pad - ones[:, None], column - pad >= skipped), pa.binary())
+    return _join_leading(ones, np.uint8(0), raw, _leading(raw == 0), pa.binary())
 
 
 def decode_strings(array: pa.Array) -> pa.Array:
@@ -101,12 +107,13 @@ def decode_strings(array: pa.Array) -> pa.Array:
     for size in np.unique(size_class):
         chosen = np.flatnonzero(size_class == size)
         width = -(-int(lengths[chosen].max()) // _GROUP) * _GROUP or _GROUP
-        column = np.arange(width) - (width - lengths[chosen])[:, None]
-        at = np.where(column >= 0, offsets[chosen][:, None] + column, 0)
-        digits = np.where(column >= 0, _DIGIT_OF[data[at]], 0) if len(data) else np.zeros((len(chosen), width), np.uint8)
+        held = lengths[chosen]
+        index = np.repeat(offsets[chosen] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+        digits = np.zeros((len(chosen), width), dtype=np.uint8)
+        digits[np.arange(width) >= (width - held)[:, None]] = _DIGIT_OF[data[index]]
         bad = (digits == 255).any(axis=1)
         digits[bad] = 0
-        ones = np.where(bad, 0, np.minimum(_leading((digits == 0)) - (width - lengths[chosen]), lengths[chosen]))
+        ones = np.where(bad, 0, _leading(digits == 0) - (width - held))
         parts.append(_decode_matrix(digits, ones))
         rows.append(chosen)
     if not parts:

@@ -1,7 +1,6 @@
 """Interface descriptions -> registry: what each program's instructions and accounts look like.
 
-``parse_documents`` and ``idl_registry`` are Spark jobs over a table of JSON
-documents. ``load_program`` takes the few rows of one program to the driver as a
+``idl_registry`` is a Spark job over a table of JSON documents. ``load_program`` takes the few rows of one program to the driver as a
 ``Program``, which the decoding and writing jobs use to build their columns.
 """
 
@@ -42,29 +41,18 @@ TAKEN_COLUMNS = {
 ENGINE_COLUMNS = ("decode_issues", "slot_bucket", "writer", "batch_id")
 
 
-def _fields(text: Column) -> Column:
-    """Fields of a JSON field list: those with a type, in order; ``column`` is NULL for nameless ones."""
-    parsed = F.filter(F.from_json(text, FIELD_LIST), lambda f: f["type"].isNotNull())
+def _entries(column: str, kind: str, fields) -> Column:
+    """The JSON texts of ``column`` tagged with kind, place and the text of their field list."""
     return F.transform(
-        parsed,
-        lambda f, i: F.struct(
-            i.alias("ordinal"), f["name"].alias("name"), f["type"].alias("type"), column_name(f["name"]).alias("column")
+        F.coalesce(column, F.array().cast("array<string>")),
+        lambda text, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("ordinal"),
+            F.from_json(text, "name string, discriminator array<string>").alias("head"),
+            fields(text).alias("fields_text"),
         ),
     )
 
 
-def _entry(kind: str, ordinal: Column, text: Column, fields_text: Column) -> Column:
-    head = F.from_json(text, "name string, discriminator array<string>")
-    return F.struct(
-        ordinal.alias("ordinal"),
-        head["name"].alias("name"),
-        table_name(kind, head["name"]).alias("table_name"),
-        discriminator(kind, head["name"], head["discriminator"]).alias("discriminator"),
-        fields_text.isNotNull().alias("has_table"),
-        F.coalesce(_fields(fields_text), F.array().cast("array<struct<ordinal:int,name:string,type:string,column:string>>")).alias("fields"),
-    )
-
-
 def _account_fields(text: Column, types: Column) -> Column:
     """Field list text of an account: inline under ``type``, inline, or from the type of the same name."""
     name = F.get_json_object(text, "$.name")
@@ -77,57 +65,51 @@ def _account_fields(text: Column, types: Column) -> Column:
     )
 
 
-def parse_documents(docs: DataFrame, *, check_address: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document with its parsed instruction and account lists.
+def idl_registry(docs: DataFrame, *, check_address: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per named instruction and account type of every document.
 
     ``docs`` has ``program_id`` and ``idl`` (JSON text). A document that names
     another address than its ``program_id`` fails the job unless
-    ``check_address`` is off. ``keep`` carries further columns through.
+    ``check_address`` is off. ``keep`` carries further columns through. There is
+    no shuffle: a document is parsed and exploded where it is read.
     """
     parsed = docs.select("program_id", *keep, F.from_json("idl", DOCUMENT).alias("doc"))
-    address = F.coalesce("doc.address", F.get_json_object("doc.metadata", "$.address"))
     if check_address:
+        address = F.coalesce("doc.address", F.get_json_object("doc.metadata", "$.address"))
         mismatch = F.concat(F.lit("document address "), address, F.lit(" is not program "), F.col("program_id"))
         parsed = parsed.where(
             F.when(F.coalesce(address, F.col("program_id")) == F.col("program_id"), F.lit(True)).otherwise(
                 F.raise_error(mismatch).cast("boolean")
             )
         )
-    nothing = F.array().cast("array<string>")
-    instructions = F.transform(
-        F.coalesce("doc.instructions", nothing),
-        lambda text, i: _entry("instruction", i, text, F.get_json_object(text, "$.args")),
+    entries = F.concat(
+        _entries("doc.instructions", "instruction", lambda text: F.get_json_object(text, "$.args")),
+        _entries("doc.accounts", "account", lambda text: _account_fields(text, F.col("doc.types"))),
     )
-    accounts = F.transform(
-        F.coalesce("doc.accounts", nothing),
-        lambda text, i: _entry("account", i, text, _account_fields(text, F.col("doc.types"))),
+    rows = (
+        parsed.select("program_id", *keep, F.coalesce("doc.name", F.lit("unknown")).alias("program_name"), F.explode(entries).alias("e"))
+        .select("program_id", *keep, "program_name", "e.*")
+        .where(F.col("head.name").isNotNull())
     )
-    named = lambda e: e["name"].isNotNull()
-    return parsed.select(
-        "program_id",
-        *keep,
-        F.coalesce("doc.name", F.lit("unknown")).alias("program_name"),
-        F.col("doc.version").alias("version"),
-        address.alias("address"),
-        F.filter(instructions, named).alias("instructions"),
-        F.filter(accounts, named).alias("accounts"),
+    name, numbers = F.col("head.name"), F.col("head.discriminator")
+    # Fields are those with a type, in layout order; ``column`` is NULL for nameless ones.
+    typed = F.filter(F.from_json("fields_text", FIELD_LIST), lambda f: f["type"].isNotNull())
+    fields = F.transform(
+        F.coalesce(typed, F.array().cast(FIELD_LIST)),
+        lambda f, i: F.struct(
+            i.alias("ordinal"), f["name"].alias("name"), f["type"].alias("type"), column_name(f["name"]).alias("column")
+        ),
     )
 
+    def by_kind(build) -> Column:
+        return F.when(F.col("kind") == "instruction", build("instruction")).otherwise(build("account"))
 
-def idl_registry(docs: DataFrame, **options) -> DataFrame:
-    """One row per instruction and account type of every document."""
-    keep = tuple(options.get("keep", ()))
-    parsed = parse_documents(docs, **options)
-
-    def tagged(kind: str, column: str) -> Column:
-        return F.transform(column, lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("e")))
-
-    return (
-        parsed.select(
-            "program_id", *keep, "program_name",
-            F.explode(F.concat(tagged("instruction", "instructions"), tagged("account", "accounts"))).alias("x"),
-        )
-        .select("program_id", *keep, "program_name", "x.kind", "x.e.*")
+    return rows.select(
+        "program_id", *keep, "program_name", "kind", "ordinal", name.alias("name"),
+        by_kind(lambda kind: table_name(kind, name)).alias("table_name"),
+        by_kind(lambda kind: discriminator(kind, name, numbers)).alias("discriminator"),
+        F.col("fields_text").isNotNull().alias("has_table"),
+        fields.alias("fields"),
     )
 
 
@@ -137,11 +119,7 @@ def _labels(types: pd.Series) -> pd.Series:
 
 
 def introspect(docs: DataFrame, **options) -> DataFrame:
-    """Per document: program name, instructions with args and accounts with fields, as shown to clients.
-
-    Entries without a table are left out. Everything stays inside the
-    document's own row, so there is no shuffle.
-    """
+    """Per entry with a table: its name, table, and (name, type label) of its fields, as shown to clients."""
     registry = idl_registry(docs, **options).where("has_table")
     keep = [*options.get("keep", ()), "program_name"]
     labelled = registry.withColumn("labels", _labels(F.col("fields.type")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,7 +160,7 @@ def typed_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = F.col("user_id") % 2 * 128  # sets the highest bit for odd users
     parts = [sample.little_endian_hex(F.col("event_id"), 7), sample.little_endian_hex(top, 1), sample.little_endian_hex(F.col("user_id"), 1)]
     rows = events.select("event_id", sample.payload("instruction", F.lit("store"), *parts).alias("data"))
-    return decode_entry(rows, entry, saved)
+    return decode_entry(rows, entry, saved).withColumn("memo", F.col("memo").isNull())
 
 
 def evolve_add_column(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,9 +316,14 @@ EVENT_FIELDS = [("event_id", parse_type("i64")), ("user_id", parse_type("u32")),
 ROUTED_IDL = json.dumps({"instructions": [{"name": n, "args": []} for n in ("click", "purchase")] + [{"name": "view"}]})
 
 
+@lru_cache
+def _program(spark: SparkSession, idl: str) -> Program:
+    """The sample program under a given description, loaded once per session."""
+    return program_from_json(spark, sample.PROGRAM, idl)
+
+
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    program: Program = program_from_json(spark, sample.PROGRAM, ROUTED_IDL)
-    return normalize.route(_event_payloads(spark, sf_dir), program, "instruction")
+    return normalize.route(_event_payloads(spark, sf_dir), _program(spark, ROUTED_IDL), "instruction")
 
 
 def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,7 +402,7 @@ def _nested(engine: str):
         return decoded.select(
             "event_id", "opt", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"),
             F.array_join(F.transform("pair", lambda i: i.cast("string")), ",").alias("pair"), F.col("inner.id").alias("inner_id"), F.col("inner.tag").alias("inner_tag"),
-            F.lower(F.hex("blob")).alias("blob"), F.col("rest.raw_hex").alias("rest"), "late", F.array_join("decode_issues", ",").alias("issues"),
+            F.lower(F.hex("blob")).alias("blob"), F.col("rest.raw_hex").alias("rest"), F.col("late").isNull().alias("late_missing"), F.array_join("decode_issues", ",").alias("issues"),
         )
 
     return query
@@ -452,7 +458,7 @@ def _block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _index(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> IndexReader:
     """Reader over the index of the sample program, built once per session."""
     key = (spark.sparkContext.applicationId, sf_dir, "index")
-    program = program_from_json(spark, sample.PROGRAM, sample.SAMPLE_IDL)
+    program = _program(spark, sample.SAMPLE_IDL)
     if rebuild or key not in _BUILT:
         blocks = _block_table(spark, sf_dir)
         store = IndexStore(spark, scratch_path(spark, "index"), slots_per_bucket=400)
@@ -497,7 +503,7 @@ def stream_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same blocks as a stream: worked off in micro-batches, then counted per instruction."""
     _block_table(spark, sf_dir)
     path = _BUILT[(spark.sparkContext.applicationId, sf_dir, "blocks")]
-    program = program_from_json(spark, sample.PROGRAM, sample.SAMPLE_IDL)
+    program = _program(spark, sample.SAMPLE_IDL)
     store = IndexStore(spark, scratch_path(spark, "live-index"), slots_per_bucket=400)
     feed = stream_blocks(spark, path, "parquet", max_files=1000)
     query = start_index_stream(feed, store, program, scratch_path(spark, "live-checkpoint"), name="sample", available_now=True)

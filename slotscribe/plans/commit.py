@@ -19,6 +19,8 @@ from .store import LAST_SIG_KEY, LAST_SLOT_KEY, QUARANTINE_SCHEMA, SCHEMA_KEY, T
 # Distinct slot buckets up to which a batch names them one by one when it looks
 # for stored duplicates; beyond that it uses their range.
 MAX_BUCKET_LIST = 5_000
+# Touched addresses up to which they are broadcast: some 60 bytes each, 6 MB in all.
+BROADCAST_ADDRESSES = 100_000
 # Tables written at the same time; each write is its own Spark job.
 PARALLEL_WRITES = 4
 
@@ -38,6 +40,10 @@ class CommitOptions:
     slot_checkpoint: int | None = None
     # Use snapshot versions not newer than the touch instead of current ones.
     as_of: bool = False
+    # A transaction can only land near the block it refers to, so stored
+    # duplicates are looked for within this many slots of the batch. None looks
+    # through the whole table.
+    conflict_slack: int | None = 1_000
     engine: str = "auto"
 
 
@@ -54,22 +60,46 @@ def _staged(df: DataFrame, label: str, partition: str | None = None) -> DataFram
     """Write to the shared folder and read back: work done once, lineage cut, safe against lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    writer = df.write if partition is None else df.write.partitionBy(partition)
-    writer.parquet(path)
+    if partition is None:
+        df.write.parquet(path)
+    else:
+        # Even files per table, however many tasks read the source and however uneven the tables are.
+        df.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
     schema = df.schema
     if partition is not None:
         schema = T.StructType([*[f for f in schema.fields if f.name != partition], schema[partition]])
     return spark.read.schema(schema).parquet(path)
 
 
-def _touched_buckets(txs: DataFrame, size: int) -> list[int] | tuple[int, int]:
-    """Slot buckets of a batch: a list while it is short, else their range."""
-    buckets = txs.select(F.floor(F.col("slot") / size).cast("bigint").alias("b")).distinct()
+@dataclass(frozen=True)
+class ConflictRange:
+    """Where stored rows can conflict with a batch: slot buckets, and the slots inside them."""
+
+    buckets: list[int] | tuple[int, int] | None
+    low: int | None
+    high: int | None
+
+    def limit(self, stored: DataFrame) -> DataFrame:
+        return stored if self.low is None else stored.where(F.col("slot").between(self.low, self.high))
+
+
+def conflict_range(txs: DataFrame, size: int, slack: int | None) -> ConflictRange:
+    """Slots within ``slack`` of the batch's own; everything when ``slack`` is None.
+
+    Buckets are listed while they are few, so a sparse batch reads few folders.
+    """
+    if slack is None:
+        return ConflictRange(None, None, None)
+    low, high = txs.agg(F.min("slot"), F.max("slot")).first()
+    if low is None:
+        return ConflictRange([], 0, -1)
+    own = txs.groupBy(F.floor(F.col("slot") / size)).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
+    near = F.sequence(F.floor((F.col("lo") - slack) / size), F.floor((F.col("hi") + slack) / size))
+    buckets = own.select(F.explode(near).alias("b")).select(F.col("b").cast("bigint").alias("b")).distinct()
     listed = [r["b"] for r in buckets.limit(MAX_BUCKET_LIST + 1).collect()]
-    if len(listed) <= MAX_BUCKET_LIST:
-        return sorted(listed)
-    low, high = buckets.agg(F.min("b"), F.max("b")).first()
-    return (low, high)
+    if len(listed) > MAX_BUCKET_LIST:
+        return ConflictRange(((low - slack) // size, (high + slack) // size), low - slack, high + slack)
+    return ConflictRange(sorted(listed), low - slack, high + slack)
 
 
 def decode_entry(rows: DataFrame, entry: Entry, schema: T.StructType, engine: str = "auto") -> DataFrame:
@@ -101,7 +131,10 @@ def account_states(
     touches: DataFrame, snapshots: DataFrame, program: Program, options: CommitOptions = CommitOptions()
 ) -> DataFrame:
     """Touched accounts with their routed snapshot payload."""
-    first = normalize.first_touch(touches, options.order, newest_first=options.newest_first)
+    first = _staged(normalize.first_touch(touches, options.order, newest_first=options.newest_first), "touched")
+    # The count decides: few addresses are sent to the snapshots, many are joined by shuffle.
+    if first.limit(BROADCAST_ADDRESSES + 1).count() <= BROADCAST_ADDRESSES:
+        first = F.broadcast(first)
     pick = normalize.snapshots_as_of if options.as_of else normalize.current_snapshots
     return normalize.route(pick(first, snapshots), program, "account").where(F.col("table_name").isNotNull())
 
@@ -127,11 +160,12 @@ def commit_batch(
     if options.newest_first and not options.order:
         order = [F.desc("slot"), F.desc("tx_index")]
     staged = _staged(keep_first(txs, ["signature"], order), "transactions")
-    state, committed = store.state(), store.committed()
-    buckets = _touched_buckets(staged, store.slots_per_bucket) if committed else []
+    state = store.load()
+    committed = state.committed
+    near = conflict_range(staged, store.slots_per_bucket, options.conflict_slack) if committed else None
 
     def stored(table: str, schema: T.StructType) -> DataFrame:
-        return store.read(table, schema, committed=committed, exclude=(writer, batch_id), buckets=buckets)
+        return near.limit(store.read(table, schema, committed=committed, exclude=(writer, batch_id), buckets=near.buckets))
 
     new_state: dict[str, str] = {}
 
@@ -162,8 +196,8 @@ def commit_batch(
         store.write(decode_entry(rows, entry, schema, options.engine), entry.table, writer, batch_id)
 
     def grown_schema(entry: Entry) -> T.StructType:
-        schema = store.table_schema(entry.table, entry.table_schema, state)
-        if state.get(SCHEMA_KEY + entry.table) != schema.json():
+        schema = state.table_schema(entry.table, entry.table_schema)
+        if state.values.get(SCHEMA_KEY + entry.table) != schema.json():
             new_state[SCHEMA_KEY + entry.table] = schema.json()
         return schema
 

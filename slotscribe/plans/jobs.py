@@ -29,10 +29,29 @@ class BatchRequest:
 
 def saved_slot(store: IndexStore) -> int | None:
     """Last recorded slot, None when there is none or it is not a number."""
-    text = store.state().get(LAST_SLOT_KEY)
+    text = store.load().values.get(LAST_SLOT_KEY)
     return int(text) if text is not None and text.isdigit() else None
 
 
+def newest_signatures(blocks: DataFrame, program_id: str, count: int) -> DataFrame:
+    """The newest ``count`` signatures of a program.
+
+    A table with slot buckets is searched from its newest bucket backwards,
+    doubling the stretch until it holds enough, so old folders stay unread.
+    """
+    everything = source.program_signatures(blocks, program_id)
+    if "slot_bucket" not in blocks.columns:
+        return source.latest(everything, count)
+    bounds = blocks.agg(F.min("slot_bucket").alias("low"), F.max("slot_bucket").alias("high")).first()
+    width = 1
+    while bounds["high"] is not None and bounds["high"] - width >= bounds["low"]:
+        recent = source.program_signatures(blocks.where(F.col("slot_bucket") > bounds["high"] - width), program_id)
+        if recent.limit(count).count() >= count:
+            return source.latest(recent, count)
+        width *= 2
+    return source.latest(everything, count)
+
+
 def select_transactions(
     blocks: DataFrame, program: Program, request: BatchRequest, saved: int | None, *, bucket_size: int = source.SLOTS_PER_BUCKET
 ) -> tuple[DataFrame, CommitOptions] | None:
@@ -47,7 +66,7 @@ def select_transactions(
             return None
         ranged = source.prune_buckets(blocks, start, request.end_slot, bucket_size)
         return normalize.transactions(ranged, program.program_id), CommitOptions(slot_checkpoint=request.end_slot)
-    newest = source.latest(source.program_signatures(blocks, program.program_id), request.batch_size)
+    newest = newest_signatures(blocks, program.program_id, request.batch_size)
     # At most ``batch_size`` positions decide which blocks are read in full.
     oldest = newest.agg(F.min("slot").alias("slot")).first()["slot"]
     recent = source.prune_buckets(blocks, oldest, None, bucket_size) if oldest is not None else blocks.where(F.lit(False))
@@ -97,12 +116,12 @@ def backfill(
     The saved slot narrows the search for the checkpoint's position and the
     blocks read after it. A signature the blocks do not hold means everything.
     """
-    state = store.state()
-    signature = state.get(LAST_SIG_KEY)
+    state = store.load()
+    signature = state.values.get(LAST_SIG_KEY)
     if signature is None:
         return None
     signatures = source.program_signatures(blocks, program.program_id)
-    stored = store.read("transactions", TRANSACTION_SCHEMA).where(F.col("signature") == signature)
+    stored = store.read("transactions", TRANSACTION_SCHEMA, committed=state.committed).where(F.col("signature") == signature)
     known = stored.select("slot").first()
     position = source.position_of(signatures, signature, slot=known["slot"] if known else None)
     if position is None:

@@ -59,7 +59,7 @@ _SCALARS = f"""select event_id, user_id % 2 = 1 as flag, cast(user_id % 256 as i
 _NESTED = """select event_id, case when event_id % 2 = 0 then user_id end as opt,
     case event_id % 4 when 0 then '' else array_to_string(list_transform(range(1, event_id % 4 + 1), lambda i: cast((user_id + i) % 65536 as varchar)), ',') end as items,
     concat(event_id % 4, ',', user_id % 256) as pair, event_id as inner_id, event_type as inner_tag,
-    lower(hex(encode(props))) as blob, lower(hex(encode(event_type))) as rest, cast(null as integer) as late, 'truncated' as issues from events"""
+    lower(hex(encode(props))) as blob, lower(hex(encode(event_type))) as rest, true as late_missing, 'truncated' as issues from events"""
 
 _EXPLICIT = "(c_acctbal > 5000)"
 _REGISTRY = f"""
@@ -115,7 +115,7 @@ ORACLE = {
         from lineitem group by 1, 2""",
     "tx_insert_conflict": f"select signature, slot, cast(case when err is null then 2 else 1 end as bigint) as batch from {_TXS}",
     "checkpoint_state": """select event_type as key, cast(arg_max(user_id, event_id) as varchar) as value from events group by 1""",
-    "typed_coercion": """select event_id, case when user_id % 2 = 0 then event_id end as amount, user_id % 256 <> 0 as "on", cast(null as varchar) as memo from events""",
+    "typed_coercion": """select event_id, case when user_id % 2 = 0 then event_id end as amount, user_id % 256 <> 0 as "on", true as memo from events""",
     "evolve_add_column": f"""select o_orderkey, cast(date_diff('day', date '1970-01-01', cast(o_orderdate as date)) as bigint) as slot,
         case when o_orderstatus <> 'F' then o_orderpriority end as o_orderpriority,
         cast(case when o_orderstatus = 'F' then 0 else 1 end as bigint) as batch_id from orders""",

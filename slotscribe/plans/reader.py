@@ -10,7 +10,7 @@ from ..operators import lookups
 from ..operators.dedup import keep_last
 from ..operators.lookups import CallFilter
 from ..operators.registry import Entry, Program
-from .store import LAST_SIG_KEY, TRANSACTION_SCHEMA, IndexStore
+from .store import LAST_SIG_KEY, TRANSACTION_SCHEMA, IndexState, IndexStore
 
 
 class IndexReader:
@@ -21,13 +21,13 @@ class IndexReader:
 
     # -- tables ----------------------------------------------------------------
 
-    def _table(self, entry: Entry) -> DataFrame:
-        schema = self.store.table_schema(entry.table, entry.table_schema)
-        return self.store.read(entry.table, schema)
+    def _table(self, entry: Entry, state: IndexState | None = None) -> DataFrame:
+        state = state or self.store.load()
+        return self.store.read(entry.table, state.table_schema(entry.table, entry.table_schema), committed=state.committed)
 
-    def transactions(self) -> DataFrame:
+    def transactions(self, state: IndexState | None = None) -> DataFrame:
         """All indexed transactions."""
-        return self.store.read("transactions", TRANSACTION_SCHEMA)
+        return self.store.read("transactions", TRANSACTION_SCHEMA, committed=(state or self.store.load()).committed)
 
     def call_table(self, ix_name: str, *, with_block_ts: bool = False) -> DataFrame:
         """All calls of an instruction; ``block_ts`` is the chain time as a timestamp."""
@@ -45,7 +45,7 @@ class IndexReader:
 
     def health(self) -> dict:
         """Program and last checkpoint; errors of the state table are raised, not hidden."""
-        return {"status": "ok", "program_id": self.program.program_id, "last_checkpoint": self.store.state().get(LAST_SIG_KEY)}
+        return {"status": "ok", "program_id": self.program.program_id, "last_checkpoint": self.store.load().values.get(LAST_SIG_KEY)}
 
     def schema(self) -> dict:
         """Program name, instructions and accounts with their tables and fields."""
@@ -120,5 +120,6 @@ class IndexReader:
 
     def stats(self) -> DataFrame:
         """Transactions, slots, calls per table and in total, last checkpoint: one row."""
-        tables = {e.table: self._table(e) for e in self.program.tables("instruction")}
-        return lookups.program_stats(self.transactions(), tables, self.store.state().get(LAST_SIG_KEY))
+        state = self.store.load()
+        tables = {e.table: self._table(e, state) for e in self.program.tables("instruction")}
+        return lookups.program_stats(self.transactions(state), tables, state.values.get(LAST_SIG_KEY))

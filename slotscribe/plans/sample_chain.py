@@ -10,18 +10,24 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.base58 import base58_encode_key
 from ..functions.discriminators import derived_discriminator
 from ..functions.little_endian import _POW64
 from ..sources.blocks import block_schema
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
 PROGRAM, OTHER_PROGRAM = "SampleProgram", "OtherProgram"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the sample tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the sample tables. Its schema is looked up once per process, not on every read."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

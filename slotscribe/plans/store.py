@@ -9,6 +9,7 @@ its id. Readers therefore never see part of a batch.
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -41,6 +42,19 @@ def latest_state(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("value", F.struct("updated_at", "batch_id")).alias("value"))
 
 
+@dataclass(frozen=True)
+class IndexState:
+    """One consistent view of the state table."""
+
+    values: dict[str, str]
+    committed: dict[str, int]
+
+    def table_schema(self, table: str, current: T.StructType) -> T.StructType:
+        """Schema a table has grown to: saved columns first, then columns new in ``current``."""
+        saved = self.values.get(SCHEMA_KEY + table)
+        return merge_schema(T.StructType.fromJson(json.loads(saved)) if saved else None, current)
+
+
 class IndexStore:
     """Reads and writes the tables of one index below ``root``."""
 
@@ -56,19 +70,18 @@ class IndexStore:
         except AnalysisException:
             return self.spark.createDataFrame([], STATE_SCHEMA)
 
-    def state(self) -> dict[str, str]:
-        """Current value of every key: the one written last. A handful of keys per table."""
-        rows = self.state_rows().where(~F.col("key").startswith(COMMIT_KEY))
-        return {r["key"]: r["value"] for r in latest_state(rows).collect()}
-
-    def committed(self) -> dict[str, int]:
-        """Last committed batch id per writer."""
-        rows = self.state_rows().where(F.col("key") == COMMIT_KEY)
-        return {r["writer"]: r["n"] for r in rows.groupBy("writer").agg(F.max("batch_id").alias("n")).collect()}
+    def load(self) -> "IndexState":
+        """Current values and last committed batches, in one small job: a handful of rows per table."""
+        rows = self.state_rows().groupBy("key", F.when(F.col("key") == COMMIT_KEY, F.col("writer")).alias("writer"))
+        latest = rows.agg(F.max_by("value", F.struct("updated_at", "batch_id")).alias("value"), F.max("batch_id").alias("n")).collect()
+        return IndexState(
+            {r["key"]: r["value"] for r in latest if r["key"] != COMMIT_KEY},
+            {r["writer"]: r["n"] for r in latest if r["key"] == COMMIT_KEY},
+        )
 
     def next_batch_id(self, writer: str) -> int:
         """The id after the last committed one; an attempt that failed is replaced."""
-        return self.committed().get(writer, -1) + 1
+        return self.load().committed.get(writer, -1) + 1
 
     def write_state(self, values: dict[str, str], writer: str, batch_id: int) -> None:
         """Append state rows in one file; this is what makes the batch visible."""
@@ -79,16 +92,6 @@ class IndexStore:
 
     # -- tables ----------------------------------------------------------------
 
-    def table_schema(self, table: str, current: T.StructType | None, state: dict[str, str] | None = None) -> T.StructType:
-        """Schema a table has grown to: saved columns first, then columns new in ``current``."""
-        saved = (state if state is not None else self.state()).get(SCHEMA_KEY + table)
-        known = T.StructType.fromJson(json.loads(saved)) if saved else None
-        if current is None:
-            if known is None:
-                raise ValueError(f"unknown table: {table!r}")
-            return known
-        return merge_schema(known, current)
-
     def read(
         self,
         table: str,
@@ -105,7 +108,7 @@ class IndexStore:
         these select folders, not rows.
         """
         full = T.StructType([*columns.fields, *PARTITIONS.fields])
-        committed = self.committed() if committed is None else committed
+        committed = self.load().committed if committed is None else committed
         try:
             rows = self.spark.read.schema(full).parquet(f"{self.root}/{table}")
         except AnalysisException:

@@ -82,7 +82,7 @@ def catch_up_then_follow(
     newest slot that ``history`` holds.
     """
     done = backfill(store, program, history, snapshots=stream_options.get("snapshots"))
-    if done is None and not store.committed():
+    if done is None and not store.load().committed:
         tip = history.agg(F.max("slot").alias("slot")).first()["slot"]
         stream_options.setdefault("after_slot", tip)
     return start_index_stream(live, store, program, checkpoint, **stream_options)

@@ -7,8 +7,8 @@ import chain
 from slotscribe.operators import normalize
 from slotscribe.operators.lookups import CallFilter
 from slotscribe.operators.registry import program_from_json
-from slotscribe.plans.commit import CommitOptions, commit_batch
-from slotscribe.plans.jobs import BatchRequest, backfill, run_batch
+from slotscribe.plans.commit import CommitOptions, commit_batch, conflict_range
+from slotscribe.plans.jobs import BatchRequest, backfill, newest_signatures, run_batch
 from slotscribe.plans.reader import IndexReader
 from slotscribe.plans.store import IndexStore
 from slotscribe.sources import blocks as source
@@ -253,3 +253,21 @@ def test_account_keep_last_across_batches(spark, program, store):
     assert [(r["slot"], r["lamports"]) for r in reader.accounts("Vault").collect()] == [(7, 111)]
     assert [(r["slot"], r["lamports"]) for r in reader.account_history("Vault", chain.key("alice")).collect()] == [(7, 111)]
     assert reader.account_table("Vault").count() == 1
+
+
+def test_latest_reads_buckets_from_the_newest(spark, program, store, tmp_path):
+    blocks = chain.sample_blocks()
+    path = str(tmp_path / "blocks")
+    source.write_blocks(chain.blocks_df(spark, blocks), path, size=5)
+    for count in (1, 7, 500):
+        got = newest_signatures(source.read_blocks(spark, path), chain.PROGRAM, count).collect()
+        want = sorted(signatures(blocks), key=lambda r: (-r[1], -r[2]))[:count]
+        assert [(r["signature"], r["slot"], r["tx_index"]) for r in got] == want
+
+
+def test_conflict_range_lists_near_buckets(spark):
+    txs = spark.createDataFrame([(5,), (95,), (96,), (1000,)], "slot bigint")
+    near = conflict_range(txs, 10, 7)
+    assert near.buckets == [-1, 0, 1, 8, 9, 10, 99, 100] and (near.low, near.high) == (-2, 1007)
+    assert conflict_range(txs, 10, None).buckets is None
+    assert conflict_range(txs.where("false"), 10, 7).buckets == []

@@ -42,7 +42,7 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, program, tmp_path
     assert signatures(live) == signatures(ref) and len(signatures(live)) == len(set(signatures(live)))
     a, b = live.stats().first(), ref.stats().first()
     assert a["ix_call_counts"] == b["ix_call_counts"] and a["last_checkpoint"] == b["last_checkpoint"]
-    assert store.committed() == {"live": 1}
+    assert store.load().committed == {"live": 1}
 
 
 def test_catch_up_then_follow(spark, program, tmp_path):
