@@ -12,24 +12,20 @@ from ..sources.blocks import first_signature, uses_program
 from .registry import Program
 
 
-def _indexed(array: Column, index: str, item: str) -> Column:
-    return F.transform(array, lambda value, i: F.struct(i.alias(index), value.alias(item)))
-
-
 def transactions(blocks: DataFrame, program_id: str) -> DataFrame:
     """One flat row per transaction that mentions the program.
 
     Transactions without a signature, without meta or in parsed form are left
     out. Failed transactions stay, with their error. Account keys are the
     static ones followed by the loaded writable and loaded readonly ones.
+
+    Explode and filter run in one generated loop, so transactions of other
+    programs are skipped without being copied.
     """
-    matching = F.filter(
-        _indexed(F.col("transactions"), "tx_index", "tx"), lambda p: uses_program(p["tx"]["account_keys"], program_id)
-    )
     none = F.array().cast("array<string>")
     return (
-        blocks.select("slot", "block_time", F.explode(matching).alias("p"))
-        .select("slot", "block_time", "p.tx_index", "p.tx")
+        blocks.select("slot", "block_time", F.posexplode("transactions").alias("tx_index", "tx"))
+        .where(uses_program(F.col("tx.account_keys"), program_id))
         .where(F.col("tx.meta").isNotNull() & ~F.coalesce("tx.parsed", F.lit(False)))
         .select(
             first_signature(F.col("tx.signatures")).alias("signature"),
@@ -78,21 +74,17 @@ def account_roles(accounts: Column, indices: Column, header: Column) -> Column:
 def calls(txs: DataFrame, program_id: str) -> DataFrame:
     """One row per top-level instruction of the program, with its payload as bytes.
 
-    The instruction list is cut down to the program's own before it is
-    exploded. Payload text that is not base58 becomes an empty payload.
+    Payload text that is not base58 becomes an empty payload.
     """
-    own = F.filter(
-        _indexed(F.col("instructions"), "ix_index", "ix"),
-        lambda p: account_at("accounts", p["ix"]["program_id_index"]) == F.lit(program_id),
-    )
     extra = [c for c in ("list_order",) if c in txs.columns]
     exploded = txs.select(
-        F.col("signature").alias("tx_sig"), *extra, "slot", "block_time", "tx_index", "accounts", F.explode(own).alias("p")
-    )
+        F.col("signature").alias("tx_sig"), *extra, "slot", "block_time", "tx_index", "accounts",
+        F.posexplode("instructions").alias("ix_index", "ix"),
+    ).where(account_at("accounts", F.col("ix.program_id_index")) == F.lit(program_id))
     return exploded.select(
-        "tx_sig", *extra, "slot", "block_time", "tx_index", "p.ix_index",
-        resolve_accounts("accounts", F.col("p.ix.accounts")).alias("touched"),
-        base58_decode(F.col("p.ix.data")).alias("data"),
+        "tx_sig", *extra, "slot", "block_time", "tx_index", "ix_index",
+        resolve_accounts("accounts", F.col("ix.accounts")).alias("touched"),
+        base58_decode(F.col("ix.data")).alias("data"),
     )
 
 
@@ -147,9 +139,19 @@ def first_touch(touches: DataFrame, order: str | None = None, *, newest_first: b
 def current_snapshots(first_touches: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Touched accounts joined to their snapshot (address, lamports, data), stamped with the touching slot.
 
-    ``snapshots`` holds one row per address; addresses without one drop out.
+    Addresses without a snapshot drop out. Where ``snapshots`` has a ``slot``
+    there may be several versions of an account, and the newest one counts.
     """
-    return first_touches.join(snapshots.select("address", "lamports", "data"), "address")
+    if "slot" not in snapshots.columns:
+        return first_touches.join(snapshots.select("address", "lamports", "data"), "address")
+    versions = snapshots.select("address", F.col("slot").alias("_version"), "lamports", "data")
+    return _newest_version(first_touches.join(versions, "address"))
+
+
+def _newest_version(joined: DataFrame) -> DataFrame:
+    """One row per address, trimmed in each map task before the shuffle."""
+    newest = F.row_number().over(Window.partitionBy("address").orderBy(F.desc("_version")))
+    return joined.withColumn("_rn", newest).where("_rn = 1").drop("_rn", "_version")
 
 
 def snapshots_as_of(first_touches: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -159,6 +161,4 @@ def snapshots_as_of(first_touches: DataFrame, snapshots: DataFrame) -> DataFrame
     the row-number filter trims to one row per address before its shuffle.
     """
     versions = snapshots.select("address", F.col("slot").alias("_version"), "lamports", "data")
-    joined = first_touches.join(versions, "address").where(F.col("_version") <= F.col("slot"))
-    newest = F.row_number().over(Window.partitionBy("address").orderBy(F.desc("_version")))
-    return joined.withColumn("_rn", newest).where("_rn = 1").drop("_rn", "_version")
+    return _newest_version(first_touches.join(versions, "address").where(F.col("_version") <= F.col("slot")))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..operators import normalize
 from ..operators.decode import decode_payload
-from ..operators.dedup import keep_first, keep_last, not_stored
+from ..operators.dedup import keep_first, not_stored
 from ..operators.registry import Entry, Program
 from ..session import scratch_path
 from .store import LAST_SIG_KEY, LAST_SLOT_KEY, QUARANTINE_SCHEMA, SCHEMA_KEY, TRANSACTION_SCHEMA, IndexStore
@@ -211,7 +211,7 @@ def commit_batch(
         )
 
         def write_accounts(entry: Entry, schema: T.StructType) -> None:
-            rows = keep_last(states.where(F.col("table_name") == entry.table), ["address", "slot"], ["lamports"])
+            rows = states.where(F.col("table_name") == entry.table)
             store.write(decode_entry(rows, entry, schema, options.engine), entry.table, writer, batch_id, sort=("address", "slot"))
 
         for entry in program.tables("account"):
