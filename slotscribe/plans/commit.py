@@ -13,7 +13,7 @@ from ..operators import normalize
 from ..operators.decode import decode_payload
 from ..operators.dedup import keep_first, not_stored
 from ..operators.registry import Entry, Program
-from ..session import scratch_path
+from ..session import Staging
 from .store import LAST_SIG_KEY, LAST_SLOT_KEY, QUARANTINE_SCHEMA, SCHEMA_KEY, TRANSACTION_SCHEMA, IndexStore
 
 # Distinct slot buckets up to which a batch names them one by one when it looks
@@ -56,21 +56,6 @@ class CommitResult:
     checkpoints: dict[str, str] = field(default_factory=dict)
 
 
-def _staged(df: DataFrame, label: str, partition: str | None = None) -> DataFrame:
-    """Write to the shared folder and read back: work done once, lineage cut, safe against lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    if partition is None:
-        df.write.parquet(path)
-    else:
-        # Even files per table, however many tasks read the source and however uneven the tables are.
-        df.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
-    schema = df.schema
-    if partition is not None:
-        schema = T.StructType([*[f for f in schema.fields if f.name != partition], schema[partition]])
-    return spark.read.schema(schema).parquet(path)
-
-
 @dataclass(frozen=True)
 class ConflictRange:
     """Where stored rows can conflict with a batch: slot buckets, and the slots inside them."""
@@ -128,10 +113,10 @@ def route_calls(txs: DataFrame, program: Program) -> DataFrame:
 
 
 def account_states(
-    touches: DataFrame, snapshots: DataFrame, program: Program, options: CommitOptions = CommitOptions()
+    touches: DataFrame, snapshots: DataFrame, program: Program, staging: Staging, options: CommitOptions = CommitOptions()
 ) -> DataFrame:
     """Touched accounts with their routed snapshot payload."""
-    first = _staged(normalize.first_touch(touches, options.order, newest_first=options.newest_first), "touched")
+    first = staging.put(normalize.first_touch(touches, options.order, newest_first=options.newest_first), "touched")
     # The count decides: few addresses are sent to the snapshots, many are joined by shuffle.
     if first.limit(BROADCAST_ADDRESSES + 1).count() <= BROADCAST_ADDRESSES:
         first = F.broadcast(first)
@@ -156,16 +141,24 @@ def commit_batch(
     table's job reads only its own rows. Repeating a batch with the same
     writer and id replaces it; other batches are checked for stored keys.
     """
+    with Staging(store.spark, f"commit-{writer}-{batch_id}") as staging:
+        return _commit(store, program, txs, writer, batch_id, snapshots, options, staging)
+
+
+def _commit(
+    store: IndexStore, program: Program, txs: DataFrame, writer: str, batch_id: int,
+    snapshots: DataFrame | None, options: CommitOptions, staging: Staging,
+) -> CommitResult:
     order = [options.order] if options.order else ["slot", "tx_index"]
     if options.newest_first and not options.order:
         order = [F.desc("slot"), F.desc("tx_index")]
-    staged = _staged(keep_first(txs, ["signature"], order), "transactions")
+    staged = staging.put(keep_first(txs, ["signature"], order), "transactions")
     state = store.load()
     committed = state.committed
     near = conflict_range(staged, store.slots_per_bucket, options.conflict_slack) if committed else None
 
     def stored(table: str, schema: T.StructType) -> DataFrame:
-        return near.limit(store.read(table, schema, committed=committed, exclude=(writer, batch_id), buckets=near.buckets))
+        return near.limit(store.read(table, schema, state=state, exclude=(writer, batch_id), buckets=near.buckets))
 
     new_state: dict[str, str] = {}
 
@@ -176,7 +169,7 @@ def commit_batch(
         store.write(rows, "transactions", writer, batch_id, sort=("slot", "tx_index"))
 
     routed = route_calls(staged, program)
-    routed = _staged(
+    routed = staging.put(
         routed.withColumn("target", F.coalesce("table_name", F.lit("_quarantine"))), "calls", partition="target"
     )
 
@@ -205,8 +198,8 @@ def commit_batch(
     for entry in program.tables("instruction"):
         jobs.append(lambda e=entry, s=grown_schema(entry): write_calls(e, s))
     if snapshots is not None and program.accounts:
-        states = _staged(
-            account_states(normalize.touched_accounts(routed, options.order), snapshots, program, options),
+        states = staging.put(
+            account_states(normalize.touched_accounts(routed, options.order), snapshots, program, staging, options),
             "accounts", partition="table_name",
         )
 

@@ -121,7 +121,7 @@ def backfill(
     if signature is None:
         return None
     signatures = source.program_signatures(blocks, program.program_id)
-    stored = store.read("transactions", TRANSACTION_SCHEMA, committed=state.committed).where(F.col("signature") == signature)
+    stored = store.read("transactions", TRANSACTION_SCHEMA, state=state).where(F.col("signature") == signature)
     known = stored.select("slot").first()
     position = source.position_of(signatures, signature, slot=known["slot"] if known else None)
     if position is None:

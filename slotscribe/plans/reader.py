@@ -10,7 +10,7 @@ from ..operators import lookups
 from ..operators.dedup import keep_last
 from ..operators.lookups import CallFilter
 from ..operators.registry import Entry, Program
-from .store import LAST_SIG_KEY, TRANSACTION_SCHEMA, IndexState, IndexStore
+from .store import LAST_SIG_KEY, QUARANTINE_SCHEMA, TRANSACTION_SCHEMA, IndexState, IndexStore
 
 
 class IndexReader:
@@ -23,11 +23,11 @@ class IndexReader:
 
     def _table(self, entry: Entry, state: IndexState | None = None) -> DataFrame:
         state = state or self.store.load()
-        return self.store.read(entry.table, state.table_schema(entry.table, entry.table_schema), committed=state.committed)
+        return self.store.read(entry.table, state.table_schema(entry.table, entry.table_schema), state=state)
 
     def transactions(self, state: IndexState | None = None) -> DataFrame:
         """All indexed transactions."""
-        return self.store.read("transactions", TRANSACTION_SCHEMA, committed=(state or self.store.load()).committed)
+        return self.store.read("transactions", TRANSACTION_SCHEMA, state=state)
 
     def call_table(self, ix_name: str, *, with_block_ts: bool = False) -> DataFrame:
         """All calls of an instruction; ``block_ts`` is the chain time as a timestamp."""
@@ -123,3 +123,19 @@ class IndexReader:
         state = self.store.load()
         tables = {e.table: self._table(e, state) for e in self.program.tables("instruction")}
         return lookups.program_stats(self.transactions(state), tables, state.values.get(LAST_SIG_KEY))
+
+    def merge_batches(self, writer: str) -> int | None:
+        """Merge a writer's batches in every table of this index."""
+        state = self.store.load()
+        return self.store.merge_batches(self._tables(state), writer)
+
+    def remove_merged(self, writer: str) -> None:
+        """Delete the folders of merged batches."""
+        self.store.remove_merged(list(self._tables(self.store.load())), writer)
+
+    def _tables(self, state: IndexState) -> dict:
+        entries = [*self.program.tables("instruction"), *self.program.tables("account")]
+        return {
+            "transactions": TRANSACTION_SCHEMA, "quarantine": QUARANTINE_SCHEMA,
+            **{e.table: state.table_schema(e.table, e.table_schema) for e in entries},
+        }

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.schema_text import schema
 from ..operators.registry import merge_schema
+from ..session import remove_folder
 from ..sources.blocks import SLOTS_PER_BUCKET, slot_bucket
 
 # Checkpoint keys.
@@ -26,6 +27,7 @@ LAST_SIG_KEY = "last_indexed_sig"
 LAST_SLOT_KEY = "last_indexed_slot"
 COMMIT_KEY = "committed_batch"
 SCHEMA_KEY = "schema/"
+MERGED_KEY = "merged/"
 
 STATE_SCHEMA = schema("key string, value string, updated_at timestamp, writer string, batch_id bigint")
 TRANSACTION_SCHEMA = schema(
@@ -49,6 +51,11 @@ class IndexState:
     values: dict[str, str]
     committed: dict[str, int]
 
+    @property
+    def merged(self) -> dict[str, int]:
+        """Per writer, the last batch id whose rows have been merged into another folder."""
+        return {k.removeprefix(MERGED_KEY): int(v) for k, v in self.values.items() if k.startswith(MERGED_KEY)}
+
     def table_schema(self, table: str, current: T.StructType) -> T.StructType:
         """Schema a table has grown to: saved columns first, then columns new in ``current``."""
         saved = self.values.get(SCHEMA_KEY + table)
@@ -97,7 +104,7 @@ class IndexStore:
         table: str,
         columns: T.StructType,
         *,
-        committed: dict[str, int] | None = None,
+        state: IndexState | None = None,
         exclude: tuple[str, int] | None = None,
         buckets: list[int] | tuple[int, int] | None = None,
     ) -> DataFrame:
@@ -108,12 +115,15 @@ class IndexStore:
         these select folders, not rows.
         """
         full = T.StructType([*columns.fields, *PARTITIONS.fields])
-        committed = self.load().committed if committed is None else committed
+        state = state or self.load()
         try:
             rows = self.spark.read.schema(full).parquet(f"{self.root}/{table}")
         except AnalysisException:
             return self.spark.createDataFrame([], full)
-        visible = [(F.col("writer") == w) & (F.col("batch_id") <= n) for w, n in committed.items()]
+        visible = [
+            (F.col("writer") == w) & (F.col("batch_id") > state.merged.get(w, -1)) & (F.col("batch_id") <= n)
+            for w, n in state.committed.items()
+        ]
         rows = rows.where(reduce(Column.__or__, visible) if visible else F.lit(False))
         if exclude is not None:
             rows = rows.where(~((F.col("writer") == exclude[0]) & (F.col("batch_id") == exclude[1])))
@@ -137,3 +147,29 @@ class IndexStore:
             .mode("overwrite")
             .parquet(f"{self.root}/{table}/writer={writer}/batch_id={batch_id}")
         )
+
+    def merge_batches(self, tables: dict[str, T.StructType], writer: str) -> int | None:
+        """Rewrite a writer's batches since the last merge as one folder per table.
+
+        A live index adds a folder per table and micro-batch; merging keeps
+        their number, and the cost of listing them, bounded. Only rows written
+        since the last merge are rewritten. One state row both publishes the
+        merged folder and hides the batches in it. Run it between micro-batches.
+        """
+        state = self.load()
+        last = state.committed.get(writer)
+        if last is None or last <= state.merged.get(writer, -1):
+            return None
+        only = IndexState(state.values, {writer: last})
+        target = f"{writer}-merged"
+        for table, schema in tables.items():
+            rows = self.read(table, schema, state=only).drop(*PARTITIONS.names)
+            self.write(rows, table, target, last)
+        self.write_state({MERGED_KEY + writer: str(last)}, target, last)
+        return last
+
+    def remove_merged(self, tables: list[str], writer: str) -> None:
+        """Delete the folders of batches that have been merged; no reader may still be using them."""
+        for batch_id in range(self.load().merged.get(writer, -1) + 1):
+            for table in tables:
+                remove_folder(self.spark, f"{self.root}/{table}/writer={writer}/batch_id={batch_id}")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Runtime settings every job here assumes. All are session-level, so they can
 # also be applied to a session somebody else created.
@@ -57,3 +58,37 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, never reused path below the shared folder."""
     return f"{shared_dir(spark)}/slotscribe/{label}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder this package wrote, on whatever file system it lives."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Staging:
+    """Intermediate results of one job, written to the shared folder and removed when the job ends."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root = spark, scratch_path(spark, label)
+
+    def __enter__(self) -> "Staging":
+        return self
+
+    def __exit__(self, *error) -> None:
+        remove_folder(self.spark, self.root)
+
+    def put(self, df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+        """Write and read back: computed once, lineage cut, safe against lost executors.
+
+        With ``partition`` every value gets its own folder; rebalancing makes
+        the files even, however many tasks read the source and however uneven
+        the values are.
+        """
+        path, schema = f"{self.root}/{name}", df.schema
+        if partition is None:
+            df.write.parquet(path)
+        else:
+            df.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
+            schema = StructType([*[f for f in schema.fields if f.name != partition], schema[partition]])
+        return self.spark.read.schema(schema).parquet(path)

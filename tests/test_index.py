@@ -271,3 +271,38 @@ def test_conflict_range_lists_near_buckets(spark):
     assert near.buckets == [-1, 0, 1, 8, 9, 10, 99, 100] and (near.low, near.high) == (-2, 1007)
     assert conflict_range(txs, 10, None).buckets is None
     assert conflict_range(txs.where("false"), 10, 7).buckets == []
+
+
+def test_merge_keeps_every_answer(spark, program, store):
+    blocks = chain.sample_blocks()
+    df = chain.blocks_df(spark, blocks)
+    for end in (104, 109, 114):
+        run_batch(store, program, df, BatchRequest(start_slot=100, end_slot=end), snapshots=snapshots(spark))
+    reader = IndexReader(store, program)
+
+    def answers():
+        return (
+            reader.stats().first(), sorted(map(repr, reader.call_table("buy").select("tx_sig", "ix_index", "amount").collect())),
+            sorted(map(repr, reader.accounts("Vault").select("address", "slot", "data").collect())),
+        )
+
+    before = answers()
+    assert reader.merge_batches("batch") == 2 and reader.merge_batches("batch") is None
+    assert answers() == before
+    reader.remove_merged("batch")
+    assert answers() == before
+    # Later and repeated batches still see what was merged.
+    run_batch(store, program, df, BatchRequest(start_slot=100, end_slot=129))
+    commit_batch(store, program, normalize.transactions(df, chain.PROGRAM), writer="batch", batch_id=3)
+    assert reader.stats().first()["total_transactions"] == len(signatures(blocks))
+    assert reader.transactions().select("batch_id", "writer").distinct().count() == 2
+
+
+def test_staging_is_removed(spark, program, store):
+    import os
+
+    from slotscribe.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:") + "/slotscribe"
+    run_batch(store, program, chain.blocks_df(spark, chain.sample_blocks(range(100, 102))), BatchRequest(start_slot=100, end_slot=101))
+    assert not [f for f in os.listdir(folder) if f.startswith("commit-batch-0")]
