@@ -23,7 +23,7 @@ from ..functions.little_endian import fixed_value, unsigned
 from ..functions.payload import ISSUES, payload_decoder
 
 # Values per row up to which column expressions beat the Arrow round trip.
-NATIVE_MAX_VALUES = 1
+NATIVE_MAX_VALUES = 2
 
 
 def native_supported(tree: tuple) -> bool:
