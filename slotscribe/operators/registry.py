@@ -192,13 +192,21 @@ class Program:
     def accounts(self) -> tuple[Entry, ...]:
         return tuple(e for e in self.entries if e.kind == "account")
 
-    def tables(self, kind: str) -> list[Entry]:
-        """Entries that have a table, one per table name."""
-        found: dict[str, Entry] = {}
+    def tables(self, kind: str) -> dict[str, list[Entry]]:
+        """Table name -> the entries stored in it; names that derive to the same table share it."""
+        found: dict[str, list[Entry]] = {}
         for e in self.entries:
             if e.kind == kind and e.has_table:
-                found.setdefault(e.table, e)
-        return list(found.values())
+                found.setdefault(e.table, []).append(e)
+        return found
+
+    def table_schema(self, kind: str, table: str) -> T.StructType:
+        """Columns of all entries of a table."""
+        entries = self.tables(kind)[table]
+        schema = entries[0].table_schema
+        for e in entries[1:]:
+            schema = merge_schema(schema, e.table_schema)
+        return schema
 
     def resolve(self, kind: str, name: str) -> Entry:
         """Entry by exact name, else by the table that name derives to; unknown names are rejected."""

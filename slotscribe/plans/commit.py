@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,6 +109,14 @@ def decode_entry(rows: DataFrame, entry: Entry, schema: T.StructType, engine: st
     return decoded.select(*columns)
 
 
+def decode_table(rows: DataFrame, entries: list[Entry], schema: T.StructType, engine: str = "auto") -> DataFrame:
+    """Routed rows of one table, each decoded with the layout of its own entry."""
+    if len(entries) == 1:
+        return decode_entry(rows, entries[0], schema, engine)
+    parts = [decode_entry(rows.where(F.col("entry_name") == e.name), e, schema, engine) for e in entries]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def route_calls(txs: DataFrame, program: Program) -> DataFrame:
     """Calls of the program with the table they belong to; NULL tables are for quarantine."""
     return normalize.route(normalize.calls(txs, program.program_id), program, "instruction")
@@ -149,7 +159,7 @@ def _commit(
     store: IndexStore, program: Program, txs: DataFrame, writer: str, batch_id: int,
     snapshots: DataFrame | None, options: CommitOptions, staging: Staging,
 ) -> CommitResult:
-    order = [options.order] if options.order else ["slot", "tx_index"]
+    order = [*([options.order] if options.order else []), "slot", "tx_index"]
     if options.newest_first and not options.order:
         order = [F.desc("slot"), F.desc("tx_index")]
     staged = staging.put(keep_first(txs, ["signature"], order), "transactions")
@@ -166,7 +176,7 @@ def _commit(
         rows = staged.withColumn("created_at", F.current_timestamp()).select(*TRANSACTION_SCHEMA.names)
         if committed:
             rows = not_stored(rows, stored("transactions", TRANSACTION_SCHEMA), ["signature"])
-        store.write(rows, "transactions", writer, batch_id, sort=("slot", "tx_index"))
+        store.write(rows, "transactions", writer, batch_id, sort=("slot", "tx_index"), lookup="signature")
 
     routed = route_calls(staged, program)
     routed = staging.put(
@@ -180,38 +190,38 @@ def _commit(
             rows = not_stored(rows, stored("quarantine", QUARANTINE_SCHEMA), ["tx_sig", "ix_index"])
         store.write(rows, "quarantine", writer, batch_id)
 
-    def write_calls(entry: Entry, schema: T.StructType) -> None:
-        rows = routed.where(F.col("target") == entry.table)
+    def write_calls(table: str, entries: list[Entry], columns: T.StructType) -> None:
+        rows = routed.where(F.col("target") == table)
         if options.call_key != ("tx_sig", "ix_index"):
             rows = keep_first(rows, list(options.call_key), ["ix_index"])
         if committed:
-            rows = not_stored(rows, stored(entry.table, schema), list(options.call_key))
-        store.write(decode_entry(rows, entry, schema, options.engine), entry.table, writer, batch_id)
+            rows = not_stored(rows, stored(table, columns), list(options.call_key))
+        store.write(decode_table(rows, entries, columns, options.engine), table, writer, batch_id, lookup="tx_sig")
 
-    def grown_schema(entry: Entry) -> T.StructType:
-        schema = state.table_schema(entry.table, entry.table_schema)
-        if state.values.get(SCHEMA_KEY + entry.table) != schema.json():
-            new_state[SCHEMA_KEY + entry.table] = schema.json()
-        return schema
+    def grown_schema(kind: str, table: str) -> T.StructType:
+        columns = state.table_schema(table, program.table_schema(kind, table))
+        if state.values.get(SCHEMA_KEY + table) != columns.json():
+            new_state[SCHEMA_KEY + table] = columns.json()
+        return columns
 
     jobs = [write_transactions, write_quarantine]
-    for entry in program.tables("instruction"):
-        jobs.append(lambda e=entry, s=grown_schema(entry): write_calls(e, s))
+    for table, entries in program.tables("instruction").items():
+        jobs.append(partial(write_calls, table, entries, grown_schema("instruction", table)))
     if snapshots is not None and program.accounts:
         states = staging.put(
             account_states(normalize.touched_accounts(routed, options.order), snapshots, program, staging, options),
             "accounts", partition="table_name",
         )
 
-        def write_accounts(entry: Entry, schema: T.StructType) -> None:
-            rows = states.where(F.col("table_name") == entry.table)
-            store.write(decode_entry(rows, entry, schema, options.engine), entry.table, writer, batch_id, sort=("address", "slot"))
+        def write_accounts(table: str, entries: list[Entry], columns: T.StructType) -> None:
+            rows = decode_table(states.where(F.col("table_name") == table), entries, columns, options.engine)
+            store.write(rows, table, writer, batch_id, sort=("address", "slot"), lookup="address")
 
-        for entry in program.tables("account"):
-            jobs.append(lambda e=entry, s=grown_schema(entry): write_accounts(e, s))
+        for table, entries in program.tables("account").items():
+            jobs.append(partial(write_accounts, table, entries, grown_schema("account", table)))
 
     with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
-        for done in [pool.submit(job) for job in jobs]:
+        for done in [pool.submit(inheritable_thread_target(store.spark)(job)) for job in jobs]:
             done.result()
 
     newest = staged.agg(

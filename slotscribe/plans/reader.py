@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.idl_types import type_label
 from ..operators import lookups
@@ -23,7 +24,10 @@ class IndexReader:
 
     def _table(self, entry: Entry, state: IndexState | None = None) -> DataFrame:
         state = state or self.store.load()
-        return self.store.read(entry.table, state.table_schema(entry.table, entry.table_schema), state=state)
+        return self.store.read(entry.table, self._schema(entry.kind, entry.table, state), state=state)
+
+    def _schema(self, kind: str, table: str, state: IndexState) -> StructType:
+        return state.table_schema(table, self.program.table_schema(kind, table))
 
     def transactions(self, state: IndexState | None = None) -> DataFrame:
         """All indexed transactions."""
@@ -121,7 +125,7 @@ class IndexReader:
     def stats(self) -> DataFrame:
         """Transactions, slots, calls per table and in total, last checkpoint: one row."""
         state = self.store.load()
-        tables = {e.table: self._table(e, state) for e in self.program.tables("instruction")}
+        tables = {table: self._table(entries[0], state) for table, entries in self.program.tables("instruction").items()}
         return lookups.program_stats(self.transactions(state), tables, state.values.get(LAST_SIG_KEY))
 
     def merge_batches(self, writer: str) -> int | None:
@@ -133,9 +137,6 @@ class IndexReader:
         """Delete the folders of merged batches."""
         self.store.remove_merged(list(self._tables(self.store.load())), writer)
 
-    def _tables(self, state: IndexState) -> dict:
-        entries = [*self.program.tables("instruction"), *self.program.tables("account")]
-        return {
-            "transactions": TRANSACTION_SCHEMA, "quarantine": QUARANTINE_SCHEMA,
-            **{e.table: state.table_schema(e.table, e.table_schema) for e in entries},
-        }
+    def _tables(self, state: IndexState) -> dict[str, StructType]:
+        own = {table: self._schema(kind, table, state) for kind in ("instruction", "account") for table in self.program.tables(kind)}
+        return {"transactions": TRANSACTION_SCHEMA, "quarantine": QUARANTINE_SCHEMA, **own}

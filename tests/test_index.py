@@ -306,3 +306,26 @@ def test_staging_is_removed(spark, program, store):
     folder = shared_dir(spark).removeprefix("file:") + "/slotscribe"
     run_batch(store, program, chain.blocks_df(spark, chain.sample_blocks(range(100, 102))), BatchRequest(start_slot=100, end_slot=101))
     assert not [f for f in os.listdir(folder) if f.startswith("commit-batch-0")]
+
+
+def test_names_sharing_a_table_keep_their_own_layouts(spark, store):
+    idl = {"instructions": [{"name": "doIt", "args": [{"name": "a", "type": "u8"}]}, {"name": "do_it", "args": [{"name": "b", "type": "u16"}]}]}
+    shared = program_from_json(spark, chain.PROGRAM, json.dumps(idl))
+    one, two = chain.disc("global:doIt") + b"\x05", chain.disc("global:do_it") + b"\x01\x02"
+    df = chain.blocks_df(spark, [chain.block(1, chain.tx("s", [one, two]))])
+    run_batch(store, shared, df, BatchRequest(start_slot=0, end_slot=5))
+    reader = IndexReader(store, shared)
+    rows = reader.call_table("doIt").orderBy("ix_index").select("a", "b").collect()
+    assert [tuple(r) for r in rows] == [(5, None), (None, 513)]
+    assert reader.stats().first()["ix_call_counts"] == {"ix_do_it": 2}
+
+
+def test_point_lookup_columns_have_bloom_filters(spark, program, store):
+    import duckdb
+
+    run_batch(store, program, chain.blocks_df(spark, chain.sample_blocks()), BatchRequest(start_slot=100, end_slot=129))
+    for table, column in (("transactions", "signature"), ("ix_buy", "tx_sig")):
+        found = duckdb.connect().execute(
+            f"select bloom_filter_offset from parquet_metadata('{store.root}/{table}/*/*/*/*.parquet') where path_in_schema = '{column}'"
+        ).fetchall()
+        assert found and all(r[0] for r in found)
