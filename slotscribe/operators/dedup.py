@@ -27,6 +27,14 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str | Column]) -> Data
     return _one_per_key(df, keys, [F.col(c).desc() if isinstance(c, str) else c for c in order])
 
 
-def not_stored(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is not stored yet. Stored keys are unique, so neither side has a hot key."""
-    return new.join(stored.select(*keys), keys, "left_anti")
+def not_stored(new: DataFrame, stored: DataFrame, keys: list[str], probe: DataFrame | None = None) -> DataFrame:
+    """Rows whose key is not stored yet. Stored keys are unique, so neither side has a hot key.
+
+    ``probe`` holds the new rows' values of the first key when they are few
+    enough to broadcast (the caller counts them): stored rows are then filtered
+    where they are read, and only actual conflicts reach the join.
+    """
+    stored = stored.select(*keys)
+    if probe is not None:
+        stored = stored.join(F.broadcast(probe.toDF(keys[0])), keys[0], "left_semi")
+    return new.join(stored, keys, "left_anti")

@@ -23,6 +23,9 @@ from .store import LAST_SIG_KEY, LAST_SLOT_KEY, QUARANTINE_SCHEMA, SCHEMA_KEY, T
 MAX_BUCKET_LIST = 5_000
 # Touched addresses up to which they are broadcast: some 60 bytes each, 6 MB in all.
 BROADCAST_ADDRESSES = 100_000
+# Transactions of a batch up to which their signatures are broadcast to stored
+# rows: some 90 bytes each, 9 MB in all.
+BROADCAST_BATCH = 100_000
 # Tables written at the same time; each write is its own Spark job.
 PARALLEL_WRITES = 4
 
@@ -167,6 +170,8 @@ def _commit(
     committed = state.committed
     near = conflict_range(staged, store.slots_per_bucket, options.conflict_slack) if committed else None
 
+    probe = staged.select("signature") if committed and staged.count() <= BROADCAST_BATCH else None
+
     def stored(table: str, schema: T.StructType) -> DataFrame:
         return near.limit(store.read(table, schema, state=state, exclude=(writer, batch_id), buckets=near.buckets))
 
@@ -175,7 +180,7 @@ def _commit(
     def write_transactions() -> None:
         rows = staged.withColumn("created_at", F.current_timestamp()).select(*TRANSACTION_SCHEMA.names)
         if committed:
-            rows = not_stored(rows, stored("transactions", TRANSACTION_SCHEMA), ["signature"])
+            rows = not_stored(rows, stored("transactions", TRANSACTION_SCHEMA), ["signature"], probe)
         store.write(rows, "transactions", writer, batch_id, sort=("slot", "tx_index"), lookup="signature")
 
     routed = route_calls(staged, program)
@@ -187,7 +192,7 @@ def _commit(
         rows = normalize.quarantine(routed.where(F.col("target") == "_quarantine"))
         rows = rows.withColumn("created_at", F.current_timestamp()).select(*QUARANTINE_SCHEMA.names)
         if committed:
-            rows = not_stored(rows, stored("quarantine", QUARANTINE_SCHEMA), ["tx_sig", "ix_index"])
+            rows = not_stored(rows, stored("quarantine", QUARANTINE_SCHEMA), ["tx_sig", "ix_index"], probe)
         store.write(rows, "quarantine", writer, batch_id)
 
     def write_calls(table: str, entries: list[Entry], columns: T.StructType) -> None:
@@ -195,7 +200,7 @@ def _commit(
         if options.call_key != ("tx_sig", "ix_index"):
             rows = keep_first(rows, list(options.call_key), ["ix_index"])
         if committed:
-            rows = not_stored(rows, stored(table, columns), list(options.call_key))
+            rows = not_stored(rows, stored(table, columns), list(options.call_key), probe)
         store.write(decode_table(rows, entries, columns, options.engine), table, writer, batch_id, lookup="tx_sig")
 
     def grown_schema(kind: str, table: str) -> T.StructType:

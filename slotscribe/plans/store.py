@@ -44,6 +44,12 @@ def latest_state(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("value", F.struct("updated_at", "batch_id")).alias("value"))
 
 
+def _only_missing(error: AnalysisException) -> None:
+    """Pass over a table that does not exist yet; raise anything else."""
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
+
+
 @dataclass(frozen=True)
 class IndexState:
     """One consistent view of the state table."""
@@ -74,7 +80,8 @@ class IndexStore:
         """All state rows ever written; empty before the first commit."""
         try:
             return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.root}/state")
-        except AnalysisException:
+        except AnalysisException as error:
+            _only_missing(error)
             return self.spark.createDataFrame([], STATE_SCHEMA)
 
     def load(self) -> "IndexState":
@@ -118,7 +125,8 @@ class IndexStore:
         state = state or self.load()
         try:
             rows = self.spark.read.schema(full).parquet(f"{self.root}/{table}")
-        except AnalysisException:
+        except AnalysisException as error:
+            _only_missing(error)
             return self.spark.createDataFrame([], full)
         visible = [
             (F.col("writer") == w) & (F.col("batch_id") > state.merged.get(w, -1)) & (F.col("batch_id") <= n)

@@ -91,3 +91,12 @@ def test_no_query_uses_a_cartesian_product(spark):
     for name in light:
         text = plan(catalog.queries()[name](spark, SAMPLE))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_small_batches_filter_stored_keys_where_they_are_read(spark):
+    stored = spark.range(100_000).select(F.col("id").cast("string").alias("tx_sig"), F.lit(0).alias("ix_index"))
+    new = spark.range(99_990, 100_010).select(F.col("id").cast("string").alias("tx_sig"), F.lit(0).alias("ix_index"))
+    for probe in (None, new.select("tx_sig")):
+        left = dedup.not_stored(new, stored, ["tx_sig", "ix_index"], probe)
+        assert sorted(int(r["tx_sig"]) for r in left.collect()) == list(range(100_000, 100_010))
+    assert "LeftSemi" in plan(left)
