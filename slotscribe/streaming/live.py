@@ -3,12 +3,16 @@
 The stream only carries blocks; each micro-batch goes through the same
 transformations and the same commit as a batch run. Duplicates are absorbed by
 the commit, so there is no watermark and no late row is lost. The stream's
-checkpoint is the cursor: a micro-batch that is repeated after a failure has
-the same id and replaces its own folders.
+checkpoint is the cursor: a micro-batch repeated after a failure has the same
+id and input, so it replaces what an unfinished attempt left and is skipped if
+the attempt had finished. Each checkpoint writes under its own writer name, so
+a stream started over with a new one never touches earlier batches.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,6 +41,12 @@ def blocks_from_values(records: DataFrame, column: str = "value") -> DataFrame:
     return records.select(F.from_json(F.col(column).cast("string"), block_schema()).alias("b")).select("b.*")
 
 
+def writer_name(spark: SparkSession, name: str, checkpoint: str) -> str:
+    """Writer of a stream: the id Spark keeps in its checkpoint tells restarts from new streams."""
+    metadata = spark.read.text(f"{checkpoint}/metadata").first()["value"]
+    return f"{name}-{json.loads(metadata)['id'][:8]}"
+
+
 def start_index_stream(
     blocks: DataFrame,
     store: IndexStore,
@@ -50,7 +60,7 @@ def start_index_stream(
     available_now: bool = False,
     interval: str = FLUSH_INTERVAL,
 ) -> StreamingQuery:
-    """Start indexing a block stream as writer ``name``.
+    """Start indexing a block stream; its writer name is ``name`` and the start of the stream's id.
 
     ``available_now`` works off what is there and stops; otherwise a
     micro-batch runs every ``interval``, or sooner ones follow each other when
@@ -60,8 +70,10 @@ def start_index_stream(
         blocks = blocks.where(F.col("slot") > after_slot)
 
     def index(batch: DataFrame, batch_id: int) -> None:
-        txs = normalize.transactions(batch, program.program_id)
-        commit_batch(store, program, txs, writer=name, batch_id=batch_id, snapshots=snapshots, options=options)
+        writer = writer_name(store.spark, name, checkpoint)
+        if batch_id > store.load().committed.get(writer, -1):
+            txs = normalize.transactions(batch, program.program_id)
+            commit_batch(store, program, txs, writer=writer, batch_id=batch_id, snapshots=snapshots, options=options)
 
     writer = blocks.writeStream.queryName(f"slotscribe-{name}").foreachBatch(index).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}

@@ -9,7 +9,7 @@ from slotscribe.plans.jobs import BatchRequest, run_batch
 from slotscribe.plans.reader import IndexReader
 from slotscribe.plans.store import IndexStore
 from slotscribe.streaming.live import (
-    blocks_from_values, catch_up_then_follow, live_time_series, start_index_stream, stream_blocks,
+    blocks_from_values, catch_up_then_follow, live_time_series, start_index_stream, stream_blocks, writer_name,
 )
 
 
@@ -33,7 +33,7 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, program, tmp_path
     feed(tmp_path / "in", blocks[2:], "b.json")  # one block comes twice
     store = IndexStore(spark, str(tmp_path / "live"))
     source = stream_blocks(spark, str(tmp_path / "in"), max_files=1)
-    for checkpoint in ("c1", "c2"):  # the second run replays the whole feed under the same ids
+    for checkpoint in ("c1", "c2"):  # the second stream starts over and reads the whole feed again
         query = start_index_stream(source, store, program, str(tmp_path / checkpoint), available_now=True)
         assert query.awaitTermination(240)
     batch = IndexStore(spark, str(tmp_path / "batch"))
@@ -42,7 +42,9 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, program, tmp_path
     assert signatures(live) == signatures(ref) and len(signatures(live)) == len(set(signatures(live)))
     a, b = live.stats().first(), ref.stats().first()
     assert a["ix_call_counts"] == b["ix_call_counts"] and a["last_checkpoint"] == b["last_checkpoint"]
-    assert store.load().committed == {"live": 1}
+    first, second = (writer_name(spark, "live", str(tmp_path / c)) for c in ("c1", "c2"))
+    assert store.load().committed == {first: 1, second: 1}
+    assert {r["writer"] for r in live.transactions().select("writer").distinct().collect()} == {first}
 
 
 def test_catch_up_then_follow(spark, program, tmp_path):
@@ -81,3 +83,18 @@ def test_live_series_complete_mode_counts_late_rows(spark, tmp_path):
     assert query.awaitTermination(240)
     got = {str(r["period"])[11:13]: r["calls"] for r in spark.table("late").collect()}
     assert got == {"01": 2, "03": 1, "04": 3}
+
+
+def test_repeated_micro_batch_is_skipped(spark, program, tmp_path):
+    import shutil
+
+    blocks = chain.sample_blocks(range(100, 104))
+    feed(tmp_path / "in", blocks, "a.json")
+    store = IndexStore(spark, str(tmp_path / "i"))
+    checkpoint = tmp_path / "c"
+    source = stream_blocks(spark, str(tmp_path / "in"))
+    assert start_index_stream(source, store, program, str(checkpoint), available_now=True).awaitTermination(240)
+    before = sorted(map(repr, IndexReader(store, program).transactions().collect()))
+    shutil.rmtree(checkpoint / "commits")  # as if the stream had stopped right after the index was written
+    assert start_index_stream(source, store, program, str(checkpoint), available_now=True).awaitTermination(240)
+    assert sorted(map(repr, IndexReader(store, program).transactions().collect())) == before
