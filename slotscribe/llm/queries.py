@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, sharding
+from . import bpe, decontaminate, jaccard, neighbours, pii, secrets, sharding, toxicity, urls
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,26 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(table(spark, sf_dir, "embeddings"))
+
+
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(table(spark, sf_dir, "documents"))
 
@@ -25,9 +45,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> (session, sample folder) -> result."""
-    return {f.__name__: f for f in (op1_decontaminate, op8_sharding, op9_bpe)}
+    named = (
+        op1_decontaminate, op2_neighbours, op3_jaccard, op4_toxicity, op6_personal, op7_secrets, op8_sharding, op9_bpe, op10_urls,
+    )
+    return {f.__name__: f for f in named}
 
 
 ORACLE: dict[str, str] = {}
