@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, neighbours, pii, secrets, sharding, toxicity, urls
+from . import bpe, decontaminate, jaccard, neighbours, pii, repeats, secrets, sharding, toxicity, urls
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> (session, sample folder) -> result."""
     named = (
-        op1_decontaminate, op2_neighbours, op3_jaccard, op4_toxicity, op6_personal, op7_secrets, op8_sharding, op9_bpe, op10_urls,
+        op1_decontaminate, op2_neighbours, op3_jaccard, op4_toxicity, op5_repeats, op6_personal, op7_secrets, op8_sharding, op9_bpe, op10_urls,
     )
     return {f.__name__: f for f in named}
 
