@@ -210,25 +210,36 @@ def decode(df: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", byte
     return with_columns(df, [T.StructField(bytes_col, T.BinaryType())], make)
 
 
-def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Number and digest of the ids of every text, and digest of what they decode to.
+def tokenized(docs: DataFrame, path: str, pattern: str, *, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, text_col: str = "text") -> DataFrame:
+    """The columns ``keep``, the ids (unless left out), their number and digest, and the digest of what they decode to.
 
-    Encodes and decodes in one task, so the ids themselves are never exchanged.
+    Encodes and decodes in one task, so ids are not exchanged in between.
     """
     start = _shipped(docs, path, pattern)
+    digests = T._parse_datatype_string("n_tokens bigint, ids_sha256 string, decoded_sha256 string").fields
+    ids_field = [T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
 
     def make():
         tokenizer = start()
         shown = {i: str(i).encode() for i in tokenizer.tokens}
 
         def work(batch: pa.RecordBatch):
-            rows = []
-            for ids in tokenizer.encode(texts_of(batch, "text")):
+            rows, all_ids, ends = [], [], [0]
+            for ids in tokenizer.encode(texts_of(batch, text_col)):
                 listed = hashlib.sha256(b",".join(map(shown.__getitem__, ids))).hexdigest()
                 rows.append((len(ids), listed, hashlib.sha256(tokenizer.decode(ids)).hexdigest()))
-            yield [batch.column(0), *([r[k] for r in rows] for k in range(3))]
+                if with_ids:
+                    all_ids.append(np.array(ids, np.int32))
+                    ends.append(ends[-1] + len(ids))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *all_ids])))] if with_ids else []
+            yield [*batch.columns[: len(keep)], *lists, *([r[k] for r in rows] for k in range(3))]
 
         return work
 
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_tokens bigint, ids_sha256 string, decoded_sha256 string").fields])
-    return map_batches(docs.select("doc_id", "text"), make, schema)
+    schema = T.StructType([*[docs.schema[c] for c in keep], *ids_field, *digests])
+    return map_batches(docs.select(*keep, text_col), make, schema)
+
+
+def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Number and digest of the ids of every text, and digest of what they decode to."""
+    return tokenized(docs, path, pattern, with_ids=False)

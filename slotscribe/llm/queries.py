@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, jaccard, neighbours, pii, repeats, secrets, sharding, toxicity, urls
 from .common import table
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "queries"]
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -61,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
-ORACLE: dict[str, str] = {}
+
