@@ -41,10 +41,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows a task turns into Python objects at a time.
+SLICE_ROWS = 1_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into pieces whose Python objects are small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch | list]]], schema: T.StructType | str
 ) -> DataFrame:
-    """Run ``make()`` once per task and its result on every Arrow batch.
+    """Run ``make()`` once per task and its result on every slice of an Arrow batch.
 
     The function yields either record batches or lists of columns in schema order.
     """
@@ -52,7 +63,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in slices(batches):
             for out in work(batch):
                 if isinstance(out, pa.RecordBatch):
                     yield out

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage, texts_of
+from .common import map_batches, slices, stage, texts_of
 
 SHINGLE = 5
 # Similarity as a fraction of integers, so that the threshold is exact.
@@ -45,8 +45,10 @@ MOST_MATCHES = 8
 FREQUENT, FREQUENT_IN_TASK = 1 << 17, 4
 # Rounds that pair each list's most central document before the full join.
 STAR_ROUNDS = 2
+# Nodes up to which their ids are broadcast (8 bytes each) to fetch their texts; beyond, the texts are joined by shuffle.
+BROADCAST_NODES = 1_000_000
 # Words a task remembers the hash of.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 class Shingler:
@@ -98,7 +100,7 @@ def describe(docs: DataFrame, text_col: str = "text") -> DataFrame:
         shingles = Shingler()
         seen: set[bytes] = set()
         tokens, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t) for t in texts_of(batch, "t")]
             keys = [signature(s) if len(s) else None for s in sets]
             none = [None] * len(sets)
@@ -110,9 +112,9 @@ def describe(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     fresh.append(s)
             if fresh:
                 tokens, counts = _count(np.concatenate([tokens, *fresh]), counts, len(tokens))
-                if len(tokens) > 8 * FREQUENT:
+                if len(tokens) > 4 * FREQUENT:
                     # Keep the commonest: a shingle held by a good part of the task survives every cut.
-                    keep = np.argpartition(-counts, 4 * FREQUENT)[: 4 * FREQUENT]
+                    keep = np.argpartition(-counts, 2 * FREQUENT)[: 2 * FREQUENT]
                     tokens, counts = tokens[keep], counts[keep]
         often = counts >= FREQUENT_IN_TASK
         if often.any():
@@ -145,7 +147,7 @@ def prefixes(docs: DataFrame, frequent: list[int], text_col: str = "text") -> Da
 
     def run(batches):
         shingles, common, seen = Shingler(), shipped.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             parts = []
             for text in texts_of(batch, "t"):
                 own = shingles(text)
@@ -228,8 +230,25 @@ def cross_candidates(entries: DataFrame) -> DataFrame:
     return counted.where(F.col("count") >= F.col("need")).select("a", "b").distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, shingles): the sets of the given nodes, made again from their texts."""
+    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    picked = texts.join(F.broadcast(nodes) if few else nodes, F.col("doc_id") == F.col("node")).select("node", "text")
+
+    def make():
+        shingles = Shingler()
+
+        def work(batch: pa.RecordBatch):
+            yield [batch.column(0), [shingles(t).tobytes() for t in texts_of(batch, "text")]]
+
+        return work
+
+    return stage(map_batches(picked, make, "node bigint, shingles binary").distinct(), "sets")
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose sets are similar enough."""
+    sets = sets_of(stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes"), texts)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -283,10 +302,6 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     postings = stage(shared_postings(prefixes(texts, frequent), classes), "postings")
     entries = stage(adapt(postings).withColumn("label", F.col("node")), "entries")
-    # Sets of the nodes that have candidates at all: made again from their texts.
-    wanted = texts.join(entries.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
-    sets = stage(_sets(wanted), "sets")
-
     # A doc_id with several texts ties their classes together.
     mapped = known.join(classes, "class")
     tied = mapped.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a <> high")
@@ -295,7 +310,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     for k in range(STAR_ROUNDS + 1):
         current = stage(relabel(entries, _all(parts)), "entries") if k or edges.limit(1).count() else entries
         pairs = star_candidates(current) if k < STAR_ROUNDS else cross_candidates(current)
-        parts.append(stage(verify(stage(pairs, "pairs"), sets), "links"))
+        parts.append(stage(verify(stage(pairs, "pairs"), texts), "links"))
     labels = components(_all(parts))
     placed = classes.join(labels, "node", "left").select("class", F.coalesce("label", "node").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -309,18 +324,6 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return union
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    def make():
-        shingles = Shingler()
-
-        def work(batch: pa.RecordBatch):
-            yield [batch.column(0), [shingles(t).tobytes() for t in texts_of(batch, "text")]]
-
-        return work
-
-    return map_batches(texts.select(F.col("doc_id").alias("node"), "text"), make, "node bigint, shingles binary").distinct()
-
-
 def report(docs: DataFrame) -> DataFrame:
     """Set size and component of every document."""
     return join(docs)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, texts_of
+from .common import slices, stage, texts_of
 
 LENGTH = 50
 ANCHOR = 24
@@ -113,7 +113,7 @@ def claims(docs: DataFrame, ranges: int) -> DataFrame:
     Of a fragment that several documents of a unit hold, only the first claims it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), texts_of(batch, "text")
             unit, size = [], 0
             for i, text in zip(ids, texts):
@@ -223,7 +223,7 @@ def place(docs: DataFrame, told: DataFrame) -> DataFrame:
     joined = docs.join(told, "doc_id", "left").withColumn("rid", F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for rid, i, text, told_codes, own_codes in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -284,7 +284,7 @@ def digest(raw: bytes, gone: np.ndarray) -> str:
 def fragments(placed: DataFrame) -> DataFrame:
     """(anchor, rid, doc_id, first, asks, piece) of everything that is sent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for rid, i, raw, shown in zip(*(c.to_pylist() for c in batch.columns)):
                 for anchor, first, last, status in np.frombuffer(shown, np.int64).reshape(-1, 4).tolist():
@@ -381,7 +381,7 @@ def finish(placed: DataFrame, answers: DataFrame) -> DataFrame:
     joined = waiting.join(answers.groupBy("rid").agg(F.collect_list("spans").alias("spans")), "rid", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for i, n, gone, raw, spans in zip(*(c.to_pylist() for c in batch.columns)):
                 all_ = union(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in [gone, *(spans or [])]]))
