@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,6 +42,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    It does so once the driver has collected the objects that stand for them, which
+    may be hours away; call this after a step that exchanged a lot.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # Rows a task turns into Python objects at a time.
 SLICE_ROWS = 1_000
 

@@ -8,8 +8,10 @@ smallest hash, leftmost among equals. Equal windows have equal anchors, so all
 copies of a window meet under its anchor. The windows of one anchor occurrence
 are neighbours; the text they cover is its fragment. Anchors travel as packed
 arrays of hashes, not as rows. Of a fragment that repeats as a whole only the
-first document asks further; the others are settled. So are anchors in one
-document. What is left, mostly the ends of copied passages, sends its text.
+first document asks further; the others are settled. So are anchors of one
+document. A window has 13 bytes or more on one side of its anchor; fragments that
+share an anchor but neither the 13 bytes before nor those after it have no window
+in common. What is left, mostly the ends of copied passages, sends its text.
 
 Longest previous factors. Fragments are brought together by anchor and all their
 windows sorted as suffixes (ranks of 8, 16, 32 and 50 bytes, each made of two of
@@ -17,8 +19,8 @@ the ranks before). In that order the previous and the next entry of a smaller
 document are found by pointer jumping; if either is equal over 50 bytes, the
 window has an earlier copy, else its longest previous factor is shorter.
 
-Fragments equal as a whole are taken as such by 64 bits of hash (their own
-32 and the anchor's 32, within one range of anchors).
+Fragments are taken as equal by 80 bits of hash (32 of the anchor, 24 of the
+fragment, 12 of each side), within one range of anchors.
 
 Defined results: NULL and empty texts have no bytes; texts under 50 bytes keep
 all; rows without doc_id keep all and remove nothing; rows of one doc_id never
@@ -36,12 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage, texts_of
+from .common import release, slices, stage, texts_of
 
 LENGTH = 50
 ANCHOR = 24
 # 24-byte strings in a window.
 WINDOW = LENGTH - ANCHOR + 1
+# Bytes before or after the anchor that every window has on one side at least.
+SIDE = (LENGTH - ANCHOR) // 2
 # Text of a unit whose anchors are packed together, and documents in it.
 UNIT_BYTES, UNIT_DOCS = 16_000_000, 60_000
 # Anchors of a range, which one step sorts; a text has one in WINDOW / 2 bytes.
@@ -61,16 +65,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _code(anchor: np.ndarray, detail: np.ndarray) -> np.ndarray:
+    """Name of a fragment within a document; the two low bits are free."""
+    return _mix((anchor & _LOW) ^ detail * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(3)
+
+
 class Anchors:
-    """Anchor occurrences of a text: hash of the anchor, first and last window, hash of the fragment, code."""
+    """Anchor occurrences of a text: hash of the anchor, first and last window, and a detail of 48 bits.
+
+    The detail has 24 bits of the fragment and 12 of the bytes on each side of the anchor.
+    """
 
     def __init__(self, raw: bytes):
         n = len(raw)
         if n < LENGTH:
-            self.hash = self.fragment = self.code = np.empty(0, np.uint64)
+            self.hash = self.detail = self.code = np.empty(0, np.uint64)
             self.first = self.last = np.empty(0, np.int64)
             return
-        words = [np.ndarray((n - ANCHOR + 1,), "<u8", raw, 8 * k, (1,)) for k in range(3)]
+        load = np.ndarray((n - 7,), "<u8", raw, 0, (1,))
+        words = [load[8 * k : n - ANCHOR + 1 + 8 * k] for k in range(3)]
         h = words[0] * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(29)) ^ words[1]) * np.uint64(0xA3B195354A39B70D)
         h = _mix(h ^ (h >> np.uint64(31)) ^ words[2])
@@ -88,8 +101,13 @@ class Anchors:
         self.hash = _mix(h[at] + np.uint64(0x632BE59BD9B4E019))
         digest = xxhash.xxh3_64_intdigest
         own = [digest(raw[a:b]) for a, b in zip(starts.tolist(), (self.last + LENGTH).tolist())]
-        self.fragment = _mix(np.array(own, np.uint64) + (at - starts).astype(np.uint64))
-        self.code = _mix(self.hash ^ (self.fragment & _LOW) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(3)
+        fragment = _mix(np.array(own, np.uint64) + (at - starts).astype(np.uint64)) >> np.uint64(40)
+        # Where a text ends sooner there is no window that would need the side, and any value will do.
+        before, after = np.maximum(at - SIDE, 0), np.minimum(at + ANCHOR + SIDE - 8, n - 8)
+        left = _mix(load[before] * np.uint64(0x9E3779B97F4A7C15) ^ load[np.maximum(at - 8, 0)]) >> np.uint64(52)
+        right = _mix(load[np.minimum(at + ANCHOR, n - 8)] * np.uint64(0x9E3779B97F4A7C15) ^ load[after]) >> np.uint64(52)
+        self.detail = fragment << np.uint64(24) | left << np.uint64(12) | right
+        self.code = _code(self.hash, self.detail)
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -104,7 +122,7 @@ def unpack(data: bytes, kind, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-CLAIMS = "range int, n int, anchors binary, fragments binary, owners binary, docs binary, doc_id bigint, codes binary"
+CLAIMS = "range int, n int, anchors binary, details binary, owners binary, docs binary, doc_id bigint, codes binary"
 
 
 def claims(docs: DataFrame, ranges: int) -> DataFrame:
@@ -113,10 +131,9 @@ def claims(docs: DataFrame, ranges: int) -> DataFrame:
     Of a fragment that several documents of a unit hold, only the first claims it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, size = [], 0
         for batch in slices(batches):
-            ids, texts = batch.column(0).to_pylist(), texts_of(batch, "text")
-            unit, size = [], 0
-            for i, text in zip(ids, texts):
+            for i, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text")):
                 raw = text.encode("utf-8", "surrogatepass")
                 if i is None or len(raw) < LENGTH:
                     continue
@@ -125,43 +142,46 @@ def claims(docs: DataFrame, ranges: int) -> DataFrame:
                 if size > UNIT_BYTES or len(unit) >= UNIT_DOCS:
                     yield _unit(unit, ranges)
                     unit, size = [], 0
-            if unit:
-                yield _unit(unit, ranges)
+        if unit:
+            yield _unit(unit, ranges)
 
     return docs.select("doc_id", "text").mapInArrow(run, CLAIMS)
 
 
 def _unit(unit: list[tuple[int, bytes]], ranges: int) -> pa.RecordBatch:
-    unit = sorted(unit, key=lambda u: u[0])
+    unit.sort(key=lambda u: u[0])
     ids = np.array([i for i, _ in unit], np.int64)
     found = [Anchors(raw) for _, raw in unit]
     owner = np.repeat(np.arange(len(unit), dtype=np.uint16), [len(f.hash) for f in found])
-    anchor, fragment = np.concatenate([f.hash for f in found]), np.concatenate([f.fragment for f in found]) & _LOW
-    code = np.concatenate([f.code for f in found])
-    # By anchor, fragment and document; repeats inside a document count once.
-    low = anchor & _LOW
-    order = np.lexsort((ids[owner], fragment, low, (anchor >> np.uint64(32)) % np.uint64(ranges)))
-    anchor, fragment, owner, code, low = anchor[order], fragment[order], owner[order], code[order], low[order]
+    anchor, detail = np.concatenate([f.hash for f in found]), np.concatenate([f.detail for f in found])
     part = ((anchor >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
-    same = np.r_[False, (part[1:] == part[:-1]) & (low[1:] == low[:-1]) & (fragment[1:] == fragment[:-1])]
+    low = (anchor & _LOW).astype(np.uint32)
+    # By anchor, detail and document; repeats inside a document count once.
+    order = np.lexsort((owner, detail, low, part))
+    part, low, detail, owner = part[order], low[order], detail[order], owner[order]
+    same = np.r_[False, (part[1:] == part[:-1]) & (low[1:] == low[:-1]) & (detail[1:] == detail[:-1])]
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
     later = same & (ids[owner] > ids[owner[head]])
     rows: list[tuple] = []
-    who = owner[later]
-    by_doc = np.argsort(who, kind="stable")
-    settled = (code[later] | np.uint64(SETTLED))[by_doc]
-    for i, codes in _groups(who[by_doc], settled):
-        rows.append((None, None, None, None, None, None, int(ids[i]), np.unique(codes).tobytes()))
-    keep = ~same
-    part, low, fragment, owner = part[keep], low[keep].astype(np.uint32), fragment[keep].astype(np.uint32), owner[keep]
-    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+    by_doc = np.argsort(owner[later], kind="stable")
+    settled = (_code(low[later].astype(np.uint64), detail[later]) | np.uint64(SETTLED))[by_doc]
+    for i, codes in _groups(owner[later][by_doc], settled):
+        rows.append((int(ids[i]) % ranges, None, None, None, None, None, int(ids[i]), np.unique(codes).tobytes()))
+    part, low, detail, owner = part[~same], low[~same], detail[~same], owner[~same]
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         used, local = np.unique(owner[a:b], return_inverse=True)
         deltas = np.diff(low[a:b], prepend=np.uint32(0))
-        rows.append((int(part[a]), b - a, pack(deltas), pack(fragment[a:b]), pack(local.astype(np.uint16)), pack(ids[used]), None, None))
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
-    names = [f.split()[0] for f in CLAIMS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+        rows.append((int(part[a]), b - a, pack(deltas), pack(detail[a:b]), pack(local.astype(np.uint16)), ids[used].tobytes(), None, None))
+    return _batch(rows, CLAIMS)
+
+
+_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _TYPES[t]) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
 
 def _groups(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -172,47 +192,54 @@ def _groups(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndar
             yield int(keys[a]), values[a:b]
 
 
+TOLD = "doc_id bigint, code bigint"
+
+
 def decide(claimed: DataFrame, partitions: int) -> DataFrame:
     """(doc_id, code): what each document has to know about its anchors, one range at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != current and held:
+        for batch in slices(batches):
+            for part, n, anchors, details, owners, docs, i, codes in zip(*(c.to_pylist() for c in batch.columns)):
+                if codes is not None:
+                    own = np.frombuffer(codes, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int64)), pa.array(own)], names=["doc_id", "code"])
+                    continue
+                if part != current and held:
                     yield _decide(held)
                     held = []
-                current = row[0]
-                n = row[1]
-                ids = np.frombuffer(row[5], np.uint8)
-                owners = unpack(row[4], np.uint16, n)
-                docs = unpack(ids.tobytes(), np.int64, int(owners.max()) + 1)[owners]
-                held.append((np.cumsum(unpack(row[2], np.uint32, n), dtype=np.uint32), unpack(row[3], np.uint32, n), docs))
+                current = part
+                doc = np.frombuffer(docs, np.int64)[unpack(owners, np.uint16, n)]
+                held.append((np.cumsum(unpack(anchors, np.uint32, n), dtype=np.uint32), unpack(details, np.uint64, n), doc))
         if held:
             yield _decide(held)
 
-    columns = ("range", "n", "anchors", "fragments", "owners", "docs")
-    dealt = claimed.where("range is not null").select(*columns).repartition(partitions, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(run, "doc_id bigint, code bigint, low bigint")
+    dealt = claimed.repartition(partitions, "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(run, TOLD)
 
 
 def _decide(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    anchor, fragment, doc = (np.concatenate([h[k] for h in held]) for k in range(3))
-    order = np.lexsort((doc, fragment, anchor))
-    anchor, fragment, doc = anchor[order], fragment[order], doc[order]
-    index = np.arange(len(anchor))
-    new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
-    new_fragment = new_anchor | np.r_[True, fragment[1:] != fragment[:-1]]
-    group = np.cumsum(new_anchor) - 1
-    starts = np.flatnonzero(new_anchor)
-    least, most = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
-    kinds = np.add.reduceat(new_fragment.astype(np.int64), starts)
-    head = np.maximum.accumulate(np.where(new_fragment, index, 0))
-    settled = doc > doc[head]
-    several = (kinds[group] > 1) & (least[group] < most[group]) & ~settled
-    status = np.where(settled, SETTLED, np.where(several, np.where(doc > least[group], ASKS, SHOWS), 0))
+    anchor, detail, doc = (np.concatenate([h[k] for h in held]) for k in range(3))
+    order = np.lexsort((doc, detail, anchor))
+    anchor, detail, doc = anchor[order], detail[order], doc[order]
+    first = np.r_[True, (anchor[1:] != anchor[:-1]) | (detail[1:] != detail[:-1])]
+    head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    status = np.where(doc > doc[head], SETTLED, 0)
+    # Among the first of each fragment: those that share a side with a smaller document ask, with a larger one show.
+    heads = np.flatnonzero(first)
+    asks, shows = np.zeros(len(heads), bool), np.zeros(len(heads), bool)
+    for shift in (12, 0):
+        key = anchor[heads].astype(np.uint64) << np.uint64(12) | (detail[heads] >> np.uint64(shift) & np.uint64(4095))
+        by_key = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.r_[True, key[by_key][1:] != key[by_key][:-1]])
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(by_key)]))
+        d = doc[heads][by_key]
+        asks[by_key] |= d > np.minimum.reduceat(d, starts)[group]
+        shows[by_key] |= d < np.maximum.reduceat(d, starts)[group]
+    status[heads] = np.where(asks, ASKS, np.where(shows, SHOWS, 0))
     tell = np.flatnonzero(status)
-    arrays = [pa.array(doc[tell], pa.int64()), pa.array(fragment[tell].astype(np.int64) << 2 | status[tell], pa.int64()), pa.array(anchor[tell].astype(np.int64), pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "code", "low"])
+    codes = _code(anchor[tell].astype(np.uint64), detail[tell]) | status[tell].astype(np.uint64)
+    return pa.RecordBatch.from_arrays([pa.array(doc[tell]), pa.array(codes.view(np.int64))], names=["doc_id", "code"])
 
 
 PLACED = "rid bigint, doc_id bigint, n_bytes bigint, removed binary, text binary, shown binary, kept_sha256 string"
@@ -225,38 +252,27 @@ def place(docs: DataFrame, told: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for rid, i, text, told_codes, own_codes in zip(*(c.to_pylist() for c in batch.columns)):
+            for rid, i, text, codes in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                gone, shown, waits = _apply(raw, told_codes, own_codes)
+                gone, shown, waits = _apply(raw, codes)
                 if waits:
                     rows.append((rid, i, len(raw), gone.tobytes(), raw, shown.tobytes(), None))
                 else:
                     rows.append((rid, i, len(raw), gone.tobytes(), raw if len(shown) else None, shown.tobytes(), digest(raw, gone)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[f.split()[0] for f in PLACED.split(", ")])
+            yield _batch(rows, PLACED)
 
-    return joined.select("rid", "doc_id", "text", "told", "own").mapInArrow(run, PLACED)
+    return joined.select("rid", "doc_id", "text", "codes").mapInArrow(run, PLACED)
 
 
-def _apply(raw: bytes, told: list[dict] | None, own: list[bytes] | None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Removed (start, end) rows, fragments to send (anchor, first, last, asks) and whether any asks."""
-    none = np.empty((0, 2), np.int64)
-    if not told and not own:
-        return none, np.empty((0, 4), np.int64), False
+def _apply(raw: bytes, codes: list[int] | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Removed (start, end) rows, fragments to send (anchor, first, last, status) and whether any asks."""
+    if not codes:
+        return np.empty((0, 2), np.int64), np.empty((0, 4), np.int64), False
     found = Anchors(raw)
-    settled = np.concatenate([np.frombuffer(x, np.uint64) for x in own]) & ~np.uint64(3) if own else np.empty(0, np.uint64)
-    gone = np.isin(found.code, settled)
-    status = np.zeros(len(found.code), np.int64)
-    if told:
-        codes, lows = np.array([t["code"] for t in told], np.int64), np.array([t["low"] for t in told], np.int64)
-        keys = (lows.view(np.uint64) << np.uint64(32)) | (codes >> 2).view(np.uint64)
-        order = np.argsort(keys, kind="stable")
-        keys, codes = keys[order], codes[order]
-        wanted = ((found.hash & _LOW) << np.uint64(32)) | (found.fragment & _LOW)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        status = np.where(keys[at] == wanted, codes[at] & 3, 0)
-    gone |= status == SETTLED
-    sends = ~gone & (status > 0)
+    told = np.sort(np.array(codes, np.int64).view(np.uint64))
+    at = np.minimum(np.searchsorted(told, found.code), len(told) - 1)
+    status = np.where(told[at] & ~np.uint64(3) == found.code, told[at] & np.uint64(3), 0).astype(np.int64)
+    gone, sends = status == SETTLED, status > SETTLED
     shown = np.stack([found.hash.view(np.int64), found.first, found.last, status], axis=1)[sends]
     return union(np.stack([found.first[gone], found.last[gone] + LENGTH], axis=1)), shown, bool((shown[:, 3] == ASKS).any())
 
@@ -281,6 +297,9 @@ def digest(raw: bytes, gone: np.ndarray) -> str:
     return h.hexdigest()
 
 
+FRAGMENTS = "anchor bigint, rid bigint, doc_id bigint, first bigint, asks boolean, piece binary"
+
+
 def fragments(placed: DataFrame) -> DataFrame:
     """(anchor, rid, doc_id, first, asks, piece) of everything that is sent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,11 +308,10 @@ def fragments(placed: DataFrame) -> DataFrame:
             for rid, i, raw, shown in zip(*(c.to_pylist() for c in batch.columns)):
                 for anchor, first, last, status in np.frombuffer(shown, np.int64).reshape(-1, 4).tolist():
                     rows.append((anchor, rid, i, first, status == ASKS, raw[first : last + LENGTH]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["anchor", "rid", "doc_id", "first", "asks", "piece"])
+            yield _batch(rows, FRAGMENTS)
 
     sent = placed.where(F.length("shown") > 0).select("rid", "doc_id", "text", "shown")
-    return sent.mapInArrow(run, "anchor bigint, rid bigint, doc_id bigint, first bigint, asks boolean, piece binary")
+    return sent.mapInArrow(run, FRAGMENTS)
 
 
 def suffix_ranks(text: np.ndarray) -> np.ndarray:
@@ -369,7 +387,7 @@ def _answer(rows: list[tuple]) -> pa.RecordBatch:
     who, start = rid[which[dup]], first[which[dup]] + inside[dup]
     order = np.lexsort((start, who))
     out = [(i, union(np.stack([s, s + LENGTH], axis=1)).tobytes()) for i, s in _groups(who[order], start[order])]
-    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["rid", "spans"])
+    return _batch(out, "rid bigint, spans binary")
 
 
 RESULT = "doc_id bigint, n_bytes bigint, removed binary, kept_sha256 string"
@@ -386,8 +404,7 @@ def finish(placed: DataFrame, answers: DataFrame) -> DataFrame:
             for i, n, gone, raw, spans in zip(*(c.to_pylist() for c in batch.columns)):
                 all_ = union(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in [gone, *(spans or [])]]))
                 rows.append((i, n, all_.tobytes(), digest(raw, all_)))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "n_bytes", "removed", "kept_sha256"])
+            yield _batch(rows, RESULT)
 
     answered = joined.select("doc_id", "n_bytes", "removed", "text", "spans").mapInArrow(run, RESULT)
     return placed.where("kept_sha256 is not null").select("doc_id", "n_bytes", "removed", "kept_sha256").union(answered)
@@ -398,10 +415,9 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-2 * total // (WINDOW * RANGE_ANCHORS)))
-    claimed = stage(claims(texts, ranges), "claims")
-    told = decide(claimed, ranges).groupBy("doc_id").agg(F.collect_list(F.struct("code", "low")).alias("told"))
-    own = claimed.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("codes").alias("own"))
-    placed = stage(place(texts, told.join(own, "doc_id", "full")), "placed")
+    told = decide(claims(texts, ranges), ranges).groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+    placed = stage(place(texts, told), "placed")
+    release(docs.sparkSession)
     chunks = max(1, -(-placed.agg(F.coalesce(F.sum(F.length("shown")), F.lit(0))).first()[0] // (CHUNK_BYTES // 2)))
     return finish(placed, answer(fragments(placed), chunks))
 
