@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, stage
+from .common import stage
 
 KINDS = ("email", "ip", "card", "phone")
 # Base patterns. Repeats are possessive, and a local part or number starts at its
@@ -106,19 +106,18 @@ def valid(kind: Column, value: Column) -> Column:
     )
 
 
-def candidates(docs: DataFrame, rid: str, text_col: str = "text") -> DataFrame:
-    """One row per candidate with its place, and one without a candidate for every document."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def candidates(docs: DataFrame) -> DataFrame:
+    """One row per candidate of (rid, kept, text) with its place, and one without a candidate for every document."""
+    text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<struct<kind:string,base:boolean,idx:int,value:string,gap:bigint,tail:string,head:string>>")
     lists = [F.coalesce(_candidates(text, kind, base), none) for base in (True, False) for kind in (BASE if base else WIDE)]
-    keep = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*keep, F.explode_outer(F.concat(*lists)).alias("c__")).select(*keep, "c__.*")
-    order = Window.partitionBy(rid, "kind", "base").orderBy("idx")
+    rows = docs.select("rid", "kept", F.explode_outer(F.concat(*lists)).alias("found")).select("rid", "kept", "found.*")
+    order = Window.partitionBy("rid", "kind", "base").orderBy("idx")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     start = F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum(F.char_length("value")).over(before), F.lit(0))
     placed = rows.withColumn("start", start).withColumn("next", F.lead("head").over(order))
     placed = placed.where(F.col("value").isNotNull() | F.col("kind").isNull())
-    return placed.select(*keep, "kind", "base", "value", "tail", "next", "start", (F.col("start") + F.char_length("value")).alias("end"))
+    return placed.select("rid", "kept", "kind", "base", "value", "tail", "next", "start", (F.col("start") + F.char_length("value")).alias("end"))
 
 
 def votes() -> list[Column]:
@@ -178,11 +177,10 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...
 
 def find(docs: DataFrame, out: str, *, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with a column ``out``: all spans (kind, base, start, end)."""
-    rid = free_name(docs, "rid__")
-    found = candidates(docs.withColumn(rid, F.monotonically_increasing_id()), rid, text_col)
-    keep = [c for c in docs.columns if c != text_col]
+    kept = F.struct(*[c for c in docs.columns if c != text_col], F.lit(True).alias("row__"))
+    found = candidates(docs.select(F.monotonically_increasing_id().alias("rid"), kept.alias("kept"), F.col(text_col).cast("string").alias("text")))
     there = F.col("kind").isNotNull()
-    known = stage(found.select(*keep, rid, "kind", "base", "start", "end", F.when(there & F.col("base"), valid(F.col("kind"), F.col("value"))).otherwise(False).alias("sure"), *votes(), *surface()), "personal")
+    known = stage(found.select("rid", "kept", "kind", "base", "start", "end", F.when(there & F.col("base"), valid(F.col("kind"), F.col("value"))).otherwise(False).alias("sure"), *votes(), *surface()), "personal")
 
     counted = known.where("kind is not null").groupBy("kind", *LABELERS).count().collect()
     posterior = {}
@@ -214,10 +212,10 @@ def find(docs: DataFrame, out: str, *, text_col: str = "text") -> DataFrame:
 
     chosen = known.withColumn("added", ~F.col("base") & (logit > 0))
     span = lambda c: F.collect_list(F.when(c, F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("k"), "start", "end", "kind", "base")))
-    grouped = chosen.groupBy(rid).agg(*[F.first(c).alias(c) for c in keep], span(F.col("sure")).alias("sure__"), span(F.col("added")).alias("added__"))
-    extra = F.filter("added__", lambda a: ~F.exists("sure__", lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"])))
-    spans = F.transform(F.array_sort(F.concat("sure__", extra)), lambda s: F.struct(s["kind"].alias("kind"), s["base"].alias("base"), s["start"].alias("start"), s["end"].alias("end")))
-    return grouped.select(*keep, spans.alias(out))
+    grouped = chosen.groupBy("rid").agg(F.first("kept").alias("kept"), span(F.col("sure")).alias("sure"), span(F.col("added")).alias("added"))
+    extra = F.filter("added", lambda a: ~F.exists("sure", lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"])))
+    spans = F.transform(F.array_sort(F.concat("sure", extra)), lambda s: F.struct(s["kind"].alias("kind"), s["base"].alias("base"), s["start"].alias("start"), s["end"].alias("end")))
+    return grouped.select("kept.*", spans.alias(out)).drop("row__")
 
 
 def report(docs: DataFrame) -> DataFrame:

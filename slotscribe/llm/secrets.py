@@ -7,9 +7,10 @@ the runs test and the lag-1 serial correlation give p-values, joined by Fisher's
 method into one figure, high for strings that look random.
 
 How high is high enough comes from the corpus: runs of letters in one case are
-ordinary words, and their figures in the same class of lengths are the null
-distribution. Each candidate's p-value is its upper tail there, and within each
-class the Benjamini-Hochberg rule at rate ``FALSE_DISCOVERY`` sets the bar. Both
+ordinary words, and their figures under the widest alphabet of an encoding's
+family, in the same class of lengths, are the null distribution. Each candidate's
+p-value is its upper tail there, and within each family and class the
+Benjamini-Hochberg rule at rate ``FALSE_DISCOVERY`` sets the bar. Both
 distributions are counted over all documents, in a fixed number of bins.
 
 Defined results: NULL and empty texts have no spans; without ordinary words in a
@@ -45,16 +46,18 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 ASSIGN_MIN, ACCESS_MIN = 8, 16
 CHUNK = re.compile(r"(?<!\S)\S{%d,}" % SHORTEST)
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
-# Encodings from the narrowest; the first that has all characters of a run is inferred.
+# Encodings from the narrowest, with their family; the first that has all characters of a run is inferred.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = tuple(
-    (name, {c: i for i, c in enumerate(symbols)})
-    for name, symbols in (
-        ("hex", DIGITS + "abcdef"), ("HEX", DIGITS + "ABCDEF"), ("base32", UPPER + "234567"), ("base36", DIGITS + LOWER),
-        ("BASE36", DIGITS + UPPER), ("base62", DIGITS + UPPER + LOWER), ("base64", UPPER + LOWER + DIGITS + "+/"),
-        ("base64url", UPPER + LOWER + DIGITS + "-_"), ("key", UPPER + LOWER + DIGITS + "+/-_="),
+    (family, {c: i for i, c in enumerate(symbols)})
+    for family, symbols in (
+        (0, DIGITS + "abcdef"), (1, DIGITS + "ABCDEF"), (1, UPPER + "234567"), (0, DIGITS + LOWER), (1, DIGITS + UPPER),
+        (2, DIGITS + UPPER + LOWER), (2, UPPER + LOWER + DIGITS + "+/"), (2, UPPER + LOWER + DIGITS + "-_"), (2, UPPER + LOWER + DIGITS + "+/-_="),
     )
 )
+# The widest alphabet of each family: lower case, upper case, both.
+WIDEST = tuple([a for f, a in ENCODINGS if f == family][-1] for family in range(3))
+CLASSES = len(WIDEST) * (len(LENGTH_CLASSES) + 1)
 WORD = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+")
 
 
@@ -69,8 +72,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def length_class(n: int) -> int:
-    return sum(n >= end for end in LENGTH_CLASSES)
+def class_of(family: int, n: int) -> int:
+    """Class of a family and a length."""
+    return family * (len(LENGTH_CLASSES) + 1) + sum(n >= end for end in LENGTH_CLASSES)
+
+
+def infer(token: str) -> tuple[int, dict[str, int]]:
+    """Family and alphabet of the narrowest encoding."""
+    symbols = set(token.rstrip("=") or token)
+    return next(((f, a) for f, a in ENCODINGS if all(c in a for c in symbols)), ENCODINGS[-1])
 
 
 def normal_tail(z: float) -> float:
@@ -78,10 +88,10 @@ def normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def randomness(token: str) -> float:
+def randomness(token: str, alphabet: dict[str, int] | None = None) -> float:
     """Fisher's joint p-value of the battery, as a logarithm: 0 is the most random."""
     core = token.rstrip("=") or token
-    alphabet = next((a for _, a in ENCODINGS if all(c in a for c in set(core))), ENCODINGS[-1][1])
+    alphabet = alphabet or infer(token)[1]
     x = np.fromiter(map(alphabet.__getitem__, core), dtype=np.float64, count=len(core))
     n, size = len(x), len(alphabet)
     # Chi-squared of the symbols' counts, by the Wilson-Hilferty cube root.
@@ -125,10 +135,16 @@ def null_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(class, bin, words, candidates) over all documents."""
     def make():
         def work(batch: pa.RecordBatch):
-            words, candidates = (np.zeros((len(LENGTH_CLASSES) + 1, BINS), np.int64) for _ in range(2))
+            words, candidates = (np.zeros((CLASSES, BINS), np.int64) for _ in range(2))
             for text in texts_of(batch, "t"):
                 for start, end, token in long_runs(text):
-                    (words if is_word(token) else candidates)[length_class(end - start), bin_of(randomness(token))] += 1
+                    if not is_word(token):
+                        family, alphabet = infer(token)
+                        candidates[class_of(family, end - start), bin_of(randomness(token, alphabet))] += 1
+                        continue
+                    for family, alphabet in enumerate(WIDEST):
+                        if all(c in alphabet for c in set(token)):
+                            words[class_of(family, end - start), bin_of(randomness(token, alphabet))] += 1
             c, b = np.nonzero(words + candidates)
             yield [c.astype(np.int32), b.astype(np.int32), words[c, b], candidates[c, b]]
 
@@ -140,7 +156,7 @@ def null_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def bars(counts: list[tuple[int, int, int, int]], rate: float = FALSE_DISCOVERY) -> list[int]:
     """Per class, the lowest bin whose candidates are discoveries (``BINS`` for none)."""
-    words, candidates = (np.zeros((len(LENGTH_CLASSES) + 1, BINS), np.int64) for _ in range(2))
+    words, candidates = (np.zeros((CLASSES, BINS), np.int64) for _ in range(2))
     for c, b, w, k in counts:
         words[c, b], candidates[c, b] = w, k
     found = []
@@ -159,7 +175,8 @@ def all_spans(text: str, bar: list[int]) -> list[tuple[int, int, str]]:
     for start, end, token in long_runs(text):
         if is_word(token) or any(s < end and start < e for s, e, _ in base):
             continue
-        if bin_of(randomness(token)) >= bar[length_class(end - start)]:
+        family, alphabet = infer(token)
+        if bin_of(randomness(token, alphabet)) >= bar[class_of(family, end - start)]:
             spans.append((start, end, "random"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
