@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Page sizes and the default time window.
-CALL_PAGE, CALL_PAGE_MAX = 50, 1000
-HISTORY_PAGE, HISTORY_PAGE_MAX = 20, 100
+# Page sizes where none is asked for, and the default time window.
+CALL_PAGE = 50
+HISTORY_PAGE = 20
 BUCKETS = ("hour", "day", "week")
 DEFAULT_BUCKET = "hour"
 DEFAULT_WINDOW = "7 days"
@@ -45,6 +45,14 @@ def bind_time(df: DataFrame, column: str, value) -> Column:
     return bound.cast(df.schema[column].dataType)
 
 
+def _stored_bound(df: DataFrame, time_col: str, low: Column | None, high: Column | None) -> list[Column]:
+    """Chain time is computed from the stored seconds, so its bounds are put to these too and reach the scan."""
+    if time_col != "block_ts" or "block_time" not in df.columns:
+        return []
+    seconds = lambda bound: F.unix_seconds(bound.cast("timestamp"))
+    return [c for c in (None if low is None else F.col("block_time") >= seconds(low), None if high is None else F.col("block_time") <= seconds(high)) if c is not None]
+
+
 def transaction(txs: DataFrame, signature) -> DataFrame:
     """The transaction with this signature: zero or one row."""
     return txs.where(F.col("signature") == F.lit(signature))
@@ -60,20 +68,30 @@ def filter_calls(calls: DataFrame, f: CallFilter, *, time_col: str = "created_at
     if f.to_slot is not None:
         predicates.append(F.col("slot") <= f.to_slot)
     if f.from_time is not None:
-        predicates.append(F.col(time_col) >= bind_time(calls, time_col, f.from_time))
+        low = bind_time(calls, time_col, f.from_time)
+        predicates += [F.col(time_col) >= low, *_stored_bound(calls, time_col, low, None)]
     if f.to_time is not None:
-        predicates.append(F.col(time_col) <= bind_time(calls, time_col, f.to_time))
+        high = bind_time(calls, time_col, f.to_time)
+        predicates += [F.col(time_col) <= high, *_stored_bound(calls, time_col, None, high)]
     return calls.where(reduce(Column.__and__, predicates)) if predicates else calls
 
 
-def list_calls(calls: DataFrame, f: CallFilter = CallFilter(), *, time_col: str = "created_at") -> DataFrame:
-    """One page of matching calls, newest first, with a total order."""
-    limit = min(CALL_PAGE if f.limit is None else f.limit, CALL_PAGE_MAX)
+def list_calls(calls: DataFrame, f: CallFilter = CallFilter(), *, time_col: str = "created_at", most: int | None = None) -> DataFrame:
+    """One page of matching calls, newest first, with a total order.
+
+    A limit is honoured as it is; a service that wants a maximum names it as ``most``.
+    """
+    limit = _page(f.limit, CALL_PAGE, most)
     tie_breaks = [c for c in ("tx_sig", "ix_index") if c in calls.columns]
     order = [F.desc(time_col), *([F.desc("slot")] if "slot" in calls.columns else []), *tie_breaks]
     return filter_calls(calls, f, time_col=time_col).orderBy(*order).offset(f.offset).limit(limit)
 
 
+def _page(limit: int | None, usual: int, most: int | None) -> int:
+    asked = usual if limit is None else limit
+    return asked if most is None else min(asked, most)
+
+
 def row_json(df: DataFrame, columns: list[str] | None = None) -> Column:
     """The row (or the given columns) as one JSON object, NULLs included."""
     names = columns if columns is not None else [c for c in df.columns if c not in HIDDEN_COLUMNS]
@@ -112,7 +130,7 @@ def time_series(
     period = F.date_trunc(effective_bucket(bucket), F.col(time_col)).cast(kind).alias("period")
     name = F.col(group) if group else (ix_name if isinstance(ix_name, Column) else F.lit(ix_name))
     series = (
-        calls.where(F.col(time_col).between(low, high))
+        calls.where(reduce(Column.__and__, _stored_bound(calls, time_col, low, high), F.col(time_col).between(low, high)))
         .groupBy(name.cast("string").alias("ix_name"), period)
         .agg(F.count(F.lit(1)).alias("calls"))
     )
@@ -128,9 +146,11 @@ def account_latest(accounts: DataFrame, address, *, tie_breaks: tuple[str, ...]
     return accounts.where(F.col("address") == F.lit(address)).orderBy(*_newest(*tie_breaks)).limit(1)
 
 
-def account_history(accounts: DataFrame, address, limit: int | None = None, *, tie_breaks: tuple[str, ...] = ()) -> DataFrame:
-    """Newest states of one account, up to ``limit`` (20, at most 100)."""
-    count = min(HISTORY_PAGE if limit is None else limit, HISTORY_PAGE_MAX)
+def account_history(
+    accounts: DataFrame, address, limit: int | None = None, *, tie_breaks: tuple[str, ...] = (), most: int | None = None
+) -> DataFrame:
+    """Newest states of one account, up to ``limit`` (20 if not given)."""
+    count = _page(limit, HISTORY_PAGE, most)
     return accounts.where(F.col("address") == F.lit(address)).orderBy(*_newest(*tie_breaks)).limit(count)
 
 

@@ -12,8 +12,8 @@ from ..sources.blocks import first_signature, uses_program
 from .registry import Program
 
 
-def transactions(blocks: DataFrame, program_id: str) -> DataFrame:
-    """One flat row per transaction that mentions the program.
+def transactions(blocks: DataFrame, program_id: str | None) -> DataFrame:
+    """One flat row per transaction that mentions the program, or per transaction without one.
 
     Transactions without a signature, without meta or in parsed form are left
     out. Failed transactions stay, with their error. Account keys are the
@@ -25,7 +25,7 @@ def transactions(blocks: DataFrame, program_id: str) -> DataFrame:
     none = F.array().cast("array<string>")
     return (
         blocks.select("slot", "block_time", F.posexplode("transactions").alias("tx_index", "tx"))
-        .where(uses_program(F.col("tx.account_keys"), program_id))
+        .where(F.lit(True) if program_id is None else uses_program(F.col("tx.account_keys"), program_id))
         .where(F.col("tx.meta").isNotNull() & ~F.coalesce("tx.parsed", F.lit(False)))
         .select(
             first_signature(F.col("tx.signatures")).alias("signature"),

@@ -59,6 +59,11 @@ def ix_list_by_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ix_list_page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.list_calls(sample.calls(spark, sf_dir), CallFilter(limit=5000), most=1000)
+
+
+def ix_list_large_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit beyond any service's maximum is honoured."""
     return lookups.list_calls(sample.calls(spark, sf_dir), CallFilter(limit=5000))
 
 
@@ -153,14 +158,18 @@ def checkpoint_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typed_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """u64 values written into a table whose saved column is BIGINT: what does not fit is NULL."""
+    """u64 values written into a table whose saved column is BIGINT: what does not fit is NULL and flagged."""
     entry = Entry("instruction", 0, "store", "ix_store", b"", True, (Field("amount", "amount", "u64"), Field("on", "on", "bool")))
-    saved = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("amount", T.LongType()), T.StructField("on", T.BooleanType()), T.StructField("memo", T.StringType())])
+    saved = T.StructType([
+        T.StructField("event_id", T.LongType()), T.StructField("amount", T.LongType()), T.StructField("on", T.BooleanType()),
+        T.StructField("memo", T.StringType()), T.StructField("decode_issues", T.ArrayType(T.StringType())),
+    ])
     events = sample.table(spark, sf_dir, "events")
     top = F.col("user_id") % 2 * 128  # sets the highest bit for odd users
     parts = [sample.little_endian_hex(F.col("event_id"), 7), sample.little_endian_hex(top, 1), sample.little_endian_hex(F.col("user_id"), 1)]
     rows = events.select("event_id", sample.payload("instruction", F.lit("store"), *parts).alias("data"))
-    return decode_entry(rows, entry, saved).withColumn("memo", F.col("memo").isNull())
+    stored = decode_entry(rows, entry, saved, keep=("event_id",)).withColumn("memo", F.col("memo").isNull())
+    return stored.withColumn("issues", F.array_join("decode_issues", ",")).drop("decode_issues")
 
 
 def evolve_add_column(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,10 +473,10 @@ def _index(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> IndexRead
         store = IndexStore(spark, scratch_path(spark, "index"), slots_per_bucket=400)
         run_batch(
             store, program, blocks, BatchRequest(start_slot=0, end_slot=10**6),
-            snapshots=sample.supplier_snapshots(spark, sf_dir), bucket_size=400,
+            snapshots=sample.supplier_snapshots(spark, sf_dir),
         )
         _BUILT[key] = store.root
-    return IndexReader(IndexStore(spark, _BUILT[key], slots_per_bucket=400), program)
+    return IndexReader(IndexStore(spark, _BUILT[key]), program)
 
 
 def index_build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -522,6 +531,7 @@ QUERIES = {
     "ix_list_filtered": ix_list_filtered,
     "ix_list_by_tx": ix_list_by_tx,
     "ix_list_page_cap": ix_list_page_cap,
+    "ix_list_large_page": ix_list_large_page,
     "ix_filter_all_matching": ix_filter_all_matching,
     "ix_rows_json": ix_rows_json,
     "ix_call_count": ix_call_count,

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from functools import partial, reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import normalize
 from ..operators.decode import decode_payload
 from ..operators.dedup import keep_first, not_stored
-from ..operators.registry import Entry, Program
+from ..operators.registry import FIXED_COLUMNS, Entry, Program
 from ..session import Staging
 from .store import LAST_SIG_KEY, LAST_SLOT_KEY, QUARANTINE_SCHEMA, SCHEMA_KEY, TRANSACTION_SCHEMA, IndexStore
 
@@ -45,10 +46,10 @@ class CommitOptions:
     slot_checkpoint: int | None = None
     # Use snapshot versions not newer than the touch instead of current ones.
     as_of: bool = False
-    # A transaction can only land near the block it refers to, so stored
-    # duplicates are looked for within this many slots of the batch. None looks
-    # through the whole table.
-    conflict_slack: int | None = 1_000
+    # Stored duplicates are looked for in the whole table. A number limits that
+    # to so many slots around the batch, for feeds whose transactions can only
+    # land near the block they refer to.
+    conflict_slack: int | None = None
     engine: str = "auto"
 
 
@@ -92,31 +93,48 @@ def conflict_range(txs: DataFrame, size: int, slack: int | None) -> ConflictRang
     return ConflictRange(sorted(listed), low - slack, high + slack)
 
 
-def decode_entry(rows: DataFrame, entry: Entry, schema: T.StructType, engine: str = "auto") -> DataFrame:
+# Raised for a value that the saved type of its column cannot hold.
+DOES_NOT_FIT = "does_not_fit"
+
+
+def decode_entry(
+    rows: DataFrame, entry: Entry, schema: T.StructType, engine: str = "auto", *, ingested: Column | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Routed rows of one type as rows of its table, in the table's schema.
 
-    Types of saved columns never change: a value that no longer fits becomes
-    NULL. Columns the type no longer has stay, empty.
+    Only the fixed columns of its kind (and ``keep``) stand beside the payload
+    while it is decoded, so fields may have any name. Types of saved columns
+    never change: a value that no longer fits becomes NULL and is flagged.
+    Columns the type no longer has stay, empty.
     """
-    decoded = decode_payload(rows, entry.layout, engine=engine)
-    columns = []
+    before, after = FIXED_COLUMNS[entry.kind]
+    own = {c.split()[0] for c in after}
+    fixed = [c for c in (*[b.split()[0] for b in before], *keep) if c in rows.columns]
+    decoded = decode_payload(rows.select(*fixed, "data"), entry.layout, engine=engine)
+    columns, misfits = {}, []
     for f in schema.fields:
-        if f.name in ("created_at", "updated_at") and f.name not in decoded.columns:
-            columns.append(F.current_timestamp().alias(f.name))
-        elif f.name not in decoded.columns:
-            columns.append(F.lit(None).cast(f.dataType).alias(f.name))
-        elif decoded.schema[f.name].dataType == f.dataType:
-            columns.append(F.col(f"`{f.name}`"))
+        column = F.col(f"`{f.name}`")
+        if f.name in decoded.columns:
+            if decoded.schema[f.name].dataType != f.dataType:
+                cast = column.try_cast(f.dataType)
+                misfits.append(F.when(column.isNotNull() & cast.isNull(), F.lit(DOES_NOT_FIT)))
+                column = cast
+            columns[f.name] = column
+        elif f.name in own:
+            columns[f.name] = F.current_timestamp() if ingested is None else ingested
         else:
-            columns.append(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name))
-    return decoded.select(*columns)
+            columns[f.name] = F.lit(None).cast(f.dataType)
+    if misfits and "decode_issues" in columns:
+        raised = F.slice(F.filter(F.array(*misfits), lambda code: code.isNotNull()), 1, 1)
+        columns["decode_issues"] = F.concat(columns["decode_issues"], raised)
+    return decoded.select(*[c.alias(name) for name, c in columns.items()])
 
 
-def decode_table(rows: DataFrame, entries: list[Entry], schema: T.StructType, engine: str = "auto") -> DataFrame:
+def decode_table(rows: DataFrame, entries: list[Entry], schema: T.StructType, engine: str = "auto", ingested: Column | None = None) -> DataFrame:
     """Routed rows of one table, each decoded with the layout of its own entry."""
     if len(entries) == 1:
-        return decode_entry(rows, entries[0], schema, engine)
-    parts = [decode_entry(rows.where(F.col("entry_name") == e.name), e, schema, engine) for e in entries]
+        return decode_entry(rows, entries[0], schema, engine, ingested=ingested)
+    parts = [decode_entry(rows.where(F.col("entry_name") == e.name), e, schema, engine, ingested=ingested) for e in entries]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -149,12 +167,13 @@ def commit_batch(
 ) -> CommitResult:
     """Index a batch of normalised transactions.
 
-    The source is read once: deduplicated transactions are staged in the shared
-    folder, and so are the routed calls, partitioned by table, so that each
-    table's job reads only its own rows. Repeating a batch with the same
-    writer and id replaces it; other batches are checked for stored keys.
+    The source is read once: deduplicated transactions are staged below the
+    index, and so are the routed calls, partitioned by table, so that each
+    table's job reads only its own rows and tables without any get no job.
+    Repeating a batch with the same writer and id replaces it; other batches
+    are checked for stored keys. All rows of a batch have one ingest time.
     """
-    with Staging(store.spark, f"commit-{writer}-{batch_id}") as staging:
+    with Staging(store.spark, f"commit-{writer}-{batch_id}", store.root) as staging:
         return _commit(store, program, txs, writer, batch_id, snapshots, options, staging)
 
 
@@ -168,6 +187,7 @@ def _commit(
     staged = staging.put(keep_first(txs, ["signature"], order), "transactions")
     state = store.load()
     committed = state.committed
+    now = F.lit(datetime.now(timezone.utc))
     near = conflict_range(staged, store.slots_per_bucket, options.conflict_slack) if committed else None
 
     probe = staged.select("signature") if committed and staged.count() <= BROADCAST_BATCH else None
@@ -178,7 +198,7 @@ def _commit(
     new_state: dict[str, str] = {}
 
     def write_transactions() -> None:
-        rows = staged.withColumn("created_at", F.current_timestamp()).select(*TRANSACTION_SCHEMA.names)
+        rows = staged.withColumn("created_at", now).select(*TRANSACTION_SCHEMA.names)
         if committed:
             rows = not_stored(rows, stored("transactions", TRANSACTION_SCHEMA), ["signature"], probe)
         store.write(rows, "transactions", writer, batch_id, sort=("slot", "tx_index"), lookup="signature")
@@ -190,7 +210,7 @@ def _commit(
 
     def write_quarantine() -> None:
         rows = normalize.quarantine(routed.where(F.col("target") == "_quarantine"))
-        rows = rows.withColumn("created_at", F.current_timestamp()).select(*QUARANTINE_SCHEMA.names)
+        rows = rows.withColumn("created_at", now).select(*QUARANTINE_SCHEMA.names)
         if committed:
             rows = not_stored(rows, stored("quarantine", QUARANTINE_SCHEMA), ["tx_sig", "ix_index"], probe)
         store.write(rows, "quarantine", writer, batch_id)
@@ -201,7 +221,7 @@ def _commit(
             rows = keep_first(rows, list(options.call_key), ["ix_index"])
         if committed:
             rows = not_stored(rows, stored(table, columns), list(options.call_key), probe)
-        store.write(decode_table(rows, entries, columns, options.engine), table, writer, batch_id, lookup="tx_sig")
+        store.write(decode_table(rows, entries, columns, options.engine, now), table, writer, batch_id, lookup="tx_sig")
 
     def grown_schema(kind: str, table: str) -> T.StructType:
         columns = state.table_schema(table, program.table_schema(kind, table))
@@ -209,9 +229,13 @@ def _commit(
             new_state[SCHEMA_KEY + table] = columns.json()
         return columns
 
-    jobs = [write_transactions, write_quarantine]
+    # One row per table: only the folder names of the staged calls are read.
+    filled = {r["target"] for r in routed.select("target").distinct().collect()}
+    jobs = [write_transactions]
+    add = lambda there, table, job: jobs.append(job if there else partial(store.drop_batch, table, writer, batch_id))
+    add("_quarantine" in filled, "quarantine", write_quarantine)
     for table, entries in program.tables("instruction").items():
-        jobs.append(partial(write_calls, table, entries, grown_schema("instruction", table)))
+        add(table in filled, table, partial(write_calls, table, entries, grown_schema("instruction", table)))
     if snapshots is not None and program.accounts:
         states = staging.put(
             account_states(normalize.touched_accounts(routed, options.order), snapshots, program, staging, options),
@@ -219,11 +243,12 @@ def _commit(
         )
 
         def write_accounts(table: str, entries: list[Entry], columns: T.StructType) -> None:
-            rows = decode_table(states.where(F.col("table_name") == table), entries, columns, options.engine)
+            rows = decode_table(states.where(F.col("table_name") == table), entries, columns, options.engine, now)
             store.write(rows, table, writer, batch_id, sort=("address", "slot"), lookup="address")
 
+        held = {r["table_name"] for r in states.select("table_name").distinct().collect()}
         for table, entries in program.tables("account").items():
-            jobs.append(partial(write_accounts, table, entries, grown_schema("account", table)))
+            add(table in held, table, partial(write_accounts, table, entries, grown_schema("account", table)))
 
     with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
         for done in [pool.submit(inheritable_thread_target(store.spark)(job)) for job in jobs]:

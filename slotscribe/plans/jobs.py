@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -25,6 +26,9 @@ class BatchRequest:
     start_slot: int | None = None
     end_slot: int | None = None
     batch_size: int = BATCH_SIZE
+    # Slots per commit of a range; None commits the whole range at once. Long
+    # ranges should name one: what is committed is not done again after a failure.
+    chunk_slots: int | None = None
 
 
 def saved_slot(store: IndexStore) -> int | None:
@@ -52,14 +56,39 @@ def newest_signatures(blocks: DataFrame, program_id: str, count: int) -> DataFra
     return source.latest(everything, count)
 
 
+# Slot buckets up to which a signature list names them one by one; beyond, their range is read.
+MAX_LISTED_BUCKETS = 5_000
+
+
+def listed_transactions(blocks: DataFrame, signatures: list[str], bucket_size: int | None = None) -> DataFrame:
+    """Every listed transaction, whether or not it mentions a program, with its place in the list.
+
+    Positions come from the narrow signature columns; only the buckets that
+    hold one are then read in full.
+    """
+    spark = blocks.sparkSession
+    found = source.pick_signatures(source.program_signatures(blocks, None), spark, signatures)
+    positions = found.select("slot", "tx_index", "list_order")
+    if len(signatures) > source.BROADCAST_SIGNATURES:
+        return normalize.transactions(blocks, None).join(positions, ["slot", "tx_index"])
+    size = source.bucket_size_of(blocks, bucket_size)
+    held = positions.select("slot", "tx_index", "list_order").limit(MAX_LISTED_BUCKETS + 1).collect()
+    if len(held) > MAX_LISTED_BUCKETS:
+        low, high = positions.agg(F.min("slot"), F.max("slot")).first()
+        return normalize.transactions(source.prune_buckets(blocks, low, high, size), None).join(positions, ["slot", "tx_index"])
+    known = F.broadcast(spark.createDataFrame(held, positions.schema))
+    near = blocks.where(F.col("slot").isin(sorted({r["slot"] for r in held})))
+    if size is not None:
+        near = near.where(F.col("slot_bucket").isin(sorted({r["slot"] // size for r in held})))
+    return normalize.transactions(near, None).join(known, ["slot", "tx_index"])
+
+
 def select_transactions(
-    blocks: DataFrame, program: Program, request: BatchRequest, saved: int | None, *, bucket_size: int = source.SLOTS_PER_BUCKET
+    blocks: DataFrame, program: Program, request: BatchRequest, saved: int | None, *, bucket_size: int | None = None
 ) -> tuple[DataFrame, CommitOptions] | None:
     """Transactions of a request and the order they count in; None when a range is already done."""
-    spark = blocks.sparkSession
     if request.signatures:
-        txs = normalize.transactions(blocks, program.program_id)
-        return source.pick_signatures(txs, spark, list(request.signatures)), CommitOptions(order="list_order")
+        return listed_transactions(blocks, list(request.signatures), bucket_size), CommitOptions(order="list_order")
     if request.start_slot is not None and request.end_slot is not None:
         start = source.resume_slot(saved, request.start_slot, request.end_slot)
         if start is None:
@@ -77,6 +106,13 @@ def select_transactions(
     return txs.join(wanted, ["slot", "tx_index"], "left_semi"), CommitOptions(newest_first=True)
 
 
+def chunks(start: int, end: int, slots: int | None) -> Iterator[tuple[int, int]]:
+    """Inclusive stretches of a slot range."""
+    step = slots or end - start + 1
+    for low in range(start, end + 1, step):
+        yield low, min(low + step - 1, end)
+
+
 def run_batch(
     store: IndexStore,
     program: Program,
@@ -86,13 +122,22 @@ def run_batch(
     snapshots: DataFrame | None = None,
     writer: str = "batch",
     options: CommitOptions = CommitOptions(),
-    bucket_size: int = source.SLOTS_PER_BUCKET,
+    bucket_size: int | None = None,
 ) -> CommitResult | None:
-    """Index what the request selects as one batch; None when the range was already indexed.
+    """Index what the request selects; None when the range was already indexed.
 
-    A whole slot range is one Spark job, however many slots it has; a run that
-    fails has committed nothing and starts over under the same batch id.
+    A range is one commit, or with ``chunk_slots`` one for every chunk, also
+    the empty ones, each with its slot checkpoint; the last one is returned. A
+    run that fails starts over after the last committed chunk.
     """
+    ranged = not request.signatures and request.start_slot is not None and request.end_slot is not None
+    if ranged and request.chunk_slots:
+        start = source.resume_slot(saved_slot(store), request.start_slot, request.end_slot)
+        result = None
+        for low, high in chunks(start, request.end_slot, request.chunk_slots) if start is not None else ():
+            part = replace(request, start_slot=low, end_slot=high, chunk_slots=None)
+            result = run_batch(store, program, blocks, part, snapshots=snapshots, writer=writer, options=options, bucket_size=bucket_size)
+        return result
     selected = select_transactions(blocks, program, request, saved_slot(store), bucket_size=bucket_size)
     if selected is None:
         return None
@@ -109,7 +154,7 @@ def run_batch(
 def backfill(
     store: IndexStore, program: Program, blocks: DataFrame, *,
     snapshots: DataFrame | None = None, writer: str = "backfill", options: CommitOptions = CommitOptions(),
-    bucket_size: int = source.SLOTS_PER_BUCKET,
+    bucket_size: int | None = None,
 ) -> CommitResult | None:
     """Index everything newer than the saved signature; None when there is no checkpoint.
 
@@ -120,10 +165,11 @@ def backfill(
     signature = state.values.get(LAST_SIG_KEY)
     if signature is None:
         return None
-    signatures = source.program_signatures(blocks, program.program_id)
     stored = store.read("transactions", TRANSACTION_SCHEMA, state=state).where(F.col("signature") == signature)
     known = stored.select("slot").first()
-    position = source.position_of(signatures, signature, slot=known["slot"] if known else None)
+    # The checkpoint may be a listed transaction that does not mention the program.
+    near = source.prune_buckets(blocks, known["slot"], known["slot"], bucket_size) if known else blocks
+    position = source.position_of(source.program_signatures(near, None), signature)
     if position is None:
         fresh = normalize.transactions(blocks, program.program_id)
     else:

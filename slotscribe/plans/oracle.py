@@ -94,6 +94,7 @@ ORACLE = {
         and created_at between timestamp '2024-01-02' and timestamp '2024-01-30' order by created_at desc limit 50 offset 10""",
     "ix_list_by_tx": f"select * from {_CALLS} where tx_sig = 42",
     "ix_list_page_cap": f"select * from {_CALLS} order by created_at desc limit 1000",
+    "ix_list_large_page": f"select * from {_CALLS} order by created_at desc limit 5000",
     "ix_filter_all_matching": f"""select * from {_CALLS} where slot >= 1 and created_at >= timestamp '2024-01-01'
         and created_at <= timestamp '2024-01-29 23:59:59'""",
     "ix_rows_json": """select event_id as tx_sig, cast(to_json({tx_sig: event_id, ix_name: event_type, user_id: user_id,
@@ -115,7 +116,8 @@ ORACLE = {
         from lineitem group by 1, 2""",
     "tx_insert_conflict": f"select signature, slot, cast(case when err is null then 2 else 1 end as bigint) as batch from {_TXS}",
     "checkpoint_state": """select event_type as key, cast(arg_max(user_id, event_id) as varchar) as value from events group by 1""",
-    "typed_coercion": """select event_id, case when user_id % 2 = 0 then event_id end as amount, user_id % 256 <> 0 as "on", true as memo from events""",
+    "typed_coercion": """select event_id, case when user_id % 2 = 0 then event_id end as amount, user_id % 256 <> 0 as "on", true as memo,
+        case when user_id % 2 = 0 then '' else 'does_not_fit' end as issues from events""",
     "evolve_add_column": f"""select o_orderkey, cast(date_diff('day', date '1970-01-01', cast(o_orderdate as date)) as bigint) as slot,
         case when o_orderstatus <> 'F' then o_orderpriority end as o_orderpriority,
         cast(case when o_orderstatus = 'F' then 0 else 1 end as bigint) as batch_id from orders""",

@@ -22,20 +22,23 @@ class IndexReader:
 
     # -- tables ----------------------------------------------------------------
 
-    def _table(self, entry: Entry, state: IndexState | None = None) -> DataFrame:
+    def _table(self, entry: Entry, state: IndexState | None = None, slots: tuple[int | None, int | None] | None = None) -> DataFrame:
+        """Rows of a table; a range of slots limits the folders that are read."""
         state = state or self.store.load()
-        return self.store.read(entry.table, self._schema(entry.kind, entry.table, state), state=state)
+        buckets = self.store.buckets_of(*slots) if slots and slots != (None, None) else None
+        return self.store.read(entry.table, self._schema(entry.kind, entry.table, state), state=state, buckets=buckets)
 
     def _schema(self, kind: str, table: str, state: IndexState) -> StructType:
         return state.table_schema(table, self.program.table_schema(kind, table))
 
-    def transactions(self, state: IndexState | None = None) -> DataFrame:
-        """All indexed transactions."""
-        return self.store.read("transactions", TRANSACTION_SCHEMA, state=state)
+    def transactions(self, state: IndexState | None = None, slots: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+        """All indexed transactions, or those in the buckets of a range of slots."""
+        buckets = None if slots == (None, None) else self.store.buckets_of(*slots)
+        return self.store.read("transactions", TRANSACTION_SCHEMA, state=state, buckets=buckets)
 
-    def call_table(self, ix_name: str, *, with_block_ts: bool = False) -> DataFrame:
+    def call_table(self, ix_name: str, *, with_block_ts: bool = False, slots: tuple[int | None, int | None] = (None, None)) -> DataFrame:
         """All calls of an instruction; ``block_ts`` is the chain time as a timestamp."""
-        calls = self._table(self.program.resolve("instruction", ix_name))
+        calls = self._table(self.program.resolve("instruction", ix_name), slots=slots)
         return calls.withColumn("block_ts", F.timestamp_seconds("block_time")) if with_block_ts else calls
 
     def account_table(self, account_type: str) -> DataFrame:
@@ -63,13 +66,13 @@ class IndexReader:
             "accounts": [shown(e, "fields") for e in self.program.accounts if e.has_table],
         }
 
-    def transaction(self, signature: str) -> DataFrame:
-        """The transaction with a signature, or no row."""
-        return lookups.transaction(self.transactions(), signature)
+    def transaction(self, signature: str, slot: int | None = None) -> DataFrame:
+        """The transaction with a signature, or no row; a known slot limits the folders that are read."""
+        return lookups.transaction(self.transactions(slots=(slot, slot)), signature)
 
     def calls(self, ix_name: str, f: CallFilter = CallFilter(), *, time_col: str = "created_at") -> DataFrame:
-        """One page of calls of an instruction."""
-        table = self.call_table(ix_name, with_block_ts=time_col == "block_ts")
+        """One page of calls of an instruction; slot bounds also limit the folders that are read."""
+        table = self.call_table(ix_name, with_block_ts=time_col == "block_ts", slots=(f.from_slot, f.to_slot))
         return lookups.list_calls(table, f, time_col=time_col).drop("writer", "batch_id", "slot_bucket")
 
     def calls_json(self, ix_name: str, f: CallFilter = CallFilter(), *, time_col: str = "created_at") -> DataFrame:

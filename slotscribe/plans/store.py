@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 from functools import reduce
+from threading import Lock
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 
 from ..functions.schema_text import schema
 from ..operators.registry import merge_schema
-from ..session import remove_folder
-from ..sources.blocks import SLOTS_PER_BUCKET, slot_bucket
+from ..session import list_folders, remove_folder
+from ..sources.blocks import SLOTS_PER_BUCKET, keep_layout, read_layout, slot_bucket
 
 # Checkpoint keys.
 LAST_SIG_KEY = "last_indexed_sig"
@@ -71,8 +72,27 @@ class IndexState:
 class IndexStore:
     """Reads and writes the tables of one index below ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str, *, slots_per_bucket: int = SLOTS_PER_BUCKET):
-        self.spark, self.root, self.slots_per_bucket = spark, root.rstrip("/"), slots_per_bucket
+    def __init__(self, spark: SparkSession, root: str, *, slots_per_bucket: int | None = None):
+        self.spark, self.root, self._stated, self._size = spark, root.rstrip("/"), slots_per_bucket, None
+        self._lock, self._kept = Lock(), False
+
+    @property
+    def slots_per_bucket(self) -> int:
+        """Bucket size of the index: the one it was written with; a differing stated one is refused."""
+        if self._size is None:
+            known = read_layout(self.spark, self.root)
+            if known is not None and self._stated not in (None, known):
+                raise ValueError(f"the index has {known} slots per bucket, not {self._stated}")
+            self._size, self._kept = known or self._stated or SLOTS_PER_BUCKET, known is not None
+        return self._size
+
+    def keep_layout(self) -> None:
+        """Store the bucket size before the first table is written."""
+        with self._lock:
+            size = self.slots_per_bucket
+            if not self._kept:
+                keep_layout(self.spark, self.root, size)
+                self._kept = True
 
     # -- state -----------------------------------------------------------------
 
@@ -113,7 +133,7 @@ class IndexStore:
         *,
         state: IndexState | None = None,
         exclude: tuple[str, int] | None = None,
-        buckets: list[int] | tuple[int, int] | None = None,
+        buckets: list[int] | tuple[int | None, int | None] | None = None,
     ) -> DataFrame:
         """Committed rows of a table. Columns that older files lack are NULL.
 
@@ -136,11 +156,22 @@ class IndexStore:
         if exclude is not None:
             rows = rows.where(~((F.col("writer") == exclude[0]) & (F.col("batch_id") == exclude[1])))
         if isinstance(buckets, tuple):
-            rows = rows.where(F.col("slot_bucket").between(*buckets))
+            low, high = buckets
+            rows = rows if low is None else rows.where(F.col("slot_bucket") >= low)
+            rows = rows if high is None else rows.where(F.col("slot_bucket") <= high)
         elif buckets is not None:
             rows = rows.where(F.col("slot_bucket").isin(buckets))
         return rows
 
+    def buckets_of(self, low: int | None, high: int | None) -> tuple[int | None, int | None]:
+        """Range of slot buckets of a range of slots, open where a bound is."""
+        size = self.slots_per_bucket
+        return (None if low is None else low // size, None if high is None else high // size)
+
+    def drop_batch(self, table: str, writer: str, batch_id: int) -> None:
+        """Remove what an unfinished attempt left in a table that this batch does not write."""
+        remove_folder(self.spark, f"{self.root}/{table}/writer={writer}/batch_id={batch_id}")
+
     def write(self, df: DataFrame, table: str, writer: str, batch_id: int, *, sort: tuple[str, ...] = ("slot",), lookup: str | None = None) -> None:
         """Replace this batch's folder of a table.
 
@@ -151,6 +182,7 @@ class IndexStore:
         Rebalancing by slot bucket lets the adaptive planner split a large
         bucket over several tasks and merge small ones, so files come out even.
         """
+        self.keep_layout()
         bloom = {}
         if lookup:
             bloom = {f"parquet.bloom.filter.enabled#{lookup}": "true", f"parquet.enable.dictionary#{lookup}": "false"}
@@ -187,6 +219,8 @@ class IndexStore:
 
     def remove_merged(self, tables: list[str], writer: str) -> None:
         """Delete the folders of batches that have been merged; no reader may still be using them."""
-        for batch_id in range(self.load().merged.get(writer, -1) + 1):
-            for table in tables:
-                remove_folder(self.spark, f"{self.root}/{table}/writer={writer}/batch_id={batch_id}")
+        last = self.load().merged.get(writer, -1)
+        for table in tables:
+            for folder in list_folders(self.spark, f"{self.root}/{table}/writer={writer}"):
+                if int(folder.rpartition("=")[2]) <= last:
+                    remove_folder(self.spark, folder)

@@ -41,8 +41,9 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a local temporary
-    folder created and registered for it.
+    Only where a local session names none (tests, a laptop) is a temporary
+    folder created and registered for it; executors of a cluster share no such
+    folder, so there the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -50,6 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="slotscribe-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -66,11 +70,19 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders directly below a path, none if it does not exist."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [str(s.getPath()) for s in system.listStatus(target) if s.isDirectory()] if system.exists(target) else []
+
+
 class Staging:
-    """Intermediate results of one job, written to the shared folder and removed when the job ends."""
+    """Intermediate results of one job, written below ``base`` or the shared folder and removed when the job ends."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, scratch_path(spark, label)
+    def __init__(self, spark: SparkSession, label: str, base: str | None = None):
+        self.spark = spark
+        self.root = scratch_path(spark, label) if base is None else f"{base}/_staging/{label}-{uuid.uuid4().hex}"
 
     def __enter__(self) -> "Staging":
         return self
@@ -81,14 +93,14 @@ class Staging:
     def put(self, df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
         """Write and read back: computed once, lineage cut, safe against lost executors.
 
-        With ``partition`` every value gets its own folder; rebalancing makes
-        the files even, however many tasks read the source and however uneven
-        the values are.
+        With ``partition`` every value gets its own folder. Rows are not moved
+        for it: a task writes a file per value it holds, and the job that reads
+        a value splits and packs its files.
         """
         path, schema = f"{self.root}/{name}", df.schema
         if partition is None:
             df.write.parquet(path)
         else:
-            df.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
+            df.write.partitionBy(partition).parquet(path)
             schema = StructType([*[f for f in schema.fields if f.name != partition], schema[partition]])
         return self.spark.read.schema(schema).parquet(path)

@@ -7,6 +7,7 @@ need; selections that need whole transactions shrink the array before exploding.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,10 @@ DUMP_DDL = (
 )
 
 SLOTS_PER_BUCKET = 100_000
+# Where a table keeps its bucket size (readers pass over names that start so), and
+# the key under which a DataFrame's ``slot_bucket`` column carries it.
+LAYOUT = "_layout"
+SIZE_KEY = "slots_per_bucket"
 
 
 def block_schema() -> T.StructType:
@@ -43,26 +48,62 @@ def slot_bucket(slot: Column | str = "slot", size: int = SLOTS_PER_BUCKET) -> Co
     return F.floor(column / size).cast("bigint")
 
 
+def read_layout(spark: SparkSession, path: str) -> int | None:
+    """Bucket size a table was written with; None when it does not say."""
+    try:
+        row = spark.read.schema(f"{SIZE_KEY} bigint").json(f"{path}/{LAYOUT}").first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        row = None
+    return row[0] if row else None
+
+
+def keep_layout(spark: SparkSession, path: str, size: int, *, replace: bool = False) -> None:
+    """Store the bucket size with a table; a table keeps the size it has."""
+    known = None if replace else read_layout(spark, path)
+    if known is not None and known != size:
+        raise ValueError(f"{path} has {known} slots per bucket, not {size}")
+    if known is None:
+        spark.createDataFrame([(size,)], f"{SIZE_KEY} bigint").coalesce(1).write.mode("overwrite").json(f"{path}/{LAYOUT}")
+
+
+def bucket_size_of(blocks: DataFrame, stated: int | None = None) -> int | None:
+    """Slots per bucket of a table: its own, or the stated size if it does not say; both must agree."""
+    if "slot_bucket" not in blocks.columns:
+        return None
+    known = blocks.schema["slot_bucket"].metadata.get(SIZE_KEY)
+    if known is not None and stated is not None and known != stated:
+        raise ValueError(f"the block table has {known} slots per bucket, not {stated}")
+    return known if known is not None else stated
+
+
 def read_blocks(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A block table in our layout from Parquet, ORC or JSON.
 
     Parquet and ORC tables written by ``write_blocks`` are partitioned by
-    ``slot_bucket``; that column is kept so that slot ranges prune folders.
+    ``slot_bucket``; that column is kept, with the table's bucket size, so that
+    slot ranges prune folders.
     """
     reader = spark.read.format(fmt)
     if fmt == "json":
         return reader.schema(block_schema()).load(path)
-    return reader.load(path)
+    blocks = reader.load(path)
+    size = read_layout(spark, path) if "slot_bucket" in blocks.columns else None
+    return blocks if size is None else blocks.withMetadata("slot_bucket", {SIZE_KEY: size})
 
 
 def write_blocks(blocks: DataFrame, path: str, *, size: int = SLOTS_PER_BUCKET, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Store blocks by slot bucket, sorted by slot inside each file."""
+    """Store blocks by slot bucket, sorted by slot inside each file; the bucket size is stored with them."""
+    if mode == "append":
+        keep_layout(blocks.sparkSession, path, size)
     (
         blocks.withColumn("slot_bucket", slot_bucket(size=size))
         .hint("rebalance", "slot_bucket")
         .sortWithinPartitions("slot_bucket", "slot")
         .write.partitionBy("slot_bucket").format(fmt).mode(mode).save(path)
     )
+    keep_layout(blocks.sparkSession, path, size, replace=mode == "overwrite")
 
 
 def from_dump(raw: DataFrame) -> DataFrame:
@@ -121,9 +162,10 @@ def in_slot_range(blocks: DataFrame, start: int | None, end: int | None) -> Data
     return blocks
 
 
-def prune_buckets(blocks: DataFrame, start: int | None, end: int | None, size: int = SLOTS_PER_BUCKET) -> DataFrame:
-    """``in_slot_range`` plus the matching range of slot buckets (folders)."""
-    if "slot_bucket" in blocks.columns:
+def prune_buckets(blocks: DataFrame, start: int | None, end: int | None, size: int | None = None) -> DataFrame:
+    """``in_slot_range`` plus the matching range of slot buckets (folders), where the bucket size is known."""
+    size = bucket_size_of(blocks, size)
+    if size is not None:
         if start is not None:
             blocks = blocks.where(F.col("slot_bucket") >= start // size)
         if end is not None:
@@ -141,11 +183,11 @@ def first_signature(signatures: Column) -> Column:
     return F.get(signatures, F.lit(0))
 
 
-def program_signatures(blocks: DataFrame, program_id: str) -> DataFrame:
-    """(signature, slot, tx_index, err, block_time) of every transaction that mentions the program."""
+def program_signatures(blocks: DataFrame, program_id: str | None) -> DataFrame:
+    """(signature, slot, tx_index, err, block_time) of every transaction that mentions the program, or of all."""
+    exploded = blocks.select("slot", "block_time", F.posexplode("transactions").alias("tx_index", "tx"))
     return (
-        blocks.select("slot", "block_time", F.posexplode("transactions").alias("tx_index", "tx"))
-        .where(uses_program(F.col("tx.account_keys"), program_id))
+        exploded.where(F.lit(True) if program_id is None else uses_program(F.col("tx.account_keys"), program_id))
         .select(first_signature(F.col("tx.signatures")).alias("signature"), "slot", "tx_index", F.col("tx.meta.err").alias("err"), "block_time")
         .where(F.col("signature").isNotNull())
     )

@@ -86,14 +86,19 @@ def catch_up_then_follow(
     store: IndexStore,
     program: Program,
     checkpoint: str,
+    *,
+    bucket_size: int | None = None,
     **stream_options,
 ) -> StreamingQuery:
-    """Backfill from the saved signature, then follow the live feed.
+    """Backfill from the saved signature, then follow the live feed, both with the same snapshots and options.
 
     Without a saved signature nothing is backfilled: indexing starts at the
     newest slot that ``history`` holds.
     """
-    done = backfill(store, program, history, snapshots=stream_options.get("snapshots"))
+    done = backfill(
+        store, program, history, snapshots=stream_options.get("snapshots"),
+        options=stream_options.get("options", CommitOptions()), bucket_size=bucket_size,
+    )
     if done is None and not store.load().committed:
         tip = history.agg(F.max("slot").alias("slot")).first()["slot"]
         stream_options.setdefault("after_slot", tip)

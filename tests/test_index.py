@@ -125,11 +125,11 @@ def test_signature_list_and_latest(spark, program, store):
     assert listed == ["sig120a", "sig105b", "sig105b", "unknown", "other105"]
     run_batch(store, program, df, BatchRequest(signatures=tuple(listed), start_slot=1, end_slot=2), snapshots=snapshots(spark))
     reader = IndexReader(store, program)
-    assert sorted(r["signature"] for r in reader.transactions().collect()) == ["sig105b", "sig120a"]
+    assert sorted(r["signature"] for r in reader.transactions().collect()) == ["other105", "sig105b", "sig120a"]
     assert reader.accounts("Vault").first()["slot"] == 120
     run_batch(store, program, df, BatchRequest(batch_size=4), snapshots=snapshots(spark))
     newest = sorted(signatures(blocks), key=lambda r: (r[1], r[2]))[-4:]
-    assert {r["signature"] for r in reader.transactions().collect()} == {"sig105b", "sig120a", *[s for s, _, _ in newest]}
+    assert {r["signature"] for r in reader.transactions().collect()} == {"other105", "sig105b", "sig120a", *[s for s, _, _ in newest]}
     assert reader.accounts("Vault").first()["slot"] == newest[-1][1]
 
 
@@ -301,9 +301,7 @@ def test_merge_keeps_every_answer(spark, program, store):
 def test_staging_is_removed(spark, program, store):
     import os
 
-    from slotscribe.session import shared_dir
-
-    folder = shared_dir(spark).removeprefix("file:") + "/slotscribe"
+    folder = f"{store.root}/_staging"
     run_batch(store, program, chain.blocks_df(spark, chain.sample_blocks(range(100, 102))), BatchRequest(start_slot=100, end_slot=101))
     assert not [f for f in os.listdir(folder) if f.startswith("commit-batch-0")]
 
@@ -329,3 +327,133 @@ def test_point_lookup_columns_have_bloom_filters(spark, program, store):
             f"select bloom_filter_offset from parquet_metadata('{store.root}/{table}/*/*/*/*.parquet') where path_in_schema = '{column}'"
         ).fetchall()
         assert found and all(r[0] for r in found)
+
+
+def stored(spark, tmp_path, blocks, size=10):
+    path = str(tmp_path / "blocks")
+    source.write_blocks(chain.blocks_df(spark, blocks), path, size=size)
+    return source.read_blocks(spark, path)
+
+
+def test_bucket_size_comes_from_the_table(spark, program, tmp_path):
+    blocks = chain.sample_blocks()
+    table = stored(spark, tmp_path, blocks)
+    store = IndexStore(spark, str(tmp_path / "index"))
+    run_batch(store, program, table, BatchRequest(start_slot=100, end_slot=140))
+    assert IndexReader(store, program).transactions().count() == len(signatures(blocks))
+    with pytest.raises(ValueError):
+        run_batch(store, program, table, BatchRequest(start_slot=100, end_slot=200), bucket_size=7)
+    with pytest.raises(ValueError):
+        source.write_blocks(table.drop("slot_bucket"), str(tmp_path / "blocks"), size=3, mode="append")
+    assert IndexStore(spark, store.root).slots_per_bucket == source.SLOTS_PER_BUCKET
+    with pytest.raises(ValueError):
+        IndexStore(spark, store.root, slots_per_bucket=10).slots_per_bucket
+    # A table that does not say is searched without pruning.
+    plain = chain.blocks_df(spark, blocks).withColumn("slot_bucket", F.col("slot") * 0)
+    assert source.program_signatures(source.prune_buckets(plain, 105, 106), chain.PROGRAM).count() > 0
+
+
+def test_conflicts_are_found_anywhere_in_the_table(spark, program, store):
+    for slot in (100, 5_000):
+        df = chain.blocks_df(spark, [chain.block(slot, chain.tx("twice", [chain.buy(1)]))])
+        run_batch(store, program, df, BatchRequest(start_slot=slot, end_slot=slot))
+    reader = IndexReader(store, program)
+    assert [r["slot"] for r in reader.transactions().collect()] == [100]
+    assert [r["slot"] for r in reader.call_table("buy").collect()] == [100]
+
+
+def test_range_in_chunks_goes_on_after_a_failure(spark, program, tmp_path, monkeypatch):
+    blocks = chain.sample_blocks()
+    table = stored(spark, tmp_path, blocks)
+    store = IndexStore(spark, str(tmp_path / "index"), slots_per_bucket=10)
+    request = BatchRequest(start_slot=90, end_slot=139, chunk_slots=10)
+    from slotscribe.plans import jobs
+
+    commit, done = jobs.commit_batch, []
+
+    def failing(*args, **kwargs):
+        if len(done) == 3:
+            raise RuntimeError("lost")
+        done.append(kwargs["options"].slot_checkpoint)
+        return commit(*args, **kwargs)
+
+    monkeypatch.setattr(jobs, "commit_batch", failing)
+    with pytest.raises(RuntimeError):
+        run_batch(store, program, table, request)
+    assert done == [99, 109, 119] and jobs.saved_slot(store) == 119
+    done.clear()
+    monkeypatch.setattr(jobs, "commit_batch", lambda *a, **k: (done.append(k["options"].slot_checkpoint), commit(*a, **k))[1])
+    assert run_batch(store, program, table, request).checkpoints["last_indexed_slot"] == "139"
+    assert done == [129, 139]
+    assert run_batch(store, program, table, request) is None
+    assert sorted(r["signature"] for r in IndexReader(store, program).transactions().collect()) == sorted(s for s, _, _ in signatures(blocks))
+
+
+def test_arguments_may_have_any_name(spark, store):
+    names = ["target", "discriminator", "touched", "txIndex", "entryName", "tableName", "listOrder", "data", "accounts", "slotBucket", "txSig", "_rn"]
+    idl = {"instructions": [{"name": "odd", "args": [{"name": n, "type": "u8"} for n in names]}], "accounts": []}
+    odd = program_from_json(spark, chain.PROGRAM, json.dumps(idl))
+    payload = chain.disc("global:odd") + bytes(range(1, len(names) + 1))
+    df = chain.blocks_df(spark, [chain.block(1, chain.tx("s", [payload]))])
+    run_batch(store, odd, df, BatchRequest(start_slot=0, end_slot=5))
+    run_batch(store, odd, df, BatchRequest(signatures=("s",)), writer="again")
+    row = IndexReader(store, odd).call_table("odd").collect()
+    assert len(row) == 1
+    columns = [f.column for f in odd.instructions[0].fields]
+    assert [row[0][c] for c in columns] == list(range(1, len(names) + 1))
+
+
+def test_dropped_argument_named_like_an_ingest_time(spark, store):
+    def version(args):
+        return program_from_json(spark, chain.PROGRAM, json.dumps({"instructions": [{"name": "odd", "args": args}]}))
+
+    one = version([{"name": "a", "type": "u8"}, {"name": "updatedAt", "type": "i64"}])
+    two = version([{"name": "a", "type": "u8"}])
+    payload = chain.disc("global:odd") + b"\x05" + (77).to_bytes(8, "little")
+    for n, program in enumerate((one, two)):
+        df = chain.blocks_df(spark, [chain.block(n, chain.tx(f"s{n}", [payload]))])
+        run_batch(store, program, df, BatchRequest(start_slot=n, end_slot=n))
+    rows = IndexReader(store, two).call_table("odd").orderBy("slot").select("a", "updated_at").collect()
+    assert [tuple(r) for r in rows] == [(5, 77), (5, None)]
+
+
+def test_rows_of_a_batch_share_their_ingest_time(spark, program, store):
+    run_batch(store, program, chain.blocks_df(spark, chain.sample_blocks()), BatchRequest(start_slot=100, end_slot=140), snapshots=snapshots(spark))
+    reader = IndexReader(store, program)
+    times = {r[0] for df in (reader.transactions(), reader.call_table("buy"), reader.call_table("note")) for r in df.select("created_at").distinct().collect()}
+    times |= {r[0] for r in reader.account_table("Vault").select("updated_at").collect()}
+    assert len(times) == 1
+
+
+def test_tables_without_rows_start_no_job(spark, program, store, monkeypatch):
+    written = []
+    write = IndexStore.write
+    monkeypatch.setattr(IndexStore, "write", lambda self, df, table, *a, **k: (written.append(table), write(self, df, table, *a, **k))[1])
+    df = chain.blocks_df(spark, [chain.block(1, chain.tx("s", [chain.buy(1)]))])
+    run_batch(store, program, df, BatchRequest(start_slot=0, end_slot=5))
+    assert sorted(written) == ["ix_buy", "transactions"]
+    assert IndexReader(store, program).stats().first()["ix_call_counts"] == {"ix_buy": 1, "ix_note": 0}
+
+
+def test_limits_are_honoured(spark):
+    from slotscribe.operators import lookups
+
+    calls = spark.range(3_000).selectExpr("cast(id as string) as tx_sig", "0 as ix_index", "id as slot", "timestamp_seconds(id) as created_at")
+    assert lookups.list_calls(calls, CallFilter(limit=2_500)).count() == 2_500
+    assert lookups.list_calls(calls, CallFilter(limit=2_500), most=1_000).count() == 1_000
+    states = spark.range(300).selectExpr("'a' as address", "id as slot")
+    assert lookups.account_history(states, "a", 250).count() == 250 and lookups.account_history(states, "a").count() == 20
+
+
+def test_index_reads_are_pruned(spark, program, store):
+    run_batch(store, program, chain.blocks_df(spark, chain.sample_blocks()), BatchRequest(start_slot=100, end_slot=140))
+    reader = IndexReader(store, program)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    page = plan(reader.calls("buy", CallFilter(from_slot=105, to_slot=112)))
+    assert "slot_bucket" in page.split("PartitionFilters")[1].split("PushedFilters")[0]
+    lookup = plan(reader.transaction("sig106a", slot=106))
+    assert "slot_bucket" in lookup.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert reader.transaction("sig106a", slot=106).count() == 1 and reader.transaction("sig106a", slot=125).count() == 0
+    series = plan(reader.time_series("buy", "2024-01-01", "2024-02-01", "day", time_col="block_ts"))
+    pushed = series.split("PushedFilters")[1]
+    assert "GreaterThanOrEqual(block_time" in pushed and "LessThanOrEqual(block_time" in pushed
