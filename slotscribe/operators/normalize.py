@@ -136,7 +136,25 @@ def first_touch(touches: DataFrame, order: str | None = None, *, newest_first: b
     return touches.groupBy("address").agg(slot.alias("slot"))
 
 
-def current_snapshots(first_touches: DataFrame, snapshots: DataFrame) -> DataFrame:
+# Parts that the versions of one address are dealt into when they are joined by shuffle.
+VERSION_PARTS = 16
+
+
+def _versions(touches: DataFrame, snapshots: DataFrame, spread: bool) -> DataFrame:
+    """Every touched address with all its versions.
+
+    ``spread`` deals the versions of an address over several tasks and repeats
+    its touch, one row, in each; a broadcast join needs neither.
+    """
+    versions = snapshots.select("address", F.col("slot").alias("_version"), "lamports", "data")
+    if not spread:
+        return touches.join(versions, "address")
+    part = F.pmod(F.xxhash64("_version"), F.lit(VERSION_PARTS)).alias("_part")
+    repeated = touches.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(VERSION_PARTS - 1).cast("bigint"))))
+    return repeated.join(versions.select("*", part), ["address", "_part"]).drop("_part")
+
+
+def current_snapshots(first_touches: DataFrame, snapshots: DataFrame, *, spread: bool = False) -> DataFrame:
     """Touched accounts joined to their snapshot (address, lamports, data), stamped with the touching slot.
 
     Addresses without a snapshot drop out. Where ``snapshots`` has a ``slot``
@@ -144,8 +162,7 @@ def current_snapshots(first_touches: DataFrame, snapshots: DataFrame) -> DataFra
     """
     if "slot" not in snapshots.columns:
         return first_touches.join(snapshots.select("address", "lamports", "data"), "address")
-    versions = snapshots.select("address", F.col("slot").alias("_version"), "lamports", "data")
-    return _newest_version(first_touches.join(versions, "address"))
+    return _newest_version(_versions(first_touches, snapshots, spread))
 
 
 def _newest_version(joined: DataFrame) -> DataFrame:
@@ -154,11 +171,10 @@ def _newest_version(joined: DataFrame) -> DataFrame:
     return joined.withColumn("_rn", newest).where("_rn = 1").drop("_rn", "_version")
 
 
-def snapshots_as_of(first_touches: DataFrame, snapshots: DataFrame) -> DataFrame:
+def snapshots_as_of(first_touches: DataFrame, snapshots: DataFrame, *, spread: bool = False) -> DataFrame:
     """Like ``current_snapshots`` for versioned snapshots: the newest version not after the touch.
 
     Each address has one touch, so the join emits each snapshot at most once;
     the row-number filter trims to one row per address before its shuffle.
     """
-    versions = snapshots.select("address", F.col("slot").alias("_version"), "lamports", "data")
-    return _newest_version(first_touches.join(versions, "address").where(F.col("_version") <= F.col("slot")))
+    return _newest_version(_versions(first_touches, snapshots, spread).where(F.col("_version") <= F.col("slot")))

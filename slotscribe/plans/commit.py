@@ -149,10 +149,11 @@ def account_states(
     """Touched accounts with their routed snapshot payload."""
     first = staging.put(normalize.first_touch(touches, options.order, newest_first=options.newest_first), "touched")
     # The count decides: few addresses are sent to the snapshots, many are joined by shuffle.
-    if first.limit(BROADCAST_ADDRESSES + 1).count() <= BROADCAST_ADDRESSES:
+    few = first.limit(BROADCAST_ADDRESSES + 1).count() <= BROADCAST_ADDRESSES
+    if few:
         first = F.broadcast(first)
     pick = normalize.snapshots_as_of if options.as_of else normalize.current_snapshots
-    return normalize.route(pick(first, snapshots), program, "account").where(F.col("table_name").isNotNull())
+    return normalize.route(pick(first, snapshots, spread=not few), program, "account").where(F.col("table_name").isNotNull())
 
 
 def commit_batch(

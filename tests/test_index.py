@@ -235,6 +235,21 @@ def test_snapshots_as_of(spark):
     assert [(r["address"], r["slot"], r["lamports"]) for r in normalize.snapshots_as_of(touches, versions).collect()] == [("a", 10, 2)]
 
 
+def test_versions_of_a_hot_address_are_spread(spark):
+    touches = spark.range(50).selectExpr("concat('a', id) as address", "200 + id as slot")
+    hot = "case when id % 3 = 0 then 'a7' else concat('a', id % 60) end as address"
+    versions = spark.range(3_000).selectExpr(hot, "id as slot", "id * 2 as lamports", "cast('x' as binary) as data")
+    for pick in (normalize.snapshots_as_of, normalize.current_snapshots):
+        plain, spread = (sorted(tuple(r) for r in pick(touches, versions, spread=s).select("address", "slot", "lamports").collect()) for s in (False, True))
+        assert plain == spread and len(plain) == 33
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = normalize._versions(touches, versions, True)
+        assert "_part" in joined._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(")[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_account_roles(spark):
     df = spark.createDataFrame([(["a", "b", "c", "d"], [0, 1, 2, 3, 9])], "accounts array<string>, idx array<int>").withColumn(
         "header", F.expr("named_struct('num_required_signatures', 2, 'num_readonly_signed', 1, 'num_readonly_unsigned', 1)")

@@ -67,6 +67,24 @@ def test_catch_up_then_follow(spark, program, tmp_path):
     assert len(signatures(reader)) == len(set(signatures(reader)))
 
 
+def test_catch_up_passes_options_on(spark, program, tmp_path):
+    from slotscribe.plans.commit import CommitOptions
+
+    blocks = chain.sample_blocks(range(100, 106))
+    store = IndexStore(spark, str(tmp_path / "i"))
+    options = CommitOptions(call_key=("tx_sig",))
+    run_batch(store, program, chain.blocks_df(spark, blocks[:1]), BatchRequest(start_slot=100, end_slot=100), options=options)
+    feed(tmp_path / "in", blocks[3:], "a.json")
+    live = stream_blocks(spark, str(tmp_path / "in"))
+    query = catch_up_then_follow(
+        chain.blocks_df(spark, blocks[:4]), live, store, program, str(tmp_path / "c"), available_now=True, options=options
+    )
+    assert query.awaitTermination(240)
+    calls = IndexReader(store, program).call_table("buy")
+    assert calls.count() == calls.select("tx_sig").distinct().count() > 0
+    assert {r["slot"] for r in calls.select("slot").distinct().collect()} == {b["slot"] for b in blocks}
+
+
 def test_blocks_from_messages(spark):
     block = chain.sample_blocks(range(100, 101))[0]
     got = blocks_from_values(spark.createDataFrame([(json.dumps(block).encode(),)], "value binary")).first()
