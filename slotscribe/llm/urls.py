@@ -102,7 +102,7 @@ def judge(pages: DataFrame, rules=RULES, *, url_col: str = "url") -> DataFrame:
     after = F.regexp_extract(F.coalesce("url", F.lit("")), AFTER, 1)
     grams = known.select("url", "ruled", "half", F.explode(groups(after)).alias("gram"))
     train = lambda v: F.sum(F.when((F.col("ruled") == v) & (F.col("half") == 0), 1.0).otherwise(0.0)).alias(v)
-    model = ratios(grams.groupBy("gram").agg(train("allow"), train("block")))
+    model = ratios(stage(grams.groupBy("gram").agg(train("allow"), train("block")), "grams"))
     scored = grams.join(model, "gram").groupBy("url").agg((F.sum("ratio") / F.count("*")).alias("score"))
     rated = stage(known.join(scored, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "scores")
 
