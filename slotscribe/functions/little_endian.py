@@ -51,6 +51,26 @@ def _wide(data: Column, position: Column, signed: bool) -> Column:
     return F.when(high < 0, plus(high + 1, low - base)).otherwise(plus(high, low))
 
 
+def wide_digits(data: Column, position: Column, signed: bool) -> Column:
+    """All digits of a 128-bit number as text, also from 10**38 on.
+
+    2**96 and 2**64 are split at 10**19, so that every product fits a decimal;
+    the carry and the low 19 digits are cut from the text of the low part.
+    """
+    number = lambda at, width: unsigned(data, position + at, width).cast("decimal(20,0)")
+    low, middle, high = number(0, 8), number(8, 4), number(12, 4)
+    negative = (high >= 1 << 31) if signed else F.lit(False)
+    flip = lambda word, bits: F.when(negative, F.lit(str((1 << bits) - 1)).cast("decimal(20,0)") - word).otherwise(word)
+    low, middle, high = flip(low, 64), flip(middle, 32), flip(high, 32)
+    times = lambda word, factor: (word.cast("decimal(10,0)") * F.lit(factor).cast("decimal(19,0)")).cast("decimal(38,0)")
+    rest = times(high, (1 << 96) % 10**19) + times(middle, (1 << 64) % 10**19) + low + F.when(negative, 1).otherwise(0)
+    text = rest.cast("decimal(38,0)").cast("string")
+    size = F.char_length(text)
+    carry = F.when(size > 19, F.left(text, size - 19).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+    top = times(high, (1 << 96) // 10**19) + middle + carry
+    return F.concat(F.when(negative, "-").otherwise(""), top.cast("decimal(38,0)").cast("string"), F.lpad(F.right(text, F.lit(19)), 19, "0"))
+
+
 def _float(data: Column, position: Column, width: int) -> Column:
     """IEEE number from its sign, exponent and fraction bits; every step is exact."""
     fraction_bits, exponent_bits, bias = (52, 11, 1023) if width == 8 else (23, 8, 127)

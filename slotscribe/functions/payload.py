@@ -21,7 +21,9 @@ from .base58 import encode_matrix, ragged
 from .discriminators import DISCRIMINATOR_BYTES
 from .idl_types import FIXED_WIDTH, OPAQUE_TYPE, spark_type, struct_members
 
-# Codes of the ``decode_issues`` column, in the order they are listed there.
+# Codes of the ``decode_issues`` column, in the order they are listed there. After
+# them come notes, ``code=text`` in reading order, with what a column cannot
+# hold: the exact digits of a wide integer, the declared length of a list.
 ISSUES = ("truncated", "bad_utf8", "int128_overflow", "vec_len_capped", "bad_flag")
 
 _NUMPY = {"u8": "u1", "u16": "<u2", "u32": "<u4", "i8": "i1", "i16": "<i2", "i32": "<i4", "i64": "<i8", "f32": "<f4", "f64": "<f8"}
@@ -32,15 +34,21 @@ _WORD = 1 << 64
 class Cursor:
     """Read positions of a set of rows; ``row`` maps them to rows of the whole batch."""
 
-    def __init__(self, buf, pos, end, row, issues):
-        self.buf, self.pos, self.end, self.row, self.issues = buf, pos, end, row, issues
+    def __init__(self, buf, pos, end, row, issues, notes):
+        self.buf, self.pos, self.end, self.row, self.issues, self.notes = buf, pos, end, row, issues, notes
 
     def flag(self, code: str, where: np.ndarray) -> None:
         if where.any():
             self.issues[code][self.row[where]] = True
 
+    def note(self, code: str, where: np.ndarray, texts: list[str]) -> None:
+        """Flag rows and keep a text for each of them."""
+        self.flag(code, where)
+        if texts:
+            self.notes.append((self.row[where], [f"{code}={t}" for t in texts]))
+
     def at(self, rows: np.ndarray) -> "Cursor":
-        return Cursor(self.buf, self.pos[rows], self.end[rows], self.row[rows], self.issues)
+        return Cursor(self.buf, self.pos[rows], self.end[rows], self.row[rows], self.issues, self.notes)
 
     def fixed(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """((n, width) bytes, fits): rows that do not fit keep their position."""
@@ -102,7 +110,9 @@ def _read_fixed(kind: str, cur: Cursor) -> pa.Array:
         size_low = np.where(negative, ~low + np.uint64(1), low)
         size_high = np.where(negative, ~high + (low == 0), high)
         small = _fits_38_digits(size_low, size_high)
-        cur.flag("int128_overflow", fits & ~small)
+        wide = fits & ~small
+        signed = kind == "i128"
+        cur.note("int128_overflow", wide, [str(int.from_bytes(b, "little", signed=signed)) for b in map(bytes, raw[wide])])
         return _decimals(low, high, fits & small, 38)
     values = raw.view(_NUMPY[kind]).ravel()
     return pa.array(values, mask=~fits).cast(to_arrow_type(FIXED_WIDTH[kind][1]))
@@ -116,10 +126,21 @@ def _read_text(cur: Cursor) -> pa.Array:
     try:
         return raw.cast(pa.string())
     except pa.ArrowInvalid:
-        texts = [None if v is None else _utf8_or_none(v) for v in raw.to_pylist()]
-        text = pa.array(texts, pa.string())
-        cur.flag("bad_utf8", take & text.is_null().to_numpy(zero_copy_only=False))
-        return text
+        good = _valid_halves(raw)
+        cur.flag("bad_utf8", take & ~good)
+        return raw.filter(pa.array(good)).cast(pa.string()).take(pa.array(np.cumsum(good) - 1, mask=~good))
+
+
+def _valid_halves(raw: pa.Array) -> np.ndarray:
+    """Which values are UTF-8: parts that are valid as a whole are not looked at further."""
+    try:
+        raw.cast(pa.string())
+        return np.ones(len(raw), bool)
+    except pa.ArrowInvalid:
+        if len(raw) <= 8:
+            return np.array([v is None or _utf8_or_none(v) is not None for v in raw.to_pylist()], bool)
+        half = len(raw) // 2
+        return np.concatenate([_valid_halves(raw[:half]), _valid_halves(raw[half:])])
 
 
 def _utf8_or_none(value: bytes) -> str | None:
@@ -163,7 +184,7 @@ def _read_items(item: tuple, counts: np.ndarray, cur: Cursor, pad: bool) -> pa.A
         held = np.minimum(counts, np.maximum(cur.end - cur.pos, 0) // width)
         rows = np.repeat(np.arange(len(counts)), held)
         nth = np.arange(len(rows)) - np.repeat(np.cumsum(held) - held, held)
-        inner = Cursor(cur.buf, cur.pos[rows] + nth * width, cur.end[rows], cur.row[rows], cur.issues)
+        inner = Cursor(cur.buf, cur.pos[rows] + nth * width, cur.end[rows], cur.row[rows], cur.issues, cur.notes)
         parts, owners, order = [read(item, inner)], [rows], [nth]
         cur.pos = cur.pos + held * width
     else:
@@ -192,7 +213,10 @@ def _read_items(item: tuple, counts: np.ndarray, cur: Cursor, pad: bool) -> pa.A
         parts.append(pa.nulls(len(rows), to_arrow_type(spark_type(item))))
         owners.append(rows)
         order.append(np.full(len(rows), np.iinfo(np.int64).max))
-    cur.flag("truncated" if pad else "vec_len_capped", short)
+    if pad:
+        cur.flag("truncated", short)
+    else:
+        cur.note("vec_len_capped", short, [str(n) for n in counts[short].tolist()])
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(held + missing, out=offsets[1:])
     kind = to_arrow_type(spark_type(item))
@@ -204,6 +228,18 @@ def _read_items(item: tuple, counts: np.ndarray, cur: Cursor, pad: bool) -> pa.A
     return pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
+_HEX_DIGITS = np.array([f"{b:02x}".encode() for b in range(256)]).view("<u2")
+
+
+def _hex(raw: pa.Array) -> pa.Array:
+    """Lower-case hex of binary values: two digits per byte, offsets doubled."""
+    data, offsets = ragged(raw)
+    digits = _HEX_DIGITS[data[offsets[0] : offsets[-1]]].tobytes()
+    moved = ((offsets - offsets[0]) * 2).astype(np.int32)
+    valid = _validity(~raw.is_null().to_numpy(zero_copy_only=False))
+    return pa.Array.from_buffers(pa.string(), len(raw), [valid, pa.py_buffer(moved), pa.py_buffer(digits)])
+
+
 def _read_opaque(flag: bool, cur: Cursor) -> pa.Array:
     left = np.maximum(cur.end - cur.pos, 0)
     take = left > 0
@@ -214,7 +250,7 @@ def _read_opaque(flag: bool, cur: Cursor) -> pa.Array:
         values = pa.array([v == b"\x01" if v is not None and len(v) == 1 else None for v in raw.to_pylist()], pa.bool_())
         cur.flag("bad_flag", size > 1)
         return values
-    texts = pa.array([None if v is None else v.hex() for v in raw.to_pylist()], pa.string())
+    texts = _hex(raw)
     return pa.StructArray.from_arrays([texts], names=[OPAQUE_TYPE.names[0]], mask=pa.array(~take))
 
 
@@ -257,18 +293,20 @@ def decode_batch(payload: pa.Array, fields: list[tuple[str | None, tuple]]) -> p
     buf = np.concatenate([data, np.zeros(32, np.uint8)])
     issues = {code: np.zeros(n, dtype=bool) for code in ISSUES}
     end = offsets[1:].copy()
-    cur = Cursor(buf, np.minimum(offsets[:-1] + DISCRIMINATOR_BYTES, end), end, np.arange(n), issues)
+    notes: list[tuple[np.ndarray, list[str]]] = []
+    cur = Cursor(buf, np.minimum(offsets[:-1] + DISCRIMINATOR_BYTES, end), end, np.arange(n), issues, notes)
     columns, names = [], []
     for name, tree in fields:
         values = read(tree, cur)
         if name is not None:
             names.append(name)
             columns.append(values.cast(to_arrow_type(spark_type(tree))))
-    raised = np.stack([issues[code] for code in ISSUES], axis=1)
-    _, which = np.nonzero(raised)
+    flagged, which = np.nonzero(np.stack([issues[code] for code in ISSUES], axis=1))
+    rows = np.concatenate([flagged, *[r for r, _ in notes]])
+    texts = pa.array([*np.array(ISSUES)[which].tolist(), *[t for _, ts in notes for t in ts]], pa.string())
     counts = np.zeros(n + 1, dtype=np.int32)
-    np.cumsum(raised.sum(axis=1), out=counts[1:])
-    listed = pa.ListArray.from_arrays(pa.array(counts), pa.array(np.array(ISSUES)[which], pa.string()))
+    np.cumsum(np.bincount(rows, minlength=n), out=counts[1:])
+    listed = pa.ListArray.from_arrays(pa.array(counts), texts.take(pa.array(np.argsort(rows, kind="stable"))))
     return pa.StructArray.from_arrays([*columns, listed], names=[*names, "decode_issues"])
 
 

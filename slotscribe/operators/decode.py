@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.base58 import base58_encode_key
 from ..functions.discriminators import DISCRIMINATOR_BYTES
 from ..functions.idl_types import FIXED_WIDTH, OPAQUE_TYPE, fixed_width, spark_type, struct_members
-from ..functions.little_endian import fixed_value, unsigned
+from ..functions.little_endian import fixed_value, unsigned, wide_digits
 from ..functions.payload import ISSUES, payload_decoder
 
 # Values per row up to which column expressions beat the Arrow round trip.
@@ -30,7 +30,7 @@ def native_supported(tree: tuple) -> bool:
     """Whether a type can be decoded with column expressions."""
     match tree[0]:
         case "vec" | "array":
-            return fixed_width(tree[1]) is not None and tree[1][0] != "pubkey"
+            return fixed_width(tree[1]) is not None and tree[1][0] not in ("pubkey", "u128", "i128")
         case "option":
             return native_supported(tree[1])
         case "struct":
@@ -61,6 +61,7 @@ class _Chain:
     def __init__(self, df: DataFrame, data: str):
         self.df, self.data, self.count = df, F.col(data), 0
         self.issues: dict[str, list[Column]] = {code: [] for code in ISSUES}
+        self.notes: list[Column] = []
         self.end = self.bind(F.octet_length(self.data))
 
     def bind(self, expression: Column) -> Column:
@@ -72,6 +73,12 @@ class _Chain:
     def flag(self, code: str, condition: Column, live: Column | None) -> None:
         self.issues[code].append(condition if live is None else live & condition)
 
+    def note(self, code: str, condition: Column, live: Column | None, text: Column) -> None:
+        """Flag rows and keep a text for each of them."""
+        self.flag(code, condition, live)
+        raised = condition if live is None else live & condition
+        self.notes.append(F.when(F.coalesce(raised, F.lit(False)), F.concat(F.lit(f"{code}="), text)))
+
     def read(self, tree: tuple, at: Column, live: Column | None = None) -> tuple[Column, Column]:
         """(value, next position) of one field read at ``at``."""
         kind, data, end = tree[0], self.data, self.end
@@ -83,6 +90,8 @@ class _Chain:
                 value = base58_encode_key(F.when(fits, F.substring(data, at + 1, F.lit(width))))
             else:
                 value = F.when(fits, fixed_value(kind, data, at))
+            if kind in ("u128", "i128"):
+                self.note("int128_overflow", fits & value.isNull(), live, wide_digits(data, at, kind == "i128"))
             return value, self.bind(F.when(fits, at + width).otherwise(at))
         if kind in ("string", "bytes"):
             present, length, start = self._prefix(at, live)
@@ -109,7 +118,7 @@ class _Chain:
             _, length, start = self._prefix(at, live)
             width = fixed_width(tree[1])
             held = self.bind(F.least(length, F.floor((end - start) / width)).cast("int"))
-            self.flag("vec_len_capped", length > held, live)
+            self.note("vec_len_capped", length > held, live, length.cast("string"))
             items = F.transform(
                 F.sequence(F.lit(0), F.greatest(held, F.lit(1)) - 1),
                 lambda i: fixed_value(tree[1][0], data, start + i * width),
@@ -159,7 +168,7 @@ class _Chain:
         ]
         if not raised:
             return F.array().cast("array<string>")
-        return F.filter(F.array(*raised), lambda code: code.isNotNull())
+        return F.filter(F.array(*raised, *self.notes), lambda code: code.isNotNull())
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -176,8 +185,6 @@ def _decode_native(df: DataFrame, fields: list[tuple[str | None, tuple]], data:
     columns = []
     for name, tree in fields:
         value, at_next = chain.read(tree, at)
-        if tree[0] in ("u128", "i128"):
-            chain.flag("int128_overflow", (at + 16 <= chain.end) & value.isNull(), None)
         if name is not None:
             columns.append(value.cast(spark_type(tree)).alias(name))
         at = at_next

@@ -143,6 +143,43 @@ def test_huge_declared_list_is_capped_and_flagged(spark):
     assert row["v"] == [1, 2]
 
 
+@pytest.mark.parametrize("engine", ["arrow", "native"])
+def test_wide_integers_keep_their_digits(spark, engine):
+    values = {
+        "u128": [0, 1, 10**19, 10**38 - 1, 10**38, 2**127, 2**128 - 1, 3 * 10**38 + 7, 2**96 + 10**38],
+        "i128": [0, -1, 10**38 - 1, 10**38, -(10**38), -(10**38) + 1, 2**127 - 1, -(2**127), -(2**127) + 2**64],
+    }
+    for kind, numbers in values.items():
+        fields = [("n", parse_type(kind)), ("o", parse_type(f'{{"option":"{kind}"}}'))]
+        rows = [(i, DISC + encode(kind, v) + b"\1" + encode(kind, v)) for i, v in enumerate(numbers)]
+        for r in decode_payload(spark.createDataFrame(rows, "id INT, data BINARY"), fields, engine=engine).collect():
+            v = numbers[r["id"]]
+            if abs(v) < 10**38:
+                assert r["n"] == r["o"] == v and r["decode_issues"] == []
+            else:
+                assert r["n"] is None and r["decode_issues"] == ["int128_overflow", *[f"int128_overflow={v}"] * 2]
+
+
+def test_short_lists_keep_their_length(spark):
+    fields = [("v", parse_type('{"vec":"u16"}')), ("w", parse_type('{"vec":"mystery"}'))]
+    rows = [(0, DISC + b"\x03\0\0\0" + b"\5\0"), (1, DISC + b"\1\0\0\0\7\0" + b"\x09\0\0\0")]
+    df = spark.createDataFrame(rows, "id INT, data BINARY")
+    got = {r["id"]: (r["v"], r["w"], r["decode_issues"]) for r in decode_payload(df, fields, engine="arrow").collect()}
+    assert got[0] == ([5], [], ["truncated", "vec_len_capped", "vec_len_capped=3"])
+    assert got[1] == ([7], [], ["vec_len_capped", "vec_len_capped=9"])
+    native = decode_payload(df, fields[:1], engine="native").collect()
+    arrow = decode_payload(df, fields[:1], engine="arrow").collect()
+    assert sorted(map(repr, native)) == sorted(map(repr, arrow))
+
+
+def test_bad_texts_among_many(spark):
+    texts = [b"ok", b"\xff", "é".encode(), b"", b"\xc3"] * 40
+    rows = [(i, DISC + len(t).to_bytes(4, "little") + t) for i, t in enumerate(texts)]
+    got = {r["id"]: (r["s"], r["decode_issues"]) for r in decode_payload(spark.createDataFrame(rows, "id INT, data BINARY"), [("s", parse_type("string"))], engine="arrow").collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == ((None, ["bad_utf8"]) if t in (b"\xff", b"\xc3") else (t.decode(), []))
+
+
 @pytest.mark.parametrize(
     "text,label",
     [
