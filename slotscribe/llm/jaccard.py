@@ -7,7 +7,11 @@ those known to be frequent last, all others by hash. Two sets with at least
 demand more shared shingles of a candidate. Each document picks the m with
 the least estimated cost: the postings its prefix would meet, and the candidates
 these leave (postings over m) times the price of verifying one. A pair is
-verified when it shares as many prefix shingles as the smaller m of both.
+verified when it shares as many prefix shingles as the smaller m of both, and as
+many as its own sizes ask for: linked sets of sizes a and b share 4 (a + b) / 9
+shingles, and no more than one rest behind the prefixes holds can be missing from
+the prefixes. Nor does a shared shingle count whose places in both sets leave room
+for too few others before and after it.
 
 Documents with equal sets are one class from the start, by a hash of the set, so
 exact copies are never paired. Near copies are linked in rounds: in each
@@ -33,16 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, stage, texts_of
+from .common import map_batches, release, slices, stage, texts_of
 
 SHINGLE = 5
 # Similarity as a fraction of integers, so that the threshold is exact.
 NUMERATOR, DENOMINATOR = 4, 5
 # Largest number of shared prefix shingles a document may demand.
 MOST_MATCHES = 8
-# Shingles that are put last: at most so many (8 bytes each, broadcast), and at
-# least so many documents of one task must hold one. Order only; never drops a pair.
-FREQUENT, FREQUENT_IN_TASK = 1 << 17, 4
+# Shingles that are put last: at most so many (8 bytes each, broadcast). A task names
+# up to so many of its own, those that the most of its documents hold, and at
+# least so many must hold one. Order only; never drops a pair.
+FREQUENT, FREQUENT_OF_TASK, FREQUENT_IN_TASK = 1 << 17, 1 << 15, 2
 # Rounds that pair each list's most central document before the full join.
 STAR_ROUNDS = 2
 # Nodes up to which their ids are broadcast (8 bytes each) to fetch their texts; beyond, the texts are joined by shuffle.
@@ -116,9 +121,11 @@ def describe(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     # Keep the commonest: a shingle held by a good part of the task survives every cut.
                     keep = np.argpartition(-counts, 2 * FREQUENT)[: 2 * FREQUENT]
                     tokens, counts = tokens[keep], counts[keep]
-        often = counts >= FREQUENT_IN_TASK
-        if often.any():
-            none = [None] * int(often.sum())
+        often = np.flatnonzero(counts >= FREQUENT_IN_TASK)
+        if len(often) > FREQUENT_OF_TASK:
+            often = often[np.argpartition(-counts[often], FREQUENT_OF_TASK)[:FREQUENT_OF_TASK]]
+        if len(often):
+            none = [None] * len(often)
             yield _batch([none, none, none, _signed(tokens[often]), counts[often]], schema)
 
     return docs.select("doc_id", F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
@@ -205,29 +212,53 @@ def adapt(postings: DataFrame) -> DataFrame:
     chosen = postings.groupBy("node", "n").agg(*met).select(
         "node", "n", F.array_min(F.filter(F.array(*map(allowed, choices)), lambda x: x.isNotNull()))["m"].alias("m"), (F.col("met1") / F.col("n")).alias("central")
     )
-    return postings.join(chosen, ["node", "n"]).where(F.col("place") < _prefix_length(F.col("n"), F.col("m"))).select("token", "node", "n", "m", "central")
+    return postings.join(chosen, ["node", "n"]).where(F.col("place") < _prefix_length(F.col("n"), F.col("m"))).select("token", "node", "n", "m", "place", "central")
 
 
-def _sizes_fit(a, b):
-    return (F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR)
+def _may_link(x: dict, y: dict):
+    """Whether sizes and places of one shared shingle allow a link.
+
+    Shared shingles before it are at most the smaller place, those after it at most the smaller rest.
+    """
+    room = F.least(x["place"], y["place"]) + F.least(x["n"] - x["place"], y["n"] - y["place"])
+    enough = room * (DENOMINATOR + NUMERATOR) >= (x["n"] + y["n"]) * NUMERATOR
+    return (F.least(x["n"], y["n"]) * DENOMINATOR >= F.greatest(x["n"], y["n"]) * NUMERATOR) & enough
+
+
+def _needed(x: dict, y: dict):
+    """Prefix shingles that a linked pair shares at least."""
+    shared = F.ceil((x["n"] + y["n"]) * NUMERATOR / (DENOMINATOR + NUMERATOR))
+    rest = lambda d: F.ceil(d["n"] * NUMERATOR / DENOMINATOR) - d["m"]
+    return F.greatest(F.least(x["m"], y["m"]).cast("bigint"), shared - F.greatest(rest(x), rest(y)))
+
+
+def _side(prefix: str = "", suffix: str = "") -> dict:
+    return {c: F.col(f"{prefix}{c}{suffix}") for c in ("node", "n", "m", "place", "label")}
 
 
 def star_candidates(entries: DataFrame) -> DataFrame:
     """(a, b): in every list with more than one component, its most central member with each of another component."""
-    lists = entries.groupBy("token").agg(F.max(F.struct("central", "node", "n", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+    lists = entries.groupBy("token").agg(
+        F.max(F.struct("central", "node", "n", "m", "place", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
     joined = entries.join(lists.where("low <> high").select("token", "hub"), "token")
-    joined = joined.where((F.col("label") != F.col("hub.label")) & _sizes_fit(F.col("n"), F.col("hub.n")))
-    return joined.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    own, hub = _side(), _side("hub.")
+    joined = joined.where((own["label"] != hub["label"]) & _may_link(own, hub))
+    # Only shingles of which the hub is the most central are counted here, so half of those needed will do.
+    counted = joined.groupBy(hub["node"].alias("a"), own["node"].alias("b")).agg(F.count("*").alias("shared"), F.min(_needed(own, hub)).alias("needed"))
+    return counted.where(F.col("shared") * 2 >= F.col("needed")).select("a", "b")
 
 
 def cross_candidates(entries: DataFrame) -> DataFrame:
     """(a, b): every pair from different components that shares as many prefix shingles as it must."""
     lists = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    left = entries.join(lists, "token", "left_semi").select("token", "node", "n", "m", "label")
-    right = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "m", "label")])
-    pairs = left.join(right, "token").where((F.col("label") < F.col("label2")) & _sizes_fit(F.col("n"), F.col("n2")))
-    counted = pairs.groupBy(F.col("node").alias("a"), F.col("node2").alias("b"), "n", "n2", F.least("m", "m2").alias("need")).count()
-    return counted.where(F.col("count") >= F.col("need")).select("a", "b").distinct()
+    columns = ("node", "n", "m", "place", "label")
+    left = entries.join(lists, "token", "left_semi").select("token", *columns)
+    right = left.select("token", *[F.col(c).alias(f"{c}2") for c in columns])
+    x, y = _side(), _side(suffix="2")
+    pairs = left.join(right, "token").where((x["label"] < y["label"]) & _may_link(x, y))
+    counted = pairs.groupBy(x["node"].alias("a"), y["node"].alias("b"), "n", "n2", _needed(x, y).alias("needed")).count()
+    return counted.where(F.col("count") >= F.col("needed")).select("a", "b").distinct()
 
 
 def sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -243,7 +274,7 @@ def sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
         return work
 
-    return stage(map_batches(picked, make, "node bigint, shingles binary").distinct(), "sets")
+    return stage(map_batches(picked, make, "node bigint, shingles binary"), "sets")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -301,6 +332,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     classes = stage(known.groupBy("class").agg(F.min("doc_id").alias("node")), "classes")
 
     postings = stage(shared_postings(prefixes(texts, frequent), classes), "postings")
+    release(spark)
     entries = stage(adapt(postings).withColumn("label", F.col("node")), "entries")
     # A doc_id with several texts ties their classes together.
     mapped = known.join(classes, "class")
