@@ -47,11 +47,11 @@ WINDOW = LENGTH - ANCHOR + 1
 # Bytes before or after the anchor that every window has on one side at least.
 SIDE = (LENGTH - ANCHOR) // 2
 # Text of a unit whose anchors are packed together, and documents in it.
-UNIT_BYTES, UNIT_DOCS = 16_000_000, 60_000
+UNIT_BYTES, UNIT_DOCS = 6_000_000, 60_000
 # Anchors of a range, which one step sorts; a text has one in WINDOW / 2 bytes.
-RANGE_ANCHORS = 1_000_000
+RANGE_ANCHORS = 400_000
 # Bytes of fragments that are sorted together; fragments of one anchor always are.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 # What is known of an anchor occurrence, in the low bits of its code.
 SETTLED, ASKS, SHOWS = 1, 2, 3
 
