@@ -21,7 +21,7 @@ from ..session import apply_runtime_conf, scratch_path
 from ..sources import blocks as source
 from ..streaming.live import start_index_stream, stream_blocks
 from . import sample_chain as sample
-from .commit import decode_entry
+from .commit import commit_batch, decode_entry
 from .jobs import BatchRequest, run_batch
 from .reader import IndexReader
 from .store import IndexStore, latest_state
@@ -150,6 +150,20 @@ def tx_insert_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.unionByName(fresh).select("signature", "slot", "batch")
 
 
+def tx_insert_far_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, the second with every signature 5,000 slots later: the stored ones stay as they are."""
+    none = {"header": source.HEADER, "instructions": f"array<{source.INSTRUCTION}>", "accounts": "array<string>", "err": "string"}
+    txs = sample.transactions(spark, sf_dir).select(
+        F.col("signature").cast("string").alias("signature"), "slot", F.lit(0).cast("bigint").alias("block_time"),
+        F.lit(0).alias("tx_index"), *[F.lit(None).cast(kind).alias(name) for name, kind in none.items()],
+    )
+    store = IndexStore(spark, scratch_path(spark, "far-conflict"), slots_per_bucket=400)
+    program = _program(spark, sample.SAMPLE_IDL)
+    commit_batch(store, program, txs.where("cast(signature as bigint) % 2 = 1"), writer="sample", batch_id=0)
+    commit_batch(store, program, txs.withColumn("slot", F.col("slot") + 5_000), writer="sample", batch_id=1)
+    return IndexReader(store, program).transactions().select("signature", "slot")
+
+
 def checkpoint_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sample.table(spark, sf_dir, "events").select(
         F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("value"), F.col("ts").alias("updated_at"), F.col("event_id").alias("batch_id")
@@ -417,6 +431,41 @@ def _nested(engine: str):
     return query
 
 
+def _wide_integers(engine: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Numbers at both ends of the 128-bit ranges: too wide for the column, kept as digits."""
+        event = F.col("event_id")
+        top, bottom, ones = F.lit(2**63 - 1), F.lit(-(2**63)), F.lit(-1)
+        parts = [sample.wide_hex(ones, -1 - event), sample.wide_hex(top, -1 - event), sample.wide_hex(bottom, event)]
+        rows = sample.table(spark, sf_dir, "events").select("event_id", sample.payload("instruction", F.lit("wide"), *parts).alias("data"))
+        decoded = decode_payload(rows, [("a", parse_type("u128")), ("b", parse_type("i128")), ("c", parse_type("i128"))], engine=engine)
+        empty = (F.col("a").isNull() & F.col("b").isNull() & F.col("c").isNull()).alias("empty")
+        return decoded.select("event_id", empty, F.array_join("decode_issues", ",").alias("issues"))
+
+    return query
+
+
+def _short_lists(engine: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Lists that declare more items than they hold keep both."""
+        held = F.col("event_id") % 3
+        items = F.array_join(F.transform(F.slice(F.array(*[F.lit(k) for k in (1, 2)]), 1, held.cast("int")), lambda i: sample.little_endian_hex(F.col("user_id") + i, 2)), "")
+        parts = [sample.little_endian_hex(F.col("event_id") % 5, 4), items]
+        rows = sample.table(spark, sf_dir, "events").where(held <= F.col("event_id") % 5).select("event_id", sample.payload("instruction", F.lit("short"), *parts).alias("data"))
+        decoded = decode_payload(rows, [("items", parse_type('{"vec":"u16"}'))], engine=engine)
+        return decoded.select("event_id", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"), F.array_join("decode_issues", ",").alias("issues"))
+
+    return query
+
+
+def decode_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole document texts behind a reference to a named type, kept as hex."""
+    data = sample.payload("account", F.lit("Doc"), F.hex(F.col("text").cast("binary")))
+    rows = sample.table(spark, sf_dir, "documents").select("doc_id", data.alias("data"))
+    decoded = decode_payload(rows, [("rest", parse_type('{"defined":"Text"}'))])
+    return decoded.select("doc_id", F.md5(F.col("rest.raw_hex").cast("binary")).alias("digest"))
+
+
 def decode_text_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of texts of any length: whole conversations' words, one payload per turn."""
     words = F.split("text", " ")
@@ -508,6 +557,27 @@ def index_chain_time_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.withColumn("period", F.col("period").cast("timestamp_ntz"))
 
 
+def index_range_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample blocks in two runs of several chunks, the second from the first one's checkpoint."""
+    program, blocks = _program(spark, sample.SAMPLE_IDL), _block_table(spark, sf_dir)
+    store = IndexStore(spark, scratch_path(spark, "resumed-index"), slots_per_bucket=400)
+    for end in (9_599, 11_999):
+        run_batch(store, program, blocks, BatchRequest(start_slot=8_000, end_slot=end, chunk_slots=1_600))
+    return IndexReader(store, program).stats().withColumn("ix_call_counts", F.to_json("ix_call_counts")).drop("last_checkpoint")
+
+
+def index_signature_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed lines of both programs, all stored; calls of the sample program only."""
+    wanted = sample.table(spark, sf_dir, "lineitem").where("l_orderkey between 1 and 40").select(sample.line_signature().alias("s"))
+    store = IndexStore(spark, scratch_path(spark, "listed-index"), slots_per_bucket=400)
+    program = _program(spark, sample.SAMPLE_IDL)
+    run_batch(store, program, _block_table(spark, sf_dir), BatchRequest(signatures=tuple(sorted(r["s"] for r in wanted.collect()))))
+    reader = IndexReader(store, program)
+    calls = [reader.call_table(name).select("tx_sig", F.lit(1).alias("n")) for name in sample.FLAG_NAMES.values()]
+    called = calls[0].unionByName(calls[1]).unionByName(calls[2]).groupBy(F.col("tx_sig").alias("signature")).agg(F.sum("n").alias("calls"))
+    return reader.transactions().select("signature", "slot").join(called, "signature", "left").select("signature", "slot", F.coalesce("calls", F.lit(0)).alias("calls"))
+
+
 def stream_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same blocks as a stream: worked off in micro-batches, then counted per instruction."""
     _block_table(spark, sf_dir)
@@ -547,6 +617,7 @@ QUERIES = {
     "ix_keep_first": ix_keep_first,
     "account_keep_last": account_keep_last,
     "tx_insert_conflict": tx_insert_conflict,
+    "tx_insert_far_conflict": tx_insert_far_conflict,
     "checkpoint_state": checkpoint_state,
     "typed_coercion": typed_coercion,
     "evolve_add_column": evolve_add_column,
@@ -575,6 +646,11 @@ QUERIES = {
     "decode_scalars_native": _scalars("native"),
     "decode_nested": _nested("arrow"),
     "decode_nested_native": _nested("native"),
+    "decode_wide_integers": _wide_integers("arrow"),
+    "decode_wide_integers_native": _wide_integers("native"),
+    "decode_short_lists": _short_lists("arrow"),
+    "decode_short_lists_native": _short_lists("native"),
+    "decode_opaque": decode_opaque,
     "decode_text_lists": decode_text_lists,
     "decode_documents": decode_documents,
     "truncated_payloads": truncated_payloads,
@@ -583,6 +659,8 @@ QUERIES = {
     "index_calls": index_calls,
     "index_accounts": index_accounts,
     "index_chain_time_series": index_chain_time_series,
+    "index_range_resumed": index_range_resumed,
+    "index_signature_list": index_signature_list,
     "stream_index_counts": stream_index_counts,
 }
 

@@ -68,19 +68,19 @@ def listed_transactions(blocks: DataFrame, signatures: list[str], bucket_size: i
     """
     spark = blocks.sparkSession
     found = source.pick_signatures(source.program_signatures(blocks, None), spark, signatures)
-    positions = found.select("slot", "tx_index", "list_order")
+    positions = found.select("slot", "tx_index", "signature", "list_order")
     if len(signatures) > source.BROADCAST_SIGNATURES:
-        return normalize.transactions(blocks, None).join(positions, ["slot", "tx_index"])
+        return normalize.transactions(blocks, None).join(positions, ["slot", "tx_index", "signature"])
     size = source.bucket_size_of(blocks, bucket_size)
-    held = positions.select("slot", "tx_index", "list_order").limit(MAX_LISTED_BUCKETS + 1).collect()
+    held = positions.limit(MAX_LISTED_BUCKETS + 1).collect()
     if len(held) > MAX_LISTED_BUCKETS:
         low, high = positions.agg(F.min("slot"), F.max("slot")).first()
-        return normalize.transactions(source.prune_buckets(blocks, low, high, size), None).join(positions, ["slot", "tx_index"])
+        return normalize.transactions(source.prune_buckets(blocks, low, high, size), None).join(positions, ["slot", "tx_index", "signature"])
     known = F.broadcast(spark.createDataFrame(held, positions.schema))
     near = blocks.where(F.col("slot").isin(sorted({r["slot"] for r in held})))
     if size is not None:
         near = near.where(F.col("slot_bucket").isin(sorted({r["slot"] // size for r in held})))
-    return normalize.transactions(near, None).join(known, ["slot", "tx_index"])
+    return normalize.transactions(near, None).join(known, ["slot", "tx_index", "signature"])
 
 
 def select_transactions(

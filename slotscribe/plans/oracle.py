@@ -83,6 +83,12 @@ _STATS = f"""select count(*) as total_transactions, count(*) as total_ix_calls,
       || ',"ix_return_line":' || count(*) filter (ix_name = 'returnLine') || '}}' as ix_call_counts,
     min(slot) as first_indexed_slot, max(slot) as last_indexed_slot from {_LINES}"""
 
+_WIDE = """select event_id, true as empty, 'int128_overflow,int128_overflow=' || (cast('340282366920938463463374607431768211455' as uhugeint) - cast(event_id as uhugeint))
+      || ',int128_overflow=' || (cast('170141183460469231731687303715884105727' as hugeint) - event_id)
+      || ',int128_overflow=' || (cast('-170141183460469231731687303715884105728' as hugeint) + event_id) as issues from events"""
+_SHORT = """select event_id, array_to_string(list_transform(range(1, event_id % 3 + 1), lambda i: cast((user_id + i) % 65536 as varchar)), ',') as items,
+      case when event_id % 5 > event_id % 3 then 'vec_len_capped,vec_len_capped=' || event_id % 5 else '' end as issues from events where event_id % 3 <= event_id % 5"""
+
 ORACLE = {
     "ix_time_series_hour": _series("hour"),
     "ix_time_series_day": _series("day"),
@@ -115,6 +121,8 @@ ORACLE = {
     "ix_keep_first": """select l_orderkey, l_returnflag, min(cast(l_linenumber as bigint) * 1000000 + l_partkey) as ix_index
         from lineitem group by 1, 2""",
     "tx_insert_conflict": f"select signature, slot, cast(case when err is null then 2 else 1 end as bigint) as batch from {_TXS}",
+    "tx_insert_far_conflict": f"""select cast(signature as varchar) as signature,
+        case when signature % 2 = 1 then slot else slot + 5000 end as slot from {_TXS}""",
     "checkpoint_state": """select event_type as key, cast(arg_max(user_id, event_id) as varchar) as value from events group by 1""",
     "typed_coercion": """select event_id, case when user_id % 2 = 0 then event_id end as amount, user_id % 256 <> 0 as "on", true as memo,
         case when user_id % 2 = 0 then '' else 'does_not_fit' end as issues from events""",
@@ -171,6 +179,11 @@ ORACLE = {
     "decode_scalars_native": _SCALARS,
     "decode_nested": _NESTED,
     "decode_nested_native": _NESTED,
+    "decode_wide_integers": _WIDE,
+    "decode_wide_integers_native": _WIDE,
+    "decode_short_lists": _SHORT,
+    "decode_short_lists_native": _SHORT,
+    "decode_opaque": "select doc_id, md5(lower(hex(encode(text)))) as digest from documents",
     "decode_text_lists": "select conv_id, turn, text, cast(len(string_split(text, ' ')) as bigint) as n_words from conversations",
     "decode_documents": "select doc_id, md5(text) as digest, n_chars from documents",
     "truncated_payloads": """with e as (select event_id, user_id, user_id % 13 as n from events),
@@ -191,5 +204,9 @@ ORACLE = {
         any_value(s_acctbal > 0) as active, any_value(s_name) as label from supplier join {_LINES} on l_suppkey = s_suppkey group by s_suppkey""",
     "index_chain_time_series": f"""select 'newLine' as ix_name, cast(date_trunc('week', timestamp '1970-01-01' + slot * interval 1 day) as timestamp) as period,
         count(*) as calls from {_LINES} where ix_name = 'newLine' group by 1, 2""",
+    "index_range_resumed": _STATS,
+    "index_signature_list": """select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as integer)) as signature,
+        cast(date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as bigint) as slot,
+        case l_linestatus when 'O' then 1 else 0 end as calls from lineitem where l_orderkey between 1 and 40""",
     "stream_index_counts": _STATS,
 }
