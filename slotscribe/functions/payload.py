@@ -122,6 +122,11 @@ def _read_text(cur: Cursor) -> pa.Array:
     lengths, present = cur.length()
     take = present & (cur.pos + lengths <= cur.end)
     cur.flag("truncated", present & ~take)
+    return _texts(cur, lengths, take)
+
+
+def _texts(cur: Cursor, lengths: np.ndarray, take: np.ndarray) -> pa.Array:
+    """Text of the given lengths; what is no UTF-8 is NULL and flagged."""
     raw = cur.slices(lengths, take)
     try:
         return raw.cast(pa.string())
@@ -173,6 +178,38 @@ def _scatter(values: pa.Array, rows: np.ndarray, n: int) -> pa.Array:
     return values.take(pa.array(slot, mask=slot < 0))
 
 
+def _read_prefixed_list(kind: str, counts: np.ndarray, cur: Cursor) -> tuple[pa.Array, np.ndarray]:
+    """(items, items held per row) of lists of texts or bytes.
+
+    Each length tells where the next one is, so one pass over the bytes finds
+    all items, and then they are cut out at once.
+    """
+    view, starts, lengths, takes = cur.buf.tobytes(), [], [], []
+    held, missing = np.zeros(len(counts), dtype=np.int64), np.zeros(len(counts), dtype=bool)
+    for i in np.flatnonzero(counts > 0).tolist():
+        at, end, n = int(cur.pos[i]), int(cur.end[i]), 0
+        for _ in range(int(counts[i])):
+            if at + 4 > end:
+                missing[i] = True
+                break
+            length = int.from_bytes(view[at : at + 4], "little")
+            at += 4
+            fits = at + length <= end
+            starts.append(at)
+            lengths.append(length)
+            takes.append(fits)
+            at += length if fits else 0
+            n += 1
+        cur.pos[i], held[i] = at, n
+    rows = np.repeat(np.arange(len(counts)), held)
+    take = np.array(takes, dtype=bool)
+    inner = Cursor(cur.buf, np.array(starts, dtype=np.int64), cur.end[rows], cur.row[rows], cur.issues, cur.notes)
+    cur.flag("truncated", missing)
+    inner.flag("truncated", ~take)
+    sizes = np.array(lengths, dtype=np.int64)
+    return (_texts if kind == "string" else Cursor.slices)(inner, sizes, take), held
+
+
 def _read_items(item: tuple, counts: np.ndarray, cur: Cursor, pad: bool) -> pa.Array:
     """Lists of up to ``counts`` items.
 
@@ -180,7 +217,10 @@ def _read_items(item: tuple, counts: np.ndarray, cur: Cursor, pad: bool) -> pa.A
     materialised unless the layout fixes their number (``pad``).
     """
     width = FIXED_WIDTH[item[0]][0] if item[0] in FIXED_WIDTH else None
-    if width:
+    if item[0] in ("string", "bytes") and not pad:
+        values, held = _read_prefixed_list(item[0], counts, cur)
+        parts, owners, order = [values], [np.repeat(np.arange(len(counts)), held)], [np.arange(len(values))]
+    elif width:
         held = np.minimum(counts, np.maximum(cur.end - cur.pos, 0) // width)
         rows = np.repeat(np.arange(len(counts)), held)
         nth = np.arange(len(rows)) - np.repeat(np.cumsum(held) - held, held)

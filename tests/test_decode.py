@@ -19,7 +19,7 @@ LAYOUTS = {
     "opaque": ["u8", {"defined": "Curve"}, "u8"],
     "flag": ["u16", {"defined": {"name": "OptionBool"}}],
     "unknown": ["u8", "mystery", "u16"],
-    "lists": [{"vec": "string"}, {"vec": INNER}, {"array": ["publicKey", 2]}, {"vec": {"option": "u32"}}, {"array": [{"vec": "u8"}, 2]}, {"option": {"vec": "publicKey"}}, "u8"],
+    "lists": [{"vec": "bytes"}, {"vec": "string"}, {"vec": INNER}, {"array": ["publicKey", 2]}, {"vec": {"option": "u32"}}, {"array": [{"vec": "u8"}, 2]}, {"option": {"vec": "publicKey"}}, "u8"],
 }
 
 
@@ -172,6 +172,21 @@ def test_short_lists_keep_their_length(spark):
     assert sorted(map(repr, native)) == sorted(map(repr, arrow))
 
 
+def test_long_list_of_texts_is_read_in_one_pass():
+    import time
+
+    import pyarrow as pa
+
+    from slotscribe.functions.payload import decode_batch
+
+    n = 200_000
+    raw = DISC + n.to_bytes(4, "little") + b"\0\0\0\0" * (n - 1) + b"\2\0\0\0ab"
+    begin = time.perf_counter()
+    (row,) = decode_batch(pa.array([raw]), [("w", parse_type('{"vec":"string"}'))]).to_pylist()
+    assert time.perf_counter() - begin < 2
+    assert len(row["w"]) == n and row["w"][-1] == "ab" and row["decode_issues"] == []
+
+
 def test_bad_texts_among_many(spark):
     texts = [b"ok", b"\xff", "é".encode(), b"", b"\xc3"] * 40
     rows = [(i, DISC + len(t).to_bytes(4, "little") + t) for i, t in enumerate(texts)]
