@@ -88,8 +88,8 @@ def signature(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def linked(shared: int, a: int, b: int) -> bool:
-    """Similarity of at least the threshold, from the sizes."""
+def linked(shared, a, b):
+    """Similarity of at least the threshold, from the sizes, as numbers or columns."""
     return DENOMINATOR * shared >= NUMERATOR * (a + b - shared)
 
 
@@ -270,30 +270,19 @@ def sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         shingles = Shingler()
 
         def work(batch: pa.RecordBatch):
-            yield [batch.column(0), [shingles(t).tobytes() for t in texts_of(batch, "text")]]
+            yield [batch.column(0), [_signed(shingles(t)) for t in texts_of(batch, "text")]]
 
         return work
 
-    return stage(map_batches(picked, make, "node bigint, shingles binary"), "sets")
+    return stage(map_batches(picked, make, "node bigint, shingles array<bigint>"), "sets")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose sets are similar enough."""
     sets = sets_of(stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes"), texts)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-
-    def make():
-        def work(batch: pa.RecordBatch):
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                good.append(linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)))
-            yield [c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]]
-
-        return work
-
-    return map_batches(both, make, "a bigint, b bigint")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.where(linked(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
