@@ -11,7 +11,8 @@ verified when it shares as many prefix shingles as the smaller m of both, and as
 many as its own sizes ask for: linked sets of sizes a and b share 4 (a + b) / 9
 shingles, and no more than one rest behind the prefixes holds can be missing from
 the prefixes. Nor does a shared shingle count whose places in both sets leave room
-for too few others before and after it.
+for too few others before and after it; before it only those have a partner that any
+other prefix holds, as a set that holds the later one in its prefix holds them there too.
 
 Documents with equal sets are one class from the start, by a hash of the set, so
 exact copies are never paired. Near copies are linked in rounds: in each
@@ -209,18 +210,21 @@ def adapt(postings: DataFrame) -> DataFrame:
     # Postings met, and the candidates left, each at the price of reading its set.
     cost = lambda m: F.col(f"met{m}") * (1 + F.col("n") / m)
     allowed = lambda m: F.when(F.lit(m) <= F.ceil(F.col("n") * NUMERATOR / DENOMINATOR), F.struct(cost(m).alias("cost"), F.lit(m).alias("m")))
+    # Shingles before this one that are in another prefix.
+    before = F.row_number().over(Window.partitionBy("node", "n").orderBy("place")) - 1
+    postings = postings.withColumn("before", before)
     chosen = postings.groupBy("node", "n").agg(*met).select(
         "node", "n", F.array_min(F.filter(F.array(*map(allowed, choices)), lambda x: x.isNotNull()))["m"].alias("m"), (F.col("met1") / F.col("n")).alias("central")
     )
-    return postings.join(chosen, ["node", "n"]).where(F.col("place") < _prefix_length(F.col("n"), F.col("m"))).select("token", "node", "n", "m", "place", "central")
+    return postings.join(chosen, ["node", "n"]).where(F.col("place") < _prefix_length(F.col("n"), F.col("m"))).select("token", "node", "n", "m", "place", "before", "central")
 
 
 def _may_link(x: dict, y: dict):
     """Whether sizes and places of one shared shingle allow a link.
 
-    Shared shingles before it are at most the smaller place, those after it at most the smaller rest.
+    Shared shingles before it are at most the fewer with a partner, those after it at most the smaller rest.
     """
-    room = F.least(x["place"], y["place"]) + F.least(x["n"] - x["place"], y["n"] - y["place"])
+    room = F.least(x["before"], y["before"]) + F.least(x["n"] - x["place"], y["n"] - y["place"])
     enough = room * (DENOMINATOR + NUMERATOR) >= (x["n"] + y["n"]) * NUMERATOR
     return (F.least(x["n"], y["n"]) * DENOMINATOR >= F.greatest(x["n"], y["n"]) * NUMERATOR) & enough
 
@@ -233,13 +237,13 @@ def _needed(x: dict, y: dict):
 
 
 def _side(prefix: str = "", suffix: str = "") -> dict:
-    return {c: F.col(f"{prefix}{c}{suffix}") for c in ("node", "n", "m", "place", "label")}
+    return {c: F.col(f"{prefix}{c}{suffix}") for c in ("node", "n", "m", "place", "before", "label")}
 
 
 def star_candidates(entries: DataFrame) -> DataFrame:
     """(a, b): in every list with more than one component, its most central member with each of another component."""
     lists = entries.groupBy("token").agg(
-        F.max(F.struct("central", "node", "n", "m", "place", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
+        F.max(F.struct("central", "node", "n", "m", "place", "before", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
     )
     joined = entries.join(lists.where("low <> high").select("token", "hub"), "token")
     own, hub = _side(), _side("hub.")
@@ -252,7 +256,7 @@ def star_candidates(entries: DataFrame) -> DataFrame:
 def cross_candidates(entries: DataFrame) -> DataFrame:
     """(a, b): every pair from different components that shares as many prefix shingles as it must."""
     lists = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    columns = ("node", "n", "m", "place", "label")
+    columns = ("node", "n", "m", "place", "before", "label")
     left = entries.join(lists, "token", "left_semi").select("token", *columns)
     right = left.select("token", *[F.col(c).alias(f"{c}2") for c in columns])
     x, y = _side(), _side(suffix="2")
