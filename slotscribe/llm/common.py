@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,22 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: computed once, and safe when executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpus/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+# Spark's setting that deletes the shuffle files of a query once it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now.
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read back: computed once, and safe when executors are lost.
 
-    It does so once the driver has collected the objects that stand for them, which
-    may be hours away; call this after a step that exchanged a lot.
+    The shuffle files behind it go as soon as it is written, not when the driver
+    happens to collect its garbage; the session's own setting is put back.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corpus/{label}-{uuid.uuid4().hex}"
+    usual = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, usual)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # Rows a task turns into Python objects at a time.
