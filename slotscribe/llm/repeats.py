@@ -19,8 +19,9 @@ the ranks before). In that order the previous and the next entry of a smaller
 document are found by pointer jumping; if either is equal over 50 bytes, the
 window has an earlier copy, else its longest previous factor is shorter.
 
-Fragments are taken as equal by 80 bits of hash (32 of the anchor, 24 of the
-fragment, 12 of each side), within one range of anchors.
+Fragments are taken as equal by 96 bits of hash (32 of the anchor, 64 of the
+fragment), within one range of anchors: where documents share an anchor, as at the
+edge of a common passage, the 64 bits of the fragment alone tell them apart.
 
 Defined results: NULL and empty texts have no bytes; texts under 50 bytes keep
 all; rows without doc_id keep all and remove nothing; rows of one doc_id never
@@ -65,21 +66,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _code(anchor: np.ndarray, detail: np.ndarray) -> np.ndarray:
+def _code(anchor: np.ndarray, fragment: np.ndarray, sides: np.ndarray) -> np.ndarray:
     """Name of a fragment within a document; the two low bits are free."""
-    return _mix((anchor & _LOW) ^ detail * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(3)
+    place = (anchor & _LOW) << np.uint64(24) ^ sides
+    return _mix(_mix(place + np.uint64(0x632BE59BD9B4E019)) ^ fragment * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(3)
 
 
 class Anchors:
-    """Anchor occurrences of a text: hash of the anchor, first and last window, and a detail of 48 bits.
+    """Anchor occurrences of a text: hash of the anchor, first and last window, hash of the fragment, and sides.
 
-    The detail has 24 bits of the fragment and 12 of the bytes on each side of the anchor.
+    The sides have 12 bits of the bytes before the anchor and 12 of those after it; they only select what is compared.
     """
 
     def __init__(self, raw: bytes):
         n = len(raw)
         if n < LENGTH:
-            self.hash = self.detail = self.code = np.empty(0, np.uint64)
+            self.hash = self.fragment = self.sides = self.code = np.empty(0, np.uint64)
             self.first = self.last = np.empty(0, np.int64)
             return
         load = np.ndarray((n - 7,), "<u8", raw, 0, (1,))
@@ -101,13 +103,13 @@ class Anchors:
         self.hash = _mix(h[at] + np.uint64(0x632BE59BD9B4E019))
         digest = xxhash.xxh3_64_intdigest
         own = [digest(raw[a:b]) for a, b in zip(starts.tolist(), (self.last + LENGTH).tolist())]
-        fragment = _mix(np.array(own, np.uint64) + (at - starts).astype(np.uint64)) >> np.uint64(40)
+        self.fragment = _mix(np.array(own, np.uint64) + (at - starts).astype(np.uint64))
         # Where a text ends sooner there is no window that would need the side, and any value will do.
         before, after = np.maximum(at - SIDE, 0), np.minimum(at + ANCHOR + SIDE - 8, n - 8)
         left = _mix(load[before] * np.uint64(0x9E3779B97F4A7C15) ^ load[np.maximum(at - 8, 0)]) >> np.uint64(52)
         right = _mix(load[np.minimum(at + ANCHOR, n - 8)] * np.uint64(0x9E3779B97F4A7C15) ^ load[after]) >> np.uint64(52)
-        self.detail = fragment << np.uint64(24) | left << np.uint64(12) | right
-        self.code = _code(self.hash, self.detail)
+        self.sides = left << np.uint64(12) | right
+        self.code = _code(self.hash, self.fragment, self.sides)
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -122,7 +124,7 @@ def unpack(data: bytes, kind, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-CLAIMS = "range int, n int, anchors binary, details binary, owners binary, docs binary, doc_id bigint, codes binary"
+CLAIMS = "range int, n int, anchors binary, fragments binary, sides binary, owners binary, docs binary, doc_id bigint, codes binary"
 
 
 def claims(docs: DataFrame, ranges: int) -> DataFrame:
@@ -153,26 +155,27 @@ def _unit(unit: list[tuple[int, bytes]], ranges: int) -> pa.RecordBatch:
     ids = np.array([i for i, _ in unit], np.int64)
     found = [Anchors(raw) for _, raw in unit]
     owner = np.repeat(np.arange(len(unit), dtype=np.uint16), [len(f.hash) for f in found])
-    anchor, detail = np.concatenate([f.hash for f in found]), np.concatenate([f.detail for f in found])
+    anchor, fragment, sides = (np.concatenate([getattr(f, name) for f in found]) for name in ("hash", "fragment", "sides"))
     part = ((anchor >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
     low = (anchor & _LOW).astype(np.uint32)
-    # By anchor, detail and document; repeats inside a document count once.
-    order = np.lexsort((owner, detail, low, part))
-    part, low, detail, owner = part[order], low[order], detail[order], owner[order]
-    same = np.r_[False, (part[1:] == part[:-1]) & (low[1:] == low[:-1]) & (detail[1:] == detail[:-1])]
+    # By anchor, fragment, sides and document; repeats inside a document count once.
+    order = np.lexsort((owner, sides, fragment, low, part))
+    part, low, fragment, sides, owner = part[order], low[order], fragment[order], sides[order], owner[order]
+    same = np.r_[False, (part[1:] == part[:-1]) & (low[1:] == low[:-1]) & (fragment[1:] == fragment[:-1]) & (sides[1:] == sides[:-1])]
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
     later = same & (ids[owner] > ids[owner[head]])
     rows: list[tuple] = []
     by_doc = np.argsort(owner[later], kind="stable")
-    settled = (_code(low[later].astype(np.uint64), detail[later]) | np.uint64(SETTLED))[by_doc]
+    settled = (_code(low[later].astype(np.uint64), fragment[later], sides[later]) | np.uint64(SETTLED))[by_doc]
     for i, codes in _groups(owner[later][by_doc], settled):
-        rows.append((int(ids[i]) % ranges, None, None, None, None, None, int(ids[i]), np.unique(codes).tobytes()))
-    part, low, detail, owner = part[~same], low[~same], detail[~same], owner[~same]
+        rows.append((int(ids[i]) % ranges, None, None, None, None, None, None, int(ids[i]), np.unique(codes).tobytes()))
+    part, low, fragment, sides, owner = part[~same], low[~same], fragment[~same], sides[~same].astype(np.uint32), owner[~same]
     edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         used, local = np.unique(owner[a:b], return_inverse=True)
         deltas = np.diff(low[a:b], prepend=np.uint32(0))
-        rows.append((int(part[a]), b - a, pack(deltas), pack(detail[a:b]), pack(local.astype(np.uint16)), ids[used].tobytes(), None, None))
+        columns = (deltas, fragment[a:b], sides[a:b], local.astype(np.uint16))
+        rows.append((int(part[a]), b - a, *map(pack, columns), ids[used].tobytes(), None, None))
     return _batch(rows, CLAIMS)
 
 
@@ -200,7 +203,7 @@ def decide(claimed: DataFrame, partitions: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
         for batch in slices(batches):
-            for part, n, anchors, details, owners, docs, i, codes in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, n, anchors, pieces, sides, owners, docs, i, codes in zip(*(c.to_pylist() for c in batch.columns)):
                 if codes is not None:
                     own = np.frombuffer(codes, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int64)), pa.array(own)], names=["doc_id", "code"])
@@ -210,7 +213,8 @@ def decide(claimed: DataFrame, partitions: int) -> DataFrame:
                     held = []
                 current = part
                 doc = np.frombuffer(docs, np.int64)[unpack(owners, np.uint16, n)]
-                held.append((np.cumsum(unpack(anchors, np.uint32, n), dtype=np.uint32), unpack(details, np.uint64, n), doc))
+                anchor = np.cumsum(unpack(anchors, np.uint32, n), dtype=np.uint32)
+                held.append((anchor, unpack(pieces, np.uint64, n), unpack(sides, np.uint32, n), doc))
         if held:
             yield _decide(held)
 
@@ -218,18 +222,18 @@ def decide(claimed: DataFrame, partitions: int) -> DataFrame:
     return dealt.mapInArrow(run, TOLD)
 
 
-def _decide(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    anchor, detail, doc = (np.concatenate([h[k] for h in held]) for k in range(3))
-    order = np.lexsort((doc, detail, anchor))
-    anchor, detail, doc = anchor[order], detail[order], doc[order]
-    first = np.r_[True, (anchor[1:] != anchor[:-1]) | (detail[1:] != detail[:-1])]
+def _decide(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    anchor, fragment, sides, doc = (np.concatenate([h[k] for h in held]) for k in range(4))
+    order = np.lexsort((doc, sides, fragment, anchor))
+    anchor, fragment, sides, doc = anchor[order], fragment[order], sides[order], doc[order]
+    first = np.r_[True, (anchor[1:] != anchor[:-1]) | (fragment[1:] != fragment[:-1]) | (sides[1:] != sides[:-1])]
     head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
     status = np.where(doc > doc[head], SETTLED, 0)
     # Among the first of each fragment: those that share a side with a smaller document ask, with a larger one show.
     heads = np.flatnonzero(first)
     asks, shows = np.zeros(len(heads), bool), np.zeros(len(heads), bool)
     for shift in (12, 0):
-        key = anchor[heads].astype(np.uint64) << np.uint64(12) | (detail[heads] >> np.uint64(shift) & np.uint64(4095))
+        key = anchor[heads].astype(np.uint64) << np.uint64(12) | (sides[heads] >> np.uint32(shift) & np.uint32(4095))
         by_key = np.argsort(key, kind="stable")
         starts = np.flatnonzero(np.r_[True, key[by_key][1:] != key[by_key][:-1]])
         group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(by_key)]))
@@ -238,7 +242,7 @@ def _decide(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
         shows[by_key] |= d < np.maximum.reduceat(d, starts)[group]
     status[heads] = np.where(asks, ASKS, np.where(shows, SHOWS, 0))
     tell = np.flatnonzero(status)
-    codes = _code(anchor[tell].astype(np.uint64), detail[tell]) | status[tell].astype(np.uint64)
+    codes = _code(anchor[tell].astype(np.uint64), fragment[tell], sides[tell].astype(np.uint64)) | status[tell].astype(np.uint64)
     return pa.RecordBatch.from_arrays([pa.array(doc[tell]), pa.array(codes.view(np.int64))], names=["doc_id", "code"])
 
 
