@@ -57,6 +57,15 @@ def test_recall_of_the_query(spark):
     assert len({(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("rank", [1, 2, 8, 16])
+def test_recall_of_the_query_on_low_rank_vectors(spark, rank):
+    rng = np.random.default_rng(rank)
+    table = rng.normal(size=(4_000, rank)) @ rng.normal(size=(rank, 64))
+    data = [(i, x) for i, x in enumerate(table.astype(np.float32).tolist())]
+    got = found(op.report(spark.createDataFrame([(i, x, 0) for i, x in data], SCHEMA)))
+    same(got, brute(data, data[::100]))
+
+
 def test_unusable_vectors_repeats_and_few_candidates(spark):
     rows = [
         (0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (100, None, 1), (200, [0.0, 0.0], 1), (300, [float("nan"), 1.0], 1), (400, [None, 1.0], 1),
