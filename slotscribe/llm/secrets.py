@@ -8,13 +8,16 @@ method into one figure, high for strings that look random.
 
 How high is high enough comes from the corpus: runs of letters in one case are
 ordinary words, and their figures under the widest alphabet of an encoding's
-family, in the same class of lengths, are the null distribution. Each candidate's
+family, in the same class of lengths, are the null distribution. Long words are
+rare, so each class also has ``MODEL_WORDS`` words of its shortest length, whose
+letters are drawn as often as the corpus has them: a model of its words that has a
+bar for every length, however few long ones were seen. Each candidate's
 p-value is its upper tail there, and within each family and class the
 Benjamini-Hochberg rule at rate ``FALSE_DISCOVERY`` sets the bar. Both
-distributions are counted over all documents, in a fixed number of bins.
+distributions and the letters are counted over all documents, in a fixed number of bins.
 
-Defined results: NULL and empty texts have no spans; without ordinary words in a
-class nothing is added there; an added span that overlaps a base one is left
+Defined results: NULL and empty texts have no spans; without any letter in the
+corpus all letters are drawn alike; an added span that overlaps a base one is left
 out; repeated documents are scanned each on their own.
 """
 
@@ -39,6 +42,8 @@ LENGTH_CLASSES = (24, 32, 48, 96)
 BINS = 400
 # Smallest figure told apart, as a logarithm.
 FLOOR = -40.0
+# Words of the letter model in each class.
+MODEL_WORDS = 4_000
 
 ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -58,6 +63,8 @@ ENCODINGS = tuple(
 # The widest alphabet of each family: lower case, upper case, both.
 WIDEST = tuple([a for f, a in ENCODINGS if f == family][-1] for family in range(3))
 CLASSES = len(WIDEST) * (len(LENGTH_CLASSES) + 1)
+# Not a class of runs: its bins count the letters of the corpus.
+LETTERS = CLASSES
 WORD = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+")
 
 
@@ -132,11 +139,13 @@ def bin_of(figure: float) -> int:
 
 
 def null_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(class, bin, words, candidates) over all documents."""
+    """(class, bin, words, candidates) over all documents, and under class ``LETTERS`` how often each letter occurs."""
     def make():
         def work(batch: pa.RecordBatch):
-            words, candidates = (np.zeros((CLASSES, BINS), np.int64) for _ in range(2))
+            words, candidates = (np.zeros((CLASSES + 1, BINS), np.int64) for _ in range(2))
             for text in texts_of(batch, "t"):
+                raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+                words[LETTERS, : len(LOWER)] += np.bincount(raw, minlength=256)[ord("a") : ord("z") + 1]
                 for start, end, token in long_runs(text):
                     if not is_word(token):
                         family, alphabet = infer(token)
@@ -154,6 +163,31 @@ def null_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.groupBy("class", "bin").agg(F.sum("words").alias("words"), F.sum("candidates").alias("candidates"))
 
 
+def model_counts(letters: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """(class, bin, words, 0) of the letter model, from the number of times each letter occurs; the same on every call."""
+    often = np.array([letters.get(k, 0) for k in range(len(LOWER))], np.float64)
+    shares = often / often.sum() if often.sum() else np.full(len(LOWER), 1 / len(LOWER))
+    draw = np.random.default_rng(7)
+    out = []
+    for n in (SHORTEST, *LENGTH_CLASSES):
+        drawn = ["".join(LOWER[k] for k in row) for row in draw.choice(len(LOWER), (MODEL_WORDS, n), p=shares).tolist()]
+        for family, alphabet in enumerate(WIDEST):
+            bins = [bin_of(randomness(w if w[0] in alphabet else w.upper(), alphabet)) for w in drawn]
+            found, times = np.unique(bins, return_counts=True)
+            out += [(class_of(family, n), b, w, 0) for b, w in zip(found.tolist(), times.tolist())]
+    return out
+
+
+def fitted_bars(counts: list[tuple[int, int, int, int]], rate: float = FALSE_DISCOVERY) -> list[int]:
+    """Bars of the counts of a corpus, joined by the words of its letter model."""
+    total: dict[tuple[int, int], tuple[int, int]] = {}
+    seen = [r for r in counts if r[0] != LETTERS]
+    for c, b, w, k in [*seen, *model_counts({b: w for c, b, w, _ in counts if c == LETTERS})] if any(r[3] for r in seen) else seen:
+        words, candidates = total.get((c, b), (0, 0))
+        total[c, b] = (words + w, candidates + k)
+    return bars([(c, b, w, k) for (c, b), (w, k) in total.items()], rate)
+
+
 def bars(counts: list[tuple[int, int, int, int]], rate: float = FALSE_DISCOVERY) -> list[int]:
     """Per class, the lowest bin whose candidates are discoveries (``BINS`` for none)."""
     words, candidates = (np.zeros((CLASSES, BINS), np.int64) for _ in range(2))
@@ -186,7 +220,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 def find(docs: DataFrame, out: str, *, text_col: str = "text", rate: float = FALSE_DISCOVERY) -> DataFrame:
     """``docs`` with a column ``out`` of all spans."""
-    bar = bars([tuple(r) for r in null_counts(docs, text_col).select("class", "bin", "words", "candidates").collect()], rate)
+    bar = fitted_bars([tuple(r) for r in null_counts(docs, text_col).select("class", "bin", "words", "candidates").collect()], rate)
 
     def make():
         def work(batch: pa.RecordBatch) -> list:

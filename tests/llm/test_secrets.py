@@ -64,6 +64,35 @@ def test_battery_adds_random_keys_and_leaves_words(spark):
     assert not any(found[i] for i in range(120))
 
 
+@pytest.mark.parametrize("symbols,n", [
+    (string.ascii_letters + string.digits, 40), (string.ascii_letters + string.digits + "+/", 64), (string.ascii_letters + string.digits, 24),
+    (string.ascii_uppercase + string.digits, 64), (string.ascii_lowercase + string.digits, 50), (string.ascii_uppercase + "234567", 100),
+])
+@pytest.mark.parametrize("keys", [1, 40])
+def test_long_keys_among_words_of_normal_length(spark, symbols, n, keys):
+    rng = random.Random(n)
+    words = "the of and to in is that for it with as his on be at by this had not but from or have an they which one you were her all she there would".split()
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
+    made = [random_key(rng, symbols, n) for _ in range(keys)]
+    found = {r["doc_id"]: r["spans"] for r in op.report(documents(spark, [*texts, *(f"the key is {k} here" for k in made)])).collect()}
+    assert sum(f"random:11:{11 + n}" == found[40 + i] for i in range(keys)) >= 0.8 * keys
+    assert not any(found[i] for i in range(40))
+
+
+def test_short_keys_of_one_case_are_not_dropped_as_a_class(spark):
+    # 36 symbols over 32 characters are hard to tell from letters: the battery finds most, not all.
+    rng = random.Random(32)
+    made = [random_key(rng, string.ascii_uppercase + string.digits, 32) for _ in range(40)]
+    found = op.report(documents(spark, ["the of and to in is that for it with as his on be at by " * 40, *(f"the key is {k} here" for k in made)])).collect()
+    assert sum(r["spans"] == "random:11:43" for r in found) >= 0.5 * len(made)
+
+
+def test_letter_model_is_as_random_as_the_words_it_stands_for():
+    drawn = op.model_counts({k: 100 for k in range(26)})
+    assert {c for c, *_ in drawn} == set(range(op.CLASSES)) and sum(w for *_, w, _ in drawn) == op.CLASSES * op.MODEL_WORDS
+    assert drawn == op.model_counts({k: 1 for k in range(26)}) == op.model_counts({})
+
+
 @pytest.mark.parametrize("token,random_", [("a" * 40, False), ("abcdefghijklmnopqrstuvwxyz0123456789", False), ("aB3xK9mQ2pL7vR4tY8wZ1nC6dF5gH0jS", True), ("0101010101010101", False)])
 def test_battery(token, random_):
     assert (op.randomness(token) > -6) == random_
