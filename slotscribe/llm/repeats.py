@@ -17,7 +17,9 @@ Longest previous factors. Fragments are brought together by anchor and all their
 windows sorted as suffixes (ranks of 8, 16, 32 and 50 bytes, each made of two of
 the ranks before). In that order the previous and the next entry of a smaller
 document are found by pointer jumping; if either is equal over 50 bytes, the
-window has an earlier copy, else its longest previous factor is shorter.
+window has an earlier copy, else its longest previous factor is shorter. Fragments of
+an anchor with more than ``CHUNK_BYTES`` of them are not brought together: each of their
+windows is a row, and the smallest document of equal ones is found by partial aggregates.
 
 Fragments are taken as equal by 96 bits of hash (32 of the anchor, 64 of the
 fragment), within one range of anchors: where documents share an anchor, as at the
@@ -51,8 +53,10 @@ SIDE = (LENGTH - ANCHOR) // 2
 UNIT_BYTES, UNIT_DOCS = 6_000_000, 60_000
 # Anchors of a range, which one step sorts; a text has one in WINDOW / 2 bytes.
 RANGE_ANCHORS = 400_000
-# Bytes of fragments that are sorted together; fragments of one anchor always are.
+# Bytes of fragments that are sorted together, twice as many at most; an anchor with more goes window by window.
 CHUNK_BYTES = 1_000_000
+# Parts that the documents asking for one window are dealt into.
+SALTS = 16
 # What is known of an anchor occurrence, in the low bits of its code.
 SETTLED, ASKS, SHOWS = 1, 2, 3
 
@@ -394,6 +398,32 @@ def _answer(rows: list[tuple]) -> pa.RecordBatch:
     return _batch(out, "rid bigint, spans binary")
 
 
+WINDOWS = "window binary, rid bigint, doc_id bigint, start bigint, asks boolean"
+
+
+def answer_by_window(sent: DataFrame) -> DataFrame:
+    """(rid, spans) as from ``answer``, without a task that holds all fragments of an anchor; windows are equal by 128 bits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for rid, i, first, asks, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(xxhash.xxh3_128_digest(piece[p : p + LENGTH]), rid, i, first + p, asks) for p in range(len(piece) - LENGTH + 1)]
+            yield _batch(rows, WINDOWS)
+
+    windows = sent.select("rid", "doc_id", "first", "asks", "piece").mapInArrow(run, WINDOWS)
+    held = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    dealt = held.select("window", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    asking = windows.where("asks").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    gone = asking.join(dealt, ["window", "salt"]).where("doc_id > least").groupBy("rid").agg(F.collect_set("start").alias("starts"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            spans = [np.stack([s, s + LENGTH], axis=1) for s in (np.array(x, np.int64) for x in batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([union(x).tobytes() for x in spans], pa.binary())], names=["rid", "spans"])
+
+    return gone.select("rid", "starts").mapInArrow(join, "rid bigint, spans binary")
+
+
 RESULT = "doc_id bigint, n_bytes bigint, removed binary, kept_sha256 string"
 
 
@@ -422,7 +452,14 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     told = decide(claims(texts, ranges), ranges).groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
     placed = stage(place(texts, told), "placed")
     chunks = max(1, -(-placed.agg(F.coalesce(F.sum(F.length("shown")), F.lit(0))).first()[0] // (CHUNK_BYTES // 2)))
-    return finish(placed, answer(fragments(placed), chunks))
+    sent = fragments(placed)
+    hot = stage(sent.groupBy("anchor").agg(F.sum(F.length("piece")).alias("bytes")).where(F.col("bytes") > CHUNK_BYTES).select("anchor"), "hot")
+    if not hot.limit(1).count():
+        return finish(placed, answer(sent, chunks))
+    # One anchor per CHUNK_BYTES of fragments at most, so they are few.
+    few = F.broadcast(hot)
+    rest = answer(sent.join(few, "anchor", "left_anti"), chunks)
+    return finish(placed, rest.union(answer_by_window(sent.join(few, "anchor", "left_semi"))))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -83,6 +83,22 @@ def test_fragments_at_the_edge_of_a_shared_passage_are_told_apart(spark):
     assert got(op.report(documents(spark, docs).repartition(4))) == brute(docs)
 
 
+def test_no_task_holds_all_fragments_of_a_hot_anchor(spark, monkeypatch):
+    rng = random.Random(6)
+    passage = noise(rng, 160)
+    docs = list(enumerate(noise(rng, 30) + passage + noise(rng, 30) for _ in range(600)))
+    docs += [(i + 600, text[rng.randrange(20) :]) for i, text in docs[:100]]
+    monkeypatch.setattr(op, "CHUNK_BYTES", 4_000)
+    # What is sorted together is what answer() is given of one anchor.
+    sizes, usual = [], op.answer
+    def watched(sent, partitions):
+        sizes.extend(r["n"] for r in sent.selectExpr("anchor", "length(piece) as n").groupBy("anchor").agg({"n": "sum"}).toDF("anchor", "n").collect())
+        return usual(sent, partitions)
+    monkeypatch.setattr(op, "answer", watched)
+    assert got(op.report(documents(spark, docs).repartition(4))) == brute(docs)
+    assert sizes and max(sizes) <= 4_000
+
+
 def test_awkward_rows(spark):
     docs = [*enumerate(t for t in awkward() if t is None or len(t) < 25_000), (3, "y" * 80), (3, "y" * 90), (60, "q" * 70 + "y" * 85), (None, "y" * 80), (None, None)]
     frame = documents(spark, docs).selectExpr("*", "1 as n_removed", "'x' as rid", "2 as codes", "3 as range")
