@@ -63,5 +63,53 @@ kept as (select doc_id, string_agg(substr(h, 2 * e.a + 1, 2 * (e.b - e.a)), '' o
 select d.doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
   sha256(unhex(k)) as kept_sha256
 from d join kept using (doc_id) left join counts using (doc_id)
+""",
+    "op11_warc": """
+with p as (select page_id, coalesce(html, '') as h, max(page_id) over (partition by coalesce(html, '')) as m from pages),
+marked as (select page_id, h, case when strlen(h) >= 1000 and page_id is distinct from m then m end as refers_to from p)
+select page_id, strlen(h) as payload_bytes, sha1(h) as payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to
+from marked
+""",
+    "op13_prefix_trie": """
+with recursive bits(i, c, k) as (
+  select i, i::ubigint, 0 from range(256) r(i)
+  union all
+  select i, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from bits where k < 8),
+crc as (select list(c order by i) as t from bits where k = 8),
+t as (
+  select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, sha256(length(role) || ':' || role || text)) as place
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+sums as (
+  select conv_id, max(place) as own, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::ubigint)),
+    lambda a, b: xor(a >> 8, any_value(crc.t)[(xor(a, b) & 255)::bigint + 1])), 4294967295::ubigint) as sum
+  from t, crc group by conv_id),
+convs as (
+  select s.conv_id, (sum % 6)::bigint as h, s.conv_id - s.conv_id % 100 as base, least((sum % 6)::bigint, coalesce(b.own, 0)) as lent
+  from sums s left join (select conv_id, own from sums) b on b.conv_id = s.conv_id - s.conv_id % 100),
+rebuilt as (
+  select c.conv_id, t.place, role, text from convs c join t on t.conv_id = c.base and t.place <= c.h
+  union all
+  select c.conv_id, t.place - c.h + c.lent, role, text from convs c join t on t.conv_id = c.conv_id and t.place > c.h),
+paths as (
+  select conv_id, place as depth, list(length(role) || ':' || role || text) over (partition by conv_id order by place) as p, length(text) as n from rebuilt
+  union all
+  select conv_id, 0, []::varchar[], 0 from convs),
+nodes as (select p, depth, min(conv_id) as conv_id, count(*) as n_convs, max(n) as n from paths group by p, depth),
+members as (select m.conv_id as member, depth, nodes.conv_id as node from paths m join nodes using (p, depth)),
+named as (
+  select nodes.conv_id, nodes.depth, members.node as parent, n_convs, (n_convs - 1) * n as saved
+  from nodes left join members on members.member = nodes.conv_id and members.depth = nodes.depth - 1),
+children as (select parent as conv_id, depth - 1 as depth, count(*) as n_children from named where depth > 0 group by all),
+counted as (select named.*, coalesce(n_children, 0) as n_children from named left join children using (conv_id, depth)),
+totals as (
+  select a.node as conv_id, a.depth, sum((d.n_children = 0)::int)::bigint as n_leaves, sum(d.saved)::bigint as saved_tokens
+  from counted d join members a on a.member = d.conv_id and a.depth <= d.depth group by all),
+lengths as (select member, max(depth) as depth from members group by member),
+ends as (
+  select node as conv_id, depth, sha256(string_agg(member::varchar, ',' order by member)) as ends_sha256
+  from members join lengths using (member, depth) group by all)
+select conv_id, depth::bigint as depth, parent as parent_conv_id, n_convs::bigint as n_convs, n_children::bigint as n_children, n_leaves, saved_tokens,
+  coalesce(ends_sha256, sha256('')) as ends_sha256
+from counted join totals using (conv_id, depth) left join ends using (conv_id, depth)
 """,
 }

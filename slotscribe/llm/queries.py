@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, neighbours, pii, repeats, secrets, sharding, toxicity, urls
+from . import bpe, decontaminate, jaccard, neighbours, periodic, pii, prefix_trie, repeats, secrets, sharding, toxicity, urls, warc
 from .common import table
 from .oracle import ORACLE
 
@@ -56,12 +56,22 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.report(table(spark, sf_dir, "pages"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> (session, sample folder) -> result."""
     named = (
         op1_decontaminate, op2_neighbours, op3_jaccard, op4_toxicity, op5_repeats, op6_personal, op7_secrets, op8_sharding, op9_bpe, op10_urls,
+        op11_warc, op12_periodic, op13_prefix_trie,
     )
     return {f.__name__: f for f in named}
-
-
-
