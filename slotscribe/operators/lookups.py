@@ -37,6 +37,8 @@ class CallFilter:
     to_time: object = None
     limit: int | None = None
     offset: int = 0
+    # Go on after this row of the page before, by its (time, slot, tx_sig, ix_index); a page costs the same at any depth.
+    after: tuple | None = None
 
 
 def bind_time(df: DataFrame, column: str, value) -> Column:
@@ -82,9 +84,30 @@ def list_calls(calls: DataFrame, f: CallFilter = CallFilter(), *, time_col: str
     A limit is honoured as it is; a service that wants a maximum names it as ``most``.
     """
     limit = _page(f.limit, CALL_PAGE, most)
-    tie_breaks = [c for c in ("tx_sig", "ix_index") if c in calls.columns]
-    order = [F.desc(time_col), *([F.desc("slot")] if "slot" in calls.columns else []), *tie_breaks]
-    return filter_calls(calls, f, time_col=time_col).orderBy(*order).offset(f.offset).limit(limit)
+    order = page_order(calls, time_col)
+    rows = filter_calls(calls, f, time_col=time_col)
+    if f.after is not None:
+        rows = rows.where(follows(rows, order, f.after))
+    return rows.orderBy(*[F.desc(c) if newest else F.asc(c) for c, newest in order]).offset(f.offset).limit(limit)
+
+
+def page_order(calls: DataFrame, time_col: str = "created_at") -> list[tuple[str, bool]]:
+    """Columns that calls are listed by, and whether the greatest comes first."""
+    order = [(time_col, True), ("slot", True), ("tx_sig", False), ("ix_index", False)]
+    return [(c, newest) for c, newest in order if c in calls.columns]
+
+
+def follows(calls: DataFrame, order: list[tuple[str, bool]], last: tuple) -> Column:
+    """Whether a row comes after the one with these values in the order; the first column's bound reaches the scan."""
+    if len(last) != len(order):
+        raise ValueError(f"a page goes on after values of {[c for c, _ in order]}")
+    bounds = [bind_time(calls, c, value) for (c, _), value in zip(order, last)]
+    same, later = F.lit(True), F.lit(False)
+    for (c, newest), bound in zip(order, bounds):
+        later = later | (same & (F.col(c) < bound if newest else F.col(c) > bound))
+        same = same & (F.col(c) == bound)
+    (first, newest), bound = order[0], bounds[0]
+    return (F.col(first) <= bound if newest else F.col(first) >= bound) & later
 
 
 def _page(limit: int | None, usual: int, most: int | None) -> int:
@@ -108,6 +131,15 @@ def effective_bucket(bucket: str | None) -> str:
     return bucket if bucket in BUCKETS else DEFAULT_BUCKET
 
 
+def series_bounds(from_time, to_time) -> tuple[Column, Column]:
+    """Bounds of a series: those given, else the last seven days."""
+    bounds = (
+        F.current_timestamp() - F.expr(f"interval {DEFAULT_WINDOW}") if from_time is None else from_time,
+        F.current_timestamp() if to_time is None else to_time,
+    )
+    return tuple(b if isinstance(b, Column) else F.lit(b) for b in bounds)
+
+
 def time_series(
     calls: DataFrame,
     ix_name: str | Column | None = None,
@@ -125,8 +157,7 @@ def time_series(
     value of that column instead of a single ``ix_name``.
     """
     kind = calls.schema[time_col].dataType
-    low = bind_time(calls, time_col, F.current_timestamp() - F.expr(f"interval {DEFAULT_WINDOW}") if from_time is None else from_time)
-    high = bind_time(calls, time_col, F.current_timestamp() if to_time is None else to_time)
+    low, high = (bind_time(calls, time_col, bound) for bound in series_bounds(from_time, to_time))
     period = F.date_trunc(effective_bucket(bucket), F.col(time_col)).cast(kind).alias("period")
     name = F.col(group) if group else (ix_name if isinstance(ix_name, Column) else F.lit(ix_name))
     series = (
@@ -225,6 +256,19 @@ def program_stats(txs: DataFrame, tables: dict[str, DataFrame], last_checkpoint:
     )
 
 
+def stats_row(transactions: DataFrame, counts: DataFrame, last_checkpoint: str | None = None) -> DataFrame:
+    """``program_stats`` from counts that are known: one row of transactions, and (table, calls)."""
+    calls = counts.agg(
+        F.coalesce(F.sum("calls"), F.lit(0)).cast("bigint").alias("total_ix_calls"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("table", "calls")))).alias("ix_call_counts"),
+    )
+    both = transactions.withColumn("_one", F.lit(1)).join(calls.withColumn("_one", F.lit(1)), "_one")
+    return both.select(
+        "total_transactions", "total_ix_calls", "ix_call_counts", "first_indexed_slot", "last_indexed_slot",
+        F.lit(last_checkpoint).cast("string").alias("last_checkpoint"),
+    )
+
+
 def issue_counts(df: DataFrame) -> DataFrame:
     """Rows per decode issue of a decoded table."""
     return df.select(F.explode("decode_issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("rows"))

@@ -65,6 +65,17 @@ def _account_fields(text: Column, types: Column) -> Column:
     )
 
 
+def _address() -> Column:
+    """The address a parsed document states, NULL if it states none."""
+    return F.coalesce("doc.address", F.get_json_object("doc.metadata", "$.address"))
+
+
+def stated_addresses(docs: DataFrame) -> DataFrame:
+    """(program_id, address, accepted) of every document: one that states another address would be refused."""
+    parsed = docs.select("program_id", F.from_json("idl", DOCUMENT).alias("doc")).select("program_id", _address().alias("address"))
+    return parsed.select("program_id", "address", (F.coalesce("address", "program_id") == F.col("program_id")).alias("accepted"))
+
+
 def idl_registry(docs: DataFrame, *, check_address: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per named instruction and account type of every document.
 
@@ -75,7 +86,7 @@ def idl_registry(docs: DataFrame, *, check_address: bool = True, keep: tuple[str
     """
     parsed = docs.select("program_id", *keep, F.from_json("idl", DOCUMENT).alias("doc"))
     if check_address:
-        address = F.coalesce("doc.address", F.get_json_object("doc.metadata", "$.address"))
+        address = _address()
         mismatch = F.concat(F.lit("document address "), address, F.lit(" is not program "), F.col("program_id"))
         parsed = parsed.where(
             F.when(F.coalesce(address, F.col("program_id")) == F.col("program_id"), F.lit(True)).otherwise(

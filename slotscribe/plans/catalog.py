@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +16,13 @@ from ..functions.names import column_name, snake_case, table_name
 from ..operators import dedup, lookups, normalize
 from ..operators.decode import decode_payload
 from ..operators.lookups import CallFilter
-from ..operators.registry import Field, Entry, Program, idl_registry, introspect, program_from_json
+from ..operators.registry import Field, Entry, Program, idl_registry, introspect, program_from_json, stated_addresses
 from ..session import apply_runtime_conf, scratch_path
 from ..sources import blocks as source
-from ..streaming.live import start_index_stream, stream_blocks
+from ..streaming.live import catch_up_then_follow, start_index_stream, stream_blocks
+from . import maintenance
 from . import sample_chain as sample
-from .commit import commit_batch, decode_entry
+from .commit import CommitOptions, commit_batch, decode_entry
 from .jobs import BatchRequest, run_batch
 from .reader import IndexReader
 from .store import IndexStore, latest_state
@@ -62,6 +63,14 @@ def ix_list_page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.list_calls(sample.calls(spark, sf_dir), CallFilter(limit=5000), most=1000)
 
 
+def ix_list_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after the first 400 calls, by the last row of these instead of an offset."""
+    calls = sample.calls(spark, sf_dir)
+    order = lookups.page_order(calls)
+    last = lookups.list_calls(calls, CallFilter(limit=1, offset=399)).first()
+    return lookups.list_calls(calls, CallFilter(limit=40, after=tuple(last[c] for c, _ in order)))
+
+
 def ix_list_large_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A limit beyond any service's maximum is honoured."""
     return lookups.list_calls(sample.calls(spark, sf_dir), CallFilter(limit=5000))
@@ -217,6 +226,15 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.distinct()
 
 
+def registry_address_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document under a foreign program: refused where it states its own address."""
+    docs = sample.customer_documents(spark, sf_dir)
+    number = F.substring("program_id", 2, 20).cast("bigint")
+    return stated_addresses(docs.withColumn("program_id", F.when(number % 3 == 0, F.lit("Foreign")).otherwise(F.col("program_id")))).select(
+        "program_id", F.col("address"), "accepted"
+    )
+
+
 def snake_case_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("name")
     return _names(spark, sf_dir).select(
@@ -475,6 +493,17 @@ def decode_text_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("conv_id", "turn", F.array_join("words", " ").alias("text"), F.size("words").cast("bigint").alias("n_words"))
 
 
+def decode_nameless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls as objects of their named arguments; a nameless one is read for its bytes only."""
+    idl = {"name": "tracker", "instructions": [{"name": "track", "args": [{"name": "number", "type": "i64"}, {"type": "u32"}, {"name": "odd", "type": "bool"}]}]}
+    entry = _program(spark, json.dumps(idl)).resolve("instruction", "track")
+    parts = [sample.little_endian_hex(F.col("event_id"), 8), sample.little_endian_hex(F.col("user_id"), 4), F.when(F.col("user_id") % 2 == 1, "01").otherwise("00")]
+    rows = sample.table(spark, sf_dir, "events").select("event_id", sample.payload("instruction", F.lit("track"), *parts).alias("data"))
+    decoded = decode_payload(rows, entry.layout)
+    named = [f.column for f in entry.fields if f.column is not None]
+    return decoded.select("event_id", lookups.row_json(decoded, named).alias("args"))
+
+
 def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole document texts as string fields."""
     data = sample.payload("account", F.lit("Doc"), sample.text_hex(F.col("text")), sample.little_endian_hex(F.col("n_chars"), 8))
@@ -578,6 +607,96 @@ def index_signature_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.transactions().select("signature", "slot").join(called, "signature", "left").select("signature", "slot", F.coalesce("calls", F.lit(0)).alias("calls"))
 
 
+def index_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One transaction, its calls, one account and its history, found through the keys of the index."""
+    reader = _index(spark, sf_dir)
+    line = sample.table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'").select(
+        F.min(F.struct(sample.line_signature().alias("signature"), F.col("l_suppkey"), F.col("l_returnflag")))
+    ).first()[0]
+    name, address = sample.FLAG_NAMES[line["l_returnflag"]], f"supp{line['l_suppkey']}"
+    found = {
+        "transaction": reader.transaction(line["signature"]).select(F.col("signature").alias("key"), "slot"),
+        "call": reader.calls(name, CallFilter(tx_sig=line["signature"])).select(F.col("tx_sig").alias("key"), "slot"),
+        "account": reader.account("SupplierVault", address).select(F.col("address").alias("key"), "slot"),
+        "version": reader.account_history("SupplierVault", address).select(F.col("address").alias("key"), "slot"),
+    }
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(kind).alias("kind"), "key", "slot") for kind, rows in found.items()])
+
+
+def index_range_time_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily calls of one month of chain time: the zones say which folders hold it."""
+    series = _index(spark, sf_dir).time_series("newLine", "1997-03-01 00:00:00", "1997-03-31 23:59:59", "day", time_col="block_ts")
+    return series.withColumn("period", F.col("period").cast("timestamp_ntz"))
+
+
+def index_current_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current account states after two batches, the second with older slots."""
+    program, blocks = _program(spark, sample.SAMPLE_IDL), _block_table(spark, sf_dir)
+    store = IndexStore(spark, scratch_path(spark, "states-index"), slots_per_bucket=400)
+    txs = normalize.transactions(blocks, program.program_id)
+    for n, part in enumerate((txs.where("slot >= 9600"), txs.where("slot < 9600"))):
+        commit_batch(store, program, part, writer="sample", batch_id=n, snapshots=sample.supplier_snapshots(spark, sf_dir))
+    return IndexReader(store, program).accounts("SupplierVault").select("address", "slot", "lamports", F.get_json_object("data", "$.label").alias("label"))
+
+
+def index_failed_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with failed transactions, indexed with and without them."""
+    program = _program(spark, sample.SAMPLE_IDL)
+    txs = normalize.transactions(sample.line_blocks(spark, sf_dir, F.col("l_quantity") > 40), program.program_id)
+    parts = []
+    for kept in (True, False):
+        store = IndexStore(spark, scratch_path(spark, "failed-index"), slots_per_bucket=400)
+        commit_batch(store, program, txs, writer="sample", batch_id=0, options=CommitOptions(include_failed=kept))
+        rows = IndexReader(store, program).transactions()
+        parts.append(rows.groupBy("err").agg(F.count(F.lit(1)).alias("transactions"), F.min("slot").alias("first_slot")).withColumn("include_failed", F.lit(kept)))
+    return parts[0].unionByName(parts[1])
+
+
+def index_rewritten_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of several batches rewritten as one, its state compacted: the same statistics."""
+    program, blocks = _program(spark, sample.SAMPLE_IDL), _block_table(spark, sf_dir)
+    store, target = (IndexStore(spark, scratch_path(spark, n), slots_per_bucket=400) for n in ("many-batches", "one-batch"))
+    txs = normalize.transactions(blocks, program.program_id)
+    for n, part in enumerate((txs.where("slot < 9900"), txs.where("slot >= 9700"))):
+        commit_batch(store, program, part, writer="sample", batch_id=n)
+    maintenance.compact_state(store)
+    maintenance.rewrite_index(IndexReader(store, program), target)
+    return IndexReader(target, program).stats().withColumn("ix_call_counts", F.to_json("ix_call_counts")).drop("last_checkpoint")
+
+
+def _live_blocks(spark: SparkSession, sf_dir: str, from_slot: int) -> str:
+    """A folder of the sample blocks from a slot on, for a stream to pick up."""
+    path = scratch_path(spark, "live-blocks")
+    source.write_blocks(sample.line_blocks(spark, sf_dir).where(F.col("slot") >= from_slot), path, size=400)
+    return path
+
+
+def stream_row_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample blocks as a stream whose commits hold a third of all transactions at most."""
+    program, path = _program(spark, sample.SAMPLE_IDL), _live_blocks(spark, sf_dir, 0)
+    total = sample.table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'").count()
+    store = IndexStore(spark, scratch_path(spark, "bound-index"), slots_per_bucket=400)
+    start_index_stream(
+        stream_blocks(spark, path, "parquet"), store, program, scratch_path(spark, "bound-checkpoint"), name="sample", available_now=True, max_rows=-(-total // 3)
+    ).awaitTermination()
+    zones = store.zones(store.load()).where("indexed = 'transactions'")
+    commits = zones.groupBy("batch_id").agg(F.min("min_slot").alias("first_slot"), F.max("max_slot").alias("last_slot"), F.sum("rows").alias("transactions"))
+    return commits.drop("batch_id")
+
+
+def stream_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch run up to a slot, a backfill of what the history gained since, then the live feed, which overlaps both."""
+    program, blocks = _program(spark, sample.SAMPLE_IDL), _block_table(spark, sf_dir)
+    store = IndexStore(spark, scratch_path(spark, "followed-index"), slots_per_bucket=400)
+    run_batch(store, program, blocks, BatchRequest(start_slot=0, end_slot=9_400))
+    live = stream_blocks(spark, _live_blocks(spark, sf_dir, 9_500), "parquet")
+    query = catch_up_then_follow(
+        blocks.where("slot <= 10000"), live, store, program, scratch_path(spark, "followed-checkpoint"), name="sample", available_now=True
+    )
+    query.awaitTermination()
+    return IndexReader(store, program).stats().withColumn("ix_call_counts", F.to_json("ix_call_counts")).drop("last_checkpoint")
+
+
 def stream_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same blocks as a stream: worked off in micro-batches, then counted per instruction."""
     _block_table(spark, sf_dir)
@@ -602,6 +721,7 @@ QUERIES = {
     "ix_list_by_tx": ix_list_by_tx,
     "ix_list_page_cap": ix_list_page_cap,
     "ix_list_large_page": ix_list_large_page,
+    "ix_list_seek": ix_list_seek,
     "ix_filter_all_matching": ix_filter_all_matching,
     "ix_rows_json": ix_rows_json,
     "ix_call_count": ix_call_count,
@@ -624,6 +744,7 @@ QUERIES = {
     "snake_case_names": snake_case_names,
     "discriminators": discriminators,
     "registry_entries": registry_entries,
+    "registry_address_check": registry_address_check,
     "schema_introspection": schema_introspection,
     "latest_n": latest_n,
     "signature_page": signature_page,
@@ -653,6 +774,7 @@ QUERIES = {
     "decode_opaque": decode_opaque,
     "decode_text_lists": decode_text_lists,
     "decode_documents": decode_documents,
+    "decode_nameless": decode_nameless,
     "truncated_payloads": truncated_payloads,
     "base58_round_trip": base58_round_trip,
     "index_build_stats": index_build_stats,
@@ -661,7 +783,14 @@ QUERIES = {
     "index_chain_time_series": index_chain_time_series,
     "index_range_resumed": index_range_resumed,
     "index_signature_list": index_signature_list,
+    "index_point_lookup": index_point_lookup,
+    "index_range_time_series": index_range_time_series,
+    "index_current_states": index_current_states,
+    "index_failed_left_out": index_failed_left_out,
+    "index_rewritten_stats": index_rewritten_stats,
     "stream_index_counts": stream_index_counts,
+    "stream_row_bound": stream_row_bound,
+    "stream_catch_up": stream_catch_up,
 }
 
 

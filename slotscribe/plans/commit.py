@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 
 from ..operators import normalize
 from ..operators.decode import decode_payload
-from ..operators.dedup import keep_first, not_stored
+from ..operators.dedup import keep_first, not_keyed, not_stored
 from ..operators.registry import FIXED_COLUMNS, Entry, Program
-from ..session import Staging
-from .store import LAST_SIG_KEY, LAST_SLOT_KEY, QUARANTINE_SCHEMA, SCHEMA_KEY, TRANSACTION_SCHEMA, IndexStore
+from ..session import Staging, remove_folder
+from .store import BUCKETS_KEY, FOLDED_KEY, LAST_SIG_KEY, LAST_SLOT_KEY, QUARANTINE_SCHEMA, SCHEMA_KEY, TRANSACTION_SCHEMA, IndexStore
 
 # Distinct slot buckets up to which a batch names them one by one when it looks
 # for stored duplicates; beyond that it uses their range.
@@ -51,6 +51,10 @@ class CommitOptions:
     # land near the block they refer to.
     conflict_slack: int | None = None
     engine: str = "auto"
+    # Failed transactions are indexed like others, or left out.
+    include_failed: bool = True
+    # Fold the batch's account states into the current ones once it is committed.
+    fold_states: bool = True
 
 
 @dataclass
@@ -185,23 +189,35 @@ def _commit(
     order = [*([options.order] if options.order else []), "slot", "tx_index"]
     if options.newest_first and not options.order:
         order = [F.desc("slot"), F.desc("tx_index")]
+    if not options.include_failed:
+        txs = txs.where(F.col("err").isNull())
     staged = staging.put(keep_first(txs, ["signature"], order), "transactions")
     state = store.load()
     committed = state.committed
+    # A new index keeps keys, zones and current states; one begun without them goes on so.
+    buckets = state.key_buckets if committed else store.key_buckets
+    item = {("tx_sig", "ix_index"): "ix_index", ("tx_sig",): None}
     now = F.lit(datetime.now(timezone.utc))
     near = conflict_range(staged, store.slots_per_bucket, options.conflict_slack) if committed else None
 
     probe = staged.select("signature") if committed and staged.count() <= BROADCAST_BATCH else None
 
-    def stored(table: str, schema: T.StructType) -> DataFrame:
-        return near.limit(store.read(table, schema, state=state, exclude=(writer, batch_id), buckets=near.buckets))
+    def fresh(rows: DataFrame, table: str, columns: T.StructType, key: tuple[str, ...]) -> DataFrame:
+        """Rows that no other batch has stored."""
+        if not committed:
+            return rows
+        if buckets is not None and (key in item or key == ("signature",)):
+            known = near.limit(store.keys(state, table, (writer, batch_id)))
+            return not_keyed(rows, known, key[0], item.get(key), probe)
+        known = near.limit(store.read(table, columns, state=state, exclude=(writer, batch_id), buckets=near.buckets))
+        return not_stored(rows, known, list(key), probe)
 
-    new_state: dict[str, str] = {}
+    new_state: dict[str, str] = {} if committed else {BUCKETS_KEY: str(buckets)}
+    written: dict[str, T.StructType] = {"transactions": TRANSACTION_SCHEMA}
 
     def write_transactions() -> None:
         rows = staged.withColumn("created_at", now).select(*TRANSACTION_SCHEMA.names)
-        if committed:
-            rows = not_stored(rows, stored("transactions", TRANSACTION_SCHEMA), ["signature"], probe)
+        rows = fresh(rows, "transactions", TRANSACTION_SCHEMA, ("signature",))
         store.write(rows, "transactions", writer, batch_id, sort=("slot", "tx_index"), lookup="signature")
 
     routed = route_calls(staged, program)
@@ -212,16 +228,14 @@ def _commit(
     def write_quarantine() -> None:
         rows = normalize.quarantine(routed.where(F.col("target") == "_quarantine"))
         rows = rows.withColumn("created_at", now).select(*QUARANTINE_SCHEMA.names)
-        if committed:
-            rows = not_stored(rows, stored("quarantine", QUARANTINE_SCHEMA), ["tx_sig", "ix_index"], probe)
+        rows = fresh(rows, "quarantine", QUARANTINE_SCHEMA, ("tx_sig", "ix_index"))
         store.write(rows, "quarantine", writer, batch_id)
 
     def write_calls(table: str, entries: list[Entry], columns: T.StructType) -> None:
         rows = routed.where(F.col("target") == table)
         if options.call_key != ("tx_sig", "ix_index"):
             rows = keep_first(rows, list(options.call_key), ["ix_index"])
-        if committed:
-            rows = not_stored(rows, stored(table, columns), list(options.call_key), probe)
+        rows = fresh(rows, table, columns, options.call_key)
         store.write(decode_table(rows, entries, columns, options.engine, now), table, writer, batch_id, lookup="tx_sig")
 
     def grown_schema(kind: str, table: str) -> T.StructType:
@@ -233,10 +247,17 @@ def _commit(
     # One row per table: only the folder names of the staged calls are read.
     filled = {r["target"] for r in routed.select("target").distinct().collect()}
     jobs = [write_transactions]
-    add = lambda there, table, job: jobs.append(job if there else partial(store.drop_batch, table, writer, batch_id))
-    add("_quarantine" in filled, "quarantine", write_quarantine)
+
+    def add(there: bool, table: str, columns: T.StructType, job) -> None:
+        jobs.append(job if there else partial(store.drop_batch, table, writer, batch_id))
+        if there:
+            written[table] = columns
+
+    add("_quarantine" in filled, "quarantine", QUARANTINE_SCHEMA, write_quarantine)
     for table, entries in program.tables("instruction").items():
-        add(table in filled, table, partial(write_calls, table, entries, grown_schema("instruction", table)))
+        columns = grown_schema("instruction", table)
+        add(table in filled, table, columns, partial(write_calls, table, entries, columns))
+    accounts: dict[str, T.StructType] = {}
     if snapshots is not None and program.accounts:
         states = staging.put(
             account_states(normalize.touched_accounts(routed, options.order), snapshots, program, staging, options),
@@ -249,11 +270,14 @@ def _commit(
 
         held = {r["table_name"] for r in states.select("table_name").distinct().collect()}
         for table, entries in program.tables("account").items():
-            add(table in held, table, partial(write_accounts, table, entries, grown_schema("account", table)))
+            columns = accounts[table] = grown_schema("account", table)
+            add(table in held, table, columns, partial(write_accounts, table, entries, columns))
 
     with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
         for done in [pool.submit(inheritable_thread_target(store.spark)(job)) for job in jobs]:
             done.result()
+    if buckets is not None:
+        store.write_side_tables(written, writer, batch_id, buckets)
 
     newest = staged.agg(
         F.max_by("signature", F.struct("slot", "tx_index")).alias("signature"), F.max("slot").alias("slot")
@@ -265,4 +289,43 @@ def _commit(
     if options.slot_checkpoint is not None:
         checkpoints[LAST_SLOT_KEY] = str(options.slot_checkpoint)
     store.write_state({**new_state, **checkpoints}, writer, batch_id)
+    if buckets is not None and options.fold_states and any(table in written for table in accounts):
+        fold_states(store, accounts)
     return CommitResult(writer, batch_id, checkpoints)
+
+
+def fold_states(store: IndexStore, tables: dict[str, T.StructType]) -> None:
+    """Bring the current states of these account tables up to date with all batches that count.
+
+    Only buckets with an account of a batch that is not folded yet are
+    rewritten. A run that fails part way is repeated by the next one; readers
+    add unfolded batches themselves, so answers are the same before and after.
+    One writer folds at a time, and ``rebuild_states`` starts over from all versions.
+    """
+    state = store.load()
+    late = {w: n for w, n in state.committed.items() if n > state.folded.get(w, -1)}
+    if not late:
+        return
+    with Staging(store.spark, "fold", store.root) as staging:
+        for table, columns in tables.items():
+            newest, touched = store.current(table, columns, state).merged(store.unfolded(table, columns, state), not store.has_states(table))
+            if touched:
+                store.current(table, columns, state).write(staging.put(newest, table))
+    writer, batch_id = max(late.items(), key=lambda x: x[1])
+    store.write_state({f"{FOLDED_KEY}{w}": str(n) for w, n in late.items()}, writer, batch_id)
+
+
+def rebuild_states(store: IndexStore, tables: dict[str, T.StructType]) -> None:
+    """Current states anew from all versions, in place of whatever is there."""
+    state = store.load()
+    for table, columns in tables.items():
+        rows = store.read(table, columns, state=state).drop("slot_bucket")
+        current = store.current(table, columns, state)
+        everything, _ = current.merged(rows, True)
+        with Staging(store.spark, "states", store.root) as staging:
+            newest = staging.put(everything, table)
+            remove_folder(store.spark, current.path)
+            current.write(newest)
+    if state.committed:
+        writer, batch_id = max(state.committed.items(), key=lambda x: x[1])
+        store.write_state({f"{FOLDED_KEY}{w}": str(n) for w, n in state.committed.items()}, writer, batch_id)

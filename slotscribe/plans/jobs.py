@@ -158,17 +158,19 @@ def backfill(
 ) -> CommitResult | None:
     """Index everything newer than the saved signature; None when there is no checkpoint.
 
-    The saved slot narrows the search for the checkpoint's position and the
-    blocks read after it. A signature the blocks do not hold means everything.
+    The index knows the slot of the saved signature from its keys; it narrows
+    the search for the checkpoint's position and the blocks read after it. A signature the blocks do not hold means everything.
     """
     state = store.load()
     signature = state.values.get(LAST_SIG_KEY)
     if signature is None:
         return None
-    stored = store.read("transactions", TRANSACTION_SCHEMA, state=state).where(F.col("signature") == signature)
-    known = stored.select("slot").first()
+    slots = store.locate(state, "transactions", signature)
+    if slots is None:
+        stored = store.read("transactions", TRANSACTION_SCHEMA, state=state).where(F.col("signature") == signature)
+        slots = [r["slot"] for r in stored.select("slot").limit(1).collect()]
     # The checkpoint may be a listed transaction that does not mention the program.
-    near = source.prune_buckets(blocks, known["slot"], known["slot"], bucket_size) if known else blocks
+    near = source.prune_buckets(blocks, slots[0], slots[0], bucket_size) if slots else blocks
     position = source.position_of(source.program_signatures(near, None), signature)
     if position is None:
         fresh = normalize.transactions(blocks, program.program_id)

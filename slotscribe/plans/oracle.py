@@ -101,6 +101,7 @@ ORACLE = {
     "ix_list_by_tx": f"select * from {_CALLS} where tx_sig = 42",
     "ix_list_page_cap": f"select * from {_CALLS} order by created_at desc limit 1000",
     "ix_list_large_page": f"select * from {_CALLS} order by created_at desc limit 5000",
+    "ix_list_seek": f"select * from {_CALLS} order by created_at desc, slot desc, tx_sig limit 40 offset 400",
     "ix_filter_all_matching": f"""select * from {_CALLS} where slot >= 1 and created_at >= timestamp '2024-01-01'
         and created_at <= timestamp '2024-01-29 23:59:59'""",
     "ix_rows_json": """select event_id as tx_sig, cast(to_json({tx_sig: event_id, ix_name: event_type, user_id: user_id,
@@ -133,6 +134,8 @@ ORACLE = {
         'ix_' || {_snake('name')} as ix_table, 'acc_' || {_snake('name')} as acc_table from {_NAMES}""",
     "discriminators": f"select name, substr(sha256('global:' || name), 1, 16) as ix_disc, substr(sha256('account:' || name), 1, 16) as acc_disc from {_NAMES}",
     "registry_entries": _REGISTRY,
+    "registry_address_check": """select case when c_custkey % 3 = 0 then 'Foreign' else 'P' || c_custkey end as program_id,
+        case when c_acctbal > 5000 then 'P' || c_custkey end as address, c_custkey % 3 <> 0 or not c_acctbal > 5000 as accepted from customer""",
     "schema_introspection": f"""select program_id, program_name, kind, name, table_name,
         case when kind = 'account' then 'OwnerKey:publicKey,order:u64,' || (select any_value(c_mktsegment) from customer where 'P' || c_custkey = r.program_id) || ':bool'
              when ordinal = 0 then 'amountIn:u64,slot:u32' else 'amountIn:u64' end as fields
@@ -185,6 +188,7 @@ ORACLE = {
     "decode_short_lists_native": _SHORT,
     "decode_opaque": "select doc_id, md5(lower(hex(encode(text)))) as digest from documents",
     "decode_text_lists": "select conv_id, turn, text, cast(len(string_split(text, ' ')) as bigint) as n_words from conversations",
+    "decode_nameless": """select event_id, '{"number":' || event_id || ',"odd":' || (user_id % 2 = 1) || '}' as args from events""",
     "decode_documents": "select doc_id, md5(text) as digest, n_chars from documents",
     "truncated_payloads": """with e as (select event_id, user_id, user_id % 13 as n from events),
         f as (select *, n >= 8 as has_big, case when n >= 8 then n - 8 else n end as left_over from e),
@@ -208,5 +212,24 @@ ORACLE = {
     "index_signature_list": """select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as integer)) as signature,
         cast(date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as bigint) as slot,
         case l_linestatus when 'O' then 1 else 0 end as calls from lineitem where l_orderkey between 1 and 40""",
+    "index_point_lookup": f"""with line as (select signature, slot, l_suppkey from {_LINES} order by signature limit 1),
+        states as (select 'supp' || l_suppkey as key, min(slot) as slot from {_LINES} where l_suppkey = (select l_suppkey from line) group by 1)
+        select 'transaction' as kind, signature as key, slot from line union all select 'call', signature, slot from line
+        union all select 'account', key, slot from states union all select 'version', key, slot from states""",
+    "index_range_time_series": f"""select 'newLine' as ix_name, cast(timestamp '1970-01-01' + slot * interval 1 day as timestamp) as period, count(*) as calls
+        from {_LINES} where ix_name = 'newLine' and slot between date_diff('day', date '1970-01-01', date '1997-03-01') and date_diff('day', date '1970-01-01', date '1997-03-31') group by 1, 2""",
+    "index_current_states": f"""select 'supp' || s_suppkey as address, coalesce(min(slot) filter (slot >= 9600), min(slot)) as slot,
+        any_value(cast(s_nationkey as bigint)) as lamports, any_value(s_name) as label from supplier join {_LINES} on l_suppkey = s_suppkey group by s_suppkey""",
+    "index_failed_left_out": f"""select include_failed, case when l_quantity > 40 then 'LineFailed' end as err, count(*) as transactions, min(slot) as first_slot
+        from {_LINES}, (values (true), (false)) as v(include_failed) where include_failed or l_quantity <= 40 group by 1, 2""",
+    "index_rewritten_stats": _STATS,
     "stream_index_counts": _STATS,
+    "stream_row_bound": f"""with recursive slots as (select slot, count(*) as n, row_number() over (order by slot) as i from {_LINES} group by slot),
+        bound as (select (sum(n) + 2) // 3 as most from slots),
+        cut as (select i, slot, n, 1 as part, n as held from slots where i = 1
+          union all
+          select s.i, s.slot, s.n, case when c.held + s.n > most then c.part + 1 else c.part end, case when c.held + s.n > most then s.n else c.held + s.n end
+          from cut c join slots s on s.i = c.i + 1, bound)
+        select min(slot) as first_slot, max(slot) as last_slot, cast(sum(n) as bigint) as transactions from cut group by part""",
+    "stream_catch_up": _STATS,
 }

@@ -132,8 +132,8 @@ def line_signature() -> Column:
     return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
 
 
-def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` as blocks of one transaction each, in the block layout.
+def line_blocks(spark: SparkSession, sf_dir: str, failed: Column | None = None) -> DataFrame:
+    """``lineitem`` as blocks of one transaction each, in the block layout; ``failed`` lines carry an error.
 
     The ship day is the slot. Open lines call the sample program, others another
     one. The payload of 32 bytes is written as base58 text, as on chain.
@@ -150,6 +150,7 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = lines.select(
         day("l_shipdate").alias("slot"), "l_linestatus", "l_suppkey", "l_partkey", "l_orderkey",
         line_signature().alias("signature"), base58_encode_key(data).alias("data"),
+        F.when(F.lit(False) if failed is None else failed, F.lit("LineFailed")).alias("err"),
     )
     program = F.when(F.col("l_linestatus") == "O", PROGRAM).otherwise(OTHER_PROGRAM)
     keys = F.array(F.concat(F.lit("order"), "l_orderkey"), F.concat(F.lit("supp"), "l_suppkey"), program)
@@ -161,7 +162,7 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         keys.alias("account_keys"),
         F.struct(F.lit(1).alias("num_required_signatures"), F.lit(0).alias("num_readonly_signed"), F.lit(1).alias("num_readonly_unsigned")).alias("header"),
         F.array(instruction).alias("instructions"),
-        F.struct(F.lit(None).cast("string").alias("err"), F.array(F.concat(F.lit("part"), "l_partkey")).alias("loaded_writable"), F.array().cast("array<string>").alias("loaded_readonly")).alias("meta"),
+        F.struct(F.col("err"), F.array(F.concat(F.lit("part"), "l_partkey")).alias("loaded_writable"), F.array().cast("array<string>").alias("loaded_readonly")).alias("meta"),
         F.lit(False).alias("parsed"),
     )
     kind = block_schema()["transactions"].dataType

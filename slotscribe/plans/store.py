@@ -1,18 +1,21 @@
-"""The index on disk: one Parquet folder per table, plus a small state table.
+"""The index on disk: one Parquet folder per table, a small state table, and side tables (``side_tables``).
 
 Layout: ``<root>/<table>/writer=<w>/batch_id=<n>/slot_bucket=<k>/``. A batch
 replaces its own ``writer``/``batch_id`` folder, so a repeated attempt leaves
 nothing behind, and it counts only once the state table, written last, names
-its id. Readers therefore never see part of a batch.
+its id. Readers therefore never see part of a batch. Many small batches are
+made one by ``maintenance.rewrite_index``, into a new folder.
 """
 
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from threading import Lock
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +25,19 @@ from ..functions.schema_text import schema
 from ..operators.registry import merge_schema
 from ..session import list_folders, remove_folder
 from ..sources.blocks import SLOTS_PER_BUCKET, keep_layout, read_layout, slot_bucket
+from .side_tables import KEY_BUCKETS, ZONE_SCHEMA, CurrentStates, KeyTable, found_keys, in_time, zones_of
 
 # Checkpoint keys.
 LAST_SIG_KEY = "last_indexed_sig"
 LAST_SLOT_KEY = "last_indexed_slot"
 COMMIT_KEY = "committed_batch"
 SCHEMA_KEY = "schema/"
-MERGED_KEY = "merged/"
+# Keys of the side tables: their number of buckets (an index without it has none), and per writer the last batch folded
+# into the current states.
+BUCKETS_KEY = "key_buckets"
+FOLDED_KEY = "folded/"
+# Folders up to which a read names them one by one; beyond that it takes their range.
+MAX_LISTED = 5_000
 
 STATE_SCHEMA = schema("key string, value string, updated_at timestamp, writer string, batch_id bigint")
 TRANSACTION_SCHEMA = schema(
@@ -59,9 +68,21 @@ class IndexState:
     committed: dict[str, int]
 
     @property
-    def merged(self) -> dict[str, int]:
-        """Per writer, the last batch id whose rows have been merged into another folder."""
-        return {k.removeprefix(MERGED_KEY): int(v) for k, v in self.values.items() if k.startswith(MERGED_KEY)}
+    def key_buckets(self) -> int | None:
+        """Buckets of the side tables; None for an index without them."""
+        known = self.values.get(BUCKETS_KEY)
+        return None if known is None else int(known)
+
+    @property
+    def folded(self) -> dict[str, int]:
+        """Per writer, the last batch whose account states are among the current ones."""
+        return {k.removeprefix(FOLDED_KEY): int(v) for k, v in self.values.items() if k.startswith(FOLDED_KEY)}
+
+    def visible(self, exclude: tuple[str, int] | None = None) -> Column:
+        """Whether the batch of a row counts; ``exclude`` leaves out one (writer, batch_id). It selects folders, not rows."""
+        counts = [(F.col("writer") == w) & (F.col("batch_id") <= n) for w, n in self.committed.items()]
+        seen = reduce(Column.__or__, counts) if counts else F.lit(False)
+        return seen if exclude is None else seen & ~((F.col("writer") == exclude[0]) & (F.col("batch_id") == exclude[1]))
 
     def table_schema(self, table: str, current: T.StructType) -> T.StructType:
         """Schema a table has grown to: saved columns first, then columns new in ``current``."""
@@ -72,8 +93,9 @@ class IndexState:
 class IndexStore:
     """Reads and writes the tables of one index below ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str, *, slots_per_bucket: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, *, slots_per_bucket: int | None = None, key_buckets: int = KEY_BUCKETS):
         self.spark, self.root, self._stated, self._size = spark, root.rstrip("/"), slots_per_bucket, None
+        self.key_buckets = key_buckets
         self._lock, self._kept = Lock(), False
 
     @property
@@ -124,6 +146,92 @@ class IndexStore:
         stamped = frame.withColumn("updated_at", F.current_timestamp()).select(*STATE_SCHEMA.names)
         stamped.coalesce(1).write.mode("append").parquet(f"{self.root}/state")
 
+    def compact_state(self) -> int:
+        """Rewrite the state as its latest rows in one file; returns the number of files it replaces.
+
+        The new file only repeats rows that are there, so it changes no answer,
+        and the files it was made from go once it is written. What other
+        writers add meanwhile stays. Readers that listed the files before may have to try again.
+        """
+        rows = self.state_rows().select("*", "_metadata.file_path")
+        old = [r[0] for r in rows.select("file_path").distinct().collect()]
+        if len(old) < 2:
+            return 0
+        newest = F.max_by(F.struct(*STATE_SCHEMA.names), F.struct("updated_at", "batch_id")).alias("row")
+        last = F.max_by(F.struct(*STATE_SCHEMA.names), F.struct("batch_id", "updated_at")).alias("row")
+        values = rows.where(F.col("key") != COMMIT_KEY).groupBy("key").agg(newest)
+        commits = rows.where(F.col("key") == COMMIT_KEY).groupBy("writer").agg(last)
+        latest = values.select("row.*").unionByName(commits.select("row.*"))
+        latest.coalesce(1).write.mode("append").parquet(f"{self.root}/state")
+        for path in old:
+            remove_folder(self.spark, path)
+        return len(old)
+
+    # -- side tables -------------------------------------------------------------
+
+    def keys(self, state: "IndexState", table: str, exclude: tuple[str, int] | None = None) -> DataFrame:
+        """(key, slot, items) of the stored rows of a table."""
+        if not state.committed:
+            return self.spark.createDataFrame([], "key string, slot bigint, items array<int>")
+        rows = KeyTable(self.spark, self.root, state.key_buckets).rows()
+        return rows.where(state.visible(exclude)).where(F.col("indexed") == table).select("key", "slot", "items")
+
+    def locate(self, state: "IndexState", table: str, key: str, newest: int = 1) -> list[int] | None:
+        """The newest slots in which a key is stored, read from one bucket; None if the index keeps no keys."""
+        if state.key_buckets is None:
+            return None
+        slots = self.keys(state, table).where(F.col("key") == key).select("slot").distinct()
+        return [r["slot"] for r in slots.orderBy(F.desc("slot")).limit(newest).collect()]
+
+    def zones(self, state: "IndexState") -> DataFrame:
+        """Zones of all batches that count."""
+        if not state.committed:
+            return self.spark.createDataFrame([], ZONE_SCHEMA)
+        return self.spark.read.schema(ZONE_SCHEMA).parquet(f"{self.root}/zones").where(state.visible())
+
+    def buckets_in_time(self, state: "IndexState", table: str, time_col: str, low: Column | None, high: Column | None) -> list[int] | tuple[int, int] | None:
+        """Slot buckets of a table that can hold rows between two times, for ``read``; None if the index keeps no zones."""
+        if state.key_buckets is None:
+            return None
+        found = in_time(self.zones(state).where(F.col("indexed") == table), time_col, low, high).select("slot_bucket").distinct()
+        listed = sorted(r[0] for r in found.limit(MAX_LISTED + 1).collect())
+        return listed if len(listed) <= MAX_LISTED else tuple(found.agg(F.min("slot_bucket"), F.max("slot_bucket")).first())
+
+    def write_side_tables(self, tables: dict[str, T.StructType], writer: str, batch_id: int, buckets: int) -> None:
+        """Keys and zones of what a batch has stored in these tables, two jobs over their narrow columns."""
+        for side in ("keys", "zones"):
+            remove_folder(self.spark, f"{self.root}/{side}/writer={writer}/batch_id={batch_id}")
+        if not tables:
+            return
+        stored = {t: self.batch_rows(t, columns, writer, batch_id) for t, columns in tables.items()}
+        found = reduce(DataFrame.unionByName, [found_keys(rows, t) for t, rows in stored.items()])
+        timed = [zones_of(rows, t) for t, rows in stored.items() if "created_at" in rows.columns]
+
+        def write_zones() -> None:
+            zones = reduce(DataFrame.unionByName, timed).drop("writer", "batch_id")
+            zones.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/zones/writer={writer}/batch_id={batch_id}")
+
+        with ThreadPoolExecutor(2) as pool:
+            jobs = [lambda: KeyTable(self.spark, self.root, buckets).append(found), *([write_zones] if timed else [])]
+            for done in [pool.submit(inheritable_thread_target(self.spark)(job)) for job in jobs]:
+                done.result()
+
+    def current(self, table: str, columns: T.StructType, state: "IndexState") -> CurrentStates:
+        """The table of current states of an account table."""
+        return CurrentStates(self.spark, self.root, table, columns, state.key_buckets)
+
+    def has_states(self, table: str) -> bool:
+        """Whether states of an account table have been folded before."""
+        return bool(list_folders(self.spark, f"{self.root}/current/{table}"))
+
+    def unfolded(self, table: str, columns: T.StructType, state: "IndexState") -> DataFrame | None:
+        """Account rows of batches that are not among the current states yet; None when there are no such batches."""
+        late = {w: n for w, n in state.committed.items() if n > state.folded.get(w, -1)}
+        if not late:
+            return None
+        since = reduce(Column.__or__, [(F.col("writer") == w) & (F.col("batch_id") > state.folded.get(w, -1)) for w in late])
+        return self.read(table, columns, state=state).where(since).drop("slot_bucket")
+
     # -- tables ----------------------------------------------------------------
 
     def read(
@@ -141,20 +249,8 @@ class IndexStore:
         read to a list of slot buckets or an inclusive range of them. All of
         these select folders, not rows.
         """
-        full = T.StructType([*columns.fields, *PARTITIONS.fields])
         state = state or self.load()
-        try:
-            rows = self.spark.read.schema(full).parquet(f"{self.root}/{table}")
-        except AnalysisException as error:
-            _only_missing(error)
-            return self.spark.createDataFrame([], full)
-        visible = [
-            (F.col("writer") == w) & (F.col("batch_id") > state.merged.get(w, -1)) & (F.col("batch_id") <= n)
-            for w, n in state.committed.items()
-        ]
-        rows = rows.where(reduce(Column.__or__, visible) if visible else F.lit(False))
-        if exclude is not None:
-            rows = rows.where(~((F.col("writer") == exclude[0]) & (F.col("batch_id") == exclude[1])))
+        rows = self._rows(table, columns).where(state.visible(exclude))
         if isinstance(buckets, tuple):
             low, high = buckets
             rows = rows if low is None else rows.where(F.col("slot_bucket") >= low)
@@ -163,6 +259,20 @@ class IndexStore:
             rows = rows.where(F.col("slot_bucket").isin(buckets))
         return rows
 
+    def _rows(self, table: str, columns: T.StructType) -> DataFrame:
+        """All rows of a table, also those of batches that do not count."""
+        full = T.StructType([*columns.fields, *PARTITIONS.fields])
+        try:
+            return self.spark.read.schema(full).parquet(f"{self.root}/{table}")
+        except AnalysisException as error:
+            _only_missing(error)
+            return self.spark.createDataFrame([], full)
+
+    def batch_rows(self, table: str, columns: T.StructType, writer: str, batch_id: int) -> DataFrame:
+        """What one batch has written into a table, whether or not it counts yet."""
+        full, path = T.StructType([*columns.fields, *PARTITIONS.fields]), f"{self.root}/{table}"
+        return self.spark.read.schema(full).option("basePath", path).parquet(f"{path}/writer={writer}/batch_id={batch_id}")
+
     def buckets_of(self, low: int | None, high: int | None) -> tuple[int | None, int | None]:
         """Range of slot buckets of a range of slots, open where a bound is."""
         size = self.slots_per_bucket
@@ -195,32 +305,3 @@ class IndexStore:
             .mode("overwrite")
             .parquet(f"{self.root}/{table}/writer={writer}/batch_id={batch_id}")
         )
-
-    def merge_batches(self, tables: dict[str, T.StructType], writer: str) -> int | None:
-        """Rewrite a writer's batches since the last merge as one folder per table.
-
-        A live index adds a folder per table and micro-batch; merging keeps
-        their number, and the cost of listing them, bounded. Only rows written
-        since the last merge are rewritten. One state row both publishes the
-        merged folder and hides the batches in it. Run it between micro-batches.
-        """
-        state = self.load()
-        last = state.committed.get(writer)
-        if last is None or last <= state.merged.get(writer, -1):
-            return None
-        only = IndexState(state.values, {writer: last})
-        target = f"{writer}-merged"
-        for table, schema in tables.items():
-            rows = self.read(table, schema, state=only).drop(*PARTITIONS.names)
-            lookup = next((c for c in ("signature", "address", "tx_sig") if c in schema.names), None)
-            self.write(rows, table, target, last, lookup=lookup)
-        self.write_state({MERGED_KEY + writer: str(last)}, target, last)
-        return last
-
-    def remove_merged(self, tables: list[str], writer: str) -> None:
-        """Delete the folders of batches that have been merged; no reader may still be using them."""
-        last = self.load().merged.get(writer, -1)
-        for table in tables:
-            for folder in list_folders(self.spark, f"{self.root}/{table}/writer={writer}"):
-                if int(folder.rpartition("=")[2]) <= last:
-                    remove_folder(self.spark, folder)

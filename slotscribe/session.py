@@ -18,6 +18,9 @@ RUNTIME_CONF = {
     # Pages up to this many rows use a bounded top-k heap, deeper offsets a
     # spilling sort.
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
+    # Bucketed tables (the keys of an index) are read by bucket also where no
+    # join asks for it, so that a lookup opens one bucket.
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
 }
 
 

@@ -12,6 +12,7 @@ a stream started over with a new one never touches earlier batches.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,13 @@ from ..operators.registry import Program
 from ..plans.commit import CommitOptions, commit_batch
 from ..plans.jobs import backfill
 from ..plans.store import IndexStore
+from ..session import Staging
 from ..sources.blocks import block_schema
 
 # Flush interval of a micro-batch.
 FLUSH_INTERVAL = "5 seconds"
+# Commits a micro-batch can be cut into; their ids are the micro-batch's times this, and up.
+MOST_COMMITS = 1 << 20
 
 
 def stream_blocks(spark: SparkSession, path: str, fmt: str = "json", *, max_files: int | None = None, **options: str) -> DataFrame:
@@ -47,6 +51,42 @@ def writer_name(spark: SparkSession, name: str, checkpoint: str) -> str:
     return f"{name}-{json.loads(metadata)['id'][:8]}"
 
 
+def slot_stretches(txs: DataFrame, max_rows: int) -> Iterator[tuple[int, int]]:
+    """Stretches of slots, oldest first, with at most ``max_rows`` transactions each; a fuller slot stands alone.
+
+    The driver walks over the counts per slot and keeps none of them.
+    """
+    low = high = None
+    held = 0
+    for slot, count in txs.groupBy("slot").count().orderBy("slot").toLocalIterator():
+        if low is not None and held + count > max_rows:
+            yield low, high
+            low, held = None, 0
+        low, high, held = slot if low is None else low, slot, held + count
+    if low is not None:
+        yield low, high
+
+
+def commit_stretches(
+    store: IndexStore, program: Program, txs: DataFrame, max_rows: int, *, writer: str, batch_id: int, snapshots: DataFrame | None, options: CommitOptions
+) -> None:
+    """Commit a micro-batch in stretches of slots; those committed before it was repeated are passed over.
+
+    Stretches depend on the micro-batch's rows only, so a repeated one is cut in the same places.
+    """
+    with Staging(store.spark, f"stretches-{writer}-{batch_id}", store.root) as staging:
+        staged = staging.put(txs, "transactions")
+        done = store.load().committed.get(writer, -1)
+        for k, (low, high) in enumerate(slot_stretches(staged, max_rows)):
+            if k == MOST_COMMITS:
+                raise ValueError(f"a micro-batch needs more than {MOST_COMMITS} commits of {max_rows} rows")
+            number = batch_id * MOST_COMMITS + k
+            if number > done:
+                commit_batch(
+                    store, program, staged.where(F.col("slot").between(low, high)), writer=writer, batch_id=number, snapshots=snapshots, options=options
+                )
+
+
 def start_index_stream(
     blocks: DataFrame,
     store: IndexStore,
@@ -59,21 +99,32 @@ def start_index_stream(
     after_slot: int | None = None,
     available_now: bool = False,
     interval: str = FLUSH_INTERVAL,
+    max_rows: int | None = None,
 ) -> StreamingQuery:
     """Start indexing a block stream; its writer name is ``name`` and the start of the stream's id.
 
     ``available_now`` works off what is there and stops; otherwise a
     micro-batch runs every ``interval``, or sooner ones follow each other when
-    the source is ahead. ``after_slot`` starts from a known tip.
+    the source is ahead. ``after_slot`` starts from a known tip. ``max_rows``
+    bounds the transactions of a commit: a fuller micro-batch becomes several
+    commits of consecutive slots, each with its own checkpoint.
     """
     if after_slot is not None:
         blocks = blocks.where(F.col("slot") > after_slot)
 
     def index(batch: DataFrame, batch_id: int) -> None:
         writer = writer_name(store.spark, name, checkpoint)
-        if batch_id > store.load().committed.get(writer, -1):
-            txs = normalize.transactions(batch, program.program_id)
-            commit_batch(store, program, txs, writer=writer, batch_id=batch_id, snapshots=snapshots, options=options)
+        done = store.load().committed.get(writer, -1)
+        txs = normalize.transactions(batch, program.program_id)
+        if max_rows is not None:
+            commit_stretches(store, program, txs, max_rows, writer=writer, batch_id=batch_id, snapshots=snapshots, options=options)
+            return
+        number = batch_id
+        if done >= MOST_COMMITS:
+            # Cut into stretches before. This micro-batch may be stored in part: what is there stays as it is.
+            number = max(batch_id * MOST_COMMITS, done + 1) if done < (batch_id + 1) * MOST_COMMITS else done
+        if number > done:
+            commit_batch(store, program, txs, writer=writer, batch_id=number, snapshots=snapshots, options=options)
 
     writer = blocks.writeStream.queryName(f"slotscribe-{name}").foreachBatch(index).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}

@@ -20,7 +20,7 @@ IDL = {
         {"name": "bare"},
     ],
     "accounts": [
-        {"name": "Vault", "type": {"kind": "struct", "fields": [{"name": "owner", "type": "publicKey"}, {"name": "balance", "type": "u64"}, {"name": "active", "type": "bool"}]}},
+        {"name": "Locker", "type": {"kind": "struct", "fields": [{"name": "units", "type": "u64"}, {"name": "sealed", "type": "bool"}, {"name": "holder", "type": "publicKey"}]}},
     ],
 }
 
@@ -42,8 +42,8 @@ def note(text):
     return disc("global:note") + struct.pack("<I", len(raw)) + raw
 
 
-def vault(balance, active=True, owner=bytes(32)):
-    return disc("account:Vault") + owner + struct.pack("<Q", balance) + bytes([active])
+def locker(units, sealed=True, holder=bytes(32)):
+    return disc("account:Locker") + struct.pack("<Q", units) + bytes([sealed]) + holder
 
 
 def tx(signature, payloads, *, touched=(0,), err=None, keys=None, meta=True, parsed=None, program=PROGRAM, loaded=((), ())):

@@ -1,5 +1,8 @@
 """Every named query against its SQL on the smallest sample."""
 
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -30,3 +33,13 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).columns == ["ix_name", "period", "calls"]
+
+
+@pytest.mark.parametrize("pipeline", ["kept", "deleted"])
+def test_entry_loads_without_the_optional_subpackage(tmp_path, pipeline):
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", *(["corpus_pipeline.py"] if pipeline == "deleted" else [])))
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), set(e.oracle_sql()) == set(q), any(n.startswith('op') or n == 'pipeline' for n in q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split() == [str(len(catalog.queries())), "True", "False"]

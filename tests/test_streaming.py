@@ -116,3 +116,42 @@ def test_repeated_micro_batch_is_skipped(spark, program, tmp_path):
     shutil.rmtree(checkpoint / "commits")  # as if the stream had stopped right after the index was written
     assert start_index_stream(source, store, program, str(checkpoint), available_now=True).awaitTermination(240)
     assert sorted(map(repr, IndexReader(store, program).transactions().collect())) == before
+
+
+def commits(store):
+    zones = store.zones(store.load()).where("indexed = 'transactions'").groupBy("batch_id").agg(F.sum("rows").alias("n"), F.countDistinct("min_slot").alias("slots"))
+    return {r["batch_id"]: r["n"] for r in zones.collect()}
+
+
+def test_commits_are_bounded_by_rows_and_restart_between_them(spark, program, tmp_path, monkeypatch):
+    from slotscribe.streaming import live
+
+    blocks = chain.sample_blocks(range(100, 112))  # two transactions of the program a slot, three in some
+    feed(tmp_path / "in", blocks[:6], "a.json")
+    store = IndexStore(spark, str(tmp_path / "i"), key_buckets=2)
+    source = stream_blocks(spark, str(tmp_path / "in"), max_files=1)
+    run = lambda **options: start_index_stream(source, store, program, str(tmp_path / "c"), available_now=True, **options).awaitTermination(240)
+    done, commit = [], live.commit_batch
+
+    def failing(*a, **k):
+        if len(done) == 2:
+            raise RuntimeError("stopped")
+        done.append(k["batch_id"])
+        return commit(*a, **k)
+
+    monkeypatch.setattr(live, "commit_batch", failing)
+    with pytest.raises(Exception, match="stopped"):
+        run(max_rows=5)
+    assert len(commits(store)) == 2
+    monkeypatch.setattr(live, "commit_batch", lambda *a, **k: (done.append(k["batch_id"]), commit(*a, **k))[1])
+    run(max_rows=5)
+    assert done == sorted(set(done)), "no commit is made twice"
+    feed(tmp_path / "in", blocks[6:], "b.json")
+    run(max_rows=1)  # a slot is never cut
+    run()
+    held = commits(store)
+    per_slot = {b["slot"]: sum(chain.PROGRAM in t["account_keys"] for t in b["transactions"]) for b in blocks}
+    first = [n for b, n in sorted(held.items()) if b < live.MOST_COMMITS]
+    assert all(n <= 5 for n in first) and sum(first) == sum(per_slot[b["slot"]] for b in blocks[:6])
+    assert [n for b, n in sorted(held.items()) if b >= live.MOST_COMMITS] == [per_slot[b["slot"]] for b in blocks[6:]]
+    assert len(signatures(IndexReader(store, program))) == sum(per_slot.values())
