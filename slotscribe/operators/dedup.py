@@ -41,16 +41,17 @@ def not_stored(new: DataFrame, stored: DataFrame, keys: list[str], probe: DataFr
 
 
 def not_keyed(new: DataFrame, stored: DataFrame, key: str, item: str | None = None, probe: DataFrame | None = None) -> DataFrame:
-    """Rows whose key, or key and item, is not among stored (key, items).
+    """Rows whose key, or key and item, is not among stored (key, item).
 
     Stored keys are bucketed by key, so only the new rows are dealt anew. With
     ``probe``, the few new keys, stored keys are filtered where they are read
     and at most as many conflicts as there are new keys are broadcast.
     """
-    stored = stored.select(F.col("key").alias("_key"), F.col("items").alias("_items"))
+    stored = stored.select(F.col("key").alias("_key"), F.col("item").alias("_item"))
     same = F.col(key) == F.col("_key")
     if item is not None:
-        same = same & F.array_contains("_items", F.col(item))
+        # Written so that it is no key of the join: both sides stay dealt by the first key only.
+        same = same & (F.col(item) - F.col("_item") == 0)
     if probe is not None:
         stored = F.broadcast(stored.join(F.broadcast(probe.toDF("_key")), "_key", "left_semi"))
     return new.join(stored, same, "left_anti")

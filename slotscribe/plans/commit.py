@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import partial, reduce
 
@@ -17,7 +17,7 @@ from ..operators.decode import decode_payload
 from ..operators.dedup import keep_first, not_keyed, not_stored
 from ..operators.registry import FIXED_COLUMNS, Entry, Program
 from ..session import Staging, remove_folder
-from .store import BUCKETS_KEY, FOLDED_KEY, LAST_SIG_KEY, LAST_SLOT_KEY, QUARANTINE_SCHEMA, SCHEMA_KEY, TRANSACTION_SCHEMA, IndexStore
+from .store import BUCKETS_KEY, FOLDED_KEY, LAST_SIG_KEY, LAST_SLOT_KEY, QUARANTINE_SCHEMA, SCHEMA_KEY, TRANSACTION_SCHEMA, IndexState, IndexStore
 
 # Distinct slot buckets up to which a batch names them one by one when it looks
 # for stored duplicates; beyond that it uses their range.
@@ -290,11 +290,11 @@ def _commit(
         checkpoints[LAST_SLOT_KEY] = str(options.slot_checkpoint)
     store.write_state({**new_state, **checkpoints}, writer, batch_id)
     if buckets is not None and options.fold_states and any(table in written for table in accounts):
-        fold_states(store, accounts)
+        fold_states(store, accounts, replace(state, committed={**committed, writer: max(batch_id, committed.get(writer, -1))}, values={**state.values, **new_state}))
     return CommitResult(writer, batch_id, checkpoints)
 
 
-def fold_states(store: IndexStore, tables: dict[str, T.StructType]) -> None:
+def fold_states(store: IndexStore, tables: dict[str, T.StructType], state: IndexState | None = None) -> None:
     """Bring the current states of these account tables up to date with all batches that count.
 
     Only buckets with an account of a batch that is not folded yet are
@@ -302,7 +302,7 @@ def fold_states(store: IndexStore, tables: dict[str, T.StructType]) -> None:
     add unfolded batches themselves, so answers are the same before and after.
     One writer folds at a time, and ``rebuild_states`` starts over from all versions.
     """
-    state = store.load()
+    state = state or store.load()
     late = {w: n for w, n in state.committed.items() if n > state.folded.get(w, -1)}
     if not late:
         return

@@ -25,10 +25,7 @@ from pyspark.sql import types as T
 from ..functions.schema_text import schema
 from ..operators.lookups import newest_per_account
 
-KEY_SCHEMA = T.StructType([
-    *schema("key string, slot bigint").fields, T.StructField("items", T.ArrayType(T.IntegerType())),
-    *schema("writer string, batch_id bigint, indexed string").fields,
-])
+KEY_SCHEMA = schema("key string, slot bigint, item int, writer string, batch_id bigint, indexed string")
 ZONE_SCHEMA = schema(
     "slot_bucket bigint, rows bigint, min_slot bigint, max_slot bigint, min_block_time bigint, max_block_time bigint, "
     "min_created_at timestamp, max_created_at timestamp, indexed string, writer string, batch_id bigint"
@@ -86,12 +83,9 @@ class KeyTable:
         return self.spark.table(self.name)
 
     def append(self, found: DataFrame) -> None:
-        """Add (indexed, key, slot, item, writer, batch_id): one file per bucket and table, items of a key together."""
+        """Add keys (``KEY_SCHEMA``): one file per bucket and table."""
         self._register()
-        gathered = (
-            found.repartition(self.buckets, "key").groupBy("key", "slot", "writer", "batch_id", "indexed").agg(F.collect_list("item").alias("items"))
-        )
-        gathered.select(*KEY_SCHEMA.names).write.mode("append").insertInto(self.name)
+        found.select(*KEY_SCHEMA.names).repartition(self.buckets, "key").write.mode("append").insertInto(self.name)
 
 
 def found_keys(rows: DataFrame, table: str) -> DataFrame:

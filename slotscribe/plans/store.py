@@ -170,11 +170,11 @@ class IndexStore:
     # -- side tables -------------------------------------------------------------
 
     def keys(self, state: "IndexState", table: str, exclude: tuple[str, int] | None = None) -> DataFrame:
-        """(key, slot, items) of the stored rows of a table."""
+        """(key, slot, item) of the stored rows of a table."""
         if not state.committed:
-            return self.spark.createDataFrame([], "key string, slot bigint, items array<int>")
+            return self.spark.createDataFrame([], "key string, slot bigint, item int")
         rows = KeyTable(self.spark, self.root, state.key_buckets).rows()
-        return rows.where(state.visible(exclude)).where(F.col("indexed") == table).select("key", "slot", "items")
+        return rows.where(state.visible(exclude)).where(F.col("indexed") == table).select("key", "slot", "item")
 
     def locate(self, state: "IndexState", table: str, key: str, newest: int = 1) -> list[int] | None:
         """The newest slots in which a key is stored, read from one bucket; None if the index keeps no keys."""
