@@ -4,10 +4,11 @@ Text is cut into pre-tokens by the tokenizer's pattern. Two tiers resolve them:
 a minimal perfect hash over the vocabulary answers for pre-tokens that are
 tokens themselves, a batch at a time; the rest are merged by a heap over a
 linked list of byte pieces, lowest rank first, leftmost first among equals.
-Both tiers run once per distinct pre-token of a batch and are remembered.
+Both tiers run once per distinct pre-token; its ids are decoded again there and then,
+and the worker process remembers them, as digits, across its tasks.
 
 The vocabulary (ranks, at most ``MAX_VOCAB_BYTES``) is read by the driver from
-a path that is a parameter, and broadcast.
+a path that is a parameter; the driver builds the hash and broadcasts both.
 
 Defined results: NULL is encoded as empty; the empty text has no tokens and
 decodes to nothing; special tokens are ordinary text; a pre-token of any length
@@ -20,7 +21,6 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ from .common import map_batches, texts_of, with_columns
 
 # Size up to which a vocabulary is broadcast; public ones take 1 to 4 MB.
 MAX_VOCAB_BYTES = 64_000_000
-# Distinct pre-tokens a task remembers before it starts anew.
-REMEMBERED = 200_000
+# Distinct pre-tokens a worker remembers (some 230 bytes each), in two generations, and the characters of the longest it keeps.
+REMEMBERED, LONGEST = 600_000, 1_000
 # Keys per bucket of the perfect hash, on average.
 BUCKET_KEYS = 4
 
@@ -112,62 +112,102 @@ class Tokenizer:
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.tokens = {i: token for token, i in ranks.items()}
+        self.ranks, self.pattern = ranks, pattern
         self.whole = PerfectHash(list(ranks))
-        self.slot_ids = [ranks[key] for key in self.whole.keys]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._start()
+
+    def _start(self) -> None:
+        self.find = regex.compile(self.pattern).findall
+        self.tokens = {i: token for token, i in self.ranks.items()}
+        self.slot_ids = [self.ranks[key] for key in self.whole.keys]
+        # Ids of single bytes, from ``unknown`` up for those that are no token, and the rank that two ids merge to.
+        self.unknown = max(self.tokens, default=0) + 1
+        self.bytes_ids = [self.ranks.get(bytes([b]), self.unknown + b) for b in range(256)]
+        known = {**{bytes([b]): i for b, i in enumerate(self.bytes_ids)}, **self.ranks}.get
+        self.pairs = {
+            left << 32 | right: rank
+            for token, rank in self.ranks.items() for cut in range(1, len(token))
+            if (left := known(token[:cut])) is not None and (right := known(token[cut:])) is not None
+        }
+        # Per pre-token, its ids in decimal, joined by commas; and what was met before these.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def __getstate__(self) -> tuple:
+        return self.ranks, self.pattern, self.whole
+
+    def __setstate__(self, state: tuple) -> None:
+        self.ranks, self.pattern, self.whole = state
+        self._start()
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a pre-token that is not a token itself."""
-        ranks, n = self.ranks, len(piece)
-        parts = [piece[i : i + 1] for i in range(n)]
+        ids, n, rank_of = list(map(self.bytes_ids.__getitem__, piece)), len(piece), self.pairs.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                heap.append((rank, i, 2))
+        # An entry is a rank and, in its low half, the place of the left piece.
+        heap = [rank << 32 | i for i in range(n - 1) if (rank := rank_of(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i, length = heapq.heappop(heap)
-            j = after[i] if parts[i] else n
+            entry = heapq.heappop(heap)
+            i, rank = entry & 0xFFFFFFFF, entry >> 32
+            j = after[i]
             # An entry is stale once either side has been merged otherwise.
-            if j >= n or len(parts[i]) + len(parts[j]) != length or ranks.get(parts[i] + parts[j]) != rank:
+            if ids[i] < 0 or j >= n or rank_of(ids[i] << 32 | ids[j]) != rank:
                 continue
-            parts[i] += parts[j]
-            parts[j] = b""
+            ids[i], ids[j] = rank, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                pair = parts[i] + parts[k]
-                if (rank := ranks.get(pair)) is not None:
-                    heapq.heappush(heap, (rank, i, len(pair)))
-            if (h := before[i]) >= 0:
-                pair = parts[h] + parts[i]
-                if (rank := ranks.get(pair)) is not None:
-                    heapq.heappush(heap, (rank, h, len(pair)))
-        missing = [p for p in parts if p and p not in ranks]
-        if missing:
-            raise ValueError(f"the vocabulary has no token for {missing[0]!r}")
-        return tuple(ranks[p] for p in parts if p)
+                if (other := rank_of(rank << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, other << 32 | i)
+            h = before[i]
+            if h >= 0 and (other := rank_of(ids[h] << 32 | rank)) is not None:
+                heapq.heappush(heap, other << 32 | h)
+        left = tuple([x for x in ids if x >= 0])
+        if max(left) >= self.unknown:
+            raise ValueError(f"the vocabulary has no token for byte {max(left) - self.unknown}")
+        return left
 
     def learn(self, pieces: set[str]) -> None:
         """Resolve pre-tokens not met before: the perfect hash first, then the heap."""
+        for text in self.long:
+            del self.known[text]
         new = list(pieces.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
             new = list(pieces)
-        raw = [p.encode() for p in new]
-        for text, piece, slot in zip(new, raw, self.whole.slots(raw)):
-            self.known[text] = (self.slot_ids[slot],) if slot >= 0 else self.merge(piece)
+        known, before = self.known, self.older.get
+        unmet = []
+        for text in new:
+            if (digits := before(text)) is not None:
+                known[text] = digits
+            else:
+                unmet.append(text)
+        self.long = [p for p in unmet if len(p) > LONGEST]
+        raw = [p.encode() for p in unmet]
+        for text, piece, slot in zip(unmet, raw, self.whole.slots(raw)):
+            ids = (self.slot_ids[slot],) if slot >= 0 else self.merge(piece)
+            if self.decode(ids) != piece:
+                raise ValueError(f"the ids of {text!r} decode to something else")
+            known[text] = b",".join([b"%d" % i for i in ids])
+
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text, all of them resolved."""
+        found = self.find(text)
+        self.learn(set(found))
+        return found
+
+    def listed(self, text: str) -> tuple[bytes, bytes]:
+        """Ids of a text in decimal, joined by commas, and the bytes that the ids of its pre-tokens decode to."""
+        found = self.pieces(text)
+        return b",".join(map(self.known.__getitem__, found)), "".join(found).encode()
 
     def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
         """Ids of each text."""
         for text in texts:
-            pieces = self.find(text)
-            self.learn(set(pieces))
-            yield list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+            digits, _ = self.listed(text)
+            yield list(map(int, digits.split(b","))) if digits else []
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """Bytes of a list of ids."""
@@ -179,8 +219,8 @@ def _shipped(df: DataFrame, path: str, pattern: str) -> Callable[[], Tokenizer]:
     size = sum(len(t) + 8 for t in ranks)
     if size > MAX_VOCAB_BYTES:
         raise ValueError(f"a vocabulary of {size} bytes is too large to broadcast")
-    sent = df.sparkSession.sparkContext.broadcast(ranks)
-    return lambda: Tokenizer(sent.value, pattern)
+    sent = df.sparkSession.sparkContext.broadcast(Tokenizer(ranks, pattern))
+    return lambda: sent.value
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -221,16 +261,16 @@ def tokenized(docs: DataFrame, path: str, pattern: str, *, keep: tuple[str, ...]
 
     def make():
         tokenizer = start()
-        shown = {i: str(i).encode() for i in tokenizer.tokens}
 
         def work(batch: pa.RecordBatch):
             rows, all_ids, ends = [], [], [0]
-            for ids in tokenizer.encode(texts_of(batch, text_col)):
-                listed = hashlib.sha256(b",".join(map(shown.__getitem__, ids))).hexdigest()
-                rows.append((len(ids), listed, hashlib.sha256(tokenizer.decode(ids)).hexdigest()))
+            for text in texts_of(batch, text_col):
+                digits, decoded = tokenizer.listed(text)
+                n = digits.count(b",") + 1 if digits else 0
+                rows.append((n, hashlib.sha256(digits).hexdigest(), hashlib.sha256(decoded).hexdigest()))
                 if with_ids:
-                    all_ids.append(np.array(ids, np.int32))
-                    ends.append(ends[-1] + len(ids))
+                    all_ids.append(np.fromiter(map(int, digits.split(b",")), np.int32, n) if n else np.empty(0, np.int32))
+                    ends.append(ends[-1] + n)
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *all_ids])))] if with_ids else []
             yield [*batch.columns[: len(keep)], *lists, *([r[k] for r in rows] for k in range(3))]
 

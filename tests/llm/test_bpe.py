@@ -41,6 +41,19 @@ def test_any_text_like_the_library(judge, tokenizer, text):
     assert tokenizer.decode(ids) == text.encode()
 
 
+def test_forgetting_changes_nothing(judge, monkeypatch):
+    import pickle
+
+    monkeypatch.setattr(op, "REMEMBERED", 6)
+    monkeypatch.setattr(op, "LONGEST", 5)
+    tokenizer = pickle.loads(pickle.dumps(op.Tokenizer(op.read_ranks(PATH), public_tokenizers.PATTERN)))
+    texts = ["one two three four", "abcdefghijk two", "", "one two three four five six seven eight nine ten", "two abcdefghijk"] * 3
+    for text, ids in zip(texts, tokenizer.encode(texts)):
+        assert ids == judge.encode_ordinary(text)
+        assert tokenizer.listed(text) == (",".join(map(str, ids)).encode(), text.encode())
+        assert len(tokenizer.known) <= 12
+
+
 def test_query_equals_library(spark, judge):
     texts = [*awkward(), "<|endoftext|> it's   spaced \n\n out", "ab" * 5_000 + "漢" * 3_000]
     got = {r["doc_id"]: tuple(r)[1:] for r in op.report(documents(spark, texts), PATH, public_tokenizers.PATTERN).collect()}
