@@ -15,9 +15,11 @@ for too few others before and after it; before it only those have a partner that
 other prefix holds, as a set that holds the later one in its prefix holds them there too.
 
 Documents with equal sets are one class from the start, by a hash of the set, so
-exact copies are never paired. Near copies are linked in rounds: in each
+exact copies are never paired. Near copies are linked in two steps: in each
 shingle's list only the most central document is paired with the others; a last
-join pairs what is still in different components. Members of one component are
+join pairs what is still in different components, at shingles that have as many
+more behind them in both prefixes as the pair must share, so that long lists meet
+at their first shared shingles only. Members of one component are
 never paired there, so a group of copies costs its size, not its square, yet no
 link between components is lost. Components spread smallest ids along links,
 halving paths, with every round written to the shared folder.
@@ -49,8 +51,6 @@ MOST_MATCHES = 8
 # up to so many of its own, those that the most of its documents hold, and at
 # least so many must hold one. Order only; never drops a pair.
 FREQUENT, FREQUENT_OF_TASK, FREQUENT_IN_TASK = 1 << 17, 1 << 15, 2
-# Rounds that pair each list's most central document before the full join.
-STAR_ROUNDS = 2
 # Nodes up to which their ids are broadcast (8 bytes each) to fetch their texts; beyond, the texts are joined by shuffle.
 BROADCAST_NODES = 1_000_000
 # Words a task remembers the hash of.
@@ -253,16 +253,34 @@ def star_candidates(entries: DataFrame) -> DataFrame:
     return counted.where(F.col("shared") * 2 >= F.col("needed")).select("a", "b")
 
 
-def cross_candidates(entries: DataFrame) -> DataFrame:
-    """(a, b): every pair from different components that shares as many prefix shingles as it must."""
+def mixed_entries(entries: DataFrame) -> DataFrame:
+    """Entries in lists with more than one component; ``rest`` counts a document's entries from this one on."""
     lists = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    columns = ("node", "n", "m", "place", "before", "label")
-    left = entries.join(lists, "token", "left_semi").select("token", *columns)
-    right = left.select("token", *[F.col(c).alias(f"{c}2") for c in columns])
+    rest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("place")))
+    return entries.join(lists, "token", "left_semi").select("token", "node", "n", "m", "place", "before", "label", rest.alias("rest"))
+
+
+def first_meetings(mixed: DataFrame) -> DataFrame:
+    """(a, b, needed) wherever two components meet early enough to share all that they must from there on.
+
+    Of the shingles a linked pair shares, the first is followed by all others in both prefixes. Later
+    ones leave no room for as many, so a pair is met about once for every shingle beyond what it must share.
+    """
+    right = mixed.select("token", *[F.col(c).alias(f"{c}2") for c in mixed.columns[1:]])
     x, y = _side(), _side(suffix="2")
-    pairs = left.join(right, "token").where((x["label"] < y["label"]) & _may_link(x, y))
-    counted = pairs.groupBy(x["node"].alias("a"), y["node"].alias("b"), "n", "n2", _needed(x, y).alias("needed")).count()
-    return counted.where(F.col("count") >= F.col("needed")).select("a", "b").distinct()
+    needed = _needed(x, y)
+    met = mixed.join(right, "token").where((x["label"] < y["label"]) & _may_link(x, y) & (F.least("rest", "rest2") >= needed))
+    return met.select(x["node"].alias("a"), y["node"].alias("b"), needed.alias("needed"))
+
+
+def cross_candidates(entries: DataFrame) -> DataFrame:
+    """(a, b): every pair from different components that shares as many prefix shingles as it must."""
+    mixed = stage(mixed_entries(entries), "mixed")
+    prefix = mixed.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+    pairs = first_meetings(mixed).groupBy("a", "b").agg(F.first("needed").alias("needed"))
+    both = pairs.join(prefix.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+    both = both.join(prefix.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    return both.where(F.size(F.array_intersect("x", "y")) >= F.col("needed")).select("a", "b")
 
 
 def sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -331,10 +349,10 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     tied = mapped.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a <> high")
     edges = stage(mapped.join(tied.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "links")
     parts = [edges]
-    for k in range(STAR_ROUNDS + 1):
+    # The most central documents first, once: they would be the same in every further round.
+    for k, candidates in enumerate((star_candidates, cross_candidates)):
         current = stage(relabel(entries, _all(parts)), "entries") if k or edges.limit(1).count() else entries
-        pairs = star_candidates(current) if k < STAR_ROUNDS else cross_candidates(current)
-        parts.append(stage(verify(stage(pairs, "pairs"), texts), "links"))
+        parts.append(stage(verify(stage(candidates(current), "pairs"), texts), "links"))
     labels = components(_all(parts))
     placed = classes.join(labels, "node", "left").select("class", F.coalesce("label", "node").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -117,3 +117,15 @@ def test_keep_one(spark):
     want = sorted([i for i, _, c in brute(docs) if i is not None and i == c and i != 5_000] + [5_000])
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == want
     assert kept.where("doc_id is null").count() == 2
+
+
+def test_documents_that_share_a_passage_meet_seldom(spark, monkeypatch):
+    """A passage of two thirds of every text: no two are similar enough, and few rows are made to find out."""
+    rng = random.Random(8)
+    passage = text(rng, 100)
+    docs = [(i, f"{passage} {' '.join(f'x{i}y{k}' for k in range(40))}") for i in range(150)]
+    met, meet = [], op.first_meetings
+    monkeypatch.setattr(op, "first_meetings", lambda mixed: (met.append(meet(mixed).count()), meet(mixed))[1])
+    out = got(op.report(documents(spark, docs)))
+    assert out == [(i, 136, i) for i, _ in sorted(docs, key=lambda d: str((d[0], 136, d[0])))]
+    assert met and met[0] <= 150 * 149 // 2
