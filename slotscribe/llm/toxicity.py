@@ -14,9 +14,10 @@ are expected by chance, and a text's evidence is the sum of its significant
 segments' log improbabilities. A logistic curve turns evidence into a score.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows (a documented
-bound), those with the smallest hash of doc_id. Of them the rows with
-crc32(doc_id) mod 4 in (0, 1) give the counts, those with 3 the calibration, and
-2 is held out. How common features are is counted over all documents.
+bound), those with the smallest hash of doc_id, and on every word and segment of
+their whole texts. Of them the rows with crc32(doc_id) mod 4 in (0, 1) give the
+counts, those with 3 the calibration, and 2 is held out. How common features are
+is counted over all documents.
 
 Defined results: NULL and empty texts have no words and no evidence and get the
 curve's lowest score; NULL labels teach nothing; without labels of both kinds
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, map_batches, texts_of, with_columns
+from .common import free_name, map_batches, stage, texts_of, with_columns
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -121,6 +122,9 @@ class Model:
         rated = [(a, b, self.decay * s - chance) for a, b, s in maximal_segments(self.scores(found))]
         return [r for r in rated if r[2] > bound]
 
+    def evidence(self, found: list[str]) -> float:
+        return float(sum(e for _, _, e in self.passages(found)))
+
     def probability(self, evidence: float) -> float:
         z = self.offset + self.slope * evidence
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
@@ -209,14 +213,15 @@ def fit_odds(classes: dict[str, tuple[int, int]], totals: tuple[int, int], corpu
     return odds
 
 
-def fit_tail(best: list[tuple[int, float]], scores: np.ndarray) -> tuple[float, float]:
+def fit_tail(best: list[tuple[int, float]], scores: np.ndarray, counts: np.ndarray | None = None) -> tuple[float, float]:
     """lambda and K of the law of the best segment, from clean texts.
 
-    lambda solves E[exp(lambda x)] = 1 over the words' scores; K then makes the
-    expected number of chance segments match the observed best ones.
+    lambda solves E[exp(lambda x)] = 1 over the words' scores, of which each
+    occurs ``counts`` times; K then makes the expected number of chance segments
+    match the observed best ones.
     """
     low, high = 1e-3, 20.0
-    mean = lambda v: float(np.mean(np.exp(np.minimum(v * scores, 600.0))))
+    mean = lambda v: float(np.average(np.exp(np.minimum(v * scores, 600.0)), weights=counts))
     if not (scores > 0).any() or mean(high) < 1:
         decay = 1.0
     else:
@@ -243,7 +248,7 @@ def fit_curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Train on the labelled sample; corpus counts are over all of ``docs``."""
-    rows = training_rows(docs, labels, sample, id_col, text_col)
+    rows = stage(training_rows(docs, labels, sample, id_col, text_col), "labelled")
     # With the sample, the features of its toxic half are bounded too.
     counted = class_counts(rows.where("fold <> 3")).persist()
     totals = counted.where(~F.col("feature").endswith("*")).agg(F.sum("toxic"), F.sum("clean")).first()
@@ -254,45 +259,69 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return Model()
     corpus = {r["feature"]: r["n"] for r in corpus_counts(docs, list(classes), text_col).collect()}
     model = Model(odds=fit_odds(classes, (totals[0], totals[1]), corpus))
-    rated = _rate(rows.where("fold = 3"), model)
-    clean = [r for r in rated if r["toxic"] == 0]
-    if not clean or len(clean) == len(rated):
+    calibration = rows.where("fold = 3")
+    # As many rows as features have different scores, which the sample bounds.
+    scores = word_scores(calibration.where("toxic = 0"), model).orderBy("score").collect()
+    best = best_segments(calibration, model).collect()
+    clean = [(r["n"], r["best"]) for r in best if r["toxic"] == 0]
+    if not clean or len(clean) == len(best):
         return Model()
-    spread = np.concatenate([np.array(r["spread"], dtype=np.float64) for r in clean])
-    model.decay, model.scale = fit_tail([(r["n"], r["best"]) for r in clean], spread)
-    evidence, toxic = [], []
-    for r in rated:
-        chance = math.log(max(model.scale * r["n"], 1e-300)) if r["n"] else 0.0
-        strong = [model.decay * s - chance for s in r["segments"]]
-        evidence.append(sum(s for s in strong if s > -math.log(SIGNIFICANT)))
-        toxic.append(r["toxic"])
-    model.slope, model.offset = fit_curve(np.array(evidence), np.array(toxic, dtype=np.float64))
+    if scores:
+        model.decay, model.scale = fit_tail(clean, np.array([r["score"] for r in scores]), np.array([float(r["n"]) for r in scores]))
+    rated = evidence_of(calibration, model).collect()
+    model.slope, model.offset = fit_curve(np.array([r["evidence"] for r in rated]), np.array([float(r["toxic"]) for r in rated]))
     return model
 
 
-# Words of each calibration text whose scores describe the law under clean text, spread evenly over it.
-SPREAD = 20
+def word_scores(rows: DataFrame, model: Model) -> DataFrame:
+    """(score, n): how many words of the whole texts have each score."""
+    shipped = rows.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        own = shipped.value
+
+        def work(batch: pa.RecordBatch):
+            held: dict[float, int] = {}
+            for text in texts_of(batch, "t"):
+                for value, n in zip(*np.unique(own.scores(words(text)), return_counts=True)):
+                    held[float(value)] = held.get(float(value), 0) + int(n)
+            yield [list(held), list(held.values())]
+
+        return work
+
+    return map_batches(rows.select("t"), make, "score double, n bigint").groupBy("score").agg(F.sum("n").alias("n"))
 
 
-def _rate(rows: DataFrame, model: Model) -> list:
-    """Length, best segment, all segments and some word scores of every calibration text."""
+def best_segments(rows: DataFrame, model: Model) -> DataFrame:
+    """(toxic, n, best): words and best segment of every text."""
     shipped = rows.sparkSession.sparkContext.broadcast(model)
 
     def make():
         own = shipped.value
 
         def work(batch: pa.RecordBatch):
-            out = []
-            for text in texts_of(batch, "t"):
-                found = words(text)
-                segments = [s for _, _, s in maximal_segments(own.scores(found))]
-                some = own.scores(found[:: max(1, len(found) // SPREAD)])
-                out.append((len(found), max([0.0, *segments]), sorted(segments, reverse=True)[:1000], some.tolist()))
-            yield [batch.column(1), *([o[k] for o in out] for k in range(4))]
+            found = [words(text) for text in texts_of(batch, "t")]
+            best = [max((s for _, _, s in maximal_segments(own.scores(f))), default=0.0) for f in found]
+            yield [batch.column(1), [len(f) for f in found], best]
+
+        return work
+
+    return map_batches(rows.select("t", F.col("toxic").cast("int")), make, "toxic int, n bigint, best double")
+
+
+def evidence_of(rows: DataFrame, model: Model) -> DataFrame:
+    """(toxic, evidence): the sum over all significant segments of every text."""
+    shipped = rows.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        own = shipped.value
+
+        def work(batch: pa.RecordBatch):
+            yield [batch.column(1), [own.evidence(words(text)) for text in texts_of(batch, "t")]]
 
         return work
 
-    return map_batches(rows.select("t", F.col("toxic").cast("int")), make, "toxic int, n bigint, best double, segments array<double>, spread array<double>").collect()
+    return map_batches(rows.select("t", F.col("toxic").cast("int")), make, "toxic int, evidence double")
 
 
 PASSAGE = T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("evidence", T.DoubleType())])
