@@ -9,8 +9,10 @@ the rule-judged URLs (by hash) give the counts, the other half calibrates the
 bar, halfway between the mean scores of both kinds in units of their spread.
 
 The counts are kept as a table of character groups and joined, never collected:
-they grow with the pages. Distinct URLs are scored once, so a URL that many
-pages share is one row.
+they grow with the pages. Groups that make up more than one ``COMMON``-th of all
+characters, of which there can be no more than ``COMMON``, are broadcast; the
+others are joined by sorting, and none of them is a hot key. Distinct URLs are
+scored once, so a URL that many pages share is one row.
 
 Defined results: a NULL URL, or one without ``://``, has empty host and path, no
 rule, and score 0; a URL with nothing after ``://`` too. While the rules judge
@@ -32,6 +34,8 @@ MAX_RULES = 1_000
 ORDER = 4
 SMOOTHING = 4.0
 ALPHABET = 256.0
+# A group with more than this part of all characters is common.
+COMMON = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 AFTER = r"(?s)^.*?://(.*)$"
@@ -77,17 +81,35 @@ def ratios(counts: DataFrame) -> DataFrame:
         own = counts.groupBy(F.right("gram", F.lit(k + 1)).alias("gram")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
         context = F.left("gram", F.lit(k))
         totals = own.groupBy(context.alias("context")).agg(F.sum("allow").alias("all_allow"), F.sum("block").alias("all_block"))
-        joined = own.withColumn("context", context).join(totals, "context")
+        joined = own.withColumn("context", context).join(totals.hint("merge"), "context")
         if below is None:
             prior = {x: F.lit(1.0 / ALPHABET) for x in ("allow", "block")}
         else:
-            joined = joined.withColumn("shorter", F.right("gram", F.lit(k))).join(below, "shorter")
+            joined = joined.withColumn("shorter", F.right("gram", F.lit(k))).join(below.hint("merge"), "shorter")
             prior = {x: F.col(f"p_{x}") for x in ("allow", "block")}
         p = {x: (F.col(x) + SMOOTHING * prior[x]) / (F.col(f"all_{x}") + SMOOTHING) for x in ("allow", "block")}
         below = joined.select(F.col("gram").alias("shorter"), p["allow"].alias("p_allow"), p["block"].alias("p_block"))
     return below.select(F.col("shorter").alias("gram"), (F.ln("p_allow") - F.ln("p_block")).alias("ratio"))
 
 
+def scores(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """(url, score): the mean ratio over the groups of every URL that has any.
+
+    ``counts`` has (gram, allow, block, n), n over all URLs. The size of a file
+    says little about its rows, so no side is left to the planner to broadcast.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    model = stage(counts.select("gram", "n").join(ratios(counts).hint("merge"), "gram"), "ratios")
+    common = model.where(F.col("n") * COMMON > total).select("gram", "ratio")
+    rare = model.where(F.col("n") * COMMON <= total).select("gram", "ratio")
+    sums = [F.sum("ratio").alias("ratio"), F.count("*").alias("n")]
+    parts = [
+        grams.select("url", "gram").join(F.broadcast(common), "gram").groupBy("url").agg(*sums),
+        grams.select("url", "gram").join(F.broadcast(common), "gram", "left_anti").join(rare.hint("merge"), "gram").groupBy("url").agg(*sums),
+    ]
+    return parts[0].unionByName(parts[1]).groupBy("url").agg((F.sum("ratio") / F.sum("n")).alias("score"))
+
+
 def judge(pages: DataFrame, rules=RULES, *, url_col: str = "url") -> DataFrame:
     """(url, host, path, rule, verdict, score) of every distinct URL, NULL included."""
     urls = pages.select(F.col(url_col).cast("string").alias("url")).distinct()
@@ -102,9 +124,8 @@ def judge(pages: DataFrame, rules=RULES, *, url_col: str = "url") -> DataFrame:
     after = F.regexp_extract(F.coalesce("url", F.lit("")), AFTER, 1)
     grams = known.select("url", "ruled", "half", F.explode(groups(after)).alias("gram"))
     train = lambda v: F.sum(F.when((F.col("ruled") == v) & (F.col("half") == 0), 1.0).otherwise(0.0)).alias(v)
-    model = ratios(stage(grams.groupBy("gram").agg(train("allow"), train("block")), "grams"))
-    scored = grams.join(model, "gram").groupBy("url").agg((F.sum("ratio") / F.count("*")).alias("score"))
-    rated = stage(known.join(scored, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "scores")
+    counts = stage(grams.groupBy("gram").agg(train("allow"), train("block"), F.count("*").alias("n")), "grams")
+    rated = stage(known.join(scores(grams, counts).hint("merge"), "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "scores")
 
     kinds = {r["ruled"]: r for r in rated.where("half = 1").groupBy("ruled").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("spread")).collect()}
     bar = float("-inf")
@@ -120,5 +141,5 @@ def report(pages: DataFrame) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     judged = judge(pages)
     ids = pages.select("page_id", F.col("url").cast("string").alias("page_url"))
-    joined = ids.join(judged, F.col("page_url").eqNullSafe(F.col("url")))
+    joined = ids.join(judged.hint("merge"), F.col("page_url").eqNullSafe(F.col("url")))
     return joined.select("page_id", "host", "path", "rule", "verdict")
