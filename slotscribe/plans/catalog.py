@@ -19,7 +19,7 @@ from ..operators.lookups import CallFilter
 from ..operators.registry import Field, Entry, Program, idl_registry, introspect, program_from_json, stated_addresses
 from ..session import apply_runtime_conf, scratch_path
 from ..sources import blocks as source
-from ..streaming.live import catch_up_then_follow, start_index_stream, stream_blocks
+from ..streaming.live import catch_up_then_follow, series_counts, start_index_stream, start_series_stream, stream_blocks
 from . import maintenance
 from . import sample_chain as sample
 from .commit import CommitOptions, commit_batch, decode_entry
@@ -711,6 +711,17 @@ def stream_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_time_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily calls kept by a stream whose micro-batches are far out of order: on time and late ones together."""
+    calls, arrived, folder = sample.calls(spark, sf_dir), scratch_path(spark, "arriving-calls"), scratch_path(spark, "live-series")
+    calls.select("ix_name", "created_at", "tx_sig").repartition(8, "tx_sig").write.parquet(arrived)
+    feed = spark.readStream.schema(calls.select("ix_name", "created_at").schema).option("maxFilesPerTrigger", 3).parquet(arrived)
+    start_series_stream(
+        feed, folder, scratch_path(spark, "series-checkpoint"), time_col="created_at", bucket="day", delay="12 hours", available_now=True
+    ).awaitTermination()
+    return series_counts(spark, folder, bucket="day", delay="12 hours").select("ix_name", "period", "calls")
+
+
 QUERIES = {
     "ix_time_series_hour": _series("hour"),
     "ix_time_series_day": _series("day"),
@@ -790,6 +801,7 @@ QUERIES = {
     "index_rewritten_stats": index_rewritten_stats,
     "stream_index_counts": stream_index_counts,
     "stream_row_bound": stream_row_bound,
+    "stream_time_series": stream_time_series,
     "stream_catch_up": stream_catch_up,
 }
 

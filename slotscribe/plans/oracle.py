@@ -224,6 +224,7 @@ ORACLE = {
         from {_LINES}, (values (true), (false)) as v(include_failed) where include_failed or l_quantity <= 40 group by 1, 2""",
     "index_rewritten_stats": _STATS,
     "stream_index_counts": _STATS,
+    "stream_time_series": _series("day"),
     "stream_row_bound": f"""with recursive slots as (select slot, count(*) as n, row_number() over (order by slot) as i from {_LINES} group by slot),
         bound as (select (sum(n) + 2) // 3 as most from slots),
         cut as (select i, slot, n, 1 as part, n as held from slots where i = 1

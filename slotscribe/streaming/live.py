@@ -23,7 +23,7 @@ from ..operators.registry import Program
 from ..plans.commit import CommitOptions, commit_batch
 from ..plans.jobs import backfill
 from ..plans.store import IndexStore
-from ..session import Staging
+from ..session import Staging, list_folders
 from ..sources.blocks import block_schema
 
 # Flush interval of a micro-batch.
@@ -164,3 +164,63 @@ def live_time_series(calls: DataFrame, time_col: str, bucket: str = "hour") -> D
     """
     period = F.date_trunc(bucket, F.col(time_col)).cast(calls.schema[time_col].dataType)
     return calls.groupBy(period.alias("period")).agg(F.count(F.lit(1)).alias("calls"))
+
+
+def start_series_stream(
+    calls: DataFrame,
+    folder: str,
+    checkpoint: str,
+    *,
+    time_col: str,
+    bucket: str = "hour",
+    group: str = "ix_name",
+    delay: str = "1 hour",
+    available_now: bool = False,
+    interval: str = FLUSH_INTERVAL,
+) -> StreamingQuery:
+    """Keep the calls per ``group`` and period of a stream as a table of counts below ``folder``.
+
+    A micro-batch adds its own counts, so no state is held however long the
+    stream runs, and a repeated one replaces what it wrote. The watermark is the
+    newest time of all earlier micro-batches less ``delay``; calls of a period
+    that had ended by then are stored as late, not lost. A NULL time has the
+    period NULL and is never late.
+    """
+    spark = calls.sparkSession
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        late = _ended(bucket, _newest(spark, folder, batch_id), delay)
+        period = F.date_trunc(bucket, F.col(time_col)).cast(calls.schema[time_col].dataType)
+        counted = batch.groupBy(F.col(group), period.alias("period")).agg(F.count(F.lit(1)).alias("calls"), F.max(time_col).alias("newest"))
+        counted.withColumn("late", late).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+
+    writer = calls.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return writer.trigger(**({"availableNow": True} if available_now else {"processingTime": interval})).start()
+
+
+def _newest(spark: SparkSession, folder: str, before: int | None = None) -> F.Column | None:
+    """Newest time among the counts below ``folder``, of micro-batches before one; None without any."""
+    if not list_folders(spark, folder):
+        return None
+    held = spark.read.parquet(folder)
+    newest = (held if before is None else held.where(F.col("batch_id") < before)).agg(F.max("newest").cast("string")).first()[0]
+    return None if newest is None else F.lit(newest).cast(held.schema["newest"].dataType)
+
+
+def _ended(bucket: str, newest: F.Column | None, delay: str) -> F.Column:
+    """Whether a period had ended by the watermark, which is the newest time less ``delay``."""
+    if newest is None:
+        return F.lit(False)
+    return F.coalesce(F.col("period") + F.expr(f"interval 1 {bucket}") <= newest - F.expr(f"interval {delay}"), F.lit(False))
+
+
+def series_counts(spark: SparkSession, folder: str, *, bucket: str = "hour", group: str = "ix_name", delay: str = "1 hour") -> DataFrame:
+    """(group, period, calls, late_calls, closed): what the stream has counted so far.
+
+    ``calls`` holds the late ones too. ``closed`` periods ended before the
+    watermark: only late calls can still be added to them.
+    """
+    sums = spark.read.parquet(folder).groupBy(group, "period").agg(
+        F.sum("calls").alias("calls"), F.sum(F.when(F.col("late"), F.col("calls")).otherwise(0)).alias("late_calls")
+    )
+    return sums.withColumn("closed", _ended(bucket, _newest(spark, folder), delay))

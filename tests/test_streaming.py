@@ -9,7 +9,7 @@ from slotscribe.plans.jobs import BatchRequest, run_batch
 from slotscribe.plans.reader import IndexReader
 from slotscribe.plans.store import IndexStore
 from slotscribe.streaming.live import (
-    blocks_from_values, catch_up_then_follow, live_time_series, start_index_stream, stream_blocks, writer_name,
+    blocks_from_values, catch_up_then_follow, live_time_series, series_counts, start_index_stream, start_series_stream, stream_blocks, writer_name,
 )
 
 
@@ -103,6 +103,32 @@ def test_live_series_complete_mode_counts_late_rows(spark, tmp_path):
     assert got == {"01": 2, "03": 1, "04": 3}
 
 
+def test_series_stream_keeps_late_calls_apart(spark, tmp_path):
+    import os
+    import shutil
+
+    folder = tmp_path / "calls"
+    folder.mkdir()
+    # The watermark stands at 03:30 for the second and third micro-batch and at 05:30 after the third.
+    for i, hours in enumerate(([3, 4, 4], [1, 1, 4, None], [1, 3, 6])):
+        rows = [{"ix_name": "buy", "ts": h and f"2024-01-01 {h:02d}:30:00"} for h in hours]
+        (folder / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    out, checkpoint = str(tmp_path / "series"), tmp_path / "c"
+
+    def run():
+        calls = spark.readStream.schema("ix_name string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(folder))
+        assert start_series_stream(calls, out, str(checkpoint), time_col="ts", available_now=True).awaitTermination(240)
+        return {r["period"] and r["period"].hour: (r["calls"], r["late_calls"], r["closed"]) for r in series_counts(spark, out).collect()}
+
+    want = {None: (1, 0, False), 1: (3, 3, True), 3: (2, 0, True), 4: (3, 0, True), 6: (1, 0, False)}
+    assert run() == want
+    shutil.rmtree(checkpoint / "commits")  # as if the stream had stopped right after the counts were written
+    shutil.rmtree(tmp_path / "series" / "batch_id=2")
+    assert run() == want
+    assert run() == want
+
+
 def test_repeated_micro_batch_is_skipped(spark, program, tmp_path):
     import shutil
 
