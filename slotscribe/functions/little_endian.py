@@ -6,6 +6,8 @@ bytes are there; callers guard with the payload length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,39 +38,51 @@ def _signed(data: Column, position: Column, width: int) -> Column:
     return F.when(value >= half, value - 2 * half).otherwise(value).cast("int")
 
 
-def _wide(data: Column, position: Column, signed: bool) -> Column:
-    """128-bit number as DECIMAL(38,0); NULL from 10**38 on."""
-    low = unsigned(data, position, 8).cast("decimal(20,0)")
-    high = F.conv(big_endian_hex(data, position + 8, 8), 16, -10 if signed else 10).cast("decimal(20,0)")
-    base = F.lit(_POW64).cast("decimal(20,0)")
+def _base() -> Column:
+    return F.lit(_POW64).cast("decimal(20,0)")
+
+
+def wide_words(data: Column, position: Column) -> tuple[Column, Column]:
+    """Both halves of a 128-bit number: the low one unsigned, DECIMAL(20,0), the high one as a BIGINT of the same bits."""
+    return unsigned(data, position, 8).cast("decimal(20,0)"), _signed64(data, position + 8)
 
-    def plus(words: Column, rest: Column) -> Column:
-        return F.try_add(F.try_multiply(words, base).cast("decimal(38,0)"), rest).cast("decimal(38,0)")
 
+def _magnitude(low: Column, high: Column, signed: bool) -> tuple[Column, Column, Column]:
+    """(negative, high, low) of a 128-bit number's magnitude; the high half keeps its bits, the low one may be 2**64."""
     if not signed:
-        return plus(high, low)
-    # Counting down from the next multiple keeps every partial result as small as the value.
-    return F.when(high < 0, plus(high + 1, low - base)).otherwise(plus(high, low))
+        return F.lit(False), high, low
+    negative = high < 0
+    return negative, F.when(negative, F.bitwise_not(high)).otherwise(high), F.when(negative, _base() - low).otherwise(low)
+
+
+def wide_value(low: Column, high: Column, signed: bool) -> Column:
+    """128-bit number of its halves as DECIMAL(38,0); NULL from 10**38 on, without computing what does not fit."""
+    negative, words, rest = _magnitude(low, high, signed)
+    most, left = divmod(10**38, 1 << 64)
+    fits = (words >= 0) & ((words < most) | ((words == most) & (rest < F.lit(str(left)).cast("decimal(20,0)"))))
+    # Counting down from the next multiple keeps every partial result of a negative number as small as the value.
+    times, plus = high.cast("decimal(20,0)"), low
+    if signed:
+        times, plus = F.when(negative, times + 1).otherwise(times).cast("decimal(20,0)"), F.when(negative, low - _base()).otherwise(low)
+    return F.when(fits, ((times * _base()).cast("decimal(38,0)") + plus).cast("decimal(38,0)"))
 
 
-def wide_digits(data: Column, position: Column, signed: bool) -> Column:
-    """All digits of a 128-bit number as text, also from 10**38 on.
+def wide_digits(low: Column, high: Column, signed: bool, wanted: Column, bind: Callable[[Column], Column]) -> Column:
+    """All digits of a 128-bit number as text, also from 10**38 on; only for rows that are ``wanted``.
 
     2**96 and 2**64 are split at 10**19, so that every product fits a decimal;
-    the carry and the low 19 digits are cut from the text of the low part.
+    the carry and the low 19 digits are cut from the text of the low part, which
+    ``bind`` makes a column of its own because it is used several times.
     """
-    number = lambda at, width: unsigned(data, position + at, width).cast("decimal(20,0)")
-    low, middle, high = number(0, 8), number(8, 4), number(12, 4)
-    negative = (high >= 1 << 31) if signed else F.lit(False)
-    flip = lambda word, bits: F.when(negative, F.lit(str((1 << bits) - 1)).cast("decimal(20,0)") - word).otherwise(word)
-    low, middle, high = flip(low, 64), flip(middle, 32), flip(high, 32)
+    negative, words, least = _magnitude(low, high, signed)
+    middle, top = words.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(words, 32)
     times = lambda word, factor: (word.cast("decimal(10,0)") * F.lit(factor).cast("decimal(19,0)")).cast("decimal(38,0)")
-    rest = times(high, (1 << 96) % 10**19) + times(middle, (1 << 64) % 10**19) + low + F.when(negative, 1).otherwise(0)
-    text = rest.cast("decimal(38,0)").cast("string")
+    rest = times(top, (1 << 96) % 10**19) + times(middle, (1 << 64) % 10**19) + least
+    text = bind(F.when(wanted, rest.cast("decimal(38,0)").cast("string")))
     size = F.char_length(text)
     carry = F.when(size > 19, F.left(text, size - 19).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
-    top = times(high, (1 << 96) // 10**19) + middle + carry
-    return F.concat(F.when(negative, "-").otherwise(""), top.cast("decimal(38,0)").cast("string"), F.lpad(F.right(text, F.lit(19)), 19, "0"))
+    head = times(top, (1 << 96) // 10**19) + middle + carry
+    return F.concat(F.when(negative, "-").otherwise(""), head.cast("decimal(38,0)").cast("string"), F.lpad(F.right(text, F.lit(19)), 19, "0"))
 
 
 def _float(data: Column, position: Column, width: int) -> Column:
@@ -102,7 +116,7 @@ def fixed_value(kind: str, data: Column, position: Column) -> Column:
         case "i64":
             return _signed64(data, position)
         case "u128" | "i128":
-            return _wide(data, position, kind == "i128")
+            return wide_value(*wide_words(data, position), kind == "i128")
         case "f32" | "f64":
             return _float(data, position, int(kind[1:]) // 8)
     raise ValueError(f"not a fixed-width number: {kind}")

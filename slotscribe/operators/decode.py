@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.base58 import base58_encode_key
 from ..functions.discriminators import DISCRIMINATOR_BYTES
 from ..functions.idl_types import FIXED_WIDTH, OPAQUE_TYPE, fixed_width, spark_type, struct_members
-from ..functions.little_endian import fixed_value, unsigned, wide_digits
+from ..functions.little_endian import fixed_value, unsigned, wide_digits, wide_value, wide_words
 from ..functions.payload import ISSUES, payload_decoder
 
 # Values per row up to which column expressions beat the Arrow round trip.
@@ -77,7 +77,8 @@ class _Chain:
         """Flag rows and keep a text for each of them."""
         self.flag(code, condition, live)
         raised = condition if live is None else live & condition
-        self.notes.append(F.when(F.coalesce(raised, F.lit(False)), F.concat(F.lit(f"{code}="), text)))
+        # A column of its own: inside the filter that collects the notes it would be interpreted, not compiled.
+        self.notes.append(self.bind(F.when(F.coalesce(raised, F.lit(False)), F.concat(F.lit(f"{code}="), text))))
 
     def read(self, tree: tuple, at: Column, live: Column | None = None) -> tuple[Column, Column]:
         """(value, next position) of one field read at ``at``."""
@@ -88,10 +89,14 @@ class _Chain:
             self.flag("truncated", ~fits, live)
             if kind == "pubkey":
                 value = base58_encode_key(F.when(fits, F.substring(data, at + 1, F.lit(width))))
+            elif kind in ("u128", "i128"):
+                # Bound, because all are used more than once and none is cheap.
+                low, high = (self.bind(F.when(fits, word)) for word in wide_words(data, at))
+                value = self.bind(wide_value(low, high, kind == "i128"))
+                lost = fits & value.isNull()
+                self.note("int128_overflow", lost, live, wide_digits(low, high, kind == "i128", lost, self.bind))
             else:
                 value = F.when(fits, fixed_value(kind, data, at))
-            if kind in ("u128", "i128"):
-                self.note("int128_overflow", fits & value.isNull(), live, wide_digits(data, at, kind == "i128"))
             return value, self.bind(F.when(fits, at + width).otherwise(at))
         if kind in ("string", "bytes"):
             present, length, start = self._prefix(at, live)
