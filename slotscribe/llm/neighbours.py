@@ -1,7 +1,14 @@
 """Nearest neighbours: a vantage-point tree per shard, searched in blocks of queries.
 
-Distinct vectors are dealt by hash into shards of about ``SHARD_ROWS``. A task
-reads its shard, builds a tree (each node splits its vectors at the median
+Shards follow the vectors. The upper levels of one vantage tree, fitted on at most
+``TOP_SAMPLE`` distinct vectors, deal all vectors into at most ``GROUPS`` groups; a
+group is cut by hash into shards of about ``SHARD_ROWS``. Of every group the least and
+greatest distance to each vantage point above it are known, over all its vectors. A
+query is answered in its own group first; the k-th distance found there is its
+limit, and it is sent on only to groups that the triangle inequality cannot
+exclude. Which vectors are sampled changes the cost, never the result.
+
+A task reads its shard, builds a tree (each node splits its vectors at the median
 distance from one of them) and streams the queries through it: first every query
 goes down to its nearest leaf, which bounds its distances; then the tree is
 walked once for the whole block, and a branch is left out for a query when the
@@ -34,6 +41,9 @@ from pyspark.sql import functions as F
 from .common import stage
 
 SHARD_ROWS = 16_384
+# Leaves of the upper tree, and distinct vectors it is fitted on. The driver and every task hold GROUPS vantage points.
+GROUPS = 256
+TOP_SAMPLE = 8_192
 LEAF = 32
 # Queries that walk a tree together.
 BLOCK = 512
@@ -79,9 +89,9 @@ class VantageTree:
             (float(d[near].min()), float(d[near].max())), (float(d[far].min()), float(d[far].max())),
         )
 
-    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and rows of the k nearest of each query; rows are -1 where there are fewer."""
-        best = np.full((len(queries), k), np.inf)
+    def search(self, queries: np.ndarray, k: int, factor: float = 1.0, limits: np.ndarray | float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and rows of the k nearest of each query within its limit; rows are -1 where there are fewer."""
+        best = np.repeat(np.broadcast_to(limits, len(queries)).astype(float)[:, None], k, axis=1)
         rows = np.full((len(queries), k), -1, dtype=np.int64)
         home = np.full(len(queries), -1, dtype=np.int64)
         self._descend(self.root, queries, np.arange(len(queries)), best, rows, home)
@@ -142,6 +152,152 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & (F.size(vec) > 0) & finite & F.exists(vec, lambda x: x != 0)).withColumn("dim", F.size(vec))
 
 
+class Top:
+    """The upper levels of a vantage tree for vectors of one length: a complete binary tree."""
+
+    def __init__(self, sample: np.ndarray, levels: int, seed: int = 7):
+        self.levels = levels
+        self.points = np.zeros((2**levels - 1, sample.shape[1]))
+        self.radii = np.zeros(2**levels - 1)
+        rng = np.random.default_rng(seed)
+        held = {0: np.arange(len(sample))}
+        for node in range(2**levels - 1):
+            rows = held.pop(node)
+            point = sample[rng.choice(rows) if len(rows) else 0]
+            d = distances(point[None], sample[rows])[0]
+            self.points[node], self.radii[node] = point, np.median(d) if len(rows) else 0.0
+            held[2 * node + 1], held[2 * node + 2] = rows[d <= self.radii[node]], rows[d > self.radii[node]]
+
+    def descend(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Group of every vector, and its distances to the vantage points above."""
+        node, path = np.zeros(len(vectors), dtype=np.int64), np.zeros((len(vectors), self.levels))
+        for level in range(self.levels):
+            difference = vectors - self.points[node]
+            path[:, level] = np.sqrt((difference * difference).sum(axis=1))
+            node = 2 * node + 1 + (path[:, level] > self.radii[node])
+        return node - (2**self.levels - 1), path
+
+
+@dataclass
+class Group:
+    """Shards of a group, numbered from ``first``, and the ranges of its distances to the points above it."""
+
+    first: int
+    pieces: int
+    low: np.ndarray
+    high: np.ndarray
+
+
+class Layout:
+    """Where vectors lie: a top and its groups for each sampled length; any other length is one shard."""
+
+    def __init__(self, tops: dict[int, Top], groups: dict[tuple[int, int], Group]):
+        self.tops, self.groups = tops, groups
+
+    def home(self, dim: int, vectors: np.ndarray) -> list[int]:
+        return self.tops[dim].descend(vectors)[0].tolist() if dim in self.tops else [0] * len(vectors)
+
+    def shards(self, dim: int, group: int) -> range:
+        if dim not in self.tops:
+            return range(-dim, -dim + 1)
+        place = self.groups.get((dim, group))
+        return range(place.first, place.first + place.pieces) if place else range(0)
+
+    def others(self, dim: int, vectors: np.ndarray, limits: np.ndarray, factor: float) -> list[list[int]]:
+        """For each query the shards outside its own group that may hold something within its limit."""
+        out: list[list[int]] = [[] for _ in vectors]
+        if dim not in self.tops:
+            return out
+        top = self.tops[dim]
+        home, d = np.array(self.home(dim, vectors)), distances(vectors, top.points)
+        for (length, group), place in self.groups.items():
+            if length != dim:
+                continue
+            above = [(group + 2**top.levels) // 2 ** (top.levels - level) - 1 for level in range(top.levels)]
+            bound = np.maximum(d[:, above] - place.high, place.low - d[:, above]).max(axis=1)
+            # Rounding must never turn a tie into a miss.
+            slack = (d[:, above].max(axis=1) + place.high.max()) * 1e-12
+            for i in np.flatnonzero((home != group) & (bound * factor <= limits * (1 + 1e-12) + slack)).tolist():
+                out[i] += self.shards(dim, group)
+        return out
+
+
+def lay_out(entries: DataFrame, shard_rows: int) -> tuple[Layout, int]:
+    """The layout of distinct vectors and its number of shards."""
+    levels = max(0, min(GROUPS, -(-entries.count() // shard_rows)) - 1).bit_length()
+    if not levels:
+        return Layout({}, {}), 1
+    sampled: dict[int, list] = {}
+    for row in entries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(TOP_SAMPLE).collect():
+        sampled.setdefault(len(row["vec"]), []).append(row["vec"])
+    tops = {dim: Top(np.array(rows, dtype=np.float64), levels) for dim, rows in sampled.items()}
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, part in by_length(batch):
+                if dim in tops:
+                    group, path = tops[dim].descend(matrix(part.column(1), dim))
+                    columns = [part.column(0).cast(pa.int32()), pa.array(group, pa.int32()), pa.array(list(path), pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["dim", "at", "path"])
+
+    located = entries.select("dim", "vec").mapInArrow(locate, "dim int, at int, path array<double>")
+    ends = [f(F.col("path")[i]).alias(f"{f.__name__}_{i}") for i in range(levels) for f in (F.min, F.max)]
+    groups, total = {}, 0
+    for row in located.groupBy("dim", "at").agg(F.count("*").alias("n"), *ends).collect():
+        low, high = (np.array([row[f"{name}_{i}"] for i in range(levels)]) for name in ("min", "max"))
+        groups[row["dim"], row["at"]] = Group(total, -(-row["n"] // shard_rows), low, high)
+        total += groups[row["dim"], row["at"]].pieces
+    return Layout(tops, groups), total
+
+
+DEALT = "shard int, role int, dim int, id bigint, ids array<bigint>, vec array<double>, `limit` double"
+
+
+def deal(entries: DataFrame, layout: Layout) -> DataFrame:
+    """Every distinct vector with its shard, in the columns of ``DEALT``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, part in by_length(batch):
+                held = [layout.shards(dim, g) for g in layout.home(dim, matrix(part.column(1), dim))]
+                yield dealt_rows([r[h % len(r)] for r, h in zip(held, part.column(3).to_pylist())], 0, part, None, part.column(2), None)
+
+    return entries.select("dim", "vec", "ids", F.xxhash64("vec").alias("h")).mapInArrow(run, DEALT)
+
+
+def send(asked: DataFrame, layout: Layout, factor: float, home: bool) -> DataFrame:
+    """Every query, once for each shard it goes to: those of its own group, or those of others within its limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, part in by_length(batch):
+                for at in range(0, part.num_rows, BLOCK):
+                    block = part.slice(at, BLOCK)
+                    vectors, limits = matrix(block.column(1), dim), block.column(3).to_numpy(zero_copy_only=False)
+                    to = [layout.shards(dim, g) for g in layout.home(dim, vectors)] if home else layout.others(dim, vectors, limits, factor)
+                    rows = block.take(pa.array([i for i, shards in enumerate(to) for _ in shards], pa.int64()))
+                    yield dealt_rows([n for shards in to for n in shards], 1, rows, rows.column(2), None, rows.column(3))
+
+    return asked.select("dim", "vec", "id", "limit").mapInArrow(run, DEALT)
+
+
+def dealt_rows(shards: list[int], role: int, part: pa.RecordBatch, ids, lists, limits) -> pa.RecordBatch:
+    """Rows of ``DEALT``; ``part`` begins with the columns dim and vec."""
+    n = part.num_rows
+    columns = [
+        pa.array(shards, pa.int32()), pa.array([role] * n, pa.int32()), part.column(0).cast(pa.int32()), pa.nulls(n, pa.int64()) if ids is None else ids,
+        pa.nulls(n, pa.list_(pa.int64())) if lists is None else lists, part.column(1), pa.nulls(n, pa.float64()) if limits is None else limits,
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "role", "dim", "id", "ids", "vec", "limit"])
+
+
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each vector length (the first column)."""
+    lengths = batch.column(0).to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths).tolist():
+        yield dim, batch.take(pa.array(np.flatnonzero(lengths == dim)))
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = NEAREST, *, id_col: str = "vec_id", vec_col: str = "embedding",
     factor: float = FACTOR, shard_rows: int = SHARD_ROWS,
@@ -150,11 +306,28 @@ def search(
     own = Window.partitionBy("vec").orderBy("id")
     few = usable(vectors, id_col, vec_col).dropDuplicates(["id", "vec"]).withColumn("n", F.row_number().over(own)).where(F.col("n") <= k + 1)
     entries = stage(few.groupBy("vec", "dim").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    shards = max(1, -(-entries.count() // shard_rows))
-    placed = entries.select(F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), "dim", F.lit(None).cast("bigint").alias("id"), "ids", "vec")
-    asked = usable(queries, id_col, vec_col).dropDuplicates(["id", "vec"])
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("role"), "dim", "id", F.array().cast("array<bigint>").alias("ids"), "vec")
-    dealt = placed.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "dim", "role")
+    layout, shards = lay_out(entries, shard_rows)
+    placed = deal(entries, layout)
+    asked = usable(queries, id_col, vec_col).dropDuplicates(["id", "vec"]).withColumn("limit", F.lit(float("inf")))
+
+    def nearest(found: DataFrame) -> DataFrame:
+        best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = nearest(ask(placed, send(asked, layout, factor, True), shards, k, factor))
+    if not layout.tops:
+        return found
+    found = stage(found, "home")
+    limits = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("limit"))
+    bound = asked.drop("limit").join(limits, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    further = ask(placed, send(bound, layout, factor, False), shards, k, factor)
+    return nearest(found.drop("rank").unionByName(further))
+
+
+def ask(placed: DataFrame, sent: DataFrame, shards: int, k: int, factor: float) -> DataFrame:
+    """(query_id, vec_id, score): the nearest of each shard for the queries sent to it."""
+    # By range, for hashes of few numbers collide: a task gets about one shard.
+    dealt = placed.unionByName(sent).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "dim", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, tree = None, [], None
@@ -172,12 +345,11 @@ def search(
                     continue
                 query_ids = part.column(3).to_numpy(zero_copy_only=False)
                 block = matrix(part.column(5), where[1])
+                limits = part.column(6).to_numpy(zero_copy_only=False) * (1 + 1e-12)
                 for i in range(0, len(block), BLOCK):
-                    yield answers(tree, ids, query_ids[i : i + BLOCK], block[i : i + BLOCK], k, factor)
+                    yield answers(tree, ids, query_ids[i : i + BLOCK], block[i : i + BLOCK], limits[i : i + BLOCK], k, factor)
 
-    found = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
 def runs_of(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
@@ -200,9 +372,9 @@ def plant(parts: list[pa.RecordBatch], dim: int) -> tuple[VantageTree | None, li
     return VantageTree(np.concatenate([matrix(p.column(5), dim) for p in parts]), np.array([x[0] for x in ids], dtype=np.int64)), ids
 
 
-def answers(tree: VantageTree, ids: list[list[int]], query_ids: np.ndarray, block: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
+def answers(tree: VantageTree, ids: list[list[int]], query_ids: np.ndarray, block: np.ndarray, limits: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
     """The k nearest ids of each query in this shard: k + 1 distinct vectors always hold them."""
-    best, rows = tree.search(block, k + 1, factor)
+    best, rows = tree.search(block, k + 1, factor, limits)
     out: list[tuple[int, int, float]] = []
     for q, ds, rs in zip(query_ids.tolist(), best.tolist(), rows.tolist()):
         near = sorted((d, i) for d, r in zip(ds, rs) if r >= 0 for i in ids[r] if i != q)[:k]

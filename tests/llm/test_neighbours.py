@@ -48,6 +48,32 @@ def test_clustered_vectors_are_pruned_and_exact():
     assert (rows == want).all()
 
 
+def test_clustered_vectors_are_asked_in_few_shards(spark):
+    rng = np.random.default_rng(5)
+    table = np.concatenate([rng.normal(size=6) * 30 + rng.normal(0, 0.2, (100, 6)) for _ in range(16)])
+    data = [(i, x) for i, x in enumerate(table.astype(np.float32).tolist())]
+    df = spark.createDataFrame([(i, x, 0) for i, x in data], SCHEMA)
+    same(found(op.search(df, df.where("vec_id % 20 = 0"), shard_rows=50)), brute(data, data[::20]))
+    entries = op.usable(df, "vec_id", "embedding").selectExpr("vec", "dim", "array(id) as ids")
+    layout, shards = op.lay_out(entries, 50)
+    assert shards >= 32
+    placed = op.deal(entries, layout).collect()
+    assert len(placed) == len(data) and {r["shard"] for r in placed} <= set(range(shards))
+    asked = op.usable(df.where("vec_id % 20 = 0"), "vec_id", "embedding")
+    # Within a limit that holds a cluster, a query goes to the groups of its cluster.
+    sent = op.send(asked.selectExpr("*", "2D as limit"), layout, 1.0, False).count()
+    assert sent < 0.15 * shards * asked.count()
+
+
+def test_lengths_that_the_sample_lacks_are_searched_too(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    data = [(i, [float(x) for x in rng.integers(-9, 10, 2 + i % 3)]) for i in range(300)]
+    data = [(i, v) for i, v in data if any(v)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in data], SCHEMA)
+    monkeypatch.setattr(op, "TOP_SAMPLE", 1)
+    same(found(op.search(df, df.where("vec_id % 7 = 0"), shard_rows=40)), brute(data, [d for d in data if d[0] % 7 == 0]))
+
+
 def test_recall_of_the_query(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     data = [(r["vec_id"], r["embedding"]) for r in table.collect()]
