@@ -224,11 +224,15 @@ class Layout:
 
 def lay_out(entries: DataFrame, shard_rows: int) -> tuple[Layout, int]:
     """The layout of distinct vectors and its number of shards."""
-    levels = max(0, min(GROUPS, -(-entries.count() // shard_rows)) - 1).bit_length()
+    n = entries.count()
+    levels = max(0, min(GROUPS, -(-n // shard_rows)) - 1).bit_length()
     if not levels:
         return Layout({}, {}), 1
     sampled: dict[int, list] = {}
-    for row in entries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(TOP_SAMPLE).collect():
+    # Cut by hash to somewhat more than the sample, so that tasks do not each send a whole sample to be merged.
+    share = min(1.0, (2 * TOP_SAMPLE + 64) / n)
+    drawn = entries.select("vec", F.xxhash64("vec").alias("h")).where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
+    for row in drawn.orderBy("h", "vec").limit(TOP_SAMPLE).collect():
         sampled.setdefault(len(row["vec"]), []).append(row["vec"])
     tops = {dim: Top(np.array(rows, dtype=np.float64), levels) for dim, rows in sampled.items()}
 
@@ -247,7 +251,7 @@ def lay_out(entries: DataFrame, shard_rows: int) -> tuple[Layout, int]:
         low, high = (np.array([row[f"{name}_{i}"] for i in range(levels)]) for name in ("min", "max"))
         groups[row["dim"], row["at"]] = Group(total, -(-row["n"] // shard_rows), low, high)
         total += groups[row["dim"], row["at"]].pieces
-    return Layout(tops, groups), total
+    return Layout(tops, groups), max(1, total)
 
 
 DEALT = "shard int, role int, dim int, id bigint, ids array<bigint>, vec array<double>, `limit` double"
