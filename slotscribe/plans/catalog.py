@@ -537,7 +537,7 @@ def _block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, "blocks")
     if key not in _BUILT:
         path = scratch_path(spark, "blocks")
-        source.write_blocks(sample.line_blocks(spark, sf_dir), path, size=400)
+        source.write_blocks(sample.lines(spark, sf_dir), path, size=400, widen=sample.as_blocks)
         _BUILT[key] = path
     return source.read_blocks(spark, _BUILT[key])
 
@@ -667,7 +667,7 @@ def index_rewritten_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _live_blocks(spark: SparkSession, sf_dir: str, from_slot: int) -> str:
     """A folder of the sample blocks from a slot on, for a stream to pick up."""
     path = scratch_path(spark, "live-blocks")
-    source.write_blocks(sample.line_blocks(spark, sf_dir).where(F.col("slot") >= from_slot), path, size=400)
+    source.write_blocks(sample.lines(spark, sf_dir).where(F.col("slot") >= from_slot), path, size=400, widen=sample.as_blocks)
     return path
 
 

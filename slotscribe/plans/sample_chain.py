@@ -138,7 +138,19 @@ def line_blocks(spark: SparkSession, sf_dir: str, failed: Column | None = None)
     The ship day is the slot. Open lines call the sample program, others another
     one. The payload of 32 bytes is written as base58 text, as on chain.
     """
-    lines = table(spark, sf_dir, "lineitem")
+    return as_blocks(lines(spark, sf_dir, failed))
+
+
+def lines(spark: SparkSession, sf_dir: str, failed: Column | None = None) -> DataFrame:
+    """The values of ``lineitem`` that ``as_blocks`` makes blocks of. They are narrow: what has to move is moved in this form."""
+    return table(spark, sf_dir, "lineitem").select(
+        day("l_shipdate").alias("slot"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+        "l_returnflag", "l_linestatus", (F.lit(False) if failed is None else failed).alias("failed"),
+    )
+
+
+def as_blocks(lines: DataFrame) -> DataFrame:
+    """Every line as a block, row by row; a ``slot_bucket`` stays with it."""
     flag = F.col("l_returnflag")
     name = F.when(flag == "A", FLAG_NAMES["A"]).when(flag == "N", FLAG_NAMES["N"]).otherwise(FLAG_NAMES["R"])
     data = payload(
@@ -148,9 +160,9 @@ def line_blocks(spark: SparkSession, sf_dir: str, failed: Column | None = None)
         little_endian_hex(F.round(F.col("l_extendedprice") * 100), 8),
     )
     encoded = lines.select(
-        day("l_shipdate").alias("slot"), "l_linestatus", "l_suppkey", "l_partkey", "l_orderkey",
+        *(c for c in ("slot", "slot_bucket", "l_linestatus", "l_suppkey", "l_partkey", "l_orderkey") if c in lines.columns),
         line_signature().alias("signature"), base58_encode_key(data).alias("data"),
-        F.when(F.lit(False) if failed is None else failed, F.lit("LineFailed")).alias("err"),
+        F.when(F.col("failed"), F.lit("LineFailed")).alias("err"),
     )
     program = F.when(F.col("l_linestatus") == "O", PROGRAM).otherwise(OTHER_PROGRAM)
     keys = F.array(F.concat(F.lit("order"), "l_orderkey"), F.concat(F.lit("supp"), "l_suppkey"), program)
@@ -166,7 +178,8 @@ def line_blocks(spark: SparkSession, sf_dir: str, failed: Column | None = None)
         F.lit(False).alias("parsed"),
     )
     kind = block_schema()["transactions"].dataType
-    return encoded.select("slot", (F.col("slot") * 86400).alias("block_time"), F.array(tx).cast(kind).alias("transactions"))
+    bucket = [c for c in ("slot_bucket",) if c in lines.columns]
+    return encoded.select("slot", (F.col("slot") * 86400).alias("block_time"), F.array(tx).cast(kind).alias("transactions"), *bucket)
 
 
 def supplier_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ need; selections that need whole transactions shrink the array before exploding.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,16 +95,20 @@ def read_blocks(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return blocks if size is None else blocks.withMetadata("slot_bucket", {SIZE_KEY: size})
 
 
-def write_blocks(blocks: DataFrame, path: str, *, size: int = SLOTS_PER_BUCKET, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Store blocks by slot bucket, sorted by slot inside each file; the bucket size is stored with them."""
+def write_blocks(
+    blocks: DataFrame, path: str, *, size: int = SLOTS_PER_BUCKET, fmt: str = "parquet", mode: str = "overwrite",
+    widen: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Store blocks by slot bucket, sorted by slot inside each file; the bucket size is stored with them.
+
+    With ``widen``, ``blocks`` are narrow rows with a ``slot``. They are dealt out and sorted as
+    they are, and ``widen`` makes blocks of them afterwards, row by row, keeping ``slot_bucket``.
+    """
     if mode == "append":
         keep_layout(blocks.sparkSession, path, size)
-    (
-        blocks.withColumn("slot_bucket", slot_bucket(size=size))
-        .hint("rebalance", "slot_bucket")
-        .sortWithinPartitions("slot_bucket", "slot")
-        .write.partitionBy("slot_bucket").format(fmt).mode(mode).save(path)
-    )
+    dealt = blocks.withColumn("slot_bucket", slot_bucket(size=size)).hint("rebalance", "slot_bucket").sortWithinPartitions("slot_bucket", "slot")
+    writer = (dealt if widen is None else widen(dealt)).write.partitionBy("slot_bucket").format(fmt).mode(mode)
+    (writer.option("compression", "zstd") if fmt == "parquet" else writer).save(path)
     keep_layout(blocks.sparkSession, path, size, replace=mode == "overwrite")
 
 
