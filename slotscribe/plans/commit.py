@@ -17,6 +17,7 @@ from ..operators.decode import decode_payload
 from ..operators.dedup import keep_first, not_keyed, not_stored
 from ..operators.registry import FIXED_COLUMNS, Entry, Program
 from ..session import Staging, remove_folder
+from .side_tables import buckets_for
 from .store import BUCKETS_KEY, FOLDED_KEY, LAST_SIG_KEY, LAST_SLOT_KEY, QUARANTINE_SCHEMA, SCHEMA_KEY, TRANSACTION_SCHEMA, IndexState, IndexStore
 
 # Distinct slot buckets up to which a batch names them one by one when it looks
@@ -27,6 +28,8 @@ BROADCAST_ADDRESSES = 100_000
 # Transactions of a batch up to which their signatures are broadcast to stored
 # rows: some 90 bytes each, 9 MB in all.
 BROADCAST_BATCH = 100_000
+# Hashes of repeated signatures up to which they are broadcast to a batch: 8 bytes each, some 32 MB as a table.
+BROADCAST_REPEATED = 1_000_000
 # Tables written at the same time; each write is its own Spark job.
 PARALLEL_WRITES = 4
 
@@ -142,6 +145,28 @@ def decode_table(rows: DataFrame, entries: list[Entry], schema: T.StructType, en
     return reduce(DataFrame.unionByName, parts)
 
 
+def first_per_signature(txs: DataFrame, order: list[str | Column], staging: Staging) -> DataFrame:
+    """The first transaction of each signature in ``order``, staged.
+
+    Whole transactions stay where they were read. Hashes of signatures are
+    counted, and only rows whose hash occurs again are compared, by their signature and
+    place. Beyond ``BROADCAST_REPEATED`` such hashes whole rows are dealt out by signature.
+    """
+    read = staging.put(txs.drop("header").withColumn("_row", F.monotonically_increasing_id()), "transactions")
+    mark = F.xxhash64("signature").alias("_mark")
+    repeated = staging.put(read.groupBy(mark).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_mark"), "repeated")
+    marks = repeated.limit(BROADCAST_REPEATED + 1).count()
+    if marks == 0:
+        return read.drop("_row")
+    if marks > BROADCAST_REPEATED:
+        return staging.put(keep_first(read, ["signature"], [*order, "_row"]).drop("_row"), "first")
+    places = read.drop("accounts", "instructions").withColumn("_mark", F.xxhash64("signature"))
+    again = places.join(F.broadcast(repeated), "_mark", "left_semi")
+    first = staging.put(keep_first(again, ["signature"], [*order, "_row"]).select(F.col("signature").alias("_sig"), F.col("_row").alias("_first")), "first")
+    matched = read.join(F.broadcast(first), F.col("signature").eqNullSafe(F.col("_sig")), "left")
+    return matched.where(F.col("_first").isNull() | (F.col("_first") == F.col("_row"))).drop("_row", "_sig", "_first")
+
+
 def route_calls(txs: DataFrame, program: Program) -> DataFrame:
     """Calls of the program with the table they belong to; NULL tables are for quarantine."""
     return normalize.route(normalize.calls(txs, program.program_id), program, "instruction")
@@ -191,11 +216,11 @@ def _commit(
         order = [F.desc("slot"), F.desc("tx_index")]
     if not options.include_failed:
         txs = txs.where(F.col("err").isNull())
-    staged = staging.put(keep_first(txs, ["signature"], order), "transactions")
+    staged = first_per_signature(txs, order, staging)
     state = store.load()
     committed = state.committed
     # A new index keeps keys, zones and current states; one begun without them goes on so.
-    buckets = state.key_buckets if committed else store.key_buckets
+    buckets = state.key_buckets if committed else store.key_buckets or buckets_for(staged.count())
     item = {("tx_sig", "ix_index"): "ix_index", ("tx_sig",): None}
     now = F.lit(datetime.now(timezone.utc))
     near = conflict_range(staged, store.slots_per_bucket, options.conflict_slack) if committed else None

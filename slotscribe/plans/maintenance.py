@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..operators.dedup import keep_last
 from .commit import fold_states
 from .reader import IndexReader
+from .side_tables import buckets_for
 from .store import BUCKETS_KEY, COMMIT_KEY, FOLDED_KEY, PARTITIONS, IndexStore
 
 REWRITER = "rewrite"
@@ -37,7 +38,8 @@ def rewrite_index(reader: IndexReader, target: IndexStore) -> None:
         tables[table] = columns
         lookup = next((c for c in ("signature", "address", "tx_sig") if c in columns.names), None)
         target.write(rows, table, REWRITER, 0, lookup=lookup)
-    target.write_side_tables(tables, REWRITER, 0, target.key_buckets)
+    buckets = target.key_buckets or buckets_for(reader.transactions(state).count())
+    target.write_side_tables(tables, REWRITER, 0, buckets)
     kept = {k: v for k, v in state.values.items() if k not in (COMMIT_KEY, BUCKETS_KEY) and not k.startswith(FOLDED_KEY)}
-    target.write_state({**kept, BUCKETS_KEY: str(target.key_buckets)}, REWRITER, 0)
+    target.write_state({**kept, BUCKETS_KEY: str(buckets)}, REWRITER, 0)
     fold_states(target, {t: c for t, c in tables.items() if t in accounts})

@@ -30,12 +30,18 @@ ZONE_SCHEMA = schema(
     "slot_bucket bigint, rows bigint, min_slot bigint, max_slot bigint, min_block_time bigint, max_block_time bigint, "
     "min_created_at timestamp, max_created_at timestamp, indexed string, writer string, batch_id bigint"
 )
-# Buckets of the keys and of the current states.
+# Buckets of the keys and of the current states: at least so many, and one for so many transactions of an index's first batch.
 KEY_BUCKETS = 16
+BUCKET_TRANSACTIONS = 500_000
 # Which column of a table is its key, in this order.
 KEY_COLUMNS = ("signature", "address", "tx_sig")
 
 
+def buckets_for(transactions: int) -> int:
+    """Buckets of an index that does not state them, from the transactions it begins with: a task sorts the keys of one."""
+    return max(KEY_BUCKETS, -(-transactions // BUCKET_TRANSACTIONS))
+
+
 def key_column(columns: list[str]) -> str:
     """The key of a stored table."""
     return next(c for c in KEY_COLUMNS if c in columns)

@@ -25,7 +25,7 @@ from ..functions.schema_text import schema
 from ..operators.registry import merge_schema
 from ..session import list_folders, remove_folder
 from ..sources.blocks import SLOTS_PER_BUCKET, keep_layout, read_layout, slot_bucket
-from .side_tables import KEY_BUCKETS, ZONE_SCHEMA, CurrentStates, KeyTable, found_keys, in_time, zones_of
+from .side_tables import ZONE_SCHEMA, CurrentStates, KeyTable, found_keys, in_time, zones_of
 
 # Checkpoint keys.
 LAST_SIG_KEY = "last_indexed_sig"
@@ -93,8 +93,9 @@ class IndexState:
 class IndexStore:
     """Reads and writes the tables of one index below ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str, *, slots_per_bucket: int | None = None, key_buckets: int = KEY_BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, *, slots_per_bucket: int | None = None, key_buckets: int | None = None):
         self.spark, self.root, self._stated, self._size = spark, root.rstrip("/"), slots_per_bucket, None
+        # None: as many as the first batch asks for.
         self.key_buckets = key_buckets
         self._lock, self._kept = Lock(), False
 

@@ -102,8 +102,8 @@ class Staging:
         """
         path, schema = f"{self.root}/{name}", df.schema
         if partition is None:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         else:
-            df.write.partitionBy(partition).parquet(path)
+            df.write.partitionBy(partition).option("compression", "zstd").parquet(path)
             schema = StructType([*[f for f in schema.fields if f.name != partition], schema[partition]])
         return self.spark.read.schema(schema).parquet(path)
