@@ -73,8 +73,12 @@ def account_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def little_endian_hex(value: Column, width: int) -> Column:
     """Hex of a whole number, least significant byte first; negative numbers in two's complement."""
-    digits = F.lpad(F.hex(value.cast("bigint")), 16, "0")
-    return F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(width)])
+    turned = value.cast("bigint")
+    # Neighbouring bytes, then pairs and halves change places: arithmetic on one long, no text per byte.
+    for bits, mask in ((8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        low = F.lit(mask).cast("bigint")
+        turned = F.shiftleft(turned.bitwiseAND(low), bits).bitwiseOR(F.shiftrightunsigned(turned, bits).bitwiseAND(low))
+    return F.substring(F.lpad(F.hex(turned), 16, "0"), 1, 2 * width)
 
 
 def wide_hex(high: Column, low: Column) -> Column:
@@ -152,13 +156,14 @@ def lines(spark: SparkSession, sf_dir: str, failed: Column | None = None) -> Dat
 def as_blocks(lines: DataFrame) -> DataFrame:
     """Every line as a block, row by row; a ``slot_bucket`` stays with it."""
     flag = F.col("l_returnflag")
-    name = F.when(flag == "A", FLAG_NAMES["A"]).when(flag == "N", FLAG_NAMES["N"]).otherwise(FLAG_NAMES["R"])
-    data = payload(
-        "instruction", name,
+    # A literal per name: its hash is taken once, not for every line.
+    head = {f: F.hex(derived_discriminator("instruction", F.lit(name))) for f, name in FLAG_NAMES.items()}
+    data = F.unhex(F.concat(
+        F.when(flag == "A", head["A"]).when(flag == "N", head["N"]).otherwise(head["R"]),
         little_endian_hex(F.col("l_partkey"), 8),
         little_endian_hex(F.col("l_quantity"), 8),
         little_endian_hex(F.round(F.col("l_extendedprice") * 100), 8),
-    )
+    ))
     encoded = lines.select(
         *(c for c in ("slot", "slot_bucket", "l_linestatus", "l_suppkey", "l_partkey", "l_orderkey") if c in lines.columns),
         line_signature().alias("signature"), base58_encode_key(data).alias("data"),
