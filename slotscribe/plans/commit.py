@@ -167,6 +167,41 @@ def first_per_signature(txs: DataFrame, order: list[str | Column], staging: Stag
     return matched.where(F.col("_first").isNull() | (F.col("_first") == F.col("_row"))).drop("_row", "_sig", "_first")
 
 
+@dataclass(frozen=True)
+class StoredAgain:
+    """Keys of a batch that other batches have stored, of all its tables: (indexed, key, item, own_slot), the batch's slot being the last.
+
+    They are found with one exchange of the batch's signatures and slots. The rows themselves are compared
+    with these keys only: not at all without any, by broadcast while they are few. Many are
+    joined by shuffle, and rows of slots that hold none pass without being moved.
+    """
+
+    keys: DataFrame
+    count: int
+    low: int | None
+    high: int | None
+
+    @classmethod
+    def find(cls, txs: DataFrame, stored: DataFrame, few: bool, staging: Staging) -> "StoredAgain":
+        """``stored`` are keys as ``IndexStore.keys`` has them, which are not moved; ``few`` transactions are sent to them."""
+        own = txs.select(F.col("signature").alias("key"), F.col("slot").alias("own_slot"))
+        own = F.broadcast(own) if few else own.hint("merge")
+        keys = staging.put(stored.join(own, "key").select("indexed", "key", "item", "own_slot"), "stored_again")
+        count = keys.limit(BROADCAST_BATCH + 1).count()
+        return cls(keys, count, *(keys.agg(F.min("own_slot"), F.max("own_slot")).first() if count else (None, None)))
+
+    def without(self, rows: DataFrame, table: str, key: str, item: str | None) -> DataFrame:
+        """Rows whose key, or key and item, is not stored in the table."""
+        if self.count == 0:
+            return rows
+        stored = self.keys.where(F.col("indexed") == table).select("key", "item")
+        if self.count <= BROADCAST_BATCH:
+            return not_keyed(rows, F.broadcast(stored), key, item)
+        # A NULL slot is within no bounds, so its rows are compared.
+        near = F.coalesce(F.col("slot").between(self.low, self.high), F.lit(True))
+        return not_keyed(rows.where(near), stored, key, item).unionByName(rows.where(~near))
+
+
 def route_calls(txs: DataFrame, program: Program) -> DataFrame:
     """Calls of the program with the table they belong to; NULL tables are for quarantine."""
     return normalize.route(normalize.calls(txs, program.program_id), program, "instruction")
@@ -217,23 +252,28 @@ def _commit(
     if not options.include_failed:
         txs = txs.where(F.col("err").isNull())
     staged = first_per_signature(txs, order, staging)
+    size = staged.count()
     state = store.load()
     committed = state.committed
     # A new index keeps keys, zones and current states; one begun without them goes on so.
-    buckets = state.key_buckets if committed else store.key_buckets or buckets_for(staged.count())
+    buckets = state.key_buckets if committed else store.key_buckets or buckets_for(size)
     item = {("tx_sig", "ix_index"): "ix_index", ("tx_sig",): None}
     now = F.lit(datetime.now(timezone.utc))
     near = conflict_range(staged, store.slots_per_bucket, options.conflict_slack) if committed else None
 
-    probe = staged.select("signature") if committed and staged.count() <= BROADCAST_BATCH else None
+    few = size <= BROADCAST_BATCH
+    probe = staged.select("signature") if committed and few else None
+    again = None
+    if committed and buckets is not None:
+        checked = ["transactions", "quarantine", *program.tables("instruction")]
+        again = StoredAgain.find(staged, near.limit(store.keys(state, checked, (writer, batch_id))), few, staging)
 
     def fresh(rows: DataFrame, table: str, columns: T.StructType, key: tuple[str, ...]) -> DataFrame:
         """Rows that no other batch has stored."""
         if not committed:
             return rows
         if buckets is not None and (key in item or key == ("signature",)):
-            known = near.limit(store.keys(state, table, (writer, batch_id)))
-            return not_keyed(rows, known, key[0], item.get(key), probe)
+            return again.without(rows, table, key[0], item.get(key))
         known = near.limit(store.read(table, columns, state=state, exclude=(writer, batch_id), buckets=near.buckets))
         return not_stored(rows, known, list(key), probe)
 
@@ -302,7 +342,7 @@ def _commit(
         for done in [pool.submit(inheritable_thread_target(store.spark)(job)) for job in jobs]:
             done.result()
     if buckets is not None:
-        store.write_side_tables(written, writer, batch_id, buckets)
+        store.write_side_tables(written, writer, batch_id, buckets, size)
 
     newest = staged.agg(
         F.max_by("signature", F.struct("slot", "tx_index")).alias("signature"), F.max("slot").alias("slot")

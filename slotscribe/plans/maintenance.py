@@ -38,8 +38,9 @@ def rewrite_index(reader: IndexReader, target: IndexStore) -> None:
         tables[table] = columns
         lookup = next((c for c in ("signature", "address", "tx_sig") if c in columns.names), None)
         target.write(rows, table, REWRITER, 0, lookup=lookup)
-    buckets = target.key_buckets or buckets_for(reader.transactions(state).count())
-    target.write_side_tables(tables, REWRITER, 0, buckets)
+    transactions = reader.transactions(state).count()
+    buckets = target.key_buckets or buckets_for(transactions)
+    target.write_side_tables(tables, REWRITER, 0, buckets, transactions)
     kept = {k: v for k, v in state.values.items() if k not in (COMMIT_KEY, BUCKETS_KEY) and not k.startswith(FOLDED_KEY)}
     target.write_state({**kept, BUCKETS_KEY: str(buckets)}, REWRITER, 0)
     fold_states(target, {t: c for t, c in tables.items() if t in accounts})

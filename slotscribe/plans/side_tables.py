@@ -76,7 +76,7 @@ class KeyTable:
             columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in KEY_SCHEMA)
             path = self.path.replace("\\", "\\\\").replace("'", "\\'")
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}) USING parquet OPTIONS (path '{path}') "
+                f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}) USING parquet OPTIONS (path '{path}', compression 'zstd') "
                 f"PARTITIONED BY (writer, batch_id, indexed) CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS"
             )
         finally:
@@ -88,16 +88,22 @@ class KeyTable:
         self._register()
         return self.spark.table(self.name)
 
-    def append(self, found: DataFrame) -> None:
-        """Add keys (``KEY_SCHEMA``): one file per bucket and table."""
+    def append(self, found: DataFrame, writer: str, batch_id: int, transactions: int) -> None:
+        """Add the keys (``found_keys``) of a batch: one file per bucket and table.
+
+        A batch of more transactions than buckets are made for has several, each written by a task of its
+        own: keys dealt into a multiple of the buckets stay in their bucket.
+        """
         self._register()
-        found.select(*KEY_SCHEMA.names).repartition(self.buckets, "key").write.mode("append").insertInto(self.name)
+        parts = max(1, -(-transactions // (self.buckets * BUCKET_TRANSACTIONS)))
+        dealt = found.repartition(self.buckets * parts, "key").withColumns({"writer": F.lit(writer), "batch_id": F.lit(batch_id)})
+        dealt.select(*KEY_SCHEMA.names).write.mode("append").insertInto(self.name)
 
 
 def found_keys(rows: DataFrame, table: str) -> DataFrame:
     """Keys of the stored rows of a table; ``item`` tells calls of one transaction apart."""
     item = F.col("ix_index") if "ix_index" in rows.columns else F.lit(None).cast("int")
-    return rows.select(F.lit(table).alias("indexed"), F.col(key_column(rows.columns)).alias("key"), "slot", item.alias("item"), "writer", "batch_id")
+    return rows.select(F.lit(table).alias("indexed"), F.col(key_column(rows.columns)).alias("key"), "slot", item.alias("item"))
 
 
 def zones_of(rows: DataFrame, table: str) -> DataFrame:

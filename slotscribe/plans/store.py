@@ -25,7 +25,7 @@ from ..functions.schema_text import schema
 from ..operators.registry import merge_schema
 from ..session import list_folders, remove_folder
 from ..sources.blocks import SLOTS_PER_BUCKET, keep_layout, read_layout, slot_bucket
-from .side_tables import ZONE_SCHEMA, CurrentStates, KeyTable, found_keys, in_time, zones_of
+from .side_tables import KEY_SCHEMA, ZONE_SCHEMA, CurrentStates, KeyTable, found_keys, in_time, zones_of
 
 # Checkpoint keys.
 LAST_SIG_KEY = "last_indexed_sig"
@@ -170,12 +170,14 @@ class IndexStore:
 
     # -- side tables -------------------------------------------------------------
 
-    def keys(self, state: "IndexState", table: str, exclude: tuple[str, int] | None = None) -> DataFrame:
-        """(key, slot, item) of the stored rows of a table."""
+    def keys(self, state: "IndexState", table: str | list[str], exclude: tuple[str, int] | None = None) -> DataFrame:
+        """(key, slot, item) of the stored rows of a table, or of several with the name of each as ``indexed``."""
+        columns = ["key", "slot", "item", *([] if isinstance(table, str) else ["indexed"])]
         if not state.committed:
-            return self.spark.createDataFrame([], "key string, slot bigint, item int")
+            return self.spark.createDataFrame([], T.StructType([KEY_SCHEMA[c] for c in columns]))
         rows = KeyTable(self.spark, self.root, state.key_buckets).rows()
-        return rows.where(state.visible(exclude)).where(F.col("indexed") == table).select("key", "slot", "item")
+        named = F.col("indexed") == table if isinstance(table, str) else F.col("indexed").isin(table)
+        return rows.where(state.visible(exclude)).where(named).select(*columns)
 
     def locate(self, state: "IndexState", table: str, key: str, newest: int = 1) -> list[int] | None:
         """The newest slots in which a key is stored, read from one bucket; None if the index keeps no keys."""
@@ -198,8 +200,8 @@ class IndexStore:
         listed = sorted(r[0] for r in found.limit(MAX_LISTED + 1).collect())
         return listed if len(listed) <= MAX_LISTED else tuple(found.agg(F.min("slot_bucket"), F.max("slot_bucket")).first())
 
-    def write_side_tables(self, tables: dict[str, T.StructType], writer: str, batch_id: int, buckets: int) -> None:
-        """Keys and zones of what a batch has stored in these tables, two jobs over their narrow columns."""
+    def write_side_tables(self, tables: dict[str, T.StructType], writer: str, batch_id: int, buckets: int, transactions: int) -> None:
+        """Keys and zones of what a batch of so many transactions has stored in these tables, two jobs over their narrow columns."""
         for side in ("keys", "zones"):
             remove_folder(self.spark, f"{self.root}/{side}/writer={writer}/batch_id={batch_id}")
         if not tables:
@@ -213,7 +215,7 @@ class IndexStore:
             zones.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/zones/writer={writer}/batch_id={batch_id}")
 
         with ThreadPoolExecutor(2) as pool:
-            jobs = [lambda: KeyTable(self.spark, self.root, buckets).append(found), *([write_zones] if timed else [])]
+            jobs = [lambda: KeyTable(self.spark, self.root, buckets).append(found, writer, batch_id, transactions), *([write_zones] if timed else [])]
             for done in [pool.submit(inheritable_thread_target(self.spark)(job)) for job in jobs]:
                 done.result()
 
@@ -302,7 +304,7 @@ class IndexStore:
             .hint("rebalance", "slot_bucket")
             .sortWithinPartitions("slot_bucket", *sort)
             .write.partitionBy("slot_bucket")
-            .options(**bloom)
+            .options(**bloom, compression="zstd")
             .mode("overwrite")
             .parquet(f"{self.root}/{table}/writer={writer}/batch_id={batch_id}")
         )

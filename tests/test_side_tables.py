@@ -18,6 +18,7 @@ from slotscribe.plans.jobs import BatchRequest, backfill, run_batch
 from slotscribe.plans.maintenance import compact_state
 from slotscribe.plans.reader import IndexReader
 from slotscribe.plans.store import BUCKETS_KEY, IndexStore
+from slotscribe.session import Staging
 
 
 @pytest.fixture(scope="module")
@@ -244,3 +245,38 @@ def test_foreign_addresses_are_told(spark):
         [("A", '{"address":"A"}'), ("A", '{"metadata":{"address":"B"}}'), ("A", "{}"), ("A", None)], "program_id string, idl string"
     )
     assert sorted((r["address"] or "", r["accepted"]) for r in stated_addresses(docs).collect()) == [("", True), ("", True), ("A", True), ("B", False)]
+
+
+def test_only_slots_with_stored_keys_are_compared(spark, program, store, monkeypatch, tmp_path):
+    monkeypatch.setattr(commits, "BROADCAST_BATCH", 0)
+    commit_batch(store, program, txs(spark), writer="a", batch_id=0)
+    state, tables = store.load(), ["transactions", *program.tables("instruction")]
+    extra = spark.createDataFrame([("sig106a", None), ("new", None)], "signature string, slot bigint")
+    new = txs(spark, range(120, 150)).select("signature", "slot").unionByName(extra)
+    with Staging(spark, "t", str(tmp_path)) as staging:
+        again = commits.StoredAgain.find(new, store.keys(state, tables), False, staging)
+        assert again.count and (again.low, again.high) == (120, 128)
+        kept = again.without(new, "transactions", "signature", None)
+        assert sorted(map(str, kept.collect())) == sorted(map(str, not_keyed(new, store.keys(state, "transactions"), "signature").collect()))
+        found = {r["signature"]: r["slot"] for r in kept.collect()}
+        assert found["new"] is None and "sig106a" not in found and all(s is None or s >= 130 for s in found.values())
+        # Rows of other slots are beside the join, not in it.
+        assert plan(kept).index("Union") < plan(kept).index("LeftAnti")
+    later = txs(spark, range(130, 150))
+    with Staging(spark, "t", str(tmp_path)) as staging:
+        again = commits.StoredAgain.find(later, store.keys(state, tables), False, staging)
+        assert again.count == 0 and "Join" not in plan(again.without(later, "transactions", "signature", None))
+
+
+def test_keys_of_a_large_batch_have_several_files_per_bucket(spark, program, store, monkeypatch):
+    from slotscribe.plans import side_tables
+
+    commit_batch(store, program, txs(spark), writer="a", batch_id=0)
+    monkeypatch.setattr(side_tables, "BUCKET_TRANSACTIONS", 3)
+    commit_batch(store, program, txs(spark, range(120, 160)), writer="b", batch_id=0)
+    files = lambda w: len(list(Path(store.root).glob(f"keys/writer={w}/batch_id=0/indexed=transactions/*.parquet")))
+    assert files("a") <= 4 < files("b")
+    state = store.load()
+    assert store.keys(state, "transactions").count() == IndexReader(store, program).transactions().count()
+    for slot in (b["slot"] for b in chain.sample_blocks(range(100, 160))):
+        assert store.locate(state, "transactions", f"sig{slot}a") == [slot]

@@ -181,3 +181,21 @@ def test_commits_are_bounded_by_rows_and_restart_between_them(spark, program, tm
     assert all(n <= 5 for n in first) and sum(first) == sum(per_slot[b["slot"]] for b in blocks[:6])
     assert [n for b, n in sorted(held.items()) if b >= live.MOST_COMMITS] == [per_slot[b["slot"]] for b in blocks[6:]]
     assert len(signatures(IndexReader(store, program))) == sum(per_slot.values())
+
+
+def test_sample_stream_reads_the_stored_blocks(spark, tmp_path, monkeypatch):
+    """The live feed is a part of the block table; it is not written a second time."""
+    from slotscribe.plans import catalog
+
+    rows = [(k, k % 9, k % 7, k % 4 + 1, float(k % 50), k + 0.25, "ANR"[k % 3], "OF"[k % 2], 9_200 + k * 7 % 1_200) for k in range(120)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, slot int"
+    lines = spark.createDataFrame(rows, names).select("*", F.date_add(F.lit("1970-01-01").cast("date"), F.col("slot")).cast("timestamp").alias("l_shipdate"))
+    lines.drop("slot").write.parquet(str(tmp_path / "lineitem.parquet"))
+    written, write = [], catalog.source.write_blocks
+    monkeypatch.setattr(catalog.source, "write_blocks", lambda *a, **k: (written.append(a[1]), write(*a, **k))[1])
+    stats = catalog.queries()["stream_catch_up"](spark, str(tmp_path)).first()
+    open_slots = [r[-1] for r in rows if r[7] == "O"]
+    # Slots up to 9400 by the run, up to 10000 by the backfill, from 9500 on by the stream.
+    assert stats["total_transactions"] == stats["total_ix_calls"] == len(open_slots)
+    assert (stats["first_indexed_slot"], stats["last_indexed_slot"]) == (min(open_slots), max(open_slots))
+    assert len(written) == 1
