@@ -145,6 +145,11 @@ def decode_table(rows: DataFrame, entries: list[Entry], schema: T.StructType, en
     return reduce(DataFrame.unionByName, parts)
 
 
+def stage_transactions(txs: DataFrame, staging: Staging) -> DataFrame:
+    """Whole transactions staged with a number each. A commit of them, or of some, stages them no more."""
+    return staging.put(txs.drop("header").withColumn("_row", F.monotonically_increasing_id()), "transactions")
+
+
 def first_per_signature(txs: DataFrame, order: list[str | Column], staging: Staging) -> DataFrame:
     """The first transaction of each signature in ``order``, staged.
 
@@ -152,7 +157,7 @@ def first_per_signature(txs: DataFrame, order: list[str | Column], staging: Stag
     counted, and only rows whose hash occurs again are compared, by their signature and
     place. Beyond ``BROADCAST_REPEATED`` such hashes whole rows are dealt out by signature.
     """
-    read = staging.put(txs.drop("header").withColumn("_row", F.monotonically_increasing_id()), "transactions")
+    read = txs if "_row" in txs.columns else stage_transactions(txs, staging)
     mark = F.xxhash64("signature").alias("_mark")
     repeated = staging.put(read.groupBy(mark).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_mark"), "repeated")
     marks = repeated.limit(BROADCAST_REPEATED + 1).count()
@@ -233,7 +238,7 @@ def commit_batch(
     """Index a batch of normalised transactions.
 
     The source is read once: deduplicated transactions are staged below the
-    index, and so are the routed calls, partitioned by table, so that each
+    index (unless they come from ``stage_transactions``), and so are the routed calls, partitioned by table, so that each
     table's job reads only its own rows and tables without any get no job.
     Repeating a batch with the same writer and id replaces it; other batches
     are checked for stored keys. All rows of a batch have one ingest time.

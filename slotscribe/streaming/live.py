@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import normalize
 from ..operators.registry import Program
-from ..plans.commit import CommitOptions, commit_batch
+from ..plans.commit import CommitOptions, commit_batch, stage_transactions
 from ..plans.jobs import backfill
 from ..plans.store import IndexStore
 from ..session import Staging, list_folders
@@ -75,7 +75,7 @@ def commit_stretches(
     Stretches depend on the micro-batch's rows only, so a repeated one is cut in the same places.
     """
     with Staging(store.spark, f"stretches-{writer}-{batch_id}", store.root) as staging:
-        staged = staging.put(txs, "transactions")
+        staged = stage_transactions(txs, staging)
         done = store.load().committed.get(writer, -1)
         for k, (low, high) in enumerate(slot_stretches(staged, max_rows)):
             if k == MOST_COMMITS:

@@ -199,3 +199,18 @@ def test_sample_stream_reads_the_stored_blocks(spark, tmp_path, monkeypatch):
     assert stats["total_transactions"] == stats["total_ix_calls"] == len(open_slots)
     assert (stats["first_indexed_slot"], stats["last_indexed_slot"]) == (min(open_slots), max(open_slots))
     assert len(written) == 1
+
+
+def test_commits_of_a_micro_batch_share_what_is_staged(spark, program, tmp_path, monkeypatch):
+    from slotscribe.session import Staging
+
+    blocks = chain.sample_blocks(range(100, 106))
+    feed(tmp_path / "in", blocks, "a.json")
+    store = IndexStore(spark, str(tmp_path / "i"), key_buckets=2)
+    staged, put = [], Staging.put
+    monkeypatch.setattr(Staging, "put", lambda self, df, name, *a, **k: (staged.append(name), put(self, df, name, *a, **k))[1])
+    run = start_index_stream(stream_blocks(spark, str(tmp_path / "in")), store, program, str(tmp_path / "c"), available_now=True, max_rows=5)
+    assert run.awaitTermination(240)
+    assert len(commits(store)) > 1 and staged.count("transactions") == 1
+    wanted = sorted(t["signatures"][0] for b in blocks for t in b["transactions"] if chain.PROGRAM in t["account_keys"])
+    assert signatures(IndexReader(store, program)) == wanted
