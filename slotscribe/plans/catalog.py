@@ -664,10 +664,11 @@ def index_rewritten_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IndexReader(target, program).stats().withColumn("ix_call_counts", F.to_json("ix_call_counts")).drop("last_checkpoint")
 
 
-def _live_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored sample blocks as a stream."""
+def _live_blocks(spark: SparkSession, sf_dir: str, from_slot: int) -> DataFrame:
+    """The stored sample blocks from a slot on as a stream."""
     _block_table(spark, sf_dir)
-    return stream_blocks(spark, _BUILT[(spark.sparkContext.applicationId, sf_dir, "blocks")], "parquet")
+    stored = stream_blocks(spark, _BUILT[(spark.sparkContext.applicationId, sf_dir, "blocks")], "parquet")
+    return stored.where(F.col("slot") >= from_slot)
 
 
 def stream_row_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -676,7 +677,7 @@ def stream_row_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = sample.table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'").count()
     store = IndexStore(spark, scratch_path(spark, "bound-index"), slots_per_bucket=400)
     start_index_stream(
-        _live_blocks(spark, sf_dir), store, program, scratch_path(spark, "bound-checkpoint"), name="sample", available_now=True, max_rows=-(-total // 3)
+        _live_blocks(spark, sf_dir, 0), store, program, scratch_path(spark, "bound-checkpoint"), name="sample", available_now=True, max_rows=-(-total // 3)
     ).awaitTermination()
     zones = store.zones(store.load()).where("indexed = 'transactions'")
     commits = zones.groupBy("batch_id").agg(F.min("min_slot").alias("first_slot"), F.max("max_slot").alias("last_slot"), F.sum("rows").alias("transactions"))
@@ -688,7 +689,7 @@ def stream_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     program, blocks = _program(spark, sample.SAMPLE_IDL), _block_table(spark, sf_dir)
     store = IndexStore(spark, scratch_path(spark, "followed-index"), slots_per_bucket=400)
     run_batch(store, program, blocks, BatchRequest(start_slot=0, end_slot=9_400))
-    live = _live_blocks(spark, sf_dir).where("slot >= 9500")
+    live = _live_blocks(spark, sf_dir, 9_500)
     query = catch_up_then_follow(
         blocks.where("slot <= 10000"), live, store, program, scratch_path(spark, "followed-checkpoint"), name="sample", available_now=True
     )
