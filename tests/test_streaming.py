@@ -214,3 +214,15 @@ def test_commits_of_a_micro_batch_share_what_is_staged(spark, program, tmp_path,
     assert len(commits(store)) > 1 and staged.count("transactions") == 1
     wanted = sorted(t["signatures"][0] for b in blocks for t in b["transactions"] if chain.PROGRAM in t["account_keys"])
     assert signatures(IndexReader(store, program)) == wanted
+
+
+def test_sample_stream_leaves_lines_without_a_slot_out(spark, tmp_path):
+    from slotscribe.plans import catalog
+
+    rows = [(k, 1, 1, 1, 5.0, 7.5, "A", "O", None if k % 4 == 0 else 9_200 + k) for k in range(48)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, slot int"
+    lines = spark.createDataFrame(rows, names).select("*", F.date_add(F.lit("1970-01-01").cast("date"), F.col("slot")).cast("timestamp").alias("l_shipdate"))
+    lines.drop("slot").write.parquet(str(tmp_path / "lineitem.parquet"))
+    held = catalog.queries()["stream_row_bound"](spark, str(tmp_path)).collect()
+    # 36 lines have a slot; a commit holds 16, a third of all 48.
+    assert sorted((r["first_slot"], r["transactions"]) for r in held) == [(9_201, 16), (9_222, 16), (9_243, 4)]
