@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,7 +164,7 @@ def _unit(unit: list[tuple[int, bytes]], ranges: int) -> pa.RecordBatch:
     part = ((anchor >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
     low = (anchor & _LOW).astype(np.uint32)
     # By anchor, fragment, sides and document; repeats inside a document count once.
-    order = np.lexsort((owner, sides, fragment, low, part))
+    order = np.lexsort((sides << np.uint64(16) | owner, fragment, part.astype(np.uint64) << np.uint64(32) | low))
     part, low, fragment, sides, owner = part[order], low[order], fragment[order], sides[order], owner[order]
     same = np.r_[False, (part[1:] == part[:-1]) & (low[1:] == low[:-1]) & (fragment[1:] == fragment[:-1]) & (sides[1:] == sides[:-1])]
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
@@ -228,7 +229,7 @@ def decide(claimed: DataFrame, partitions: int) -> DataFrame:
 
 def _decide(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     anchor, fragment, sides, doc = (np.concatenate([h[k] for h in held]) for k in range(4))
-    order = np.lexsort((doc, sides, fragment, anchor))
+    order = np.lexsort((doc, fragment, anchor.astype(np.uint64) << np.uint64(24) | sides))
     anchor, fragment, sides, doc = anchor[order], fragment[order], sides[order], doc[order]
     first = np.r_[True, (anchor[1:] != anchor[:-1]) | (fragment[1:] != fragment[:-1]) | (sides[1:] != sides[:-1])]
     head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
@@ -308,30 +309,76 @@ def digest(raw: bytes, gone: np.ndarray) -> str:
 FRAGMENTS = "anchor bigint, rid bigint, doc_id bigint, first bigint, asks boolean, piece binary"
 
 
-def fragments(placed: DataFrame) -> DataFrame:
-    """(anchor, rid, doc_id, first, asks, piece) of everything that is sent."""
+def _sent(shown: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, first, last, status) of everything a slice of documents sends, and the document of each."""
+    packed = shown.to_pylist()
+    return np.frombuffer(b"".join(packed), np.int64).reshape(-1, 4), np.repeat(np.arange(len(packed)), [len(x) // 32 for x in packed])
+
+
+def sent_bytes(placed: DataFrame) -> DataFrame:
+    """(anchor, bytes): how much text is sent under each anchor, from the places alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = []
-            for rid, i, raw, shown in zip(*(c.to_pylist() for c in batch.columns)):
-                for anchor, first, last, status in np.frombuffer(shown, np.int64).reshape(-1, 4).tolist():
-                    rows.append((anchor, rid, i, first, status == ASKS, raw[first : last + LENGTH]))
-            yield _batch(rows, FRAGMENTS)
+            found, _ = _sent(batch.column(0))
+            anchors, which = np.unique(found[:, 0], return_inverse=True)
+            sizes = np.bincount(which, weights=found[:, 2] + LENGTH - found[:, 1], minlength=len(anchors)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(sizes)], names=["anchor", "bytes"])
+
+    sized = placed.where(F.length("shown") > 0).select("shown").mapInArrow(run, "anchor bigint, bytes bigint")
+    return sized.groupBy("anchor").agg(F.sum("bytes").alias("bytes"))
+
+
+def fragments(placed: DataFrame, anchors: list[int], inside: bool) -> DataFrame:
+    """(anchor, rid, doc_id, first, asks, piece) of everything that is sent under the given anchors, or under all others."""
+    shipped = placed.sparkSession.sparkContext.broadcast(np.array(anchors, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = shipped.value
+        for batch in slices(batches):
+            found, which = _sent(batch.column(3))
+            if inside or len(named):
+                wanted = np.isin(found[:, 0], named) == inside
+                found, which = found[wanted], which[wanted]
+            if not len(found):
+                continue
+            raw = batch.column(2).to_pylist()
+            pieces = [raw[k][a:b] for k, a, b in zip(which.tolist(), found[:, 1].tolist(), (found[:, 2] + LENGTH).tolist())]
+            owner = pa.array(which)
+            columns = [pa.array(found[:, 0]), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(found[:, 1]), pa.array(found[:, 3] == ASKS)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pieces, pa.binary())], names=[f.split()[0] for f in FRAGMENTS.split(", ")])
 
     sent = placed.where(F.length("shown") > 0).select("rid", "doc_id", "text", "shown")
     return sent.mapInArrow(run, FRAGMENTS)
 
 
-def suffix_ranks(text: np.ndarray) -> np.ndarray:
-    """Rank of the ``LENGTH`` bytes from every place on that has so many; equal strings have equal ranks."""
-    raw = text.tobytes()
-    rank = np.unique(np.ndarray((len(text) - 7,), ">u8", raw, 0, (1,)).astype(np.uint64), return_inverse=True)[1].astype(np.uint64)
-    width = 8
+def _rank(values: np.ndarray) -> np.ndarray:
+    return np.unique(values, return_inverse=True)[1].astype(np.uint64)
+
+
+def suffix_ranks(text: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+    """Rank of the ``LENGTH`` bytes from the given places on, or from all that have so many; equal strings have equal ranks.
+
+    Shorter strings are ranked only where a longer one that is asked for needs them.
+    """
+    if places is None:
+        places = np.arange(len(text) - LENGTH + 1)
+    steps, width = [], 8
     while width < LENGTH:
-        step = min(width, LENGTH - width)
-        n = len(rank) - step
-        rank = np.unique(rank[:n] << np.uint64(32) | rank[step:], return_inverse=True)[1].astype(np.uint64)
-        width += step
+        steps.append(min(width, LENGTH - width))
+        width += steps[-1]
+    wanted = [places]
+    for step in reversed(steps):
+        marked = np.zeros(len(text), bool)
+        marked[wanted[-1]] = marked[wanted[-1] + step] = True
+        wanted.append(np.flatnonzero(marked))
+    at = wanted.pop()
+    raw = np.ndarray((len(text) - 7,), ">u8", text.tobytes(), 0, (1,))
+    held = np.empty(len(text), np.uint64)
+    rank = _rank(raw[at].astype(np.uint64))
+    for step in steps:
+        held[at] = rank
+        at = wanted.pop()
+        rank = _rank(held[at] << np.uint64(32) | held[at + step])
     return rank
 
 
@@ -366,32 +413,38 @@ def has_earlier(ranks: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def answer(sent: DataFrame, partitions: int) -> DataFrame:
     """(rid, spans): the removals that sorting the fragments' windows finds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, current = [], 0, None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > CHUNK_BYTES and row[0] != current:
+        held, size = [], 0
+        for batch in slices(batches):
+            anchors = batch.column(0).to_numpy()
+            lengths = pc.binary_length(batch.column(5)).to_numpy()
+            start, ends = 0, np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
+            follows = bool(held) and held[-1].column(0)[-1].as_py() == anchors[0]
+            # A chunk ends where an anchor begins.
+            for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(anchors)]):
+                if size > CHUNK_BYTES and not (a == 0 and follows):
+                    held.append(batch.slice(start, a - start))
                     yield _answer(held)
-                    held, size = [], 0
-                current = row[0]
-                held.append(row)
-                size += len(row[5])
-        if held:
+                    held, size, start = [], 0, a
+                size += int(lengths[a:b].sum())
+            held.append(batch.slice(start))
+        if size:
             yield _answer(held)
 
     dealt = sent.select("anchor", "rid", "doc_id", "first", "asks", "piece").repartition(partitions, "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, "rid bigint, spans binary")
 
 
-def _answer(rows: list[tuple]) -> pa.RecordBatch:
-    sizes = np.array([len(r[5]) for r in rows])
-    offsets = np.r_[0, np.cumsum(sizes)[:-1]]
-    ranks = suffix_ranks(np.frombuffer(b"".join(r[5] for r in rows), np.uint8))
+def _answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held)
+    rid, doc, first, asks = (rows.column(k).to_numpy() for k in range(1, 5))
+    pieces = rows.column(5).to_pylist()
+    sizes = np.array([len(p) for p in pieces])
+    offsets = np.cumsum(sizes) - sizes
     count = sizes - LENGTH + 1
-    which = np.repeat(np.arange(len(rows)), count)
-    inside = np.arange(len(which)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
-    docs = np.array([r[2] for r in rows], np.int64)
-    dup = has_earlier(ranks[offsets[which] + inside], docs[which]) & np.array([r[4] for r in rows], bool)[which]
-    rid, first = np.array([r[1] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+    which = np.repeat(np.arange(len(sizes)), count)
+    inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    ranks = suffix_ranks(np.frombuffer(b"".join(pieces), np.uint8), offsets[which] + inside)
+    dup = has_earlier(ranks, doc[which]) & asks[which]
     who, start = rid[which[dup]], first[which[dup]] + inside[dup]
     order = np.lexsort((start, who))
     out = [(i, union(np.stack([s, s + LENGTH], axis=1)).tobytes()) for i, s in _groups(who[order], start[order])]
@@ -452,14 +505,10 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     told = decide(claims(texts, ranges), ranges).groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
     placed = stage(place(texts, told), "placed")
     chunks = max(1, -(-placed.agg(F.coalesce(F.sum(F.length("shown")), F.lit(0))).first()[0] // (CHUNK_BYTES // 2)))
-    sent = fragments(placed)
-    hot = stage(sent.groupBy("anchor").agg(F.sum(F.length("piece")).alias("bytes")).where(F.col("bytes") > CHUNK_BYTES).select("anchor"), "hot")
-    if not hot.limit(1).count():
-        return finish(placed, answer(sent, chunks))
     # One anchor per CHUNK_BYTES of fragments at most, so they are few.
-    few = F.broadcast(hot)
-    rest = answer(sent.join(few, "anchor", "left_anti"), chunks)
-    return finish(placed, rest.union(answer_by_window(sent.join(few, "anchor", "left_semi"))))
+    hot = [r["anchor"] for r in sent_bytes(placed).where(F.col("bytes") > CHUNK_BYTES).select("anchor").collect()]
+    answers = answer(fragments(placed, hot, False), chunks)
+    return finish(placed, answers.union(answer_by_window(fragments(placed, hot, True))) if hot else answers)
 
 
 def report(docs: DataFrame) -> DataFrame:

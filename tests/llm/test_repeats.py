@@ -120,3 +120,21 @@ def test_suffix_ranks_order_the_strings():
     assert len(ranks) == len(text) - 49
     order = sorted(range(len(strings)), key=strings.__getitem__)
     assert all((ranks[a] < ranks[b]) == (strings[a] < strings[b]) for a, b in zip(order, order[1:]))
+
+
+def test_suffix_ranks_of_some_places_order_their_strings():
+    text = np.frombuffer(noise(random.Random(2), 300).encode() + b"ab" * 90, np.uint8)
+    places = np.r_[np.arange(3, 40), np.arange(200, 215), np.arange(310, len(text) - 49)]
+    strings = [text[k : k + 50].tobytes() for k in places]
+    assert op.suffix_ranks(text, places).tolist() == [sorted(set(strings)).index(x) for x in strings]
+
+
+def test_bytes_under_an_anchor_are_those_of_its_fragments(spark):
+    raw = bytes(range(200))
+    shown = np.array([[7, 0, 5, op.ASKS], [8, 10, 10, op.SHOWS], [7, 60, 90, op.SHOWS]], np.int64)
+    rows = [(1, 10, 200, b"", raw, shown.tobytes(), None), (2, 11, 200, b"", raw, shown[:1].tobytes(), None), (3, 12, 200, b"", None, b"", "x")]
+    placed = spark.createDataFrame(rows, op.PLACED)
+    assert sorted(map(tuple, op.sent_bytes(placed).collect())) == [(7, 55 + 80 + 55), (8, 50)]
+    under = lambda inside: sorted((r["anchor"], r["rid"], r["doc_id"], r["first"], r["asks"], bytes(r["piece"])) for r in op.fragments(placed, [8], inside).collect())
+    assert under(True) == [(8, 1, 10, 10, False, raw[10:60])]
+    assert under(False) == [(7, 1, 10, 0, True, raw[:55]), (7, 1, 10, 60, False, raw[60:140]), (7, 2, 11, 0, True, raw[:55])]
