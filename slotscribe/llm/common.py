@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,20 +38,45 @@ def shared_dir(spark: SparkSession) -> str:
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+# Spark's setting for the rows of a batch that goes to Python.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with other settings; its own are put back."""
+    usual = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in usual.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def small_batches(spark: SparkSession) -> dict[str, str]:
+    """Batches of one slice, unless the session asks for smaller ones.
+
+    A batch is held whole outside the heap of the executor, and again by its Python worker.
+    """
+    own = int(spark.conf.get(ARROW_ROWS))
+    return {ARROW_ROWS: str(own if 0 < own < SLICE_ROWS else SLICE_ROWS)}
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: computed once, and safe when executors are lost.
 
     The shuffle files behind it go as soon as it is written, not when the driver
-    happens to collect its garbage; the session's own setting is put back.
+    happens to collect its garbage; the session's own settings are put back.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpus/{label}-{uuid.uuid4().hex}"
-    usual = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with settings(spark, {SHUFFLE_CLEANUP: "true", **small_batches(spark)}):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, map_batches, stage, texts_of, with_columns
+from .common import free_name, map_batches, settings, small_batches, stage, texts_of, with_columns
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -257,7 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     classes = {r["feature"]: (r["toxic"], r["clean"]) for r in kept}
     if not classes or not totals[1]:
         return Model()
-    corpus = {r["feature"]: r["n"] for r in corpus_counts(docs, list(classes), text_col).collect()}
+    with settings(docs.sparkSession, small_batches(docs.sparkSession)):
+        corpus = {r["feature"]: r["n"] for r in corpus_counts(docs, list(classes), text_col).collect()}
     model = Model(odds=fit_odds(classes, (totals[0], totals[1]), corpus))
     calibration = rows.where("fold = 3")
     # As many rows as features have different scores, which the sample bounds.

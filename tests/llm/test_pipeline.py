@@ -1,6 +1,7 @@
 import ast
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from test_bpe import PATH
 
@@ -60,3 +61,19 @@ def test_nothing_else_imports_the_subpackage():
             for node in ast.walk(ast.parse(path.read_text())):
                 names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
                 assert not any("llm" in n.split(".") or n == "corpus_pipeline" for n in names), path
+
+
+def test_staged_steps_take_small_batches_and_leave_the_settings(spark):
+    from slotscribe.llm import common
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    rows = spark.range(0, 4_500, 1, 1)
+    for own, most in ((None, common.SLICE_ROWS), ("300", 300)):
+        with common.settings(spark, {common.ARROW_ROWS: own} if own else {}):
+            before = {k: spark.conf.get(k, None) for k in (common.ARROW_ROWS, common.SHUFFLE_CLEANUP)}
+            sizes = [r["n"] for r in common.stage(rows.mapInArrow(count, "n bigint"), "sizes").collect()]
+            assert sum(sizes) == 4_500 and max(sizes) <= most
+            assert {k: spark.conf.get(k, None) for k in before} == before
